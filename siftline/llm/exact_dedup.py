@@ -49,7 +49,8 @@ def _merge_sorted(keep_largest: bool):
 
         carry = None
         for batch in batches:
-            table = pa.Table.from_batches([batch])
+            # batches may or may not be marked as free of nulls; what is carried over never is
+            table = pa.Table.from_arrays(batch.columns, names=batch.schema.names)
             if carry is not None:
                 table = pa.concat_tables([carry, table])
             n = table.num_rows
