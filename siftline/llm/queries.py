@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, token_count
+from . import byte_bpe, common, embedding, exact_dedup, language, minhash, mixing, substring, token_count, toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,38 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_docs(spark, sf_dir), keep="largest")
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_docs(spark, sf_dir), k=4, percent=80)
+
+
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    held_out = common.is_true_fold(F.col("doc_id"), 4, 2)
+    model = language.fit(docs, ~held_out)
+    out = language.label(docs.select("doc_id", "text"), model, with_spans=False)
+    return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op4_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), least=0.98)
+
+
+def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeated_passages(_docs(spark, sf_dir), window=20).drop("gone")
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.Mixture(_docs(spark, sf_dir)).taken()
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    held_out = common.is_true_fold(F.col("doc_id"), 5, 0)
+    model = toxicity.fit(docs, labels, ~held_out)
+    out = toxicity.score(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     out = token_count.count_tokens(_docs(spark, sf_dir).select("doc_id", "text"), path, limit=1024)
@@ -31,6 +63,12 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_minhash": op2_minhash,
+    "op3_language": op3_language,
+    "op4_embedding": op4_embedding,
+    "op6_substring": op6_substring,
+    "op7_mixing": op7_mixing,
+    "op8_toxicity": op8_toxicity,
     "op9_token_counts": op9_token_counts,
     "op10_byte_bpe": op10_byte_bpe,
 }
