@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, common, embedding, exact_dedup, language, minhash, mixing, substring, token_count, toxicity
+from . import byte_bpe, common, embedding, exact_dedup, language, licenses, minhash, mixing, substring, token_count, toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +33,13 @@ def op4_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), least=0.98)
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir).select("doc_id", "text")
+    out = licenses.scan(docs, licenses.fit(docs))
+    best = F.array_max(F.transform("findings", lambda x: x["probability"]))
+    return out.select("doc_id", "n_paragraphs", F.size("findings").cast("long").alias("n_findings"), F.array_join("families", ",").alias("families"), F.coalesce(best, F.lit(0.0)).alias("probability"))
+
+
 def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.repeated_passages(_docs(spark, sf_dir), window=20).drop("gone")
 
@@ -66,6 +73,7 @@ QUERIES = {
     "op2_minhash": op2_minhash,
     "op3_language": op3_language,
     "op4_embedding": op4_embedding,
+    "op5_licenses": op5_licenses,
     "op6_substring": op6_substring,
     "op7_mixing": op7_mixing,
     "op8_toxicity": op8_toxicity,
