@@ -14,9 +14,10 @@ nothing; ids decode to the very bytes that were encoded.
 from __future__ import annotations
 
 import base64
+from array import array
 from functools import lru_cache
 from hashlib import sha256
-from itertools import chain
+from itertools import accumulate, chain
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -172,26 +173,31 @@ def decode(df: DataFrame, path: str, pattern: str, ids_col: str = "ids", out: st
     return unclash(df, out).withColumnRenamed("__data", out)
 
 
-def digests(df: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
+def digests(df: DataFrame, path: str, pattern: str, text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Append n_tokens, ids_sha256 and decoded_sha256: encode, then decode the ids.
 
-    Both directions run in one pass over each batch, so ids need not travel.
+    Both directions run in one pass over each batch, so ids need not travel
+    unless they are asked for, as column ids.
     """
+    names = ["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
 
-    @F.arrow_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    @F.arrow_udf("n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
     def both(texts):
         import pyarrow as pa
 
-        one, counts, ids_hex, data_hex = codec(path, pattern), [], [], []
+        one, counts, ids_hex, data_hex, kept = codec(path, pattern), [], [], [], []
         for text in texts.to_pylist():
             ids = one.encode(text)
             counts.append(len(ids))
             ids_hex.append(sha256(one.listed(ids).encode()).hexdigest())
             data_hex.append(sha256(one.decode(ids)).hexdigest())
-        return pa.StructArray.from_arrays(
-            [pa.array(counts, pa.int64()), pa.array(ids_hex, pa.string()), pa.array(data_hex, pa.string())],
-            ["n_tokens", "ids_sha256", "decoded_sha256"],
-        )
+            if with_ids:
+                kept.append(array("i", ids).tobytes())
+        columns = [pa.array(counts, pa.int64()), pa.array(ids_hex, pa.string()), pa.array(data_hex, pa.string())]
+        if with_ids:
+            offsets = pa.array([0, *accumulate(counts)], pa.int32())
+            columns.append(pa.ListArray.from_arrays(offsets, pa.Array.from_buffers(pa.int32(), sum(counts), [None, pa.py_buffer(b"".join(kept))])))
+        return pa.StructArray.from_arrays(columns, names)
 
     df = df.withColumn("__x", both(F.coalesce(F.col(text_col), F.lit(""))))
-    return unclash(df, "n_tokens", "ids_sha256", "decoded_sha256").select("*", "__x.*").drop("__x")
+    return unclash(df, *names).select("*", "__x.*").drop("__x")
