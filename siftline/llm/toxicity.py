@@ -1,8 +1,10 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
 Confirmed toxic texts are the positives; everything else is unlabelled text that
-may hide more of them.  A linear classifier over hashed words and word prefixes
-is trained in numpy on the non-negative PU risk
+may hide more of them.  Features are words and word prefixes, each in steps: it
+occurs, occurs twice, three times, or often for the text's length.  Features
+whose share differs between the two samples are kept, and a linear classifier is
+trained in numpy on the non-negative PU risk
 
     prior * E_P[l(z)] + max(0, E_U[l(-z)] - prior * E_P[l(-z)])
 
@@ -18,115 +20,160 @@ confirmed positive everything scores 0.
 
 from __future__ import annotations
 
+import uuid
+from collections import Counter
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import unclash
 
-BITS = 18
+STEPS = 4
+DENSE = 1 / 150
 _LIMIT = 300_000
 
 
-def _word_pattern():
+def _find():
     import regex
 
-    return regex.compile(r"\p{L}+")
+    return regex.compile(r"\p{L}+").findall
 
 
-def word_features(word: str) -> list[int]:
-    """Hashed features of one lower-case word: itself and its prefixes."""
+def word_features(word: str) -> tuple[int, ...]:
+    """31-bit hashes of a lower-case word and of its prefixes of 3 to 8 letters."""
     import xxhash
 
-    mask = (1 << BITS) - 1
-    out = [xxhash.xxh3_64_intdigest("w" + word) & mask]
-    for n in (3, 4, 5, 6):
-        if len(word) > n:
-            out.append(xxhash.xxh3_64_intdigest(f"{n}{word[:n]}") & mask)
-    return out
+    out = [xxhash.xxh3_64_intdigest("=" + word) >> 33]
+    for n in range(3, min(9, len(word))):
+        out.append(xxhash.xxh3_64_intdigest(word[:n]) >> 33)
+    return tuple(out)
 
 
 class _Features(dict):
+    """word -> its features, or of them those that `known` numbers; bounded."""
+
+    def __init__(self, known: dict[int, int] | None = None):
+        super().__init__()
+        self.known = known
+
     def __missing__(self, word: str):
         if len(self) >= _LIMIT:
             self.clear()
-        f = self[word] = word_features(word)
+        f = word_features(word)
+        if self.known is not None:
+            f = tuple(self.known[x] for x in f if x in self.known)
+        self[word] = f
         return f
 
 
-_features = _Features()  # words repeat over batches and tasks of a worker
+def counted(text: str | None, cache: dict, find) -> tuple[Counter, int]:
+    """How often each feature occurs in a whole text, and its number of words."""
+    words, tally = find(text.lower()) if text else [], Counter()
+    for word, n in Counter(words).items():
+        for f in cache[word]:
+            tally[f] += n
+    return tally, len(words)
 
 
-def text_features(text: str | None, cache: dict, find) -> np.ndarray:
-    """The distinct features of a text's distinct words."""
-    ids: set[int] = set()
-    for word in set(find(text.lower())) if text else ():
-        ids.update(cache[word])
-    return np.fromiter(ids, np.int32, len(ids))
+def steps_of(n: int, words: int) -> int:
+    """A bit for each step that n occurrences among so many words reach."""
+    return 1 | (n >= 2) << 1 | (n >= 3) << 2 | (n >= 2 and n >= words * DENSE) << 3
+
+
+_all = _Features()
 
 
 def features(df: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
-    """Columns keep, and features: the distinct hashed features of each text."""
+    """Columns keep, ids (features of each text) and steps (bits, in step with ids)."""
 
-    @F.arrow_udf("array<int>")
+    @F.arrow_udf("ids array<int>, steps binary")
     def hashed(texts):
         import pyarrow as pa
 
-        cache, find = _features, _word_pattern().findall
-        return pa.array([text_features(t, cache, find) for t in texts.to_pylist()], pa.list_(pa.int32()))
-
-    return df.select(*keep, hashed(F.coalesce(F.col(text_col), F.lit(""))).alias("features"))
-
-
-def _rows(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    lengths = np.array([len(x) for x in lists], np.int64)
-    return np.concatenate(lists).astype(np.int64) if len(lists) else np.zeros(0, np.int64), np.concatenate([[0], np.cumsum(lengths)])
+        find, ids, steps = _find(), [], []
+        for text in texts.to_pylist():
+            tally, words = counted(text, _all, find)
+            ids.append(np.fromiter(tally, np.int32, len(tally)))
+            steps.append(bytes(steps_of(n, words) for n in tally.values()))
+        return pa.StructArray.from_arrays([pa.array(ids, pa.list_(pa.int32())), pa.array(steps, pa.binary())], ["ids", "steps"])
+
+    return df.select(*keep, hashed(F.coalesce(F.col(text_col), F.lit(""))).alias("x")).select(*keep, "x.*")
+
+
+class Model:
+    """Numbered features, weights by feature and step, and the bias."""
+
+    def __init__(self, known: dict[int, int], weights: np.ndarray, bias: float):
+        self.known, self.bias = known, bias
+        # the sum of weights for each combination of steps
+        bits = (np.arange(1 << STEPS)[:, None] >> np.arange(STEPS)) & 1
+        self.table = (weights @ bits.T).tolist()
+
+
+def _chosen(p: list, u: list, least: int, z: float) -> np.ndarray:
+    """Features whose share of texts, at any step, differs between the samples."""
+    keep = []
+    for bit in range(STEPS):
+        sides = []
+        for part in (p, u):
+            hit = [ids[(steps >> bit) & 1 == 1] for ids, steps in part]
+            sides.append(np.unique(np.concatenate(hit), return_counts=True))
+        every = np.union1d(sides[0][0], sides[1][0])
+        n = []
+        for values, counts in sides:
+            at = np.zeros(len(every))
+            at[np.searchsorted(every, values)] = counts
+            n.append(at)
+        share = (n[0] + n[1]) / (len(p) + len(u))
+        spread = np.sqrt(np.maximum(share * (1 - share), 1e-9) * (1 / len(p) + 1 / len(u)))
+        keep.append(every[(n[0] + n[1] >= least) & (n[0] / len(p) - n[1] / len(u) >= z * spread)])
+    return np.unique(np.concatenate(keep))
 
 
 def train_nnpu(
-    positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
-    epochs: int = 40, batch: int = 512, rate: float = 0.02, l2: float = 1e-5, least: int = 3, seed: int = 3,
-) -> tuple[np.ndarray, float]:
-    """Weights and bias; features in fewer than `least` training texts stay at 0."""
-    size = 1 << BITS
-    if not positive or not unlabelled:
-        return np.zeros(size), -50.0
-    seen = np.zeros(size, np.int64)
-    for x in (*positive, *unlabelled):
-        seen[x] += 1
-    positive, unlabelled = [[x[seen[x] >= least] for x in part] for part in (positive, unlabelled)]
+    p: list, u: list, prior: float, epochs: int = 60, batch: int = 256, rate: float = 0.03, l2: float = 2e-4, least: int = 3, z: float = 4.0, seed: int = 3,
+) -> Model:
+    """p and u hold (ids, steps) of the positive and the unlabelled texts."""
+    if not p or not u:
+        return Model({}, np.zeros((0, STEPS)), -50.0)
+    chosen = _chosen(p, u, least, z)
+    size = len(chosen) * STEPS
+
+    def numbered(part):
+        rows = []
+        for ids, steps in part:
+            at = np.searchsorted(chosen, ids)
+            ok = at < len(chosen)
+            ok[ok] = chosen[at[ok]] == ids[ok]
+            at, bits = at[ok], steps[ok]
+            rows.append(np.concatenate([at[(bits >> b) & 1 == 1] * STEPS + b for b in range(STEPS)]))
+        return rows
+
+    p, u = numbered(p), numbered(u)
     w, bias = np.zeros(size), float(np.log(prior / (1 - prior)))
     m, v, mb, vb, t = np.zeros(size), np.zeros(size), 0.0, 0.0, 0
     rng = np.random.default_rng(seed)
 
     def margins(part):
-        flat, cuts = _rows(part)
-        owner = np.repeat(np.arange(len(part)), np.diff(cuts))
-        scale = 1.0 / np.sqrt(np.maximum(1, np.diff(cuts)) / 100.0)
-        return flat, owner, scale, np.bincount(owner, w[flat], len(part)) * np.minimum(1.0, scale) + bias
+        owner = np.repeat(np.arange(len(part)), [len(x) for x in part])
+        flat = np.concatenate(part)
+        return flat, owner, np.bincount(owner, w[flat], len(part)) + bias
 
-    def sigma(z):
-        return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
+    def sigma(x):
+        return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
 
-    steps = max(1, len(unlabelled) // batch)
     for _ in range(epochs):
-        order = rng.permutation(len(unlabelled))
-        for part in np.array_split(order, steps):
-            u = [unlabelled[i] for i in part]
-            p = [positive[i] for i in rng.integers(0, len(positive), min(len(positive), batch // 2))]
-            pf, po, ps, pz = margins(p)
-            uf, uo, us, uz = margins(u)
+        for part in np.array_split(rng.permutation(len(u)), max(1, len(u) // batch)):
+            pf, po, pz = margins([p[i] for i in rng.integers(0, len(p), batch)])
+            uf, uo, uz = margins([u[i] for i in part])
             negative = np.logaddexp(0, uz).mean() - prior * np.logaddexp(0, pz).mean()
-            # gradients by margin of each part
-            g_pos = -prior * sigma(-pz) / len(p)
-            g_u, g_p = sigma(uz) / len(u), -prior * sigma(pz) / len(p)
+            g_u, g_p = sigma(uz) / len(part), -prior * sigma(pz) / batch
             if negative >= 0:
-                gp, gu = g_pos + g_p, g_u
+                gp, gu = -prior * sigma(-pz) / batch + g_p, g_u
             else:
                 gp, gu = -g_p, -g_u
-            flat = np.concatenate([pf, uf])
-            g = np.concatenate([(gp * np.minimum(1, ps))[po], (gu * np.minimum(1, us))[uo]])
-            grad = np.bincount(flat, g, size) + l2 * w
+            grad = np.bincount(np.concatenate([pf, uf]), np.concatenate([gp[po], gu[uo]]), size) + l2 * w
             gb = gp.sum() + gu.sum()
             t += 1
             m += 0.1 * (grad - m)
@@ -136,13 +183,13 @@ def train_nnpu(
             fix1, fix2 = 1 - 0.9**t, 1 - 0.999**t
             w -= rate * (m / fix1) / (np.sqrt(v / fix2) + 1e-6)
             bias -= rate * (mb / fix1) / (np.sqrt(vb / fix2) + 1e-6)
-    return w, bias
+    return Model({int(x): i for i, x in enumerate(chosen)}, w.reshape(-1, STEPS), bias)
 
 
 def fit(
     docs: DataFrame, labels: DataFrame, allowed: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-    positives: int = 4000, unlabelled: int = 12000,
-) -> tuple[np.ndarray, float]:
+    positives: int = 2500, unlabelled: int = 6000,
+) -> Model:
     """Train from rows for which `allowed` (a condition on id_col) holds.
 
     At most `positives` confirmed and `unlabelled` other texts are read: the
@@ -152,37 +199,43 @@ def fit(
     known = labels.select(F.col(id_col), F.col(label_col).alias("__y")).filter(allowed & F.col("__y").isNotNull()).groupBy(id_col).agg(F.max("__y").alias("__y"))
     total, toxic = known.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col("__y") == 1).cast("long")), F.lit(0))).first()
     if not toxic:
-        return np.zeros(1 << BITS), -50.0
+        return Model({}, np.zeros((0, STEPS)), -50.0)
     sure = known.filter("__y = 1").select(id_col).orderBy(rank, id_col).limit(positives).withColumn("__p", F.lit(True))
-    sample = docs.filter(allowed).select(id_col).distinct().orderBy(rank, id_col).limit(unlabelled).withColumn("__u", F.lit(True))
+    sample = docs.filter(allowed).select(id_col).orderBy(rank, id_col).limit(unlabelled).distinct().withColumn("__u", F.lit(True))
     # both sides are bounded by the parameters above
     chosen = sure.join(sample, id_col, "full")
     picked = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col)
     rows = features(picked, text_col, ["__p", "__u"]).toPandas()
-    arrays = [np.asarray(x, np.int32) for x in rows["features"]]
-    p = [x for x, is_p in zip(arrays, rows["__p"]) if is_p is True or is_p == 1]
-    u = [x for x, is_u in zip(arrays, rows["__u"]) if is_u is True or is_u == 1]
-    prior = min(0.9, max(1e-4, toxic / total))
-    return train_nnpu(p, u, prior)
+    pairs = [(np.asarray(i, np.int32), np.frombuffer(s, np.uint8)) for i, s in zip(rows["ids"], rows["steps"])]
+    p = [x for x, yes in zip(pairs, rows["__p"]) if yes == True]  # noqa: E712  (nulls are neither)
+    u = [x for x, yes in zip(pairs, rows["__u"]) if yes == True]  # noqa: E712
+    return train_nnpu(p, u, min(0.9, max(1e-4, toxic / total)))
+
+
+_scoring: dict[str, _Features] = {}
 
 
-def score(df: DataFrame, model: tuple[np.ndarray, float], text_col: str = "text", out: str = "score") -> DataFrame:
+def score(df: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
     """Append the probability that each whole text is toxic."""
-    w, bias = model
-    used = df.sparkSession.sparkContext.broadcast((w.astype(np.float32), float(bias)))
+    used, key = df.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     @F.arrow_udf("double")
     def scored(texts):
         import pyarrow as pa
 
-        weights, b = used.value
-        cache, find, out = _features, _word_pattern().findall, []
+        model, find, found = used.value, _find(), []
+        if key not in _scoring:
+            _scoring.clear()
+            _scoring[key] = _Features(model.known)
+        cache, table, get = _scoring[key], model.table, _scoring[key].__getitem__
         for text in texts.to_pylist():
-            x = text_features(text, cache, find)
-            x = x[weights[x] != 0]  # features below the training minimum count for nothing, length included
-            z = b + float(weights[x].sum(dtype=np.float64)) * min(1.0, 1 / np.sqrt(max(1, len(x)) / 100.0))
-            out.append(1 / (1 + np.exp(-min(60.0, max(-60.0, z)))))
-        return pa.array(out, pa.float64())
+            words, tally, z = find(text.lower()), Counter(), model.bias
+            for hit in filter(None, map(get, words)):
+                tally.update(hit)
+            for f, n in tally.items():
+                z += table[f][steps_of(n, len(words))]
+            found.append(float(1 / (1 + np.exp(-min(60.0, max(-60.0, z))))))
+        return pa.array(found, pa.float64())
 
     df = df.withColumn("__s", scored(F.coalesce(F.col(text_col), F.lit(""))))
     return unclash(df, out).withColumnRenamed("__s", out)
