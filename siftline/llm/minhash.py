@@ -5,14 +5,15 @@ One pass over the texts makes each document's shingle set, the minima of
 and a packed signature of the lowest four bits of every minimum.  Documents with
 the same set are one class, represented by its smallest identifier.
 
-Band buckets give candidates in two steps.  First every member is paired with
-its bucket's pivot (smallest or largest member, by turns), which is linear in
-the bucket.  Candidates are kept when the similarity estimated from the packed
-signatures, by bit counts and corrected for chance agreement, is within five
-standard deviations of the threshold, and links are confirmed on the full sets.
-Then buckets whose members are still in different components are compared
-across components, block against block of packed signatures, so no link is lost
-and no bucket is expanded into pairs of documents.
+Members of a band bucket are compared block against block by their packed
+signatures: similarity is estimated from bit counts and corrected for chance
+agreement, and pairs within five standard deviations of the threshold are
+candidates.  First a spanning forest of each block's candidates, best estimates
+first, is confirmed on the full sets; it is linear in the bucket and finds the
+hubs of large groups.  Then, in buckets that still hold several components, the
+documents with a candidate in another component are compared on their full sets,
+block against block, inside the tasks, and only links that join components come
+out.  So no link between components is lost, and no bucket is expanded into pairs.
 
 With 32 bands of 4 rows a pair at similarity 0.8 shares no band with probability
 5e-8.  Defined results: null, empty and white-space texts have no shingles and
@@ -117,43 +118,131 @@ def estimated(sig_a: Column, sig_b: Column, width: int) -> Column:
     return (1 - differing / F.lit(float(fields)) - chance) / (1 - chance)
 
 
-def _cross_block(least: float, width: int):
-    """Candidates across components within one block list, or between two."""
+class _Blocks:
+    """A column of block lists as flat numpy arrays: no Python object per member.
+
+    Row i holds one or two blocks; sides(i) are the members' ranges in the arrays.
+    """
+
+    def __init__(self, lists, width: int):
+        self.rows, self.cuts = lists.offsets.to_numpy(), lists.values.offsets.to_numpy()
+        members = lists.values.values
+        names = [f.name for f in members.type]
+        self.id, self.c, self.n = (members.field(x).to_numpy() if x in names else None for x in ("id", "c", "n"))
+        self.sig = members.field("sig").values.to_numpy().view(np.uint64).reshape(-1, width)
+        self.keys = members.field("keys").values.to_numpy().reshape(len(self.id), -1) if "keys" in names else None
+        if "set" in names:
+            self.set_cuts, self.set_values = members.field("set").offsets.to_numpy(), members.field("set").values.to_numpy()
+
+    def sides(self, i: int) -> list[tuple[int, int]]:
+        return [(int(self.cuts[j]), int(self.cuts[j + 1])) for j in range(self.rows[i], self.rows[i + 1])]
+
+    def set(self, k: int) -> np.ndarray:
+        return self.set_values[self.set_cuts[k] : self.set_cuts[k + 1]]
+
+    def apart(self, k: int, low: int, high: int) -> np.ndarray:
+        """In how many fields member k's signature differs from those of a range."""
+        x = self.sig[low:high] ^ self.sig[k]
+        x |= x >> np.uint64(1)
+        x |= x >> np.uint64(2)
+        return np.bitwise_count(x & np.uint64(0x1111111111111111)).sum(1)
+
+    def sized(self, k: int, low: int, high: int, percent: int) -> np.ndarray:
+        """Whether set sizes alone allow the threshold."""
+        return (self.n[low:high] * 100 >= self.n[k] * percent) & (self.n[k] * 100 >= self.n[low:high] * percent)
+
+    def hits(self, i: int, band: int, most: int, percent: int):
+        """Candidates across components in row i: (member, members).
+
+        Of the bands that a pair shares only the first yields it.
+        """
+        sides = self.sides(i)
+        low, high = sides[-1]
+        for k in range(*sides[0]):
+            start = k + 1 if len(sides) == 1 else low
+            if start >= high:
+                continue
+            hit = (self.apart(k, start, high) <= most) & (self.c[start:high] != self.c[k]) & self.sized(k, start, high, percent)
+            j = np.flatnonzero(hit) + start
+            if band and len(j):
+                j = j[~(self.keys[j, :band] == self.keys[k, :band]).any(1)]
+            if len(j):
+                yield k, j
+
+    def forest(self, i: int, most: int, percent: int) -> list[tuple[int, int]]:
+        """A spanning forest of row i's candidates, closest first (Prim's order)."""
+        at = np.concatenate([np.arange(*side) for side in self.sides(i)])
+        low, high = int(at.min()), int(at.max()) + 1  # two blocks of a row lie side by side
+        near, via = np.full(high - low, most + 1), np.zeros(high - low, np.int64)
+        done, out = np.zeros(high - low, bool), []
+        for _ in range(high - low):
+            k = int(np.where(done, most + 2, near).argmin())
+            if near[k] <= most:
+                a, b = int(self.id[low + via[k]]), int(self.id[low + k])
+                out.append((min(a, b), max(a, b)))
+            done[k] = True
+            apart = self.apart(low + k, low, high)
+            closer = (apart < near) & self.sized(low + k, low, high, percent)
+            near[closer], via[closer] = apart[closer], k
+        return out
+
+
+def _root(parent: dict[int, int], u: int) -> int:
+    while parent.get(u, u) != u:
+        parent[u] = u = parent.get(parent[u], parent[u])
+    return u
 
-    @F.arrow_udf("array<struct<a:long,b:long>>")
-    def found(lists):
-        import pyarrow as pa
 
-        fields, chance = width * 16, 1.0 / (1 << BITS)
-        most = int(np.floor(fields * (1 - (least * (1 - chance) + chance))))
-        ones = np.uint64(0x1111111111111111)
-        out = []
-        for blocks in lists.to_pylist():
-            sides = [blocks[0], blocks[-1]]
-            ids = [np.array([r["id"] for r in s], np.int64) for s in sides]
-            comp = [np.array([r["c"] for r in s], np.int64) for s in sides]
-            sig = [np.array([r["sig"] for r in s], np.int64).view(np.uint64).reshape(len(s), width) for s in sides]
-            pairs = []
-            for i in range(len(ids[0])):
-                x = sig[1] ^ sig[0][i]
-                x |= x >> np.uint64(1)
-                x |= x >> np.uint64(2)
-                hit = (np.bitwise_count(x & ones).sum(1) <= most) & (comp[1] != comp[0][i])
-                if len(blocks) == 1:
-                    hit[: i + 1] = False
-                a = int(ids[0][i])
-                pairs.extend({"a": min(a, int(b)), "b": max(a, int(b))} for b in ids[1][hit])
-            out.append(pairs)
-        return pa.array(out, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))
+def _in_blocks(what: str, most: int, percent: int, width: int):
+    """forest: pairs to confirm; open: identifiers with a candidate; links: pairs confirmed on sets."""
+    import pyarrow as pa
+
+    pair = pa.struct([("a", pa.int64()), ("b", pa.int64())])
+
+    @F.arrow_udf("array<struct<a:long,b:long>>" if what != "open" else "array<long>")
+    def found(lists, bands):
+        blocks, out = _Blocks(lists, width), []
+        for i, band in enumerate(bands.to_pylist()):
+            if what == "forest":
+                out.append([{"a": a, "b": b} for a, b in blocks.forest(i, most, percent)])
+                continue
+            hits = blocks.hits(i, band, most, percent)
+            if what == "open":
+                seen = [np.append(j, k) for k, j in hits]
+                out.append(blocks.id[np.unique(np.concatenate(seen))] if seen else [])
+                continue
+            parent, links = {}, []
+            for k, found in hits:
+                for j in found.tolist():
+                    u, v = _root(parent, int(blocks.c[k])), _root(parent, int(blocks.c[j]))
+                    if u == v:
+                        continue
+                    x, y = blocks.set(k), blocks.set(j)
+                    common = len(np.intersect1d(x, y, assume_unique=True))
+                    if common * 100 >= (len(x) + len(y) - common) * percent:
+                        parent[max(u, v)] = min(u, v)
+                        links.append({"a": int(blocks.id[k]), "b": int(blocks.id[j])})
+            out.append(links)
+        return pa.array(out, pa.list_(pair if what != "open" else pa.int64()))
 
     return found
 
 
+def _block_lists(rows: DataFrame, fields: list[str], block: int) -> DataFrame:
+    """key, band and lists: every block of a bucket's members, and every two of its blocks."""
+    sizes = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
+    rows = rows.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    lists = rows.groupBy("key", "band", "blocks", "block").agg(F.collect_list(F.struct(*fields)).alias("list"))
+    sides = lists.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    sides = sides.groupBy("key", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).agg(F.collect_list("list").alias("lists"))
+    return sides.filter("i = j OR size(lists) = 2")
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold."""
     left = sets.select(F.col("id").alias("a"), F.col("set").alias("sa"))
     right = sets.select(F.col("id").alias("b"), F.col("set").alias("sb"))
-    both = pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
+    both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
     union = F.size("sa") + F.size("sb") - F.col("common")
     return both.filter(F.col("common") * 100 >= union * percent).select("a", "b")
 
@@ -167,7 +256,7 @@ def _sets(df: DataFrame, ids: DataFrame, id_col: str, text_col: str, k: int) ->
 
         return pa.array([shingle_set(t, k).view(np.int64) for t in texts.to_pylist()], pa.list_(pa.int64()))
 
-    named = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(ids, "id")
+    named = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(ids.hint("merge"), "id")
     return named.select("id", shingled(F.coalesce("text", F.lit(""))).alias("set")).dropDuplicates(["id"])
 
 
@@ -181,36 +270,39 @@ def near_duplicates(
     classes = live.groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     classes = materialize(classes, "classes")
     reps = live.join(classes.select("f1", "f2", "n", F.col("rep").alias("id")), ["f1", "f2", "n", "id"], "left_semi").dropDuplicates(["id"])
-    reps = materialize(reps.select("id", "keys", "sig"), "representatives")
+    reps = materialize(reps.select("id", "n", "keys", "sig"), "representatives")
 
     least = percent / 100 - 5.0 * float(np.sqrt(0.16 / (bands * rows)))
     in_bands = reps.select("id", F.posexplode("keys").alias("band", "key"))
-    buckets = in_bands.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low"), F.max("id").alias("high"), F.min("band").alias("band")).filter("n > 1")
-    buckets = materialize(buckets.select("key", "n", F.when(F.col("band") % 2 == 0, F.col("low")).otherwise(F.col("high")).alias("pivot")), "buckets")
-    members = materialize(in_bands.select("id", "key").join(buckets, "key"), "members")
-
-    star = members.filter("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
-    left, right = reps.select(F.col("id").alias("a"), F.col("sig").alias("ga")), reps.select(F.col("id").alias("b"), F.col("sig").alias("gb"))
-    star = materialize(star.join(left, "a").join(right, "b").filter(estimated(F.col("ga"), F.col("gb"), width) >= least).select("a", "b"), "star")
-    ids = members.select("id").distinct()
+    buckets = in_bands.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("id").alias("low"), F.max("id").alias("high")).filter("members > 1")
+    buckets = materialize(buckets, "buckets")
+    pairs = buckets.filter("members = 2").select(F.col("low").alias("a"), F.col("high").alias("b")).distinct()
+    left = reps.select(F.col("id").alias("a"), F.col("sig").alias("ga"), F.col("n").alias("na"))
+    right = reps.select(F.col("id").alias("b"), F.col("sig").alias("gb"), F.col("n").alias("nb"))
+    likely = (estimated(F.col("ga"), F.col("gb"), width) >= least) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+    pairs = pairs.join(left, "a").join(right, "b").filter(likely).select("a", "b")
+    members = materialize(in_bands.join(buckets.filter("members > 2").select("key"), "key"), "members")
+
+    most = int(np.floor(16 * width * (1 - 1 / 16) * (1 - least)))
+    lists = _block_lists(members.withColumn("c", F.col("id")).join(reps, "id"), ["id", "c", "n", "sig"], BLOCK)
+    tree = lists.select(F.explode(_in_blocks("forest", most, percent, width)("lists", "band")).alias("p")).select("p.*")
+    tree = materialize(tree.unionByName(pairs).distinct(), "forest")
+    ids = members.select("id").union(tree.select("a")).union(tree.select("b")).distinct()
     sets = materialize(_sets(df, ids, id_col, text_col, k), "sets")
-    edges = materialize(_confirmed(star, sets, percent), "links")
+    edges = materialize(_confirmed(tree, sets, percent), "links")
     labels = connected_components(edges)
 
-    # buckets that still hold several components: compare across them, in blocks
-    grouped = members.filter("n > 2").join(labels.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("c"))
-    split = grouped.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1").select("key")
-    open_ = grouped.join(split, "key").join(reps.select("id", "sig"), "id")
-    blocks = F.ceil(F.col("n") / BLOCK)
-    open_ = open_.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    lists = open_.groupBy("key", "blocks", "block").agg(F.collect_list(F.struct("id", "c", "sig")).alias("list"))
-    sides = lists.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    sides = sides.groupBy("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).agg(F.collect_list("list").alias("lists"))
-    sides = sides.filter("i = j OR size(lists) = 2")
-    more = sides.select(F.explode(_cross_block(least, width)("lists")).alias("p")).select("p.*").distinct()
-    more = materialize(more.join(star, ["a", "b"], "left_anti"), "more")
+    named_ = members.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+    several = named_.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1").select("key")
+    still = named_.join(several, "key").join(reps, "id")
+    lists = _block_lists(still, ["id", "c", "n", "sig", "keys"], BLOCK)
+    open_ = lists.select("key", F.explode(_in_blocks("open", most, percent, width)("lists", "band")).alias("id")).distinct()
+    open_ = materialize(still.join(open_, ["key", "id"]), "open")
+    lists = _block_lists(open_.join(sets, "id"), ["id", "c", "n", "sig", "keys", "set"], BLOCK // 4)
+    more = lists.select(F.explode(_in_blocks("links", most, percent, width)("lists", "band")).alias("p")).select("p.*")
+    more = materialize(more, "links")
     if not more.isEmpty():
-        labels = connected_components(edges.unionByName(_confirmed(more, sets, percent)))
+        labels = connected_components(edges.unionByName(more))
 
     named = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").filter("copies > 1 OR component IS NOT NULL")
     named = named.select("f1", "f2", "n", F.coalesce("component", "rep").alias("component"))
@@ -222,4 +314,4 @@ def near_duplicates(
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The input with one document of each group, columns unchanged."""
     gone = near_duplicates(df, id_col, text_col, **options).filter("NOT kept").select(F.col(id_col).alias("__gone")).distinct()
-    return df.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    return df.join(gone.hint("merge"), F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
