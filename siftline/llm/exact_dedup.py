@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, unclash
+from .common import materialize
 
 
 def _digested(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -136,14 +136,14 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
     """The input without copies, columns unchanged; of rows that repeat id and text one stays."""
-    verdicts = exact_groups(df, id_col, text_col, keep)
-    kept = verdicts.filter("kept").groupBy(id_col, "text_sha256").agg(F.count(F.lit(1)).alias("n"))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = df.withColumns({"__id": F.col(id_col).cast("long"), "__hex": F.sha2(text, 256)})
-    kept = kept.select(F.col(id_col).alias("__kid"), F.col("text_sha256").alias("__khex"), F.col("n").alias("__n"))
-    joined = keyed.join(kept, F.col("__id").eqNullSafe(F.col("__kid")) & (F.col("__hex") == F.col("__khex")))
-    single = joined.filter("__n = 1").select(*[F.col(f"`{c}`") for c in df.columns])
-    names = [c for c in unclash(df, id_col).columns]
-    first = [F.first(F.col(f"`{c}`")).alias(c) for c in names]
-    again = joined.filter("__n > 1").groupBy("__id", "__hex").agg(*first, F.first(F.col(f"`{id_col}`")).alias(id_col))
-    return single.unionByName(again.select(*[F.col(f"`{c}`") for c in df.columns]))
+    kept = exact_groups(df, id_col, text_col, keep).filter("kept").groupBy(id_col, "text_sha256").agg(F.count(F.lit(1)).alias("n"))
+    kept = materialize(kept.select(F.col(id_col).alias("__kid"), F.col("text_sha256").alias("__khex"), F.col("n").alias("__n")), "kept")
+    keyed = df.withColumns({"__id": F.col(id_col).cast("long"), "__hex": F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)})
+    same = F.col("__id").eqNullSafe(F.col("__kid")) & (F.col("__hex") == F.col("__khex"))
+    names = [F.col(f"`{c}`") for c in df.columns]
+    single = keyed.join(kept.filter("__n = 1"), same).select(*names)
+    if kept.filter("__n > 1").isEmpty():
+        return single
+    first = [F.first(F.col(f"`{c}`")).alias(c) for c in df.columns]
+    again = keyed.join(kept.filter("__n > 1"), same).groupBy("__kid", "__khex").agg(*first).select(*names)
+    return single.unionByName(again)
