@@ -10,7 +10,8 @@ trained in numpy on the non-negative PU risk
 
 with the logistic loss l: when a batch's estimate of the negatives' risk falls
 below zero, the step goes against that part instead of fitting it.  The prior is
-the toxic share of the labelled training rows.
+the toxic share of the labelled training rows; it also sets the threshold, since
+that share of the unlabelled texts should score above one half.
 
 Training reads at most ``positives`` confirmed and ``unlabelled`` other texts,
 chosen by the smallest hashes of their identifiers; scoring reads every whole
@@ -132,7 +133,7 @@ def _chosen(p: list, u: list, least: int, z: float) -> np.ndarray:
 
 
 def train_nnpu(
-    p: list, u: list, prior: float, epochs: int = 60, batch: int = 256, rate: float = 0.03, l2: float = 2e-4, least: int = 3, z: float = 4.0, seed: int = 3,
+    p: list, u: list, prior: float, epochs: int = 150, batch: int = 256, rate: float = 0.03, l2: float = 1e-4, least: int = 3, z: float = 5.0, seed: int = 3,
 ) -> Model:
     """p and u hold (ids, steps) of the positive and the unlabelled texts."""
     if not p or not u:
@@ -163,7 +164,9 @@ def train_nnpu(
     def sigma(x):
         return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
 
-    for _ in range(epochs):
+    mean, mean_bias, summed = np.zeros(size), 0.0, 0
+    for epoch in range(epochs):
+        step = rate * (1 - 0.9 * epoch / epochs)
         for part in np.array_split(rng.permutation(len(u)), max(1, len(u) // batch)):
             pf, po, pz = margins([p[i] for i in rng.integers(0, len(p), batch)])
             uf, uo, uz = margins([u[i] for i in part])
@@ -181,14 +184,20 @@ def train_nnpu(
             mb += 0.1 * (gb - mb)
             vb += 0.001 * (gb * gb - vb)
             fix1, fix2 = 1 - 0.9**t, 1 - 0.999**t
-            w -= rate * (m / fix1) / (np.sqrt(v / fix2) + 1e-6)
-            bias -= rate * (mb / fix1) / (np.sqrt(vb / fix2) + 1e-6)
+            w -= step * (m / fix1) / (np.sqrt(v / fix2) + 1e-6)
+            bias -= step * (mb / fix1) / (np.sqrt(vb / fix2) + 1e-6)
+            if epoch >= epochs // 2:  # steps against the fit make the last one noisy
+                mean, mean_bias, summed = mean + w, mean_bias + bias, summed + 1
+    w, bias = mean / summed, mean_bias / summed
+    # one half falls where about the prior's share of the unlabelled texts lies above it
+    # (a text without any feature stays well below)
+    bias = min(-1.0, bias - float(np.quantile(margins(u)[2], 1 - 0.98 * prior)))
     return Model({int(x): i for i, x in enumerate(chosen)}, w.reshape(-1, STEPS), bias)
 
 
 def fit(
     docs: DataFrame, labels: DataFrame, allowed: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-    positives: int = 2500, unlabelled: int = 6000,
+    positives: int = 2000, unlabelled: int = 4000,
 ) -> Model:
     """Train from rows for which `allowed` (a condition on id_col) holds.
 
