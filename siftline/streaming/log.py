@@ -75,3 +75,23 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(keep).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).option("recursiveFileLookup", True).parquet(f"{base}/out")
+
+
+def limited(log: DataFrame, seconds: int) -> DataFrame:
+    """Per job the entries that are at least `seconds` after the last one let through.
+
+    The rule is sequential, so it folds over each job's times in order, inside
+    the JVM; one job's times must fit in memory.
+    """
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    times = log.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct(micros.alias("t"), F.col("event_id").alias("e")))).alias("x"))
+    start = F.struct(F.lit(-(2**60)).alias("last"), F.array().cast("array<long>").alias("kept"))
+
+    def step(state, entry):
+        due = entry["t"] - state["last"] >= seconds * 1_000_000
+        return F.struct(
+            F.when(due, entry["t"]).otherwise(state["last"]).alias("last"),
+            F.when(due, F.concat(state["kept"], F.array(entry["e"]))).otherwise(state["kept"]).alias("kept"),
+        )
+
+    return times.select("job_id", F.explode(F.aggregate("x", start, step)["kept"]).alias("event_id"))
