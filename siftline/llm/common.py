@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 #: Words are maximal runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _written: list[str] = []
 
 
@@ -32,17 +33,35 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_root(spark)}/siftline-{uuid.uuid4().hex}/{tag}"
-    df.write.parquet(path)
+    # the plan runs this once, so its shuffle files can go as soon as it has ended
+    # instead of staying on the executors' disks until the driver collects it
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._siftline_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where.getParent(), True)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a materialized table that nothing reads any more."""
+    _written.remove(df._siftline_path)
+    _delete(df.sparkSession, df._siftline_path)
 
 
 def release(spark: SparkSession) -> None:
     """Delete what materialize() wrote; call it once results have been stored."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(conf).delete(path.getParent(), True)
+        _delete(spark, _written.pop())
 
 
 def unclash(df: DataFrame, *names: str) -> DataFrame:

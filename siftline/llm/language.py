@@ -29,7 +29,7 @@ from .common import unclash
 BITS = 17
 CLIP = 6.0
 PENALTY = 14.0
-_LIMIT = 300_000
+_LIMIT = 800_000
 
 #: Starts of script ranges (Unicode blocks), and the script from there on.
 SCRIPTS = [
@@ -58,13 +58,13 @@ def _find():
 
 
 def word_features(word: str) -> list[int]:
-    """Hashed n-grams (1 to 4) of the word between boundary marks, and the word."""
-    import xxhash
+    """Hashed trigrams of the word between boundary marks, and the word."""
+    from xxhash import xxh3_64_intdigest as hashed
 
     mask, w = (1 << BITS) - 1, f"<{word[:40]}>"
-    grams = {w[i : i + n] for n in (1, 2, 3, 4) for i in range(len(w) - n + 1)}
-    grams.add("=" + word)
-    return [xxhash.xxh3_64_intdigest(g) & mask for g in grams]
+    grams = [w[i : i + 3] for i in range(len(w) - 2)]
+    grams.append("=" + word)
+    return [hashed(g) & mask for g in grams]
 
 
 class Model:
@@ -84,24 +84,30 @@ class Scorer(dict):
         self.rows = np.zeros((1024, len(model.langs)), np.float32)
         self.letters = np.zeros(1024, np.int32)
 
-    def __missing__(self, word: str) -> int:
-        i = len(self)
-        if i >= len(self.rows):
+    def learn(self, words: list[str]) -> None:
+        """Give each new word its row, all in one go."""
+        feats = [word_features(w) for w in words]
+        starts = np.cumsum([0, *map(len, feats[:-1])])
+        s = np.add.reduceat(self.model.table[[f for x in feats for f in x]], starts, axis=0)
+        s = np.clip(s - s.mean(1, keepdims=True), -CLIP, CLIP)
+        for i, w in enumerate(words):
+            if (mask := self.model.scripts.get(script_of(w))) is not None and not all(mask):
+                s[i, ~np.asarray(mask)] = -CLIP
+        n = len(self)
+        while n + len(words) > len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
             self.letters = np.concatenate([self.letters, np.zeros_like(self.letters)])
-        s = self.model.table[word_features(word)].sum(0)
-        s = np.clip(s - s.mean(), -CLIP, CLIP)
-        if (mask := self.model.scripts.get(script_of(word))) is not None:
-            s[~np.asarray(mask)] = -CLIP
-        self.rows[i], self.letters[i] = s, len(word)
-        self[word] = i
-        return i
+        self.rows[n : n + len(words)] = s
+        self.letters[n : n + len(words)] = [len(w) for w in words]
+        self.update(zip(words, range(n, n + len(words))))
 
     def words(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """The score matrix and letter counts of a text's words, in order."""
         if len(self) >= _LIMIT:
             self.clear()
         found = self.find(text.lower())
+        if new := [w for w in dict.fromkeys(found) if w not in self]:
+            self.learn(new)
         ids = np.fromiter(map(self.__getitem__, found), np.int64, len(found))
         return self.rows[ids].astype(np.float64), self.letters[ids]
 
@@ -125,20 +131,19 @@ def viterbi(s: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
     low = np.minimum.accumulate(np.vstack([np.zeros((1, k)), gain[:-1]]), axis=0)
     if (gain - low).max() <= penalty / 2:
         return np.full(n, best, np.int32)
-    back = np.zeros((n, k), np.int32)
-    total = s[0].copy()
-    own = np.arange(k)
-    for i in range(1, n):
-        top = int(total.argmax())
-        switch = total[top] - penalty
-        stay = total >= switch
-        back[i] = np.where(stay, own, top)
-        total = np.where(stay, total, switch) + s[i]
-    out = np.empty(n, np.int32)
-    out[-1] = int(total.argmax())
-    for i in range(n - 1, 0, -1):
-        out[i - 1] = back[i, out[i]]
-    return out
+    rows = s.tolist()  # plain floats: a handful of languages is too few for arrays
+    total, back = rows[0], []
+    for row in rows[1:]:
+        most = max(total)
+        top, switch = total.index(most), most - penalty
+        back.append([c if t >= switch else top for c, t in enumerate(total)])
+        total = [(t if t >= switch else switch) + x for t, x in zip(total, row)]
+    label = total.index(max(total))
+    out = [label]
+    for came in reversed(back):
+        label = came[label]
+        out.append(label)
+    return np.array(out[::-1], np.int32)
 
 
 def spans_of(labels: np.ndarray) -> list[tuple[int, int, int]]:

@@ -62,7 +62,7 @@ def _permute(k: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
         x, b, m, q = out[todo], bits[todo], mask[todo], key[todo]
         left, right = x >> b, x & m
         for r in range(4):
-            left, right = right, left ^ (mix64(right ^ (q + np.uint64(r + 1) * np.uint64(0x9E3779B97F4A7C15))) & m)
+            left, right = right, left ^ (mix64(right ^ (q + np.uint64((r + 1) * 0x9E3779B97F4A7C15 % 2**64))) & m)
         out[todo] = left << b | right
         todo = out >= limit
     return out.astype(np.int64)
@@ -173,11 +173,11 @@ class Mixture:
                     m = blocks[src]
                     k = k[k < cap * m]
                     epoch = k // m
-                    key = mix64(np.uint64(seed) + np.uint64(1_000_003) * np.uint64(src) + epoch.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                    key = mix64(np.uint64(seed + 1_000_003 * int(src)) + epoch.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
                     place = _permute(k % m, np.full(len(k), m), key)
                     yield pd.DataFrame({"shard": shard, "src": np.int32(src), "block": place})
 
-        return counts.repartition("shard", "src").mapInPandas(spread, "shard long, src int, block long")
+        return counts.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), "shard", "src").mapInPandas(spread, "shard long, src int, block long")
 
     def taken(self) -> DataFrame:
         """One row per document: id, size, source_size, target, taken."""
@@ -188,11 +188,12 @@ class Mixture:
         )
         end = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * size)
         parts = parts.withColumn("words", end - F.greatest("start", F.col("block") * size))
-        drawn = self.slots().groupBy("src", "block").agg(F.count(F.lit(1)).alias("times"))
+        # the draws grow with the corpus, which the planner cannot see behind a Python step
+        drawn = self.slots().groupBy("src", "block").agg(F.count(F.lit(1)).alias("times")).hint("merge")
         return (
             parts.join(drawn, ["src", "block"], "left")
             .groupBy("id", "src", "start", "size", "source_size", "target")
-            .agg(F.coalesce(F.sum(F.col("words") * F.col("times")), F.lit(0)).cast("long").alias("taken"), F.countDistinct("block").alias("__b"))
+            .agg(F.coalesce(F.sum(F.col("words") * F.col("times")), F.lit(0)).cast("long").alias("taken"))
             .select(F.col("id").alias(self.id_col), "size", "source_size", "target", "taken")
         )
 
@@ -210,7 +211,7 @@ class Mixture:
         parts = parts.select("src", "block", low.alias("at"), F.slice("w", (low - F.col("start") + 1).cast("int"), (high - low).cast("int")).alias("w"))
         # a block holds at most `block` words, which bounds what is gathered
         filled = parts.groupBy("src", "block").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "w"))), lambda x: x["w"])).alias("w"))
-        return self.slots().join(filled.select("src", "block", F.array_join("w", " ").alias("text")), ["src", "block"])
+        return self.slots().join(filled.select("src", "block", F.array_join("w", " ").alias("text")).hint("merge"), ["src", "block"])
 
 
 def resample(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:

@@ -8,7 +8,7 @@ governed by equal phrases, and a window can recur only if its phrase does.
    than once in the corpus are confirmed by counting, with partial sums.
 2. Documents are dealt into shards of about ``shard_words`` words.  For each
    shard the recurring phrases that its documents hold are compiled into an
-   Aho-Corasick automaton over word numbers, and all the shard's documents are
+   Aho-Corasick automaton over 31-bit word numbers, and the shard's documents are
    streamed through it, which locates every occurrence, word for word.
 3. The windows governed by a located phrase are compared, first within the
    shard, then across shards by the smallest document that has them.  A window
@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gram_hashes, materialize, word_hashes, words_of
+from .common import discard, gram_hashes, materialize, word_hashes, words_of
 
 _LAST = 2**63 - 1
 
@@ -49,28 +49,40 @@ def governors(g: np.ndarray, width: int) -> np.ndarray:
 
 
 def _first_pass(window: int, phrase: int):
-    @F.arrow_udf("n_words int, digest binary, phrases array<long>, packed binary")
+    @F.arrow_udf("n_words int, digest binary, phrases array<long>, again array<long>")
     def scanned(texts):
         import pyarrow as pa
-        import zstandard
 
-        zip_, n, digest, phrases, packed = zstandard.ZstdCompressor(level=1), [], [], [], []
+        n, digest, phrases, again = [], [], [], []
         for text in texts.to_pylist():
             words = words_of(text)
             joined = b" ".join(words)
             g = gram_hashes(word_hashes(words), phrase) if len(words) >= window else np.zeros(0, np.uint64)
             n.append(len(words))
             digest.append(sha256(joined).digest())
-            phrases.append(g[np.unique(governors(g, window - phrase + 1))].view(np.int64))
-            packed.append(zip_.compress(joined))
+            found, times = np.unique(g[np.unique(governors(g, window - phrase + 1))].view(np.int64), return_counts=True)
+            phrases.append(found)
+            again.append(found[times > 1])
         return pa.StructArray.from_arrays(
-            [pa.array(n, pa.int32()), pa.array(digest, pa.binary()), pa.array(phrases, pa.list_(pa.int64())), pa.array(packed, pa.binary())],
-            ["n_words", "digest", "phrases", "packed"],
+            [pa.array(n, pa.int32()), pa.array(digest, pa.binary()), pa.array(phrases, pa.list_(pa.int64())), pa.array(again, pa.list_(pa.int64()))],
+            ["n_words", "digest", "phrases", "again"],
         )
 
     return scanned
 
 
+def _packing():
+    @F.arrow_udf("binary")
+    def packed(texts):
+        import pyarrow as pa
+        import zstandard
+
+        zip_ = zstandard.ZstdCompressor(level=1)
+        return pa.array([zip_.compress(b" ".join(words_of(t))) for t in texts.to_pylist()], pa.binary())
+
+    return packed
+
+
 def automaton(patterns):
     """An Aho-Corasick automaton over sequences of word numbers."""
     import ahocorasick
@@ -96,7 +108,6 @@ def _located(window: int, phrase: int):
         kinds, values = marks["kind"].to_numpy(), marks["value"].to_numpy()
         recurring, copies = np.sort(values[kinds == 0]), set(values[kinds == 1].tolist())
         rows = sorted(zip(docs["id"].to_pylist(), docs["packed"].to_pylist()), key=lambda r: r[0])
-        number: dict[bytes, int] = {}
         out: dict[str, list] = {name: [] for name in ("id", "tie", "n_words", "n_removed", "digest", "packed", "marked", "w", "p")}
 
         def emit(id_, tie, n, removed=None, digest=None, packed=None, marked=None, w=(), p=()):
@@ -124,7 +135,7 @@ def _located(window: int, phrase: int):
             if not len(places):
                 emit(id_, tie, len(words), 0, sha256(joined).digest())
                 continue
-            numbers = tuple([number.setdefault(x, len(number) + 1) for x in words])
+            numbers = tuple((h >> np.uint64(33)).tolist())
             for q in places.tolist():
                 patterns.setdefault(numbers[q : q + phrase])
             held.append((id_, tie, packed, joined, numbers, h, r))
@@ -150,13 +161,20 @@ def _located(window: int, phrase: int):
                     emit(id_, tie, len(numbers), 0, sha256(joined).digest())
                     continue
                 f = is_first[s]
-                emit(id_, tie, len(numbers), None, None, packed, p[s][~f].astype(np.int32).tobytes(), w[s][f], p[s][f])
+                emit(id_, tie, len(numbers), None, None, packed, _runs(p[s][~f]), w[s][f], p[s][f])
         types = {"id": pa.int64(), "tie": pa.int32(), "n_words": pa.int32(), "n_removed": pa.int32(), "digest": pa.binary(), "packed": pa.binary(), "marked": pa.binary(), "w": pa.list_(pa.int64()), "p": pa.list_(pa.int32())}
         return pa.table({name: pa.array(out[name], t) for name, t in types.items()})
 
     return locate
 
 
+def _runs(p: np.ndarray) -> bytes:
+    """Sorted positions as (first, end) runs of 32-bit numbers."""
+    cuts = np.flatnonzero(np.diff(p) != 1) + 1
+    first, last = p[np.concatenate([[0], cuts])] if len(p) else p, p[np.concatenate([cuts - 1, [len(p) - 1]])] if len(p) else p
+    return np.stack([first, last + 1], 1).astype(np.int32).tobytes()
+
+
 def covered(n: int, starts: np.ndarray, window: int) -> np.ndarray:
     """Which of n words the windows at these starts cover."""
     edge = np.zeros(n + 1, np.int64)
@@ -174,8 +192,9 @@ def _cut(window: int):
         unzip, n, digests, spans = zstandard.ZstdDecompressor(), [], [], []
         for z, local, far in zip(packed.to_pylist(), marked.to_pylist(), more.to_pylist()):
             words = unzip.decompress(z).split()
-            starts = np.concatenate([np.frombuffer(local, np.int32), np.asarray(far or [], np.int32)]).astype(np.int64)
-            gone = covered(len(words), starts, window)
+            gone = covered(len(words), np.asarray(far or [], np.int64), window)
+            for first, end in np.frombuffer(local, np.int32).reshape(-1, 2).tolist():
+                gone[first : end - 1 + window] = True
             n.append(int(gone.sum()))
             digests.append(sha256(b" ".join([w for w, g in zip(words, gone.tolist()) if not g])).digest())
             edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))).reshape(-1, 2)
@@ -187,7 +206,7 @@ def _cut(window: int):
 
 
 def repeated_passages(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, phrase: int = 6, shard_words: int = 150_000,
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, phrase: int = 9, shard_words: int = 150_000,
 ) -> DataFrame:
     """One row per input row: id, n_words, n_removed, kept_sha256, gone (word ranges removed)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -198,14 +217,17 @@ def repeated_passages(
     shard = F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard")
 
     held = rows.select(shard, F.explode("phrases").alias("value"))
-    counts = held.groupBy("value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("value")
+    # a document lists each phrase once, and once more if it holds it repeatedly
+    twice = rows.select(F.explode(F.concat("phrases", "again")).alias("value"))
+    counts = twice.groupBy("value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("value")
     recurring = held.join(counts, "value").distinct().select("shard", F.lit(0).alias("kind"), "value")
     firsts = rows.filter(F.col("n_words") >= window).groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     copies = rows.select("id", "digest").join(firsts, "digest").filter("id <> first").select(shard, F.lit(1).alias("kind"), F.col("id").alias("value"))
     marks = recurring.unionByName(copies)
-    docs = rows.select(shard, "id", "packed")
+    docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("id"), _packing()(text).alias("packed")).select(shard, "id", "packed")
     found = docs.groupBy("shard").cogroup(marks.groupBy("shard")).applyInArrow(_located(window, phrase), _FOUND)
     found = materialize(found, "located")
+    discard(rows)
 
     windows = found.filter("packed IS NOT NULL").select("id", "tie", F.explode(F.arrays_zip("w", "p")).alias("x")).select("id", "tie", "x.w", "x.p")
     # within a shard only the first document with a window is listed, so the smallest identifier is the first start
