@@ -86,18 +86,18 @@ _all = _Features()
 
 
 def features(df: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
-    """Columns keep, ids (features of each text) and steps (bits, in step with ids)."""
+    """Columns keep, ids (features of each text, packed 32-bit) and steps (bits, in step with ids)."""
 
-    @F.arrow_udf("ids array<int>, steps binary")
+    @F.arrow_udf("ids binary, steps binary")
     def hashed(texts):
         import pyarrow as pa
 
         find, ids, steps = _find(), [], []
         for text in texts.to_pylist():
             tally, words = counted(text, _all, find)
-            ids.append(np.fromiter(tally, np.int32, len(tally)))
+            ids.append(np.fromiter(tally, np.int32, len(tally)).tobytes())
             steps.append(bytes(steps_of(n, words) for n in tally.values()))
-        return pa.StructArray.from_arrays([pa.array(ids, pa.list_(pa.int32())), pa.array(steps, pa.binary())], ["ids", "steps"])
+        return pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(steps, pa.binary())], ["ids", "steps"])
 
     return df.select(*keep, hashed(F.coalesce(F.col(text_col), F.lit(""))).alias("x")).select(*keep, "x.*")
 
@@ -215,7 +215,7 @@ def fit(
     chosen = sure.join(sample, id_col, "full")
     picked = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col)
     rows = features(picked, text_col, ["__p", "__u"]).toPandas()
-    pairs = [(np.asarray(i, np.int32), np.frombuffer(s, np.uint8)) for i, s in zip(rows["ids"], rows["steps"])]
+    pairs = [(np.frombuffer(i, np.int32), np.frombuffer(s, np.uint8)) for i, s in zip(rows["ids"], rows["steps"])]
     p = [x for x, yes in zip(pairs, rows["__p"]) if yes == True]  # noqa: E712  (nulls are neither)
     u = [x for x, yes in zip(pairs, rows["__u"]) if yes == True]  # noqa: E712
     return train_nnpu(p, u, min(0.9, max(1e-4, toxic / total)))
