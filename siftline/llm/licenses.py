@@ -1,17 +1,23 @@
 """Licence scans by a trained paragraph classifier.
 
-Paragraphs (lines) are classified by multinomial logistic regression over sparse
-word unigrams and bigrams.  The classes are licence families and ``unknown``.
-The families' examples are variants of short notice templates (words dropped,
-years, names and prefixes added); unknown is learnt from a bounded sample of the
-corpus's own paragraphs and from templates with their words shuffled.  A
-temperature fitted on held-out examples calibrates the probabilities, so that
-``unknown`` wins when none is certain.  A prediction stands only if comparison
-confirms it: enough of a template's bigrams of that family must be in the
-paragraph.
+Passages are classified by multinomial logistic regression over sparse word
+unigrams and bigrams.  The classes are licence families and ``unknown``.  The
+families' examples are variants of short notice templates (words dropped, years,
+names and prefixes added); unknown is learnt from a bounded sample of the
+corpus's own lines and from templates with their words shuffled.  A temperature
+fitted on held-out examples calibrates the probabilities.
+
+Lines that no blank line parts are read as one run of words, so that it does not
+matter where a notice is wrapped.  A passage is a stretch of such a run, about as
+long as a template or within one line, that holds enough of the template's
+bigrams, and more than half of those that no other family's templates have.  Each
+family for which there is such a passage is found if the classifier prefers it to
+``unknown`` there; its probability is that of the family against ``unknown``, so
+several licences in one sentence do not take it from each other.
 
 Defined results: null and empty texts have no paragraphs and no families; a text
-may have several families; blank lines are no paragraphs.
+may have several families; n_paragraphs counts the lines that are not blank, and
+a finding names the line on which it begins.
 """
 
 from __future__ import annotations
@@ -48,14 +54,17 @@ TEMPLATES = {
     "GPL": [
         "This work is licensed under the GNU General Public License, version 3",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License",
+        "under the terms of the GNU General Public License as published by the Free Software Foundation",
         "SPDX-License-Identifier: GPL-3.0-or-later",
     ],
     "LGPL": [
         "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+        "is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License",
         "SPDX-License-Identifier: LGPL-2.1-or-later",
     ],
     "AGPL": [
         "under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License",
         "SPDX-License-Identifier: AGPL-3.0-only",
     ],
     "MPL-2.0": [
@@ -216,37 +225,126 @@ def _template_grams() -> dict[str, list[set[tuple[int, int]]]]:
     return out
 
 
+@lru_cache(maxsize=1)
+def _patterns() -> tuple[list[tuple[int, set, set, int]], dict[tuple[int, int], list[int]]]:
+    """(class, bigrams, those of this family alone, length in words) of each template, and the templates of each bigram."""
+    grams, out, of = _template_grams(), [], {}
+    for c, (family, texts) in enumerate(TEMPLATES.items()):
+        others = set().union(*[t for f, ts in grams.items() if f != family for t in ts])
+        for text, t in zip(texts, grams[family]):
+            for g in t:
+                of.setdefault(g, []).append(len(out))
+            out.append((c, t, t - others, len(tokens(text))))
+    return out, of
+
+
+_SPDX = "spdx-license-identifier"
+#: A line up to this many words is one passage however its bigrams lie in it.
+LINE = 256
+
+
+def _words_of(lines: list[tuple[int, list[str]]]) -> tuple[list[str], list[int]]:
+    """The words of consecutive lines, and the line of each; every licence of an SPDX expression gets the label."""
+    toks, where = [], []
+    for at, line in lines:
+        if _SPDX in line:
+            i, line = line.index(_SPDX) + 2, list(line)
+            while i + 1 < len(line) and line[i] in ("or", "and"):
+                line.insert(i + 1, _SPDX)
+                i += 3
+        toks += line
+        where += [at] * len(line)
+    return toks, where
+
+
+def _passages(hits: list[tuple[int, tuple[int, int]]], where: list[int], grams: set, own: set, size: int, confirm: float):
+    """(first word, end, share of the bigrams) of each passage that a template confirms, left to right."""
+    need, reach, low = confirm * len(grams), 2 * size + 8, 0
+
+    def near(a: int, b: int) -> bool:
+        return b - a <= reach or where[a] == where[b] and b - a <= LINE
+
+    r = 0
+    while r < len(hits):
+        while not near(hits[low][0], hits[r][0]):
+            low += 1
+        held = {g for _, g in hits[low : r + 1]}
+        if len(held) >= need and 2 * len(held & own) > len(own):
+            # what else of the template follows belongs to the same passage
+            while r + 1 < len(hits) and near(hits[low][0], hits[r + 1][0]) and hits[r + 1][1] not in held:
+                r += 1
+                held.add(hits[r][1])
+            yield hits[low][0], hits[r][0] + 2, len(held) / len(grams)
+            low = r + 1
+        r += 1
+
+
+def _findings(lines: list[tuple[int, list[str]]], model: Model, least: float, confirm: float) -> list[dict]:
+    """Confirmed findings of consecutive lines."""
+    words, _, classes = _vocabulary()
+    patterns, of = _patterns()
+    toks, where = _words_of(lines)
+    ids = [words.get(t, 0) for t in toks]
+    hits: dict[int, list] = {}
+    for i, g in enumerate(zip(ids, ids[1:])):
+        if g in of:
+            for k in of[g]:
+                hits.setdefault(k, []).append((i, g))
+    spans: dict[int, list] = {}
+    for k, at in hits.items():
+        c, grams, own, size = patterns[k]
+        if len({g for _, g in at}) < confirm * len(grams):
+            continue
+        for first, end, share in _passages(at, where, grams, own, size, confirm):
+            p = model.probabilities(paragraph_features(toks[first:end])[0])
+            sure = float(p[c] / (p[c] + p[-1]))
+            if sure >= least:
+                spans.setdefault(c, []).append((first, end, sure, share))
+    found = []
+    for c, own in spans.items():
+        last = None
+        for first, end, sure, share in sorted(own):  # templates of one family may meet in one notice
+            if last and (first < last[1] or where[first] == where[last[0]]):
+                last[1] = max(last[1], end)
+                last[2], last[3] = max(last[2:], [share, sure], key=lambda x: (x[0], x[1]))
+                continue
+            last = [first, end, share, sure]
+            found.append((c, last))
+    return [
+        {"paragraph": where[first], "family": classes[c], "probability": sure, "similarity": float(share)}
+        for c, (first, _, share, sure) in sorted(found, key=lambda x: (x[1][0], x[0]))
+    ]
+
+
 def classify(text: str | None, model: Model, least: float, confirm: float) -> tuple[int, list[dict]]:
     """(number of paragraphs, confirmed findings) of a whole text."""
-    words, _, classes = _vocabulary()
-    n, found = 0, []
+    n, found, block = 0, [], []
     for at, line in enumerate(text.split("\n") if text else ()):
-        if not line.strip():
-            continue
-        n += 1
-        toks = tokens(line)
-        feats, grams = paragraph_features(toks)
-        if not grams:
-            continue  # nothing that a template comparison could confirm
-        p = model.probabilities(feats)
-        best = int(p.argmax())
-        if classes[best] == UNKNOWN or p[best] < least:
-            continue
-        # a confirming template must be about all there, and in bigrams, not just words
-        share = max(len(grams & t) / len(t) if t else float(set(toks) >= set(tokens(s))) for t, s in zip(_template_grams()[classes[best]], TEMPLATES[classes[best]]))
-        if share >= confirm:
-            found.append({"paragraph": at, "family": classes[best], "probability": float(p[best]), "similarity": float(share)})
+        n += bool(line.strip())
+        if toks := tokens(line):
+            block.append((at, toks))
+        elif block:
+            found += _findings(block, model, least, confirm)
+            block = []
+    if block:
+        found += _findings(block, model, least, confirm)
     return n, found
 
 
+#: Up to 2,000 characters, to a white space or the end if one is near enough.
+_PIECE = r"(?s).{1,1999}(?:\s|$)|.{1,2000}"
+
+
 def fit(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", sample: int = 1500) -> Model:
     """Train with the paragraphs of at most `sample` documents (smallest hashes) as unknown text.
 
-    Lines that hold more than half of a template's bigrams are left out of the
-    unknown class: they may be what is looked for.
+    Lines of over 2,000 characters are cut into pieces.  Lines that hold more than
+    half of a template's bigrams are left out of the unknown class: they may be
+    what is looked for.
     """
     chosen = df.select(id_col).orderBy(F.xxhash64(id_col), id_col).limit(sample).distinct()
-    lines = df.select(id_col, text_col).join(F.broadcast(chosen), id_col).select(F.explode(F.split(text_col, "\n")).alias("line")).filter("length(line) BETWEEN 1 AND 2000")
+    lines = df.select(id_col, text_col).join(F.broadcast(chosen), id_col).select(F.explode(F.split(text_col, "\n")).alias("line"))
+    lines = lines.select(F.explode(F.regexp_extract_all("line", F.lit(_PIECE), F.lit(0))).alias("line"))
     lines = [r[0] for r in lines.orderBy(F.xxhash64("line")).limit(6 * sample).collect()]
     grams = [t for ts in _template_grams().values() for t in ts if t]
 

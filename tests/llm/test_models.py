@@ -100,6 +100,44 @@ def test_licences(spark, docs):
     assert licenses.scan(odd.filter("false"), model).count() == 0
 
 
+WRAPPED = {
+    "BSD": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:",
+    "GPL": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or",
+    "LGPL": "# This library is free software; you can redistribute it and/or modify it\n# under the terms of the GNU Lesser General Public\n# License as published by the Free\n# Software Foundation; either version 2.1 of the License",
+    "AGPL": "This program is free software: you can redistribute it and/or\nmodify it under the terms of the GNU Affero General Public License\nas published by the Free Software Foundation",
+}
+
+
+def test_licences_in_wrapped_and_dual_notices(spark, docs):
+    model = licenses.fit(docs)
+
+    def families(text):
+        return sorted({f["family"] for f in licenses.classify(text, model, 0.6, 0.6)[1]})
+
+    prose = docs.filter("lang = 'en' AND n_chars > 300").orderBy("doc_id").first().text.split("\n")[0]
+    for family, notice in WRAPPED.items():
+        words = notice.replace("#", "").split()
+        narrow = "\n".join(" ".join(words[i : i + 3]) for i in range(0, len(words), 3))
+        for text in (notice, " ".join(words), narrow, f"{prose}\n{notice}\n{prose}", f"{prose} {' '.join(words)} " + prose * 20):
+            assert families(text) == [family], text
+            assert len(licenses.classify(text, model, 0.6, 0.6)[1]) == 1
+    assert families("Licensed under the Apache License, Version 2.0 or released under the MIT License.") == ["Apache-2.0", "MIT"]
+    assert families("This project is licensed under the terms of the MIT license or the Apache\nLicense, Version 2.0") == ["Apache-2.0", "MIT"]
+    assert families("SPDX-License-Identifier: MIT OR Apache-2.0") == ["Apache-2.0", "MIT"]
+    assert families(WRAPPED["GPL"] + "\n" + WRAPPED["BSD"]) == ["BSD", "GPL"]
+    halves = WRAPPED["BSD"].split("\n")
+    assert families(f"{halves[0]}\n\n{prose}\n\n{halves[1]}") == []
+
+
+def test_licences_learn_from_long_lines(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(licenses, "train", seen.extend)
+    line = "word " * 1000 + "x" * 4500 + " end"
+    licenses.fit(spark.createDataFrame([(1, f"short\n{line}\n")], "doc_id long, text string"))
+    assert "short" in seen and max(map(len, seen)) <= 2000
+    assert sum(map(len, seen)) == len(line) + len("short")
+
+
 def test_water_fill():
     assert mixing.water_fill([10, 10, 10], [5, 2, 1], 3) == [18.75, 7.5, 3.75]
     got = mixing.water_fill([1, 100, 50, 0], [5, 2, 1, 5], 3)
