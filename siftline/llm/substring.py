@@ -98,7 +98,7 @@ _FOUND = "id long, tie int, n_words int, n_removed int, digest binary, packed bi
 
 
 def _located(window: int, phrase: int):
-    """One shard: its documents and its recurring phrases (kind 0) and copies (kind 1)."""
+    """One shard: its documents and its recurring phrases (kind 0) and copies (kind 1, with their digests)."""
 
     def locate(docs, marks):
         import pyarrow as pa
@@ -106,7 +106,10 @@ def _located(window: int, phrase: int):
 
         unzip = zstandard.ZstdDecompressor()
         kinds, values = marks["kind"].to_numpy(), marks["value"].to_numpy()
-        recurring, copies = np.sort(values[kinds == 0]), set(values[kinds == 1].tolist())
+        recurring = np.sort(values[kinds == 0])
+        # identifiers repeat and are null: only the text tells which of their rows is the copy
+        copies = set(zip(values[kinds == 1].tolist(), marks["digest"].filter(pa.array(kinds == 1)).to_pylist()))
+        copied = {id_ for id_, _ in copies}
         rows = sorted(zip(docs["id"].to_pylist(), docs["packed"].to_pylist()), key=lambda r: r[0])
         out: dict[str, list] = {name: [] for name in ("id", "tie", "n_words", "n_removed", "digest", "packed", "marked", "w", "p")}
 
@@ -119,7 +122,7 @@ def _located(window: int, phrase: int):
             tie = tie + 1 if at and rows[at - 1][0] == id_ else 0
             joined = unzip.decompress(packed)
             words = joined.split()
-            if id_ in copies and len(words) >= window:
+            if id_ in copied and len(words) >= window and (id_, sha256(joined).digest()) in copies:
                 emit(id_, tie, len(words), len(words), sha256(b"").digest())
                 continue
             if len(words) < window or not len(recurring):
@@ -220,9 +223,9 @@ def repeated_passages(
     # a document lists each phrase once, and once more if it holds it repeatedly
     twice = rows.select(F.explode(F.concat("phrases", "again")).alias("value"))
     counts = twice.groupBy("value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("value")
-    recurring = held.join(counts, "value").distinct().select("shard", F.lit(0).alias("kind"), "value")
+    recurring = held.join(counts, "value").distinct().select("shard", F.lit(0).alias("kind"), "value", F.lit(None).cast("binary").alias("digest"))
     firsts = rows.filter(F.col("n_words") >= window).groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    copies = rows.select("id", "digest").join(firsts, "digest").filter("id <> first").select(shard, F.lit(1).alias("kind"), F.col("id").alias("value"))
+    copies = rows.select("id", "digest").join(firsts, "digest").filter("id <> first").select(shard, F.lit(1).alias("kind"), F.col("id").alias("value"), "digest")
     marks = recurring.unionByName(copies)
     docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("id"), _packing()(text).alias("packed")).select(shard, "id", "packed")
     found = docs.groupBy("shard").cogroup(marks.groupBy("shard")).applyInArrow(_located(window, phrase), _FOUND)

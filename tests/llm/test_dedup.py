@@ -154,6 +154,21 @@ def test_repeated_passage_edges(spark, rows):
     assert substring.repeated_passages(df.filter("false")).count() == 0
 
 
+def test_repeated_passages_of_rows_that_share_an_identifier(spark):
+    """Null and repeated identifiers with different texts, of which only some are copies."""
+    rng = random.Random(8)
+    a, b, c, d = (words(rng, 40, size=10_000) for _ in range(4))
+    rows = [(1, a), (None, a), (None, b), (None, "few words"), (5, a), (5, c), (None, d), (None, d)]
+    out = [(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring.repeated_passages(frame(spark, rows)).collect()]
+    none = hashlib.sha256(b"").hexdigest()
+
+    def whole(i, t):
+        return i, len(t.split()), 0, hashlib.sha256(t.encode()).hexdigest()
+
+    want = [whole(1, a), (None, 40, 40, none), whole(None, b), whole(None, "few words"), (5, 40, 40, none), whole(5, c), whole(None, d), (None, 40, 40, none)]
+    assert sorted(out, key=str) == sorted(want, key=str)
+
+
 def test_automaton_finds_every_occurrence():
     found = substring.automaton([(1, 2, 3), (2, 3, 2**31 - 1)])
     assert [end for end, _ in found.iter((9, 1, 2, 3, 2**31 - 1, 1, 2, 3))] == [3, 4, 7]
