@@ -3,19 +3,25 @@
 Confirmed toxic texts are the positives; everything else is unlabelled text that
 may hide more of them.  Features are words and word prefixes, each in steps: it
 occurs, occurs twice, three times, or often for the text's length.  Features
-whose share differs between the two samples are kept, and a linear classifier is
-trained in numpy on the non-negative PU risk
+that are more frequent in the positives than in the texts labelled clean, or than
+in the unlabelled ones, are kept, and a linear classifier is trained in numpy on
+the non-negative PU risk
 
     prior * E_P[l(z)] + max(0, E_U[l(-z)] - prior * E_P[l(-z)])
 
 with the logistic loss l: when a batch's estimate of the negatives' risk falls
-below zero, the step goes against that part instead of fitting it.  The prior is
-the toxic share of the labelled training rows; it also sets the threshold, since
-that share of the unlabelled texts should score above one half.
-
-Training reads at most ``positives`` confirmed and ``unlabelled`` other texts,
-chosen by the smallest hashes of their identifiers; scoring reads every whole
-text.  Defined results: null and empty texts score by the bias alone; without a
+below zero, the step goes against that part instead of fitting it.
+
+Labels need not be a fair sample.  The prior is that of the unlabelled sample: the
+mixture of the positives' and the clean texts' feature shares that comes nearest
+to its own.  The bias is set on the labelled texts of both classes, each weighed
+by a fit without it, where the error is least under that prior.  Without clean labels the prior is what the
+positives' features leave room for, and the bias is the risk's.
+
+Training reads at most ``positives`` confirmed, ``negatives`` clean and
+``unlabelled`` other texts, each text once however many copies it has, chosen by
+the smallest hashes of the texts; scoring reads every whole text.  Defined
+results: null and empty texts score by the bias alone, under one half; without a
 confirmed positive everything scores 0.
 """
 
@@ -32,6 +38,7 @@ from .common import unclash
 
 STEPS = 4
 DENSE = 1 / 150
+FOLDS = 3
 _LIMIT = 300_000
 
 
@@ -132,26 +139,47 @@ def _chosen(p: list, u: list, least: int, z: float) -> np.ndarray:
     return np.unique(np.concatenate(keep))
 
 
-def train_nnpu(
-    p: list, u: list, prior: float, epochs: int = 150, batch: int = 256, rate: float = 0.03, l2: float = 1e-4, least: int = 3, z: float = 5.0, seed: int = 3,
-) -> Model:
-    """p and u hold (ids, steps) of the positive and the unlabelled texts."""
-    if not p or not u:
-        return Model({}, np.zeros((0, STEPS)), -50.0)
-    chosen = _chosen(p, u, least, z)
-    size = len(chosen) * STEPS
-
-    def numbered(part):
-        rows = []
-        for ids, steps in part:
-            at = np.searchsorted(chosen, ids)
-            ok = at < len(chosen)
-            ok[ok] = chosen[at[ok]] == ids[ok]
-            at, bits = at[ok], steps[ok]
-            rows.append(np.concatenate([at[(bits >> b) & 1 == 1] * STEPS + b for b in range(STEPS)]))
-        return rows
-
-    p, u = numbered(p), numbered(u)
+def _shares(part: list, chosen: np.ndarray) -> np.ndarray:
+    """The share of texts with each chosen feature at each step."""
+    out = np.zeros((STEPS, len(chosen)))
+    for ids, steps in part:
+        at = np.searchsorted(chosen, ids)
+        ok = at < len(chosen)
+        ok[ok] = chosen[at[ok]] == ids[ok]
+        for b in range(STEPS):
+            out[b, at[ok & ((steps >> b) & 1 == 1)]] += 1
+    return out.ravel() / len(part)
+
+
+def prior_of(p: list, n: list, u: list, chosen: np.ndarray) -> float:
+    """The share of u that is like p, the rest being like n; without n, the most that p's features allow."""
+    sp, su = _shares(p, chosen), _shares(u, chosen)
+    if n:
+        sn = _shares(n, chosen)
+        gap = sp - sn
+        weight = 1 / np.maximum(sp * (1 - sp) + sn * (1 - sn), 1e-3)
+        found = (weight * (su - sn) * gap).sum() / max(1e-9, (weight * gap * gap).sum())
+    else:
+        found = su.sum() / max(1e-9, sp.sum())
+    return float(min(0.9, max(1e-3, found)))
+
+
+def cut_of(p: np.ndarray, n: np.ndarray, prior: float) -> float:
+    """The sum of weights, over 0, at which prior * misses + (1 - prior) * false alarms is least."""
+    at = np.unique(np.concatenate([[0.0], p[p > 0], n[n > 0]]))
+    ends = np.append(at, at[-1] + 1.0)
+    p, n = np.sort(p), np.sort(n)
+    # cutting between ends[i] and ends[i + 1]
+    miss = np.searchsorted(p, ends[:-1], "right") / len(p)
+    alarm = 1 - np.searchsorted(n, ends[:-1], "right") / len(n)
+    error = prior * miss + (1 - prior) * alarm
+    best = np.flatnonzero(error <= error.min() + 1e-12)
+    i = best[np.diff(ends)[best].argmax()]  # of equals, the widest gap
+    return float((ends[i] + ends[i + 1]) / 2)
+
+
+def _solve(p: list, u: list, size: int, prior: float, epochs: int, batch: int, rate: float, l2: float, seed: int) -> tuple[np.ndarray, float]:
+    """Weights and bias of least nnPU risk; p and u hold each text's numbers of weights."""
     w, bias = np.zeros(size), float(np.log(prior / (1 - prior)))
     m, v, mb, vb, t = np.zeros(size), np.zeros(size), 0.0, 0.0, 0
     rng = np.random.default_rng(seed)
@@ -188,37 +216,78 @@ def train_nnpu(
             bias -= step * (mb / fix1) / (np.sqrt(vb / fix2) + 1e-6)
             if epoch >= epochs // 2:  # steps against the fit make the last one noisy
                 mean, mean_bias, summed = mean + w, mean_bias + bias, summed + 1
-    w, bias = mean / summed, mean_bias / summed
-    # one half falls where about the prior's share of the unlabelled texts lies above it
-    # (a text without any feature stays well below)
-    bias = min(-1.0, bias - float(np.quantile(margins(u)[2], 1 - 0.98 * prior)))
+    return mean / summed, mean_bias / summed
+
+
+def train_nnpu(
+    p: list, u: list, n: list = (), prior: float | None = None, epochs: int = 150, batch: int = 256, rate: float = 0.03, l2: float = 1e-4, least: int = 3, z: float = 5.0, seed: int = 3,
+) -> Model:
+    """p, u and n hold (ids, steps) of the positive, the unlabelled and the clean texts."""
+    if not p or not u:
+        return Model({}, np.zeros((0, STEPS)), -50.0)
+    # a group that fills u must not hide its words: the clean labels show them too
+    chosen = _chosen(p, u, least, z)
+    if n:
+        known = _chosen(p, n, least, z)
+        chosen = np.union1d(chosen, known)
+    if not len(chosen):
+        return Model({}, np.zeros((0, STEPS)), -1.0)
+    if prior is None:
+        prior = prior_of(p, n, u, known if n and len(known) else chosen)
+    size = len(chosen) * STEPS
+
+    def numbered(part):
+        rows = []
+        for ids, steps in part:
+            at = np.searchsorted(chosen, ids)
+            ok = at < len(chosen)
+            ok[ok] = chosen[at[ok]] == ids[ok]
+            at, bits = at[ok], steps[ok]
+            rows.append(np.concatenate([at[(bits >> b) & 1 == 1] * STEPS + b for b in range(STEPS)]))
+        return rows
+
+    # a clean text may also be in the unlabelled sample; it stays one object
+    number = {id(x): row for part in (p, u, n) for x, row in zip(part, numbered(part))}
+    options = (size, prior, epochs, batch, rate, l2, seed)
+    w, bias = _solve([number[id(x)] for x in p], [number[id(x)] for x in u], *options)
+    if n and len(p) >= FOLDS and len(n) >= FOLDS:
+        # the cut is set on texts that the weights were not fitted to
+        sums: tuple[list, list] = ([], [])
+        for k in range(FOLDS):
+            held = p[k::FOLDS], n[k::FOLDS]
+            out = {id(x) for part in held for x in part}
+            own, _ = _solve([number[id(x)] for x in p if id(x) not in out], [number[id(x)] for x in u if id(x) not in out or len(u) <= len(out)], *options)
+            for side, part in zip(sums, held):
+                side += [own[number[id(x)]].sum() for x in part]
+        bias = -cut_of(np.array(sums[0]), np.array(sums[1]), prior)
+    bias = min(bias, -1e-3)  # no evidence is under one half
     return Model({int(x): i for i, x in enumerate(chosen)}, w.reshape(-1, STEPS), bias)
 
 
 def fit(
     docs: DataFrame, labels: DataFrame, allowed: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-    positives: int = 2000, unlabelled: int = 4000,
+    positives: int = 2000, unlabelled: int = 4000, negatives: int = 2000,
 ) -> Model:
     """Train from rows for which `allowed` (a condition on id_col) holds.
 
-    At most `positives` confirmed and `unlabelled` other texts are read: the
-    documented bound of the training sample.
+    At most `positives` confirmed, `negatives` clean and `unlabelled` other texts
+    are read: the documented bound of the training sample.
     """
-    rank = F.xxhash64(id_col)
     known = labels.select(F.col(id_col), F.col(label_col).alias("__y")).filter(allowed & F.col("__y").isNotNull()).groupBy(id_col).agg(F.max("__y").alias("__y"))
-    total, toxic = known.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col("__y") == 1).cast("long")), F.lit(0))).first()
-    if not toxic:
-        return Model({}, np.zeros((0, STEPS)), -50.0)
-    sure = known.filter("__y = 1").select(id_col).orderBy(rank, id_col).limit(positives).withColumn("__p", F.lit(True))
-    sample = docs.filter(allowed).select(id_col).orderBy(rank, id_col).limit(unlabelled).distinct().withColumn("__u", F.lit(True))
-    # both sides are bounded by the parameters above
-    chosen = sure.join(sample, id_col, "full")
-    picked = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col)
-    rows = features(picked, text_col, ["__p", "__u"]).toPandas()
+    hashed = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    texts = docs.filter(allowed).select(id_col, hashed.alias("__h")).join(known, id_col, "left")
+    # copies of a text are one text, toxic if any is labelled so
+    texts = texts.groupBy("__h").agg(F.max("__y").alias("__y"), F.min(id_col).alias("__id"))
+    sides = (("__p", texts.filter("__y = 1"), positives), ("__n", texts.filter("__y = 0"), negatives), ("__u", texts, unlabelled))
+    # all sides are bounded by the parameters above
+    parts = [side.orderBy("__h").limit(most).select("__h", "__id", F.lit(name).alias("side")) for name, side, most in sides]
+    chosen = parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("__h").agg(F.first("__id").alias("__id"), F.collect_set("side").alias("sides"))
+    same = (hashed == F.col("__h")) & F.col(id_col).eqNullSafe(F.col("__id"))
+    picked = docs.select(id_col, text_col).join(F.broadcast(chosen), same).dropDuplicates(["__h"])
+    rows = features(picked, text_col, ["__h", "sides"]).toPandas().sort_values("__h")
     pairs = [(np.frombuffer(i, np.int32), np.frombuffer(s, np.uint8)) for i, s in zip(rows["ids"], rows["steps"])]
-    p = [x for x, yes in zip(pairs, rows["__p"]) if yes == True]  # noqa: E712  (nulls are neither)
-    u = [x for x, yes in zip(pairs, rows["__u"]) if yes == True]  # noqa: E712
-    return train_nnpu(p, u, min(0.9, max(1e-4, toxic / total)))
+    p, n, u = ([x for x, of in zip(pairs, rows["sides"]) if name in of] for name, _, _ in sides)
+    return train_nnpu(p, u, n)
 
 
 _scoring: dict[str, _Features] = {}

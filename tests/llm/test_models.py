@@ -83,6 +83,39 @@ def test_toxicity_on_planted_words(spark):
     assert toxicity.score(docs.limit(5), none).filter("score < 0.01").count() == 5
 
 
+@pytest.mark.parametrize("in_docs, in_labels, hot", [(0.4, 0.1, 0), (0.02, 0.25, 0), (0.2, 0.5, 900), (0.3, 0.3, -900)])
+def test_toxicity_where_labels_are_no_fair_sample(spark, in_docs, in_labels, hot):
+    """Toxic shares of labels and documents that differ, and a large group of toxic (hot > 0) or clean copies."""
+    rng = random.Random(7)
+    bad = ["grumpf", "blorgh", "snarkle", "vexnar", "dreckol"]
+
+    def text(toxic):
+        w = [f"word{rng.randrange(3000)}" for _ in range(rng.randrange(20, 120))]
+        for _ in range(4 if toxic else rng.random() < 0.05):  # a clean text may quote one
+            w[rng.randrange(len(w))] = rng.choice(bad) + rng.choice(["", "ing", "ed"])
+        return " ".join(w)
+
+    toxic = {i: rng.random() < in_docs for i in range(2000)}
+    rows = [(i, text(y)) for i, y in toxic.items()]
+    copied = text(hot > 0)
+    for i in range(2000, 2000 + abs(hot)):
+        toxic[i] = hot > 0
+        rows.append((i, copied))
+    labelled = []
+    for y, n in ((True, round(400 * in_labels)), (False, round(400 * (1 - in_labels)))):
+        own = [i for i in range(2000) if toxic[i] == y]
+        labelled += [(i, int(y)) for i in rng.sample(own, min(n, len(own)))]
+    labelled += [(i, int(hot > 0)) for i in range(2000, 2000 + abs(hot), 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame(labelled, "doc_id long, toxic int"), F.lit(True))
+    got = {r.doc_id: r.score >= 0.5 for r in toxicity.score(docs, model).collect()}
+    fresh = [i for i in range(2000) if i not in dict(labelled)]
+    caught = np.mean([got[i] for i in fresh if toxic[i]] or [1])
+    alarms = np.mean([got[i] for i in fresh if not toxic[i]])
+    assert caught > 0.9 and alarms < 0.04, (caught, alarms)  # fewer than the clean texts that quote
+    assert not hot or got[2000] == (hot > 0)
+
+
 def test_licences(spark, docs):
     model = licenses.fit(docs)
     notices = {
