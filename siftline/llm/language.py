@@ -11,6 +11,10 @@ The best constant labelling is optimal whenever no run of words gains more than
 half the penalty under another language; that test is vectorised, and the full
 recursion runs only for texts that fail it.
 
+A word is a run of letters of one script: runs are cut where the script changes,
+into pieces of at most 8 letters in scripts without spaces between words and of
+40 in others.  Every piece is scored.
+
 Defined results: null texts and texts without a letter are ``und`` with score 0
 and no spans; ties go to the language first in order.  Fitting reads about
 ``per_lang`` documents of each language (a documented bound), chosen by hash.
@@ -18,17 +22,21 @@ and no spans; ties go to the language first in order.  Fitting reads about
 
 from __future__ import annotations
 
+import re
 import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import unclash
+from .common import discard, materialize, unclash
 
 BITS = 17
 CLIP = 6.0
 PENALTY = 14.0
+LONGEST, UNSPACED = 40, 8
+#: A word counts for at most this share of its language's words when learning.
+FREQUENT = 1 / 500
 _LIMIT = 800_000
 
 #: Starts of script ranges (Unicode blocks), and the script from there on.
@@ -43,6 +51,8 @@ SCRIPTS = [
     (0x10000, "Other"), (0x20000, "Han"), (0x40000, "Other"),
 ]
 _STARTS = [s for s, _ in SCRIPTS]
+_UNSPACED = {"Han", "Kana", "Thai"}
+_MARKS = r"\u0300-\u036F\u1AB0-\u1AFF\u1DC0-\u1DFF\u20D0-\u20FF\u3099\u309A\uFE00-\uFE0F\uFE20-\uFE2F"
 
 
 def script_of(word: str) -> str:
@@ -52,16 +62,31 @@ def script_of(word: str) -> str:
 
 
 def _find():
+    """A function from a text to its words."""
     import regex
 
-    return regex.compile(r"\p{L}[\p{L}\p{M}]*").findall
+    runs = regex.compile(r"\p{L}[\p{L}\p{M}]*").findall
+    ranges: dict[str, str] = {}
+    for (start, script), end in zip(SCRIPTS, [*_STARTS[1:], 0x110000]):
+        ranges[script] = ranges.get(script, "") + f"\\U{start:08X}-\\U{end - 1:08X}"
+    mixed = re.compile(f"[^{ranges['Latin']}]").search
+    # marks that any script uses stay with the letter before them
+    pieces = re.compile("|".join(f"[{r}](?:[{r}{_MARKS}]{{0,{(UNSPACED if s in _UNSPACED else LONGEST) - 1}}})[{_MARKS}]*" for s, r in ranges.items())).findall
+
+    def find(text: str) -> list[str]:
+        found = runs(text)
+        if found and (max(map(len, found)) > LONGEST or mixed(text)):
+            found = [x for w in found for x in pieces(w)]
+        return found
+
+    return find
 
 
 def word_features(word: str) -> list[int]:
     """Hashed trigrams of the word between boundary marks, and the word."""
     from xxhash import xxh3_64_intdigest as hashed
 
-    mask, w = (1 << BITS) - 1, f"<{word[:40]}>"
+    mask, w = (1 << BITS) - 1, f"<{word}>"
     grams = [w[i : i + 3] for i in range(len(w) - 2)]
     grams.append("=" + word)
     return [hashed(g) & mask for g in grams]
@@ -194,21 +219,38 @@ def fit(docs: DataFrame, allowed: Column, text_col: str = "text", lang_col: str
                 if text:
                     words[lang].update(find(text.lower()))
         for lang, found in words.items():
-            table, scripts = np.zeros(1 << BITS, np.int64), Counter()
-            for word, n in found.items():
-                n = min(n, 50)  # frequent words count, but not for everything
-                for f in word_features(word):
-                    table[f] += n
-                scripts[script_of(word)] += n
-            hit = np.flatnonzero(table)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([where[lang]] * len(hit), pa.int32()), pa.array(hit.astype(str)), pa.array(table[hit], pa.int64())], ["lang", "what", "n"]
+                [pa.array([where[lang]] * len(found), pa.int32()), pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["lang", "word", "n"]
             )
+
+    words = known.filter(chosen).select(lang_col, text_col).mapInArrow(tally, "lang int, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    words = materialize(words, "words")
+    # frequent words count, but not for everything; all tasks' counts are in, so it does not matter how they were split
+    most = {r[0]: -int(-r[1] * FREQUENT // 1) for r in words.groupBy("lang").agg(F.sum("n")).collect()}
+
+    def spread(batches):
+        from collections import defaultdict
+
+        import pyarrow as pa
+
+        tables, scripts = defaultdict(lambda: np.zeros(1 << BITS, np.int64)), defaultdict(int)
+        for batch in batches:
+            for lang, word, n in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                n = min(n, most[lang])
+                for f in word_features(word):
+                    tables[lang][f] += n
+                scripts[lang, script_of(word)] += n
+        for lang, table in tables.items():
+            hit = np.flatnonzero(table)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([where[lang]] * len(scripts), pa.int32()), pa.array(["s" + s for s in scripts]), pa.array(list(scripts.values()), pa.int64())], ["lang", "what", "n"]
+                [pa.array([lang] * len(hit), pa.int32()), pa.array(hit.astype(str)), pa.array(table[hit], pa.int64())], ["lang", "what", "n"]
             )
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([k for k, _ in scripts], pa.int32()), pa.array(["s" + x for _, x in scripts], pa.string()), pa.array(list(scripts.values()), pa.int64())], ["lang", "what", "n"]
+        )
 
-    rows = known.filter(chosen).select(lang_col, text_col).mapInArrow(tally, "lang int, what string, n long").groupBy("lang", "what").agg(F.sum("n").alias("n")).toPandas()
+    rows = words.mapInArrow(spread, "lang int, what string, n long").groupBy("lang", "what").agg(F.sum("n").alias("n")).toPandas()
+    discard(words)
     is_script = rows["what"].str.startswith("s")
     table = np.zeros((1 << BITS, len(langs)))
     grams = rows[~is_script]

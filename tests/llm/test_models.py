@@ -56,6 +56,31 @@ def test_language(spark, docs):
     assert language.label(docs.limit(3), nothing).filter("lang_pred = 'und'").count() == 3
 
 
+def test_language_scores_whole_runs(spark):
+    find = language._find()
+    han, kana = "".join(chr(0x4E00 + i) for i in range(60)), "".join(chr(0x3042 + i) for i in range(30))
+    for text in (han + kana, "a" * 95, "абв" + "xyz" + "ไทย" * 9, "й" * 50, "plain words"):
+        assert "".join(find(text)) == text.replace(" ", "") and max(map(len, find(text))) <= 41
+        assert all(len({language.script_of(c) for c in w if c != "\u0306"}) == 1 for w in find(text))
+    rng = random.Random(1)
+    same = "".join(chr(0x5000 + rng.randrange(300)) for _ in range(60))
+    tails = {"aa": range(0x6000, 0x6006), "bb": range(0x7000, 0x7006)}
+    # clauses that differ only after their 40th letter
+    rows = [(i, same + "".join(chr(rng.choice(tails[x])) for _ in range(60)), x) for i in range(300) for x in ("aa", "bb")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(docs, F.col("doc_id") < 200)
+    got = language.label(docs.filter("doc_id >= 200"), model).select("lang", "lang_pred").collect()
+    assert np.mean([r.lang == r.lang_pred for r in got]) > 0.95
+
+
+def test_language_table_does_not_depend_on_partitions(spark):
+    rng = random.Random(2)
+    rows = [(i, " ".join(["the"] * 30 + [f"w{chr(97 + rng.randrange(26))}{x}" for _ in range(30)]), x) for i in range(60) for x in ("aa", "bb")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    one, many = (language.fit(docs.repartition(n), F.lit(True)) for n in (1, 9))
+    assert np.array_equal(one.table, many.table) and one.scripts == many.scripts
+
+
 def test_toxicity_on_planted_words(spark):
     """Insults planted in three tenths of the documents, some of them labelled."""
     rng = random.Random(3)
