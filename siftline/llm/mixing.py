@@ -144,7 +144,8 @@ class Mixture:
         the chunks' sums, so a hot source never meets in one task.
         """
         s = self._of_sources().withColumnRenamed("source", "__s")
-        docs = self.docs.join(s, F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
+        # rows without words do not move the start, so only a number of their own tells them apart
+        docs = self.docs.withColumn("row", F.monotonically_increasing_id()).join(s, F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
         docs = docs.withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(self.seed)), F.col("chunks")))
         w = Window.partitionBy("src", "chunk").orderBy("id", "size").rowsBetween(Window.unboundedPreceding, -1)
         within = docs.withColumn("before", F.coalesce(F.sum("size").over(w), F.lit(0)))
@@ -192,7 +193,7 @@ class Mixture:
         drawn = self.slots().groupBy("src", "block").agg(F.count(F.lit(1)).alias("times")).hint("merge")
         return (
             parts.join(drawn, ["src", "block"], "left")
-            .groupBy("id", "src", "start", "size", "source_size", "target")
+            .groupBy("row", "id", "size", "source_size", "target")
             .agg(F.coalesce(F.sum(F.col("words") * F.col("times")), F.lit(0)).cast("long").alias("taken"))
             .select(F.col("id").alias(self.id_col), "size", "source_size", "target", "taken")
         )

@@ -237,3 +237,11 @@ def test_mixing_edges(spark):
     assert kept.columns == df.columns and {1, 2} <= {r.doc_id for r in kept.collect()}
     only_empty = mixing.Mixture(df.filter("doc_id < 3"))
     assert sorted(r.taken for r in only_empty.taken().collect()) == [0, 0]
+
+
+def test_mixing_keeps_equal_rows_without_words(spark):
+    rows = [(1, "", "a"), (1, "", "a"), (None, None, "a"), (None, "", "a"), (2, "x y z", "a"), (2, "x y z", "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.Mixture(df, block=2).taken().collect()
+    assert sorted((str(r.doc_id), r.size) for r in out) == [("1", 0)] * 2 + [("2", 3)] * 2 + [("None", 0)] * 2
+    assert len([r for r in mixing.resample(df, block=2).collect() if not r.text]) == 4
