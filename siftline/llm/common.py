@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Words are maximal runs of anything but the six ASCII white-space characters.
@@ -17,9 +17,11 @@ _written: list[str] = []
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that every executor sees; one of our own only where none is set."""
+    """The folder that every executor sees; one of our own only in local mode and where none is set."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="siftline-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -70,6 +72,22 @@ def unclash(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.lower() in taken])
 
 
+def exclusive_sums(df: DataFrame, key: str, at: str, value: str, out: str, count: int, fan: int = 4096) -> DataFrame:
+    """Append the sum of value over the key's rows with smaller `at`, for rows unique by (key, at < count).
+
+    Sums run within stretches of `fan` places and then, level by level, over the
+    stretches' sums: no task holds more than `fan` rows of a key.
+    """
+    low = df.withColumn("__b", F.floor(F.col(at) / F.lit(fan)))
+    w = Window.partitionBy(key, "__b").orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    low = low.withColumn(out, F.coalesce(F.sum(value).over(w), F.lit(0)))
+    if count > fan:
+        tops = low.groupBy(key, F.col("__b").alias(at)).agg(F.sum(value).alias(value))
+        above = exclusive_sums(tops, key, at, value, "__above", -(-count // fan), fan)
+        low = low.join(above.select(key, F.col(at).alias("__b"), "__above"), [key, "__b"]).withColumn(out, F.col(out) + F.col("__above")).drop("__above")
+    return low.drop("__b")
+
+
 def is_true_fold(col, modulus: int, remainder: int):
     """crc32 of the identifier's decimal text, taken modulo."""
     return F.crc32(col.cast("string").cast("binary")) % modulus == remainder
@@ -90,22 +108,47 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class WordHashes(dict):
-    """word -> 64-bit hash, remembered up to a bound of words."""
+class Recent(dict):
+    """A memory of at most `limit` made values, in two generations.
+
+    When the young one is full it becomes the old one, and what is used again
+    moves back: values in use outlast any number of values seen once.
+    """
+
+    def __init__(self, limit: int):
+        super().__init__()
+        self.half, self.old = limit // 2, {}
+
+    def make(self, key):
+        raise NotImplementedError
+
+    def worth(self, key) -> bool:
+        """Whether to remember the value."""
+        return True
+
+    def __missing__(self, key):
+        value = self.old.pop(key, None)
+        if value is None:
+            value = self.make(key)
+            if not self.worth(key):
+                return value
+        if len(self) >= self.half:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
 
-    LIMIT = 400_000
 
-    def __missing__(self, word: bytes) -> int:
+class WordHashes(Recent):
+    """word -> 64-bit hash."""
+
+    def make(self, word: bytes) -> int:
         import xxhash
 
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(self) >= self.LIMIT:
-            self.clear()
-        self[word] = h
-        return h
+        return xxhash.xxh3_64_intdigest(word)
 
 
-_hashes = WordHashes()
+_hashes = WordHashes(400_000)
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:

@@ -9,8 +9,9 @@ table of bounded size.
 
 Defined results: a null text counts as empty; empty has 0 tokens; a special
 token's string inside a text counts as one token, as the library does by
-default.  Repeated rows are counted each for itself and other columns pass
-through; an input column with an output's name is replaced.
+default.  Texts of any length are counted whole, repeated rows each for itself,
+an empty table gives no rows, and other columns pass through; an input column
+with an output's name is replaced.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import unclash
+from .common import Recent, unclash
 
 
 def _byte_symbols() -> list[str]:
@@ -64,19 +65,28 @@ class PieceSplitter:
     def __call__(self, text: str) -> list[str]:
         if text.isascii() or not self._late(text):
             return self._find(text)
-        swapped = "".join(self._class_of(c) if c > "\u0557" else c for c in text)
+        swapped = self._swapped(text)
         if swapped == text:
             return self._find(text)
         return [text[m.start() : m.end()] for m in self._iter(swapped)]
 
+    def _swapped(self, text: str) -> str:
+        return "".join(self._class_of(c) if c > "\u0557" else c for c in text)
 
-class MergeCounter(dict):
+    def spans(self, text: str, start: int = 0):
+        """(start, end) of each piece from a piece's start on, lazily."""
+        late = not text.isascii() and self._late(text, start)
+        for m in self._iter(self._swapped(text) if late else text, start):
+            yield m.span()
+
+
+class MergeCounter(Recent):
     """piece -> number of tokens, by merging; a bounded memory of short pieces."""
 
-    LIMIT, LONG = 600_000, 48
+    LIMIT, LONG = 1_000_000, 48
 
     def __init__(self, path: str):
-        super().__init__()
+        super().__init__(self.LIMIT)
         import public_tokenizers
 
         with open(path, encoding="utf-8") as f:
@@ -92,13 +102,11 @@ class MergeCounter(dict):
         self._special = [t["content"] for t in spec["added_tokens"]]
         self._pieces = PieceSplitter(public_tokenizers.PATTERN)
 
-    def __missing__(self, piece: str) -> int:
-        n = self.merged(piece.encode("utf-8", "surrogatepass"))
-        if len(piece) <= self.LONG:
-            if len(self) >= self.LIMIT:
-                self.clear()
-            self[piece] = n
-        return n
+    def make(self, piece: str) -> int:
+        return self.merged(piece.encode("utf-8", "surrogatepass"))
+
+    def worth(self, piece: str) -> bool:
+        return len(piece) <= self.LONG
 
     def merged(self, piece: bytes) -> int:
         """Symbols left of one piece: initial symbols minus merges."""
