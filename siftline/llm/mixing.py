@@ -9,12 +9,20 @@ permutation(k mod blocks) of epoch k div blocks, where each epoch is its own
 pseudorandom permutation (a Feistel network walked into range).  Blocks are then
 joined to the documents that fill them, by index.
 
-No block is drawn more often than ``cap`` times, so no document is either.  All
-draws are seeded by shard and source alone: reruns agree.
+No block is drawn more often than ``cap`` times, so no document is either: sources
+near their cap take exact quotas, and a draw that would pass a cap is drawn anew.
+All draws are seeded by shard and source alone: reruns agree.
+
+Places in a stream and slots of a source are prefix sums over several levels, so
+no task ever holds all chunks or all shards of a source.
 
 Defined results: a null text has size 0; documents of size 0 are never taken; a
 null source is a source, last in order; no rows give no rows.  Rows that repeat
-are documents of their own.  Words are runs of anything but ASCII white space.
+are documents of their own; rows equal in identifier and size lie side by side in
+a fixed but arbitrary order.  A null identifier is an identifier like any other.
+Texts of any length count whole and fill as many blocks as they need.  Words are
+runs of anything but ASCII white space.  Other columns play no part; outputs are
+the operator's own columns, or with ``resample`` the input's.
 """
 
 from __future__ import annotations
@@ -25,7 +33,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize, mix64
+from .common import WORD, discard, exclusive_sums, materialize, mix64
 
 CHUNK = 2048
 
@@ -113,7 +121,11 @@ class Mixture:
         self.id_col, self.text_col, self.source_col = id_col, text_col, source_col
         self.block, self.cap, self.seed = block, cap, seed
         self.docs = materialize(
-            df.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size")), "sizes"
+            df.select(
+                F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"),
+                word_count(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("h"),
+            ),
+            "sizes",
         )
         found = self.docs.groupBy("source").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("rows")).limit(max_sources + 1).collect()
         if len(found) > max_sources:
@@ -131,7 +143,7 @@ class Mixture:
         self.slots_total = round(sum(s["slots"] for s in self.sources))
         self.shards = max(1, -(-self.slots_total // slots))
         for s in self.sources:  # too near the cap to leave to chance
-            s["pinned"] = s["slots"] + 4 * math.sqrt(self.shards) + 4 >= cap * s["blocks"]
+            s["pinned"] = s["slots"] + 6 * math.sqrt(self.shards) + 4 >= cap * s["blocks"]
 
     def _of_sources(self) -> DataFrame:
         rows = [(s["src"], s["source"], s["source_size"], s["target"], s["blocks"], s["chunks"]) for s in self.sources]
@@ -140,8 +152,8 @@ class Mixture:
     def placed(self) -> DataFrame:
         """Each document with the place of its first word in its source's stream.
 
-        A two-level prefix sum: within chunks of about CHUNK documents, then over
-        the chunks' sums, so a hot source never meets in one task.
+        A prefix sum within chunks of about CHUNK documents, then over the chunks'
+        sums in levels, so a hot source never meets in one task.
         """
         s = self._of_sources().withColumnRenamed("source", "__s")
         # rows without words do not move the start, so only a number of their own tells them apart
@@ -150,19 +162,27 @@ class Mixture:
         w = Window.partitionBy("src", "chunk").orderBy("id", "size").rowsBetween(Window.unboundedPreceding, -1)
         within = docs.withColumn("before", F.coalesce(F.sum("size").over(w), F.lit(0)))
         sums = docs.groupBy("src", "chunk").agg(F.sum("size").alias("words"))
-        w = Window.partitionBy("src").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-        sums = sums.select("src", "chunk", F.coalesce(F.sum("words").over(w), F.lit(0)).alias("earlier"))
+        most = max((s["chunks"] for s in self.sources), default=0)
+        sums = exclusive_sums(sums, "src", "chunk", "words", "earlier", most).drop("words")
         return within.join(sums, ["src", "chunk"]).withColumn("start", F.col("earlier") + F.col("before")).drop("earlier", "before", "chunk", "chunks")
 
+    def draws(self) -> DataFrame:
+        """One row per shard and source that it draws: shard, src, n.  No source's sum passes its cap."""
+        shards = self.spark.range(self.shards).withColumnRenamed("id", "shard")
+        most = F.broadcast(self.spark.createDataFrame([(s["src"], self.cap * s["blocks"]) for s in self.sources], "src int, most long"))
+        for again in range(20):
+            draw = _shard_draws(self.sources, self.shards, self.slots_total, self.seed + 7919 * again)
+            counts = materialize(shards.mapInPandas(draw, "shard long, src int, n long"), "draws")
+            if counts.groupBy("src").agg(F.sum("n").alias("n")).join(most, "src").filter("n > most").isEmpty():
+                return counts
+            discard(counts)
+        raise RuntimeError("no draw within the caps")
+
     def slots(self) -> DataFrame:
         """One row per output slot: shard, src, block."""
         if not self.slots_total:
             return self.spark.createDataFrame([], "shard long, src int, block long")
-        draw = _shard_draws(self.sources, self.shards, self.slots_total, self.seed)
-        shards = self.spark.range(self.shards).withColumnRenamed("id", "shard")
-        counts = shards.mapInPandas(draw, "shard long, src int, n long")
-        w = Window.partitionBy("src").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-        counts = counts.withColumn("first", F.coalesce(F.sum("n").over(w), F.lit(0)))
+        counts = exclusive_sums(self.draws(), "src", "shard", "n", "first", self.shards)
         blocks, cap, seed = np.array([s["blocks"] for s in self.sources], np.int64), self.cap, self.seed
 
         def spread(batches):
@@ -172,7 +192,7 @@ class Mixture:
                 for shard, src, n, first in pdf[["shard", "src", "n", "first"]].itertuples(index=False):
                     k = np.arange(first, first + n, dtype=np.int64)
                     m = blocks[src]
-                    k = k[k < cap * m]
+                    assert first + n <= cap * m, "a source was drawn beyond its cap"
                     epoch = k // m
                     key = mix64(np.uint64(seed + 1_000_003 * int(src)) + epoch.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
                     place = _permute(k % m, np.full(len(k), m), key)
@@ -180,8 +200,8 @@ class Mixture:
 
         return counts.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), "shard", "src").mapInPandas(spread, "shard long, src int, block long")
 
-    def taken(self) -> DataFrame:
-        """One row per document: id, size, source_size, target, taken."""
+    def taken(self, with_hash: bool = False) -> DataFrame:
+        """One row per document: id, size, source_size, target, taken and, if asked for, h (a hash of the text)."""
         size = F.lit(self.block)
         parts = self.placed().withColumn(
             "block",
@@ -193,18 +213,20 @@ class Mixture:
         drawn = self.slots().groupBy("src", "block").agg(F.count(F.lit(1)).alias("times")).hint("merge")
         return (
             parts.join(drawn, ["src", "block"], "left")
-            .groupBy("row", "id", "size", "source_size", "target")
+            .groupBy("row", "id", "size", "h", "source_size", "target")
             .agg(F.coalesce(F.sum(F.col("words") * F.col("times")), F.lit(0)).cast("long").alias("taken"))
-            .select(F.col("id").alias(self.id_col), "size", "source_size", "target", "taken")
+            .select(F.col("id").alias(self.id_col), "size", "source_size", "target", "taken", *(["h"] if with_hash else []))
         )
 
     def blocks(self) -> DataFrame:
         """The mix itself: shard, src, block and the block's text, one row per slot."""
         size = F.lit(self.block)
-        placed = self.placed().select("id", "src", "start", "size")
-        text = self.df.select(F.col(self.id_col).alias("id"), word_count(F.col(self.text_col)).alias("size"), F.regexp_extract_all(F.col(self.text_col), F.lit(f"({WORD})"), F.lit(1)).alias("w"))
-        text = text.dropDuplicates(["id", "size"])
-        parts = placed.filter("size > 0").join(text, ["id", "size"]).withColumn(
+        placed = self.placed().select("id", "src", "start", "size", "h")
+        # only rows of one identifier and one text meet twice here, and any of them serves all
+        text = self.df.select(F.col(self.id_col).alias("__id"), F.xxhash64(self.text_col).alias("__h"), F.regexp_extract_all(F.col(self.text_col), F.lit(f"({WORD})"), F.lit(1)).alias("w"))
+        text = text.dropDuplicates(["__id", "__h"])
+        same = F.col("id").eqNullSafe(F.col("__id")) & (F.col("h") == F.col("__h"))
+        parts = placed.filter("size > 0").join(text, same).withColumn(
             "block", F.explode(F.sequence(F.floor(F.col("start") / size), F.floor((F.col("start") + F.col("size") - 1) / size)))
         )
         low = F.greatest("start", F.col("block") * size)
@@ -226,7 +248,7 @@ def resample(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     u = F.pmod(F.xxhash64("__id", F.lit(mix.seed + 1)), F.lit(1 << 30)) / float(1 << 30)
     ratio = F.col("taken") / F.greatest(F.col("size"), F.lit(1))
     times = F.when(F.col("size") == 0, 1).otherwise(F.floor(ratio) + (u < ratio - F.floor(ratio)).cast("int"))
-    plan = mix.taken().groupBy(F.col(id_col).alias("__id"), "size").agg(F.max("taken").alias("taken")).select("__id", F.col("size").alias("__size"), times.cast("int").alias("__times"))
-    keyed = df.withColumn("__words", word_count(F.col(text_col)))
-    joined = keyed.join(plan, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__words") == F.col("__size")))
+    plan = mix.taken(with_hash=True).groupBy(F.col(id_col).alias("__id"), F.col("h").alias("__h"), "size").agg(F.max("taken").alias("taken"))
+    plan = plan.select("__id", "__h", times.cast("int").alias("__times"))
+    joined = df.join(plan, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__h")))
     return joined.filter("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[F.col(f"`{c}`") for c in df.columns])

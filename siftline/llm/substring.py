@@ -4,23 +4,27 @@ A window is ``window`` consecutive words.  Each window is governed by one of its
 ``phrase``-word phrases, the one with the smallest hash, so equal windows are
 governed by equal phrases, and a window can recur only if its phrase does.
 
-1. Every document yields its governing phrases' hashes; those that occur more
-   than once in the corpus are confirmed by counting, with partial sums.
-2. Documents are dealt into shards of about ``shard_words`` words.  For each
-   shard the recurring phrases that its documents hold are compiled into an
-   Aho-Corasick automaton over 31-bit word numbers, and the shard's documents are
-   streamed through it, which locates every occurrence, word for word.
-3. The windows governed by a located phrase are compared, first within the
-   shard, then across shards by the smallest document that has them.  A window
-   that also starts earlier is marked, and marked windows' words are removed.
+1. Every document yields its governing phrases' hashes and places; those that
+   occur more than once in the corpus are confirmed by counting.
+2. Documents are dealt into shards of about ``shard_words`` words, and the
+   confirmed phrases with them: each goes, as the place of one occurrence, to the
+   shards that hold it.  A shard's phrases are compiled, from their words, into
+   Aho-Corasick automata whose letters are words, and all its documents are
+   streamed through them.  The automata alone locate occurrences.
+3. The windows governed by a located phrase are compared: within the shard word
+   for word, then across shards by the smallest document that has them, under a
+   128-bit digest.  A window that also starts earlier is marked, and marked
+   windows' words are removed.
 
 Texts travel to the shards compressed.  Documents with the same word sequence as
-an earlier one need no search: every window of theirs starts earlier.
+an earlier one (by SHA-256) need no search: every window of theirs starts earlier.
 
 Defined results: null, empty and white-space texts have no words; texts shorter
 than a window keep all words; a null identifier comes after all others; rows
 that repeat an identifier are documents of their own, in an arbitrary but fixed
-order.
+order.  Texts of any length are searched whole (a very long one fills a shard of
+its own); an empty table gives no rows; other columns are not returned, so their
+names cannot clash.
 """
 
 from __future__ import annotations
@@ -49,23 +53,26 @@ def governors(g: np.ndarray, width: int) -> np.ndarray:
 
 
 def _first_pass(window: int, phrase: int):
-    @F.arrow_udf("n_words int, digest binary, phrases array<long>, again array<long>")
+    @F.arrow_udf("n_words int, digest binary, phrases array<long>, places array<int>, again array<long>")
     def scanned(texts):
         import pyarrow as pa
 
-        n, digest, phrases, again = [], [], [], []
+        n, digest, phrases, places, again = [], [], [], [], []
         for text in texts.to_pylist():
             words = words_of(text)
             joined = b" ".join(words)
             g = gram_hashes(word_hashes(words), phrase) if len(words) >= window else np.zeros(0, np.uint64)
             n.append(len(words))
             digest.append(sha256(joined).digest())
-            found, times = np.unique(g[np.unique(governors(g, window - phrase + 1))].view(np.int64), return_counts=True)
+            at = np.unique(governors(g, window - phrase + 1))
+            found, first, times = np.unique(g[at].view(np.int64), return_index=True, return_counts=True)
             phrases.append(found)
+            places.append(at[first].astype(np.int32))
             again.append(found[times > 1])
+        longs = pa.list_(pa.int64())
         return pa.StructArray.from_arrays(
-            [pa.array(n, pa.int32()), pa.array(digest, pa.binary()), pa.array(phrases, pa.list_(pa.int64())), pa.array(again, pa.list_(pa.int64()))],
-            ["n_words", "digest", "phrases", "again"],
+            [pa.array(n, pa.int32()), pa.array(digest, pa.binary()), pa.array(phrases, longs), pa.array(places, pa.list_(pa.int32())), pa.array(again, longs)],
+            ["n_words", "digest", "phrases", "places", "again"],
         )
 
     return scanned
@@ -83,89 +90,128 @@ def _packing():
     return packed
 
 
-def automaton(patterns):
-    """An Aho-Corasick automaton over sequences of word numbers."""
-    import ahocorasick
+#: An automaton's letters are code points, which bounds its words.
+LETTERS = 0x110000 - 1
 
-    out = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    for p in patterns:
-        out.add_word(p, 1)
-    out.make_automaton()
-    return out
 
+class Automata:
+    """Aho-Corasick automata over words: each word of the patterns is a letter, all others are none."""
 
-_FOUND = "id long, tie int, n_words int, n_removed int, digest binary, packed binary, marked binary, w array<long>, p array<int>"
+    def __init__(self, patterns, phrase: int):
+        import ahocorasick
+
+        self.phrase, self._parts = phrase, []
+        letters: dict[bytes, str] = {}
+        part = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        for pattern in patterns:
+            if len(letters) + phrase > LETTERS:
+                self._parts.append((part, letters))
+                part, letters = ahocorasick.Automaton(ahocorasick.STORE_LENGTH), {}
+            part.add_word("".join([letters.setdefault(w, chr(len(letters) + 1)) for w in pattern]))
+        self._parts.append((part, letters))
+        for part, _ in self._parts:
+            part.make_automaton()
+
+    def located(self, words: list[bytes]) -> np.ndarray:
+        """Whether a pattern starts at each word."""
+        at = np.zeros(len(words), bool)
+        for part, letters in self._parts:
+            if len(part):
+                get = letters.get
+                text = "".join([get(w, "\0") for w in words])
+                at[[end - self.phrase + 1 for end, _ in part.iter(text)]] = True
+        return at
+
+
+def verified(p: np.ndarray, d1: np.ndarray, p1: np.ndarray, words: list[bytes], others: list[list[bytes]], window: int) -> np.ndarray:
+    """Which windows at p are, word for word, the window at p1 of document d1.
+
+    Windows in a row that stand against windows in a row are compared as one stretch.
+    """
+    ok = np.ones(len(p), bool)
+    cuts = np.flatnonzero((np.diff(p) != 1) | (np.diff(p1) != 1) | (np.diff(d1) != 0)) + 1
+    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(p)]):
+        if a < b and words[p[a] : p[b - 1] + window] != others[d1[a]][p1[a] : p1[b - 1] + window]:
+            for i in range(a, b):
+                ok[i] = words[p[i] : p[i] + window] == others[d1[i]][p1[i] : p1[i] + window]
+    return ok
+
+
+_FOUND = "id long, tie int, n_words int, n_removed int, digest binary, packed binary, marked binary, w array<long>, v array<long>, p array<int>"
 
 
 def _located(window: int, phrase: int):
-    """One shard: its documents and its recurring phrases (kind 0) and copies (kind 1, with their digests)."""
+    """One shard: its documents, the places of its confirmed phrases (kind 0) and its copies (kind 1, with their digests)."""
 
     def locate(docs, marks):
         import pyarrow as pa
         import zstandard
 
         unzip = zstandard.ZstdDecompressor()
-        kinds, values = marks["kind"].to_numpy(), marks["value"].to_numpy()
-        recurring = np.sort(values[kinds == 0])
+        kinds, ids = marks["kind"].to_numpy(), marks["id"].to_numpy()
         # identifiers repeat and are null: only the text tells which of their rows is the copy
-        copies = set(zip(values[kinds == 1].tolist(), marks["digest"].filter(pa.array(kinds == 1)).to_pylist()))
+        copies = set(zip(ids[kinds == 1].tolist(), marks["digest"].filter(pa.array(kinds == 1)).to_pylist()))
         copied = {id_ for id_, _ in copies}
+        places: dict[int, list[int]] = {}
+        for id_, at in zip(ids[kinds == 0].tolist(), marks["place"].filter(pa.array(kinds == 0)).to_pylist()):
+            places.setdefault(id_, []).append(at)
         rows = sorted(zip(docs["id"].to_pylist(), docs["packed"].to_pylist()), key=lambda r: r[0])
-        out: dict[str, list] = {name: [] for name in ("id", "tie", "n_words", "n_removed", "digest", "packed", "marked", "w", "p")}
-
-        def emit(id_, tie, n, removed=None, digest=None, packed=None, marked=None, w=(), p=()):
-            for name, v in zip(out, (id_, tie, n, removed, digest, packed, marked, w, p)):
-                out[name].append(v)
-
-        held, patterns, tie = [], {}, 0
-        for at, (id_, packed) in enumerate(rows):
-            tie = tie + 1 if at and rows[at - 1][0] == id_ else 0
+        types = {
+            "id": pa.int64(), "tie": pa.int32(), "n_words": pa.int32(), "n_removed": pa.int32(), "digest": pa.binary(), "packed": pa.binary(),
+            "marked": pa.binary(), "w": pa.list_(pa.int64()), "v": pa.list_(pa.int64()), "p": pa.list_(pa.int32()),
+        }
+        out: dict[str, list] = {name: [] for name in types}
+
+        def emit(*values):
+            for column, v in zip(out.values(), values):
+                column.append(v)
+
+        def whole(id_, tie, words):
+            emit(id_, tie, len(words), 0, sha256(b" ".join(words)).digest(), None, None, (), (), ())
+
+        streamed, patterns, tie = [], {}, 0
+        for i, (id_, packed) in enumerate(rows):
+            tie = tie + 1 if i and rows[i - 1][0] == id_ else 0
             joined = unzip.decompress(packed)
             words = joined.split()
+            for at in places.get(id_, ()):
+                if at + phrase <= len(words):
+                    patterns.setdefault(tuple(words[at : at + phrase]))
             if id_ in copied and len(words) >= window and (id_, sha256(joined).digest()) in copies:
-                emit(id_, tie, len(words), len(words), sha256(b"").digest())
+                emit(id_, tie, len(words), len(words), sha256(b"").digest(), None, None, (), (), ())
+            elif len(words) < window:
+                whole(id_, tie, words)
+            else:
+                streamed.append((id_, tie, packed, words))
+
+        automata, held = Automata(patterns, phrase), []
+        all_w, all_v, all_d, all_p = [], [], [], []
+        for id_, tie, packed, words in streamed:
+            at = automata.located(words)
+            p = ()
+            if at.any():
+                h = word_hashes(words)
+                p = np.flatnonzero(at[governors(gram_hashes(h, phrase), window - phrase + 1)])
+            if not len(p):
+                whole(id_, tie, words)
                 continue
-            if len(words) < window or not len(recurring):
-                emit(id_, tie, len(words), 0, sha256(joined).digest())
-                continue
-            h = word_hashes(words)
-            g = gram_hashes(h, phrase)
-            r = governors(g, window - phrase + 1)
-            places = np.unique(r)
-            hashes = g[places].view(np.int64)
-            i = np.minimum(np.searchsorted(recurring, hashes), len(recurring) - 1)
-            places = places[recurring[i] == hashes]
-            if not len(places):
-                emit(id_, tie, len(words), 0, sha256(joined).digest())
-                continue
-            numbers = tuple((h >> np.uint64(33)).tolist())
-            for q in places.tolist():
-                patterns.setdefault(numbers[q : q + phrase])
-            held.append((id_, tie, packed, joined, numbers, h, r))
-
+            all_w.append(gram_hashes(h, window, seed=1)[p].view(np.int64))
+            all_v.append(gram_hashes(h, window, seed=2)[p].view(np.int64))
+            all_d.append(np.full(len(p), len(held)))
+            all_p.append(p)
+            held.append((id_, tie, packed, words))
         if held:
-            found = automaton(patterns)
-            all_w, all_d, all_p = [], [], []
-            for d, (id_, tie, packed, joined, numbers, h, r) in enumerate(held):
-                at = np.zeros(len(numbers), bool)
-                at[[end - phrase + 1 for end, _ in found.iter(numbers)]] = True
-                p = np.flatnonzero(at[r])
-                all_p.append(p)
-                all_w.append(gram_hashes(h, window, seed=1)[p].view(np.int64))
-                all_d.append(np.full(len(p), d))
-            w, d, p = map(np.concatenate, (all_w, all_d, all_p))
-            _, first = np.unique(w, return_index=True)  # the first of equals in document order
-            is_first = np.zeros(len(w), bool)
-            is_first[first] = True
+            w, v, d, p = map(np.concatenate, (all_w, all_v, all_d, all_p))
+            _, first, of = np.unique(w, return_index=True, return_inverse=True)  # the first of equals in document order
+            earlier = first[of]
+            texts = [words for *_, words in held]
             cuts = np.searchsorted(d, np.arange(len(held) + 1))
-            for k, (id_, tie, packed, joined, numbers, h, r) in enumerate(held):
-                s = slice(cuts[k], cuts[k + 1])
-                if s.start == s.stop:
-                    emit(id_, tie, len(numbers), 0, sha256(joined).digest())
-                    continue
-                f = is_first[s]
-                emit(id_, tie, len(numbers), None, None, packed, _runs(p[s][~f]), w[s][f], p[s][f])
-        types = {"id": pa.int64(), "tie": pa.int32(), "n_words": pa.int32(), "n_removed": pa.int32(), "digest": pa.binary(), "packed": pa.binary(), "marked": pa.binary(), "w": pa.list_(pa.int64()), "p": pa.list_(pa.int32())}
+            for k, (id_, tie, packed, words) in enumerate(held):
+                at = np.arange(cuts[k], cuts[k + 1])
+                again = at[earlier[at] != at]
+                again = again[verified(p[again], d[earlier[again]], p[earlier[again]], words, texts, window)]
+                new = np.setdiff1d(at, again, assume_unique=True)
+                emit(id_, tie, len(words), None, None, packed, _runs(p[again]), w[new], v[new], p[new])
         return pa.table({name: pa.array(out[name], t) for name, t in types.items()})
 
     return locate
@@ -219,23 +265,24 @@ def repeated_passages(
     shards = max(1, -(-words // shard_words))
     shard = F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard")
 
-    held = rows.select(shard, F.explode("phrases").alias("value"))
+    held = rows.select(shard, "id", F.explode(F.arrays_zip("phrases", "places")).alias("x")).select("shard", "id", F.col("x.phrases").alias("value"), F.col("x.places").alias("place"))
     # a document lists each phrase once, and once more if it holds it repeatedly
     twice = rows.select(F.explode(F.concat("phrases", "again")).alias("value"))
     counts = twice.groupBy("value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("value")
-    recurring = held.join(counts, "value").distinct().select("shard", F.lit(0).alias("kind"), "value", F.lit(None).cast("binary").alias("digest"))
+    one = F.min(F.struct("id", "place")).alias("x")
+    recurring = held.join(counts, "value").groupBy("shard", "value").agg(one).select("shard", F.lit(0).alias("kind"), "x.id", "x.place", F.lit(None).cast("binary").alias("digest"))
     firsts = rows.filter(F.col("n_words") >= window).groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    copies = rows.select("id", "digest").join(firsts, "digest").filter("id <> first").select(shard, F.lit(1).alias("kind"), F.col("id").alias("value"), "digest")
+    copies = rows.select("id", "digest").join(firsts, "digest").filter("id <> first").select(shard, F.lit(1).alias("kind"), "id", F.lit(None).cast("int").alias("place"), "digest")
     marks = recurring.unionByName(copies)
     docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("id"), _packing()(text).alias("packed")).select(shard, "id", "packed")
     found = docs.groupBy("shard").cogroup(marks.groupBy("shard")).applyInArrow(_located(window, phrase), _FOUND)
     found = materialize(found, "located")
     discard(rows)
 
-    windows = found.filter("packed IS NOT NULL").select("id", "tie", F.explode(F.arrays_zip("w", "p")).alias("x")).select("id", "tie", "x.w", "x.p")
+    windows = found.filter("packed IS NOT NULL").select("id", "tie", F.explode(F.arrays_zip("w", "v", "p")).alias("x")).select("id", "tie", "x.w", "x.v", "x.p")
     # within a shard only the first document with a window is listed, so the smallest identifier is the first start
-    seen = windows.groupBy("w").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("w", "first")
-    later = windows.join(seen, "w").filter("id <> first").groupBy("id", "tie").agg(F.collect_list("p").alias("more"))
+    seen = windows.groupBy("w", "v").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("w", "v", "first")
+    later = windows.join(seen, ["w", "v"]).filter("id <> first").groupBy("id", "tie").agg(F.collect_list("p").alias("more"))
     open_ = found.filter("packed IS NOT NULL").select("id", "tie", "n_words", "packed", "marked").join(later, ["id", "tie"], "left")
     open_ = open_.select("id", "n_words", _cut(window)("packed", "marked", "more").alias("x")).select("id", "n_words", "x.*")
     closed = found.filter("packed IS NULL").select("id", "n_words", "n_removed", "digest")

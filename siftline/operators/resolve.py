@@ -8,23 +8,10 @@ each field from the most trusted record that has it, ties going to the earliest.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def _saved(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared folder of the session."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="siftline-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    where = f"{root.rstrip('/')}/siftline-{uuid.uuid4().hex}"
-    df.write.parquet(where)
-    return spark.read.schema(df.schema).parquet(where)
+from siftline.storage import discard, materialize
 
 
 def blocking_edges(keys: DataFrame) -> DataFrame:
@@ -34,24 +21,41 @@ def blocking_edges(keys: DataFrame) -> DataFrame:
     return known.join(first, ["kind", "key"]).filter("ordinal <> a").select("a", F.col("ordinal").alias("b")).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(ordinal, root) for every ordinal of an edge; root is the component's smallest."""
-    pair, labels = _saved(edges.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()), None
+def components(edges: DataFrame, a: str = "a", b: str = "b", node: str = "ordinal", root: str = "root") -> DataFrame:
+    """(node, root) for every node of an edge; root is the component's smallest node.
+
+    In each round every node hooks to its smallest neighbour (or itself), hooks
+    are followed twice more, and the edges are rewritten to the hooks and made
+    distinct.  Each round at least removes every node that has a smaller
+    neighbour, so long chains and stars both shrink geometrically.  What a hub
+    gathers is a minimum, taken before the shuffle as far as possible.
+    """
+    pair = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).filter("u <> v")
+    pair = materialize(pair.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges")
+    labels = None
     while not pair.isEmpty():
         both = pair.unionByName(pair.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        hook = _saved(both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("p")))
-        up = hook.select(F.col("u").alias("p"), F.col("p").alias("q"))
-        hook = _saved(hook.join(up, "p").select("u", F.col("q").alias("p")))
+        first = materialize(both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("p")), "hooks")
+        hook = first
+        for _ in range(2):
+            up = hook.select(F.col("u").alias("p"), F.col("p").alias("q"))
+            hook = hook.join(up, "p").select("u", F.col("q").alias("p"))
+        hook = materialize(hook, "hooks")
+        before = labels
         if labels is None:
-            labels = hook.select(F.col("u").alias("ordinal"), F.col("p").alias("root"))
+            labels = materialize(hook.select(F.col("u").alias(node), F.col("p").alias(root)), "labels")
         else:
-            step = hook.select(F.col("u").alias("root"), F.col("p").alias("__p"))
-            labels = _saved(labels.join(step, "root", "left").select("ordinal", F.coalesce("__p", "root").alias("root")))
-        lu, lv = hook.select("u", F.col("p").alias("pu")), hook.select(F.col("u").alias("v"), F.col("p").alias("pv"))
-        pair = pair.join(lu, "u").join(lv, "v").filter("pu <> pv")
-        pair = _saved(pair.select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v")).distinct())
+            up = hook.select(F.col("u").alias(root), F.col("p").alias("__p"))
+            labels = materialize(labels.join(up, root, "left").select(node, F.coalesce("__p", root).alias(root)), "labels")
+        left = hook.select("u", F.col("p").alias("pu"))
+        right = hook.select(F.col("u").alias("v"), F.col("p").alias("pv"))
+        rest = pair.join(left, "u").join(right, "v").filter("pu <> pv")
+        rest = materialize(rest.select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v")).distinct(), "edges")
+        discard(pair, first, hook, *([before] if before is not None else []))
+        pair = rest
+    discard(pair)
     if labels is None:
-        return edges.select(F.col("a").alias("ordinal"), F.col("a").alias("root")).limit(0)
+        return edges.sparkSession.createDataFrame([], f"{node} long, {root} long")
     return labels
 
 
@@ -69,7 +73,11 @@ def resolve(records: DataFrame, keys: DataFrame, fields: list[str], authority: s
 
 
 def growth(steps: DataFrame, step: str, identity: str) -> DataFrame:
-    """Per step: new identities, the running total, and steps in a row without growth."""
+    """Per step: new identities, the running total, and steps in a row without growth.
+
+    The windows run over one row per step: the number of steps of a crawl, not of
+    its records, bounds what meets in a task.
+    """
     first = steps.groupBy(identity).agg(F.min(step).alias("first"))
     new = first.groupBy(F.col("first").alias(step)).agg(F.count(F.lit(1)).alias("new"))
     every = steps.select(step).distinct().join(new, step, "left").fillna(0, ["new"])

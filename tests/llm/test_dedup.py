@@ -169,9 +169,47 @@ def test_repeated_passages_of_rows_that_share_an_identifier(spark):
     assert sorted(out, key=str) == sorted(want, key=str)
 
 
-def test_automaton_finds_every_occurrence():
-    found = substring.automaton([(1, 2, 3), (2, 3, 2**31 - 1)])
-    assert [end for end, _ in found.iter((9, 1, 2, 3, 2**31 - 1, 1, 2, 3))] == [3, 4, 7]
+def test_automata_find_every_occurrence(monkeypatch):
+    for letters in (substring.LETTERS, 5):  # with few letters the patterns need several automata
+        monkeypatch.setattr(substring, "LETTERS", letters)
+        found = substring.Automata([(b"a", b"b", b"c"), (b"b", b"c", b"\xff"), (b"q", b"r", b"s")], 3)
+        text = [b"x", b"a", b"b", b"c", b"\xff", b"a", b"b", b"c", b"q", b"r", b"s"]
+        assert np.flatnonzero(found.located(text)).tolist() == [1, 2, 5, 8]
+    assert not substring.Automata([], 3).located([b"a", b"b", b"c"]).any()
+
+
+def test_only_the_automata_locate(monkeypatch):
+    """One shard, run here: without a phrase, or with blind automata, nothing is found."""
+    import pyarrow as pa
+    import zstandard
+
+    rng = random.Random(3)
+    passage = words(rng, 60).split()
+    texts = [passage, ["new"] + passage]
+    zip_ = zstandard.ZstdCompressor()
+    docs = pa.table({"id": [1, 2], "packed": [zip_.compress(" ".join(w).encode()) for w in texts]})
+
+    def removed(places):
+        marks = pa.table({
+            "kind": pa.array([0] * len(places), pa.int32()), "id": pa.array([1] * len(places), pa.int64()),
+            "place": pa.array(places, pa.int32()), "digest": pa.array([None] * len(places), pa.binary()),
+        })
+        out = substring._located(20, 9)(docs, marks).to_pylist()
+        return [sum(b - a for a, b in np.frombuffer(r["marked"] or b"", np.int32).reshape(-1, 2).tolist()) for r in out]
+
+    every = list(range(52))
+    assert removed(every) == [0, 41]
+    assert removed([]) == [0, 0]
+    some = removed(every[:20])[1]
+    assert 0 < some < 41
+    monkeypatch.setattr(substring.Automata, "located", lambda self, w: np.zeros(len(w), bool))
+    assert removed(every) == [0, 0]
+
+
+def test_windows_are_compared_word_for_word():
+    others = [[b"a"] * 30, [b"a"] * 25 + [b"b"] * 5]
+    p, d1, p1 = np.arange(8), np.full(8, 1), np.arange(8)
+    assert substring.verified(p, d1, p1, others[0], others, 20).tolist() == [True] * 6 + [False] * 2
 
 
 def test_vectors(spark):
@@ -194,13 +232,41 @@ def test_vectors(spark):
     roots = brute_components(len(rows), linked)
     links = [sum(linked(a, b) for b in range(len(rows)) if a != b) for a in range(len(rows))]
     df = spark.createDataFrame([(i, v, label, "x") for i, v, label in rows], "vec_id long, embedding array<double>, label int, kept string")
-    for per_cell in (512, 4):
+    for per_cell in (2048, 4):
         got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding.near_vectors(df, per_cell=per_cell).collect()}
         assert got == {i: (links[i], roots[i], roots[i] == i) for i in range(len(rows))}
     assert embedding.near_vectors(df.filter("false")).count() == 0
     assert embedding.keep_one(df).count() == sum(r == i for i, r in enumerate(roots))
 
 
+def test_vectors_of_many_labels_and_deep_cells(spark, monkeypatch):
+    """More labels than any model could list, one of them hot, split several times over."""
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(30, 8))
+    rows = [(i, (base[i % 30] + rng.normal(size=8) * 0.08).tolist(), 0) for i in range(600)]
+    rows += [(598 + 2 * k + j, (base[k % 30] + rng.normal(size=8) * 0.05).tolist(), k) for k in range(1, 1501) for j in range(2)]
+    x = np.array([np.array(v) / np.linalg.norm(v) for _, v, _ in rows])
+    label = np.array([k for *_, k in rows])
+    hit = (x @ x.T >= 0.98) & (label[:, None] == label[None])
+    np.fill_diagonal(hit, False)
+    links = hit.sum(1)
+    root = np.arange(len(rows))
+    while True:
+        low = np.minimum(root, np.where(hit, root[None], len(rows)).min(1))
+        if (low == root).all():
+            break
+        root = low
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding.near_vectors(df, per_cell=8, sample=64).collect()}
+    assert got == {i: (int(links[i]), int(root[i])) for i in range(len(rows))}
+
+
+def test_very_long_vectors(spark):
+    v = np.random.default_rng(1).normal(size=50_000)
+    df = spark.createDataFrame([(1, v.tolist(), 0), (2, (v + 1e-3).tolist(), 0), (3, (-v).tolist(), 0)], "vec_id long, embedding array<double>, label int")
+    assert {r.vec_id: r.n_links for r in embedding.near_vectors(df).collect()} == {1: 1, 2: 1, 3: 0}
+
+
 def test_components(spark):
     edges = [(5, 4), (4, 3), (3, 9), (10, 11), (11, 12), (12, 10), (7, 7)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
