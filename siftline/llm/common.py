@@ -2,70 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftline.storage import discard, materialize, release, shared_root  # noqa: F401
+
 #: Words are maximal runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-_written: list[str] = []
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder that every executor sees; one of our own only in local mode and where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="siftline-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write df once to the shared folder and read it back.
-
-    This cuts lineage: what follows reads replicated files, so a lost executor
-    costs a few tasks and never the stages above.
-    """
-    spark = df.sparkSession
-    path = f"{shared_root(spark)}/siftline-{uuid.uuid4().hex}/{tag}"
-    # the plan runs this once, so its shuffle files can go as soon as it has ended
-    # instead of staying on the executors' disks until the driver collects it
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
-    _written.append(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._siftline_path = path
-    return out
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where.getParent(), True)
-
-
-def discard(df: DataFrame) -> None:
-    """Delete a materialized table that nothing reads any more."""
-    _written.remove(df._siftline_path)
-    _delete(df.sparkSession, df._siftline_path)
-
-
-def release(spark: SparkSession) -> None:
-    """Delete what materialize() wrote; call it once results have been stored."""
-    while _written:
-        _delete(spark, _written.pop())
-
-
 def unclash(df: DataFrame, *names: str) -> DataFrame:
     """Drop input columns whose names an operator is about to produce."""
     taken = {n.lower() for n in names}
@@ -139,30 +85,33 @@ class Recent(dict):
         return value
 
 
-class WordHashes(Recent):
-    """word -> 64-bit hash."""
-
-    def make(self, word: bytes) -> int:
-        import xxhash
-
-        return xxhash.xxh3_64_intdigest(word)
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """64-bit hashes of words.  Hashing anew is cheaper than remembering a vocabulary that keeps growing."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
-_hashes = WordHashes(400_000)
+_C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+def _paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    x = (a ^ (a >> np.uint64(32))) * _C1
+    x += b * _C2
+    x ^= x >> np.uint64(29)
+    return x
 
 
 def gram_hashes(h: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
-    """Hashes of each run of n consecutive words, from the words' hashes."""
-    if len(h) < n:
-        return np.zeros(0, np.uint64)
-    base = np.uint64(0x9E3779B97F4A7C15 + 2 * seed)
+    """Hashes of each run of n consecutive words, from the words' hashes: runs of 1, 2, 4, ... words, joined to n."""
     m = len(h) - n + 1
-    out = np.full(m, np.uint64(n + seed), np.uint64)
-    for i in range(n):
-        out = (out ^ h[i : i + m]) * base
-        out ^= out >> np.uint64(29)
-    return mix64(out)
+    if m <= 0:
+        return np.zeros(0, np.uint64)
+    power = mix64(h ^ np.uint64(0xA0761D6478BD642F * seed % 2**64)) if seed else h
+    out, have, width = None, 0, 1
+    while True:
+        if n & width:
+            out = power if out is None else _paired(out[: len(out) - width], power[have:])
+            have += width
+        if width * 2 > n:
+            return mix64(out[:m])
+        power = _paired(power[: len(power) - width], power[width:])
+        width *= 2

@@ -1,43 +1,12 @@
-"""Connected components by hooking and contraction, on DataFrames."""
+"""Connected components for the corpus operators: the library's routine under their names."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import materialize
+from siftline.operators.resolve import components
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component) for every node of an edge; component is the smallest node.
-
-    In each round every node hooks to its smallest neighbour (or itself), hooks
-    are followed twice more, and the edges are rewritten to the hooks and made
-    distinct.  Each round at least removes every node that has a smaller
-    neighbour, so long chains and stars both shrink geometrically.  What a hub
-    gathers is a minimum, taken before the shuffle as far as possible.
-    """
-    pair = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).filter("u <> v")
-    pair = materialize(pair.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges")
-    labels = None
-    while not pair.isEmpty():
-        both = pair.unionByName(pair.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        hook = both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("p"))
-        hook = materialize(hook, "hooks")
-        for _ in range(2):
-            up = hook.select(F.col("u").alias("p"), F.col("p").alias("q"))
-            hook = hook.join(up, "p").select("u", F.col("q").alias("p"))
-        hook = materialize(hook, "hooks")
-        if labels is None:
-            labels = hook.select(F.col("u").alias("node"), F.col("p").alias("component"))
-        else:
-            up = hook.select(F.col("u").alias("component"), F.col("p").alias("__p"))
-            labels = labels.join(up, "component", "left").select("node", F.coalesce("__p", "component").alias("component"))
-            labels = materialize(labels, "labels")
-        left = hook.select("u", F.col("p").alias("pu"))
-        right = hook.select(F.col("u").alias("v"), F.col("p").alias("pv"))
-        pair = pair.join(left, "u").join(right, "v").filter("pu <> pv")
-        pair = materialize(pair.select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v")).distinct(), "edges")
-    if labels is None:
-        return edges.sparkSession.createDataFrame([], "node long, component long")
-    return labels
+    """(node, component) for every node of an edge; component is the smallest node."""
+    return components(edges, a, b, "node", "component")
