@@ -30,6 +30,7 @@ names cannot clash.
 from __future__ import annotations
 
 from hashlib import sha256
+from itertools import repeat
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -40,16 +41,26 @@ from .common import discard, gram_hashes, materialize, word_hashes, words_of
 _LAST = 2**63 - 1
 
 
+_STRETCH = 1 << 20
+
+
 def governors(g: np.ndarray, width: int) -> np.ndarray:
-    """For each window of `width` phrases, the position of its smallest hash (the rightmost of equals)."""
-    n = len(g) - width + 1
-    if n <= 0:
-        return np.zeros(0, np.int64)
-    seen = np.lib.stride_tricks.sliding_window_view(g, width)
-    out = np.empty(n, np.int64)
-    for i in range(0, n, 65536):
-        out[i : i + 65536] = width - 1 - seen[i : i + 65536, ::-1].argmin(1)
-    return out + np.arange(n)
+    """For each window of `width` phrases, the position of its smallest hash (the rightmost of equals).
+
+    Hashes carry their place in their lowest 20 bits, so a running minimum, built up
+    from minima of 2, 4, 8, ... phrases, names the place too; equal windows have
+    equal hashes at equal distances, and so the same governor.
+    """
+    n, out = len(g) - width + 1, []
+    for low in range(0, max(n, 0), _STRETCH - width + 1):
+        part = g[low : low + _STRETCH]
+        place = np.arange(_STRETCH - 1, _STRETCH - 1 - len(part), -1, np.int64).astype(np.uint64)
+        least, size, m = part & np.uint64(2**64 - _STRETCH) | place, 1, len(part) - width + 1
+        while size * 2 <= width:
+            least, size = np.minimum(least[: len(least) - size], least[size:]), size * 2
+        least = np.minimum(least[:m], least[width - size : width - size + m])
+        out.append(low + _STRETCH - 1 - (least & np.uint64(_STRETCH - 1)).astype(np.int64))
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
 def _first_pass(window: int, phrase: int):
@@ -117,8 +128,7 @@ class Automata:
         at = np.zeros(len(words), bool)
         for part, letters in self._parts:
             if len(part):
-                get = letters.get
-                text = "".join([get(w, "\0") for w in words])
+                text = "".join(map(letters.get, words, repeat("\0")))
                 at[[end - self.phrase + 1 for end, _ in part.iter(text)]] = True
         return at
 

@@ -113,12 +113,49 @@ def test_near_duplicates_in_a_drifting_group(spark):
     assert got == dict(enumerate(roots))
 
 
+@pytest.mark.parametrize("block", [16, 512])
+def test_near_duplicates_in_buckets_of_many_blocks(spark, monkeypatch, block):
+    """Large groups side by side, joined by few links, with buckets cut into many small blocks."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    rng = random.Random(11)
+    texts = []
+    for g in range(3):
+        start = [f"w{i}" if i < 55 else f"g{g}x{i}" for i in range(80)]  # groups that share most words
+        for _ in range(90):
+            w = list(start)
+            for _ in range(rng.randrange(7)):
+                w[rng.randrange(80)] = f"z{rng.randrange(10000)}"
+            texts.append(" ".join(w))
+    rows = list(enumerate(texts))
+    sets = [shingles(t, 4) for t in texts]
+    roots = brute_components(len(rows), lambda a, b: 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]))
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(frame(spark, rows), k=4).collect()}
+    assert got == dict(enumerate(roots))
+
+
+def test_near_duplicates_of_repeated_identifiers(spark):
+    """Rows that share an identifier are documents of their own, named by the smallest identifier they reach."""
+    rng = random.Random(12)
+    a, b, c = (words(rng, 60, 10_000).split() for _ in range(3))
+    near = lambda w: " ".join([*w[:-1], "changed"])
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, " ".join(c)), (3, near(b)), (5, " ".join(c[:50]) + " other end"), (5, "on its own"), (4, near(c))]
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(frame(spark, rows), k=4).collect())
+    # the second row of 5 has another text than the first, and nothing near it
+    assert got == [(1, 1, True), (1, 1, True), (2, 2, True), (3, 1, False), (4, 2, False), (5, 5, True), (5, 5, True)] or got == [
+        (1, 1, True), (1, 1, True), (2, 2, True), (3, 1, False), (4, 2, False), (5, 2, False), (5, 5, True),
+    ]
+    kept = sorted((r.doc_id, r.text[:6]) for r in minhash.keep_one(frame(spark, rows), k=4).collect())
+    assert (5, "on its") in kept and (3, near(b)[:6]) not in kept and (4, near(c)[:6]) not in kept and len([x for x in kept if x[0] == 1]) == 2
+
+
 def test_near_duplicate_edges(spark, rows):
     df = frame(spark, [*rows, rows[9], (None, rows[9][1])])
     out = minhash.near_duplicates(df).collect()
     assert len(out) == len(rows) + 2
     assert [(r.component_id, r.kept) for r in out if r.doc_id is None] == [(None, True)]
     assert minhash.near_duplicates(df.filter("false")).count() == 0
+    long = frame(spark, [(1, "a b c d e f g " * 60_000), (2, "a b c d e f g " * 60_000 + "h"), (3, None)])
+    assert sorted((r.doc_id, r.component_id) for r in minhash.near_duplicates(long).collect()) == [(1, 1), (2, 1), (3, 3)]
     kept = minhash.keep_one(frame(spark, rows), k=5)
     assert kept.columns == SCHEMA.replace(" long", "").replace(" string", "").split(", ")
 
@@ -206,6 +243,28 @@ def test_only_the_automata_locate(monkeypatch):
     assert removed(every) == [0, 0]
 
 
+def test_governors_are_the_rightmost_smallest(monkeypatch):
+    rng = np.random.default_rng(1)
+    for stretch, width, n in ((1 << 20, 12, 500), (16, 5, 300), (16, 1, 40), (16, 7, 3)):
+        monkeypatch.setattr(substring, "_STRETCH", stretch)
+        g = (rng.integers(0, 9, n).astype(np.uint64) << np.uint64(40)) + np.uint64(5)
+        want = [i + width - 1 - int(g[i : i + width][::-1].argmin()) for i in range(max(0, n - width + 1))]
+        assert substring.governors(g, width).tolist() == want
+
+
+def test_gram_hashes_tell_order_and_length():
+    from siftline.llm.common import gram_hashes
+
+    h = np.random.default_rng(2).integers(0, 2**63, 60).astype(np.uint64)
+    h[30:50] = h[5:25]
+    for n in (1, 2, 3, 4, 5, 9, 20):
+        g = gram_hashes(h, n)
+        assert len(g) == 61 - n and g[5] == g[30] and len(set(g.tolist())) == 61 - n - (21 - n)
+        assert gram_hashes(h[::-1].copy(), n)[-1 - 5] != g[5] or n == 1
+        assert not np.array_equal(gram_hashes(h, n, seed=1), g) and gram_hashes(h, n, seed=1)[5] == gram_hashes(h, n, seed=1)[30]
+    assert len(gram_hashes(h[:3], 4)) == 0
+
+
 def test_windows_are_compared_word_for_word():
     others = [[b"a"] * 30, [b"a"] * 25 + [b"b"] * 5]
     p, d1, p1 = np.arange(8), np.full(8, 1), np.arange(8)
