@@ -15,9 +15,9 @@ def _some(c: Column) -> Column:
 
 
 def source_id_identity(ids: Column) -> Column:
-    """source-id:k:v1,v2|... over a map of id lists, keys and values sorted; null if none."""
-    entries = F.filter(F.map_entries(ids), lambda e: F.size(e["value"]) > 0)
-    parts = F.array_sort(F.transform(entries, lambda e: F.concat(e["key"], F.lit(":"), F.array_join(F.array_sort(F.array_distinct(e["value"])), ","))))
+    """source-id:k:v1,v2|... over a map of id lists: canonical values, sorted, and keys sorted; null if none."""
+    lists = F.transform(F.map_entries(ids), lambda e: F.struct(e["key"].alias("k"), F.array_sort(F.filter(F.transform(e["value"], normalize_text), lambda v: v != "")).alias("v")))
+    parts = F.array_sort(F.transform(F.filter(lists, lambda e: F.size(e["v"]) > 0), lambda e: F.concat(e["k"], F.lit(":"), F.array_join(e["v"], ","))))
     return F.when(F.size(parts) > 0, F.concat(F.lit("source-id:"), F.array_join(parts, "|")))
 
 
@@ -57,7 +57,7 @@ AUTHORITY = {"mlh": 80, "devpost": 78, "luma": 70, "hacklist": 55, "hakku": 55,
 
 
 def authority(source: Column) -> Column:
-    out = F.when(source.rlike("^custom:[a-z0-9][a-z0-9-]*$"), 60)
+    out = F.when(source.rlike("^custom:[a-z0-9]+(?:-[a-z0-9]+)*$"), 60)
     for name, value in AUTHORITY.items():
         out = out.when(source == name, value)
     return out.otherwise(30)

@@ -24,62 +24,65 @@ def rank(place, remote, themes, apply, official, prize, student, authority, has_
     return clamp(total).cast("int")
 
 
-def classify(kind: Column, title: Column, body: Column, has_date: Column, has_apply: Column, has_place: Column) -> Column:
-    """class and signals of a page: directories and profiles first, then a vote of six signals."""
-    named = F.length(F.trim(title)) >= 8
-    signals = _flag(named) + _flag(has_date) + _flag(has_apply) + _flag(has_place) + 1 + _flag(F.length(F.trim(body)) > 0)
-    out = (
-        F.when(kind.isin("root", "directory"), "EVENT_DIRECTORY")
-        .when(kind == "profile", "UNCERTAIN")
-        .when((signals >= 3) & named, "INDIVIDUAL_EVENT")
-        .otherwise("UNCERTAIN")
+#: Words that place a failure message, in order of precedence.
+FAILURES = [
+    ("missing_api_key", "missing.?api.?key|not configured|search_provider|search_api_key|unconfigured"), ("rate_limit", "rate.?limit|too many requests|429"),
+    ("anti_bot", "cloudflare|captcha|access denied|blocked|anti-?bot|bot detection|403 forbidden"),
+    ("network", "enotfound|econnrefused|econnreset|etimedout|network|fetch failed|socket|dns|getaddrinfo"),
+    ("browser_missing", "playwright|browser.*not installed|executable doesn't exist"), ("profile_missing", "profile.?missing|no browser profile|profile directory"),
+    ("auth_required", "login|sign in|credentials|auth(?:entication)? required|session expired|reconnect"),
+    ("selector_parser_failure", "selector|parser|parse failed|ui may have changed|no visible cards|markup|dom"),
+    ("no_current_events", "no current|no upcoming|ended|no events"), ("zero_matching_results", "no promising|zero|no .*results|returned no"),
+]
+
+
+def failure_category(message: Column) -> Column:
+    """The first category whose words a message holds; null if none."""
+    low, out = F.lower(message), None
+    for name, pattern in FAILURES:
+        value = F.when(low.rlike("expired|reconnect"), "session_expired").otherwise(name) if name == "auth_required" else F.lit(name)
+        out = F.when(low.rlike(pattern), value) if out is None else out.when(low.rlike(pattern), value)
+    return out
+
+
+def source_health(leads: Column, errors: Column, warnings: Column, signed_in: Column) -> Column:
+    """(status, category) of a scan; errors and warnings are joined messages, null if there are none."""
+    joined = F.concat_ws(" | ", errors, warnings)
+    category = failure_category(joined)
+
+    def verdict(status, kind):
+        lit = lambda x: x if isinstance(x, Column) else F.lit(x).cast("string")
+        return F.struct(lit(status).alias("status"), lit(kind).alias("category"))
+
+    failed = F.coalesce(category, F.lit("unknown"))
+    of_error = (
+        F.when(failed.isin("auth_required", "session_expired"), "auth_required").when(failed.isin("missing_api_key", "profile_missing"), "unconfigured")
+        .when(failed.isin("rate_limit", "anti_bot"), "degraded").otherwise("failed")
+    )
+    quiet = F.coalesce(category, F.lit("zero_matching_results"))
+    of_nothing = F.when(quiet.isin("auth_required", "session_expired"), "auth_required").when(quiet.isin("missing_api_key", "profile_missing"), "unconfigured").otherwise("degraded")
+    shut_out = ~signed_in & joined.rlike("(?i)login|sign in|authentication required|auth_required|credentials")
+    doubtful = warnings.isNotNull() & joined.rlike("(?i)selector|parser|ui may have changed|timeout|partial")
+    return (
+        F.when(errors.isNotNull(), verdict(of_error, failed))
+        .when(shut_out, verdict("auth_required", F.when(joined.rlike("(?i)expired|reconnect"), "session_expired").otherwise("auth_required")))
+        .when((leads > 0) & F.coalesce(doubtful, F.lit(False)), verdict("degraded", category))
+        .when(leads > 0, verdict("healthy", None))
+        .otherwise(verdict(of_nothing, quiet))
     )
-    return F.struct(out.alias("class"), signals.cast("int").alias("signals"))
-
-
-def verify(has_name: Column, has_url: Column, closed: Column, finished: Column, has_date: Column, kind: Column) -> Column:
-    """status and reason: hard rejections in order, then doubts, then acceptance."""
-    rejected = [
-        (~has_name, "no name"), (kind != "INDIVIDUAL_EVENT", "not an individual event"), (finished, "event is over"), (closed, "applications are closed"),
-    ]
-    doubts = [(~has_url, "no address"), (~has_date, "date unknown")]
-    status = reason = None
-    for group, name in ((rejected, "rejected"), (doubts, "needs_review")):
-        for condition, why in group:
-            condition = F.coalesce(condition, F.lit(False))
-            status = F.when(condition, name) if status is None else status.when(condition, name)
-            reason = F.when(condition, why) if reason is None else reason.when(condition, why)
-    return F.struct(status.otherwise("accepted").alias("status"), reason.otherwise("verified").alias("reason"))
-
-
-def missing_facts(facts: dict[str, tuple[int, Column]], limit: int = 9) -> Column:
-    """Names of the facts whose condition holds, most pressing first."""
-    found = F.array_compact(F.array(*[F.when(c, F.struct(F.lit(p).alias("priority"), F.lit(n).alias("name"))) for n, (p, c) in facts.items()]))
-    return F.slice(F.transform(F.array_sort(found), lambda x: x["name"]), 1, limit)
 
 
-#: Words that place a failure message, in order of precedence.
-FAILURES = {
-    "rate_limited": "rate limit|429|too many requests", "auth": "unauthori[sz]ed|forbidden|401|403|login", "timeout": "time(d)? ?out|deadline exceeded",
-    "network": "network|econn|dns|socket", "blocked": "captcha|blocked|challenge", "parse": "parse|unexpected token|invalid json", "empty": "no results|empty",
+#: What a reviewer may do to a record, by status; anything else may only be restored.
+ACTIONS = {
+    "NEW": ["approve", "save", "reject"], "NEEDS_REVIEW": ["approve", "save", "reject"], "APPROVED": ["reject", "save", "restore"],
+    "REJECTED": ["approve", "save", "restore"], "SAVED_FOR_LATER": ["approve", "reject", "unsave", "restore"],
 }
 
 
-def failure_kind(message: Column) -> Column:
-    out = F.when(F.nullif(F.trim(message), F.lit("")).isNull(), "none")
-    for name, pattern in FAILURES.items():
-        out = out.when(F.lower(message).rlike(pattern), name)
-    return out.otherwise("unknown")
-
-
 def allowed_actions(status: Column) -> Column:
-    """What a reviewer may do to a record of this status."""
-    table = {
-        "NEEDS_REVIEW": ["approve", "reject", "save"], "READY_FOR_REVIEW": ["approve", "reject", "save"], "SAVED": ["approve", "reject"],
-        "APPROVED": ["reopen"], "REJECTED": ["reopen"],
-    }
+    """What a reviewer may do to a record of this status, in the order shown."""
     out = None
-    for name, actions in table.items():
+    for name, actions in ACTIONS.items():
         value = F.array(*[F.lit(a) for a in actions])
         out = F.when(status == name, value) if out is None else out.when(status == name, value)
-    return out.otherwise(F.array().cast("array<string>"))
+    return out.otherwise(F.array(F.lit("restore")))

@@ -27,7 +27,7 @@ _PARTS = f"""
     ids AS (
         SELECT *, scheme || '://' || host || regexp_replace(path, '/$', '') ||
                CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END AS identity
-        FROM (SELECT *, list_sort(list_filter(params, lambda p: p <> '' AND NOT regexp_matches(lower(split_part(p, '=', 1)), '^(utm_|fbclid|gclid|mc_|ref)'))) AS kept FROM parts)
+        FROM (SELECT *, list_transform(list_sort(list_transform(list_filter(params, lambda p: p <> '' AND NOT regexp_matches(lower(split_part(p, '=', 1)), '^(utm_|fbclid|gclid|mc_|ref)')), lambda p, i: {{'k': split_part(p, '=', 1), 'i': i, 'p': p}})), lambda x: x.p) AS kept FROM parts)
     )
 """
 
@@ -98,17 +98,6 @@ def p7_first_link(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.leads(spark, sf_dir).select("page_id", F.size(links).cast("long").alias("n_links"), F.try_element_at(links, F.lit(1)).alias("first_link"))
 
 
-def p10_date_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dates mined from sentences about orders: kinds and days in order."""
-    said = F.concat(
-        F.lit("Registration closes: "), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(". The event starts on "),
-        F.date_format(F.date_add(F.col("o_orderdate").cast("date"), 9), "MMMM d, yyyy"), F.lit(" and ends "),
-        F.date_format(F.date_add(F.col("o_orderdate").cast("date"), 11), "MMM d, yyyy"), F.lit("."),
-    )
-    mined = F.transform(dates.mined(said), lambda x: F.concat(x["kind"], F.lit("="), x["value"]))
-    return tables.table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(mined, ";").alias("mined"))
-
-
 def p28_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tables.table(spark, sf_dir, "customer").join(
         F.broadcast(tables.table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey")
@@ -147,7 +136,7 @@ def f24_private_host(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     c1_normalize_text, c2_identity_url, c3_evidence_key, c4_provisional_key, c5_dedupe_key, c8_slug, c12_source_url, c13_fingerprint, c15_soft_key,
-    c18_identity_hash, p3_theme_tags, p7_first_link, p10_date_mining, p28_summary, f9_temporal_status, f12_stale_year, f2_range_overlap,
+    c18_identity_hash, p3_theme_tags, p7_first_link, p28_summary, f9_temporal_status, f12_stale_year, f2_range_overlap,
     s18_page_kind, f24_private_host,
 )}
 
@@ -158,7 +147,7 @@ ORACLES = {
         WITH {_PARTS}
         SELECT page_id, scheme || '://' || host || CASE WHEN bare = '' THEN '/' ELSE bare END || CASE WHEN len(k) > 0 THEN '?' || array_to_string(k, '&') ELSE '' END AS url_key
         FROM (SELECT *, regexp_replace(path, '/+$', '') AS bare,
-                     list_sort(list_filter(params, lambda p: p <> '' AND NOT (starts_with(lower(p), 'utm_') OR lower(split_part(p, '=', 1)) IN ('fbclid','gclid','mc_cid','mc_eid','msclkid','ref','ref_src','s','si')))) AS k
+                     list_transform(list_sort(list_transform(list_filter(params, lambda p: p <> '' AND NOT (starts_with(lower(p), 'utm_') OR lower(split_part(p, '=', 1)) IN ('fbclid','gclid','mc_cid','mc_eid','msclkid','ref','ref_src','s','si'))), lambda p: {{'k': split_part(p, '=', 1), 'v': substr(p, strpos(p, '=') + 1), 'p': p}})), lambda x: x.p) AS k
               FROM parts)
     """,
     "c4_provisional_key": "SELECT page_id, lower(regexp_replace(regexp_replace(url, '#.*$', ''), '/+$', '')) AS url_key FROM pages",
@@ -186,11 +175,6 @@ ORACLES = {
         SELECT page_id, CAST(len(l) AS BIGINT) AS n_links, l[1] AS first_link
         FROM (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS l FROM pages)
     """,
-    "p10_date_mining": """
-        SELECT o_orderkey, 'registration_deadline=' || strftime(o_orderdate, '%Y-%m-%d') || ';event_start=' || strftime(o_orderdate + INTERVAL 9 DAY, '%Y-%m-%d')
-               || ';event_end=' || strftime(o_orderdate, '%Y-%m-%d') || ';event_end=' || strftime(o_orderdate + INTERVAL 11 DAY, '%Y-%m-%d') AS mined
-        FROM orders
-    """,
     "p28_summary": """
         SELECT c_custkey, c_name || ' - ' || upper(n_name[1]) || lower(n_name[2:]) || ' - ' || upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) AS summary
         FROM customer JOIN nation ON c_nationkey = n_nationkey

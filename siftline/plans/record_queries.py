@@ -74,32 +74,6 @@ def r1_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("c_custkey", score.alias("score"))
 
 
-def f13_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    leads = tables.leads(spark, sf_dir)
-    kind = rules.classify(
-        kind=urls.page_kind(F.col("url")), title=F.col("title"), body=tables.strip_tags(F.col("html")),
-        has_date=F.col("page_id") % 3 == 0, has_apply=F.col("page_id") % 5 == 0, has_place=F.col("page_id") % 2 == 0,
-    )
-    return leads.select("page_id", kind["class"].alias("class"), kind["signals"].alias("signals"))
-
-
-def f15_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = tables.table(spark, sf_dir, "orders")
-    verdict = rules.verify(
-        has_name=F.col("o_custkey") % 11 > 0, has_url=F.col("o_orderkey") % 4 > 0, closed=F.year("o_orderdate") < 1996,
-        finished=F.year("o_orderdate") < 1995, has_date=F.col("o_orderkey") % 9 > 0, kind=F.when(F.col("o_orderkey") % 13 == 0, "EVENT_DIRECTORY").otherwise("INDIVIDUAL_EVENT"),
-    )
-    return o.groupBy(verdict["status"].alias("status"), verdict["reason"].alias("reason")).agg(F.count(F.lit(1)).alias("n"))
-
-
-def f30_missing_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = tables.table(spark, sf_dir, "orders")
-    facts = rules.missing_facts({
-        "start_date": (1, F.col("o_orderkey") % 2 == 0), "official_url": (2, F.col("o_custkey") % 3 == 0), "location": (3, F.col("o_orderkey") % 5 == 0), "prize": (4, F.col("o_custkey") % 7 == 0),
-    })
-    return o.select("o_orderkey", F.array_join(facts, ",").alias("missing"))
-
-
 def f31_groundedness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much of each answer its conversation's question supports."""
     said = tables.table(spark, sf_dir, "conversations")
@@ -273,14 +247,6 @@ def j11_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.join(ev, c.id == ev.candidate_id, "left_anti").groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
-def f7_place_constraint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers by how their nation meets a constraint on one nation of a region."""
-    n, r = tables.table(spark, sf_dir, "nation"), tables.table(spark, sf_dir, "region")
-    place = tables.table(spark, sf_dir, "customer").join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey"))
-    status = F.when(F.col("n_nationkey") == 6, "exact").when(F.col("n_regionkey") == 1, "same_region").otherwise("elsewhere")
-    return place.groupBy(status.alias("status"), "r_name").agg(F.count(F.lit(1)).alias("n"))
-
-
 def u2_ordered_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each record's parts in order of lines, repeats dropped."""
     ev = tables.evidence(spark, sf_dir).groupBy("candidate_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "part", "supplier"))).alias("x"))
@@ -302,10 +268,10 @@ def t2_tail_after(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    pipeline_topk, r1_rank, f13_classify, f15_verify, f30_missing_facts, f31_groundedness, a1_source_accounting, a4_quality_counters, a10_consolidate,
+    pipeline_topk, r1_rank, f31_groundedness, a1_source_accounting, a4_quality_counters, a10_consolidate,
     a11_evidence_groups, a13_total, a20_repeated_units, a25_timing_buckets, w1_keep_first, w4_forward_fill, w5_sequence, w6_growth_steps, w9_action_history, w10_primary_evidence,
     w12_byte_budget, o1_queue_page, o3_keyset_page, m8_entity_resolution, m9_row_merge, m10_upsert_plan, m12_observations, m16_latest_bucket, a30_parity, k9_sheet_rows, k12_reconcile,
-    j6_blocking_edges, j10_semi, j11_anti, f7_place_constraint, u2_ordered_union, t2_tail_after, t6_status_projection,
+    j6_blocking_edges, j10_semi, j11_anti, u2_ordered_union, t2_tail_after, t6_status_projection,
 )}
 
 _STRIP = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<script[^>]*>.*?</script>', ' ', 'g'), '(?s)<style[^>]*>.*?</style>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g')"
@@ -327,27 +293,6 @@ ORACLES = {
                + CASE WHEN c_custkey % 8 IN (0, 1, 2) THEN 8 ELSE 0 END - CASE WHEN c_custkey % 7 = 0 THEN 10 ELSE 0 END + CASE WHEN c_nationkey = 3 THEN 5 ELSE 0 END)) AS INT) AS score
         FROM customer JOIN nation ON c_nationkey = n_nationkey
     """,
-    "f13_classify": f"""
-        WITH {_PARTS},
-        k AS (SELECT page_id, title, regexp_replace(lower(path), '/+$', '') AS p, path, {_STRIP} AS body FROM parts JOIN (SELECT page_id, html FROM pages) USING (page_id)),
-        s AS (SELECT *, length(trim(title)) >= 8 AS named,
-                     CAST(length(trim(title)) >= 8 AS INT) + CAST(page_id % 3 = 0 AS INT) + CAST(page_id % 5 = 0 AS INT) + CAST(page_id % 2 = 0 AS INT) + 1 + CAST(length(trim(body)) > 0 AS INT) AS signals FROM k)
-        SELECT page_id, signals, CASE WHEN p = '' OR regexp_matches(lower(path), '(^|/)(tag|tags|category|calendar|explore|discover|search)(/|$)') THEN 'EVENT_DIRECTORY'
-               WHEN regexp_matches(lower(path), '(^|/)(u|user|users|profile|people)/') THEN 'UNCERTAIN'
-               WHEN signals >= 3 AND named THEN 'INDIVIDUAL_EVENT' ELSE 'UNCERTAIN' END AS class
-        FROM s
-    """,
-    "f15_verify": """
-        SELECT CASE WHEN o_custkey % 11 = 0 OR o_orderkey % 13 = 0 OR year(o_orderdate) < 1996 THEN 'rejected' WHEN o_orderkey % 4 = 0 OR o_orderkey % 9 = 0 THEN 'needs_review' ELSE 'accepted' END AS status,
-               CASE WHEN o_custkey % 11 = 0 THEN 'no name' WHEN o_orderkey % 13 = 0 THEN 'not an individual event' WHEN year(o_orderdate) < 1995 THEN 'event is over'
-                    WHEN year(o_orderdate) < 1996 THEN 'applications are closed' WHEN o_orderkey % 4 = 0 THEN 'no address' WHEN o_orderkey % 9 = 0 THEN 'date unknown' ELSE 'verified' END AS reason, count(*) AS n
-        FROM orders GROUP BY 1, 2
-    """,
-    "f30_missing_facts": """
-        SELECT o_orderkey, array_to_string(list_filter([CASE WHEN o_orderkey % 2 = 0 THEN 'start_date' END, CASE WHEN o_custkey % 3 = 0 THEN 'official_url' END,
-               CASE WHEN o_orderkey % 5 = 0 THEN 'location' END, CASE WHEN o_custkey % 7 = 0 THEN 'prize' END], lambda x: x IS NOT NULL), ',') AS missing
-        FROM orders
-    """,
     "f31_groundedness": f"""
         WITH q AS (SELECT conv_id, list_distinct(list_filter(string_split({_NORM.format('arg_min(text, turn)')}, ' '), lambda x: length(x) >= 4)) AS w FROM conversations WHERE role = 'user' GROUP BY conv_id),
              a AS (SELECT conv_id, list_distinct(string_split({_NORM.format('text')}, ' ')) AS t FROM conversations WHERE role = 'assistant')
@@ -435,10 +380,6 @@ ORACLES = {
     """,
     "j10_semi": f"WITH {_CAND}, {_EVID} SELECT status, count(*) AS n FROM cand WHERE id IN (SELECT candidate_id FROM evid WHERE type = 'official_page') GROUP BY status",
     "j11_anti": f"WITH {_CAND}, {_EVID} SELECT status, count(*) AS n FROM cand WHERE id NOT IN (SELECT candidate_id FROM evid WHERE type = 'official_page') GROUP BY status",
-    "f7_place_constraint": """
-        SELECT CASE WHEN n_nationkey = 6 THEN 'exact' WHEN n_regionkey = 1 THEN 'same_region' ELSE 'elsewhere' END AS status, r_name, count(*) AS n
-        FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2
-    """,
     "u2_ordered_union": f"""
         WITH {_EVID}, f AS (SELECT candidate_id, supplier % 7 AS v, min((ordinal, part, supplier)) AS pos FROM evid GROUP BY 1, 2)
         SELECT candidate_id, string_agg(CAST(v AS VARCHAR), ',' ORDER BY pos) AS parts FROM f GROUP BY candidate_id

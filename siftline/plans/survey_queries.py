@@ -16,37 +16,6 @@ from .record_queries import _CAND, _EVID, _LOG
 PLACES = {"la": "fr", "el": "es", "der": "de", "the": "en"}
 
 
-def p4_gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first place word of the table that a text names, and its country."""
-    t = F.col("text")
-    place = country = None
-    for word, of in PLACES.items():
-        hit = text.has_word(t, word)
-        place = F.when(hit, word) if place is None else place.when(hit, word)
-        country = F.when(hit, of) if country is None else country.when(hit, of)
-    return tables.table(spark, sf_dir, "documents").select("doc_id", place.alias("place"), country.alias("country"))
-
-
-def p5_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """online, in-person or hybrid by vocabulary; both kinds of words make hybrid."""
-    online, local = text.has_word(F.col("text"), "la|le"), text.has_word(F.col("text"), "de|des")
-    mode = F.when(online & local, "hybrid").when(online, "online").when(local, "in-person").otherwise("unknown")
-    return tables.table(spark, sf_dir, "documents").groupBy(mode.alias("mode")).agg(F.count(F.lit(1)).alias("n"))
-
-
-def p23_outbound_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Addresses that pages link to, by their host-less path."""
-    link = F.explode(F.regexp_extract_all("html", F.lit('href="(/[^"]*)"'), F.lit(1)))
-    return tables.table(spark, sf_dir, "pages").select(link.alias("path")).groupBy("path").agg(F.count(F.lit(1)).alias("n"))
-
-
-def p24_url_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per host the best page: documents before records before the rest, then the first."""
-    leads = tables.leads(spark, sf_dir)
-    worth = F.when(urls.page_kind(F.col("url")) == "document", 2).when(urls.page_kind(F.col("url")) == "record", 1).otherwise(0)
-    return leads.groupBy(urls.host(F.col("url")).alias("host")).agg(F.max_by("url", F.struct(worth, -F.col("page_id"))).alias("best"), F.max(worth).alias("worth"))
-
-
 def s17_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A budget of 100 dealt evenly over nations, the remainder to the first."""
     n = tables.table(spark, sf_dir, "nation")
@@ -69,7 +38,8 @@ def a17_mode_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The most common set of evidence types that records have."""
     ev = tables.evidence(spark, sf_dir)
     per = ev.groupBy("candidate_id").agg(F.array_join(F.array_sort(F.collect_set("type")), "+").alias("signature"))
-    return per.groupBy("signature").agg(F.count(F.lit(1)).alias("n"))
+    counts = per.groupBy("signature").agg(F.count(F.lit(1)).alias("n"))
+    return counts.agg(F.max_by("signature", F.struct("n", "signature")).alias("signature"), F.max("n").alias("n"))
 
 
 def a19_column_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,19 +97,6 @@ def f23_open_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.groupBy(dates.deadline_state(deadline, F.lit("1997-06-15")).alias("state")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def f27_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Failure kinds of log entries, from messages made of their fields."""
-    log = tables.event_log(spark, sf_dir)
-    n = F.get_json_object("metadata", "$.k").cast("int")
-    message = F.when(F.col("level") != "error", F.lit("")).when(n % 4 == 0, "HTTP 429 Too Many Requests").when(n % 4 == 1, "socket closed").when(n % 4 == 2, "Timed out").otherwise("odd")
-    return log.groupBy(rules.failure_kind(message).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
-
-
-def f35_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = tables.candidates(spark, sf_dir).select(F.explode(rules.allowed_actions(F.col("status"))).alias("action"))
-    return c.groupBy("action").agg(F.count(F.lit(1)).alias("n"))
-
-
 def j1_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evidence with its record's status; evidence without a record keeps null."""
     ev, c = tables.evidence(spark, sf_dir), tables.candidates(spark, sf_dir).filter("id % 5 > 0")
@@ -147,23 +104,15 @@ def j1_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("type", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
-def j4_detail_nest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each record with its evidence as one text, best first."""
-    groups = views.evidence_groups(tables.evidence(spark, sf_dir))
-    item = F.struct((-F.col("authority")).alias("a"), F.col("url_key").alias("u"), F.col("type").alias("t"), F.col("seen_count").alias("n"))
-    nested = groups.groupBy("candidate_id").agg(F.array_sort(F.collect_list(item)).alias("x"))
-    said = F.array_join(F.transform("x", lambda e: F.concat(e["t"], F.lit("@"), e["u"], F.lit("="), e["n"])), ";")
-    return nested.select("candidate_id", F.size("x").cast("long").alias("sources"), said.alias("evidence"))
-
-
 def j15_theta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contradictions: lines of an order shipped on either side of another's date, by order.
+    """Contradictions among estimates: line quantities of an order of which one is at least half as much again and ten more.
 
     The inequality is inside an equi-join on the order, so no cross join arises.
     """
-    ev = tables.evidence(spark, sf_dir).select("candidate_id", "seen_at", "supplier")
-    other = ev.select(F.col("candidate_id").alias("c"), F.col("seen_at").alias("at"), F.col("supplier").alias("s"))
-    bad = ev.join(other, (F.col("candidate_id") == F.col("c")) & (F.col("supplier") == F.col("s")) & (F.col("seen_at") < F.col("at")))
+    ev = tables.evidence(spark, sf_dir).select("candidate_id", "ordinal", "seen_count")
+    other = ev.select(F.col("candidate_id").alias("c"), F.col("ordinal").alias("o"), F.col("seen_count").alias("m"))
+    apart = F.greatest("seen_count", "m") >= F.least("seen_count", "m") * 1.5 + 10
+    bad = ev.join(other, (F.col("candidate_id") == F.col("c")) & (F.col("ordinal") < F.col("o")) & apart)
     return bad.groupBy("candidate_id").agg(F.count(F.lit(1)).alias("contradictions"))
 
 
@@ -177,16 +126,9 @@ def k14_append_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def o14_did_you_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three closest nation names to a misspelt one."""
-    n = tables.table(spark, sf_dir, "nation").withColumn("distance", F.levenshtein(F.lower("n_name"), F.lit("gemrany")))
-    return n.orderBy("distance", "n_name").limit(3).select("n_name", "distance")
-
-
-def u3_map_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The suppliers of each record by evidence type, as a canonical map."""
-    ev = tables.evidence(spark, sf_dir).groupBy("candidate_id", "type").agg(F.count_distinct("supplier").alias("n"))
-    maps = ev.groupBy("candidate_id").agg(F.map_from_entries(F.collect_list(F.struct("type", "n"))).alias("m"))
-    return maps.select("candidate_id", text.canonical_map(F.col("m")).alias("suppliers"))
+    """The nation that a misspelt name most likely means: the first of the closest within two edits."""
+    n = tables.table(spark, sf_dir, "nation").withColumn("distance", F.levenshtein(F.lower("n_name"), F.lit("gemrany"))).filter("distance <= 2")
+    return n.agg(F.min_by("n_name", F.struct("distance", "n_nationkey")).alias("n_name"), F.min("distance").alias("distance"))
 
 
 def u6_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -212,13 +154,6 @@ def w11_reused(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.groupBy("source").agg(F.round(F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)) / F.sum("n"), 4).alias("reused"))
 
 
-def m13_transition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Approval of strong records under review; decided ones and repeats change nothing."""
-    c = tables.candidates(spark, sf_dir)
-    new = F.when((F.col("score") >= 80) & F.col("status").isin("NEEDS_REVIEW", "READY_FOR_REVIEW"), "APPROVED").otherwise(F.col("status"))
-    return c.groupBy("status", new.alias("new_status")).agg(F.count(F.lit(1)).alias("n"))
-
-
 def m11_changed_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Between stored and incoming records, how many differ in each field."""
     c = tables.candidates(spark, sf_dir)
@@ -227,22 +162,18 @@ def m11_changed_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    p4_gazetteer, p5_mode, p23_outbound_urls, p24_url_argmax, s17_budgets, a12_source_counts, a16_duplicate_rate, a17_mode_signature, a19_column_roles, a22_date_coverage,
-    a23_quality, a27_bucket_counts, a31_run_status, c16_stable_key, f4_theme_match, f23_open_state, f27_failures, f35_actions, j1_lookup, j4_detail_nest, j15_theta,
-    k14_append_sequence, o14_did_you_mean, u3_map_union, u6_difference, w2_partition_frames, w7_progression, w11_reused, m11_changed_fields, m13_transition,
+    s17_budgets, a12_source_counts, a16_duplicate_rate, a17_mode_signature, a19_column_roles, a22_date_coverage,
+    a23_quality, a27_bucket_counts, a31_run_status, c16_stable_key, f4_theme_match, f23_open_state, j1_lookup, j15_theta,
+    k14_append_sequence, o14_did_you_mean, u6_difference, w2_partition_frames, w7_progression, w11_reused, m11_changed_fields, 
 )}
 
 _KIND_WORTH = "CASE WHEN regexp_matches(lower(path), '(^|/)(tag|tags|category|calendar|explore|discover|search)(/|$)') OR regexp_matches(lower(path), '(^|/)(u|user|users|profile|people)/') THEN 0 WHEN regexp_matches(lower(path), '[.]html?$') THEN 2 WHEN regexp_matches(path, '/[0-9]+/?$') THEN 1 ELSE 0 END"
 
 ORACLES = {
-    "p4_gazetteer": "SELECT doc_id, " + ", ".join("CASE " + " ".join(f"WHEN {word_sql('text', w)} THEN '{v if part else w}'" for w, v in PLACES.items()) + f" END AS {name}" for part, name in ((0, "place"), (1, "country"))) + " FROM documents",
-    "p5_mode": f"SELECT CASE WHEN {word_sql('text', 'la|le')} AND {word_sql('text', 'de|des')} THEN 'hybrid' WHEN {word_sql('text', 'la|le')} THEN 'online' WHEN {word_sql('text', 'de|des')} THEN 'in-person' ELSE 'unknown' END AS mode, count(*) AS n FROM documents GROUP BY 1",
-    "p23_outbound_urls": "SELECT path, count(*) AS n FROM (SELECT unnest(regexp_extract_all(html, 'href=\"(/[^\"]*)\"', 1)) AS path FROM pages) GROUP BY path",
-    "p24_url_argmax": f"WITH {_PARTS} SELECT host, arg_max(url, ({_KIND_WORTH}, -page_id)) AS best, CAST(max({_KIND_WORTH}) AS INT) AS worth FROM parts GROUP BY host",
     "s17_budgets": "SELECT n_nationkey, CAST(130 // total + CASE WHEN place < 130 % total THEN 1 ELSE 0 END AS BIGINT) AS budget FROM (SELECT n_nationkey, count(*) OVER () AS total, row_number() OVER (ORDER BY n_nationkey) - 1 AS place FROM nation)",
     "a12_source_counts": f"WITH {_CAND} SELECT source, count(*) AS n FROM cand GROUP BY source",
     "a16_duplicate_rate": "SELECT source, count(*) AS n, count(DISTINCT text) AS distinct_n, round(1 - count(DISTINCT text) / count(*), 4) AS duplicate_rate FROM documents GROUP BY source",
-    "a17_mode_signature": f"WITH {_EVID}, p AS (SELECT candidate_id, string_agg(DISTINCT type, '+' ORDER BY type) AS signature FROM evid GROUP BY 1) SELECT signature, count(*) AS n FROM p GROUP BY 1",
+    "a17_mode_signature": f"WITH {_EVID}, p AS (SELECT candidate_id, string_agg(DISTINCT type, '+' ORDER BY type) AS signature FROM evid GROUP BY 1) SELECT signature, count(*) AS n FROM p GROUP BY 1 ORDER BY n DESC, signature DESC LIMIT 1",
     "a19_column_roles": " UNION ALL ".join(f"SELECT '{c}' AS path, round(count({c}) / count(*), 4) AS coverage, round(count(DISTINCT {c}) / count(*), 4) AS uniqueness FROM part" for c in ("p_name", "p_brand", "p_type", "p_size")),
     "a22_date_coverage": """
         SELECT *, coalesce(first_day > lag(last_day) OVER (ORDER BY batch), false) AS progressed
@@ -260,25 +191,13 @@ ORACLES = {
     "c16_stable_key": "SELECT c_custkey, lower(concat_ws('|', c_name, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END, c_nationkey)) AS key FROM customer",
     "f4_theme_match": "SELECT page_id, CAST(" + " + ".join(f"CASE WHEN {word_sql('title', w)} THEN 1 ELSE 0 END" for w in ("the", "de", "la", "and", "der")) + " AS INT) AS matches FROM (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages)",
     "f23_open_state": "SELECT CASE WHEN o_orderkey % 6 = 0 THEN 'missing' WHEN o_orderkey % 7 = 0 THEN 'unclear' WHEN o_orderdate < DATE '1997-06-15' THEN 'closed' ELSE 'open' END AS state, count(*) AS n FROM orders GROUP BY 1",
-    "f27_failures": """
-        SELECT CASE WHEN event_type <> 'error' THEN 'none' WHEN k % 4 = 0 THEN 'rate_limited' WHEN k % 4 = 1 THEN 'network' WHEN k % 4 = 2 THEN 'timeout' ELSE 'unknown' END AS kind, count(*) AS n
-        FROM (SELECT *, CAST(regexp_extract(props, '[0-9]+') AS INT) AS k FROM events) GROUP BY 1
-    """,
-    "f35_actions": f"""
-        WITH {_CAND} SELECT action, count(*) AS n FROM (SELECT unnest(CASE WHEN status = 'APPROVED' THEN ['reopen'] ELSE ['approve', 'reject', 'save'] END) AS action FROM cand) GROUP BY action
-    """,
     "j1_lookup": f"WITH {_CAND}, {_EVID} SELECT type, status, count(*) AS n FROM evid LEFT JOIN (SELECT * FROM cand WHERE id % 5 > 0) ON candidate_id = id GROUP BY 1, 2",
-    "j4_detail_nest": f"""
-        WITH {_EVID}, g AS (SELECT candidate_id, type, url_key, sum(seen_count) AS n, CASE type WHEN 'official_page' THEN 100 WHEN 'apply_page' THEN 90 ELSE 35 END AS a FROM evid GROUP BY 1, 2, 3)
-        SELECT candidate_id, count(*) AS sources, string_agg(type || '@' || url_key || '=' || n, ';' ORDER BY a DESC, url_key, type) AS evidence FROM g GROUP BY candidate_id
-    """,
-    "j15_theta": f"WITH {_EVID} SELECT a.candidate_id, count(*) AS contradictions FROM evid a JOIN evid b ON a.candidate_id = b.candidate_id AND a.supplier = b.supplier AND a.seen_at < b.seen_at GROUP BY 1",
+    "j15_theta": f"WITH {_EVID} SELECT a.candidate_id, count(*) AS contradictions FROM evid a JOIN evid b ON a.candidate_id = b.candidate_id AND a.ordinal < b.ordinal AND greatest(a.seen_count, b.seen_count) >= least(a.seen_count, b.seen_count) * 1.5 + 10 GROUP BY 1",
     "k14_append_sequence": f"""
         WITH {_LOG}, s AS (SELECT job_id, count(*) AS last FROM log WHERE event_id % 3 > 0 GROUP BY 1)
         SELECT event_id, job_id, coalesce(last, 0) + row_number() OVER (PARTITION BY job_id ORDER BY ts, event_id) AS sequence FROM log LEFT JOIN s USING (job_id) WHERE event_id % 3 = 0
     """,
-    "o14_did_you_mean": "SELECT n_name, CAST(levenshtein(lower(n_name), 'gemrany') AS INT) AS distance FROM nation ORDER BY distance, n_name LIMIT 3",
-    "u3_map_union": f"WITH {_EVID}, g AS (SELECT candidate_id, type, count(DISTINCT supplier) AS n FROM evid GROUP BY 1, 2) SELECT candidate_id, string_agg(type || ':' || n, '|' ORDER BY type) AS suppliers FROM g GROUP BY 1",
+    "o14_did_you_mean": "SELECT arg_min(n_name, {'d': d, 'k': n_nationkey}) AS n_name, CAST(min(d) AS INT) AS distance FROM (SELECT *, levenshtein(lower(n_name), 'gemrany') AS d FROM nation) WHERE d <= 2",
     "u6_difference": "SELECT p_partkey FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 45",
     "w2_partition_frames": f"WITH {_EVID} SELECT candidate_id, ordinal, part, min(seen_at) OVER w AS first_seen, CAST(sum(seen_count) OVER w AS BIGINT) AS seen FROM evid WINDOW w AS (PARTITION BY candidate_id)",
     "w7_progression": f"WITH {_LOG} SELECT event_id, round(value - lag(value) OVER (PARTITION BY job_id ORDER BY ts, event_id), 2) AS gain FROM log",
@@ -287,5 +206,4 @@ ORACLES = {
         SELECT source, round(sum(CASE WHEN n > 1 THEN n ELSE 0 END) / sum(n), 4) AS reused FROM p GROUP BY source
     """,
     "m11_changed_fields": f"WITH {_CAND} SELECT CAST(0 AS BIGINT) AS missing, count(*) FILTER (id % 6 = 0) AS score_differs, count(*) FILTER (id % 8 = 0) AS name_differs, CAST(0 AS BIGINT) AS source_differs FROM cand",
-    "m13_transition": f"WITH {_CAND} SELECT status, CASE WHEN score >= 80 AND status <> 'APPROVED' THEN 'APPROVED' ELSE status END AS new_status, count(*) AS n FROM cand GROUP BY 1, 2",
 }

@@ -1,7 +1,7 @@
-"""Raw pages to rows: a node table, embedded JSON, and listing cards.
+"""Raw pages to rows: a node table, listing cards by selectors, tables, and embedded JSON.
 
 HTML needs a parser, so this is one of the few Python boundaries: pages are
-parsed once, in mapInArrow, into a node table; everything after that is SQL.
+parsed once, in mapInArrow, into rows; everything after that is SQL.
 """
 
 from __future__ import annotations
@@ -17,40 +17,59 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 
 
 class _Tree(HTMLParser):
-    """Collects nodes in document order; the text of a node is what stands directly in it."""
+    """Collects nodes in document order; the text of a node is what stands directly in it.
 
-    def __init__(self, most_nodes: int, most_depth: int):
+    A node beyond a bound is skipped: its text belongs to the nearest node that is
+    kept, and its end tag closes it and nothing else.
+    """
+
+    def __init__(self, most_nodes: int | None = None, most_depth: int | None = None):
         super().__init__(convert_charrefs=True)
         self.rows: list[list] = []
-        self.open: list[int] = []
+        self.open: list[tuple[int, str]] = []  # row, or -1 if skipped, and tag
+        self.kept: list[int] = []
+        self.attrs: list[dict] = []
         self.most_nodes, self.most_depth = most_nodes, most_depth
 
     def handle_starttag(self, tag, attrs):
-        if len(self.rows) >= self.most_nodes or len(self.open) >= self.most_depth:
-            return
-        found = dict(attrs)
-        shape = ".".join([tag, *sorted((found.get("class") or "").split())])
-        parent = self.open[-1] if self.open else -1
-        self.rows.append([len(self.rows), parent, tag, len(self.open), shape, found.get("href"), ""])
+        beyond = (self.most_nodes is not None and len(self.rows) >= self.most_nodes) or (self.most_depth is not None and len(self.kept) >= self.most_depth)
+        at = -1 if beyond else len(self.rows)
+        if not beyond:
+            found = dict(attrs)
+            shape = ".".join([tag, *sorted((found.get("class") or "").split())])
+            self.rows.append([at, self.kept[-1] if self.kept else -1, tag, len(self.kept), shape, found.get("href"), ""])
+            self.attrs.append(found)
         if tag not in VOID:
-            self.open.append(len(self.rows) - 1)
+            self.open.append((at, tag))
+            if at >= 0:
+                self.kept.append(at)
+
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)
+        if tag not in VOID:
+            self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
         for i in range(len(self.open) - 1, -1, -1):
-            if self.rows[self.open[i]][2] == tag:
+            if self.open[i][1] == tag:
+                for at, _ in self.open[i:]:
+                    if at >= 0:
+                        self.kept.pop()
                 del self.open[i:]
                 return
 
     def handle_data(self, data):
-        if self.open and self.rows[self.open[-1]][2] not in ("script", "style"):
-            self.rows[self.open[-1]][6] += data
+        if self.open and self.open[-1][1] in ("script", "style"):
+            return
+        if self.kept:
+            self.rows[self.kept[-1]][6] += data
 
 
-def nodes(pages: DataFrame, most_nodes: int = 3000, most_depth: int = 18) -> DataFrame:
+def nodes(pages: DataFrame, most_nodes: int | None = None, most_depth: int | None = None) -> DataFrame:
     """The node table of page_id, html; null pages have no nodes.
 
-    most_nodes and most_depth bound what one page may yield, as the operator's
-    parameters; what lies deeper is part of its ancestor's text.
+    Whole pages are read unless most_nodes or most_depth bound what a page may
+    yield; then the text of what is left out is part of its nearest kept ancestor's.
     """
 
     def parse(batches):
@@ -71,13 +90,163 @@ def nodes(pages: DataFrame, most_nodes: int = 3000, most_depth: int = 18) -> Dat
     return pages.select("page_id", "html").mapInArrow(parse, NODES)
 
 
+def _parsed_selector(selector: str) -> list[tuple[str, frozenset]]:
+    """"a.tile, .card" as (tag or nothing, classes) alternatives."""
+    out = []
+    for part in selector.split(","):
+        tag, *classes = part.strip().split(".")
+        out.append((tag, frozenset(classes)))
+    return out
+
+
+class _Cards(_Tree):
+    """A page's nodes with what a selector needs: classes, and each node's subtree as a range of rows."""
+
+    def __init__(self, html: str):
+        super().__init__()
+        self.feed(html)
+        self.close()
+        self.end = list(range(1, len(self.rows) + 1))
+        for i in range(len(self.rows) - 1, -1, -1):
+            if (up := self.rows[i][1]) >= 0:
+                self.end[up] = max(self.end[up], self.end[i])
+
+    def matches(self, i: int, wanted) -> bool:
+        classes = set((self.attrs[i].get("class") or "").split())
+        return any((not tag or tag == self.rows[i][2]) and names <= classes for tag, names in wanted)
+
+    def text(self, i: int) -> str:
+        return " ".join(" ".join(r[6] for r in self.rows[i : self.end[i]]).split())
+
+    def first(self, i: int, wanted) -> int | None:
+        return next((j for j in range(i, self.end[i]) if self.matches(j, wanted)), None)
+
+
+def cards(pages: DataFrame, card: str, fields: dict[str, str]) -> DataFrame:
+    """One row per card: page_id, position, shape and the fields of pages (page_id, html).
+
+    ``card`` and the fields are selectors (tag, .class, tag.class, several by commas);
+    a field is the text of the first match in the card, or an attribute of it if
+    the selector ends in @name.  Cards within cards are cards of their own.
+    """
+    names = list(fields)
+    outer = _parsed_selector(card)
+    inner = [(_parsed_selector(s.partition("@")[0]), s.partition("@")[2] or None) for s in fields.values()]
+
+    def scan(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            out: list[list] = [[] for _ in range(3 + len(names))]
+            for page, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                tree, position = _Cards(html or ""), 0
+                for i in range(len(tree.rows)):
+                    if not tree.matches(i, outer):
+                        continue
+                    row = [page, position, tree.rows[i][4]]
+                    for wanted, attribute in inner:
+                        j = tree.first(i, wanted)
+                        row.append(None if j is None else tree.attrs[j].get(attribute) if attribute else tree.text(j) or None)
+                    position += 1
+                    for column, value in zip(out, row):
+                        column.append(value)
+            types = [pa.int64(), pa.int32(), pa.string(), *[pa.string()] * len(names)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], ["page_id", "position", "shape", *names])
+
+    schema = "page_id long, position int, shape string" + "".join(f", {n} string" for n in names)
+    return pages.select("page_id", "html").mapInArrow(scan, schema)
+
+
+def table_rows(pages: DataFrame) -> DataFrame:
+    """Rows of the tables of pages (page_id, html): page_id, row_no, header (texts of th cells, of the table's first row that has any), cells."""
+
+    def scan(batches):
+        import pyarrow as pa
+
+        texts = pa.list_(pa.string())
+        for batch in batches:
+            out: list[list] = [[], [], [], []]
+            for page, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                tree, header, table = _Cards(html or ""), [], None
+                number = 0
+                for i, row in enumerate(tree.rows):
+                    if row[2] == "table":
+                        header, table = [], i
+                    if row[2] != "tr" or table is None or i >= tree.end[table]:
+                        continue
+                    inside = range(i + 1, tree.end[i])
+                    heads = [tree.text(j) for j in inside if tree.rows[j][2] == "th"]
+                    found = [tree.text(j) for j in inside if tree.rows[j][2] == "td"]
+                    if heads and not found:
+                        header = header or heads
+                    elif found:
+                        for column, value in zip(out, (page, number, header, found)):
+                            column.append(value)
+                        number += 1
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], texts), pa.array(out[3], texts)], ["page_id", "row_no", "header", "cells"])
+
+    return pages.select("page_id", "html").mapInArrow(scan, "page_id long, row_no int, header array<string>, cells array<string>")
+
+
+def column_of(header: Column, aliases: list[str], named: str | None = None) -> Column:
+    """The place (from 0) of the column called `named`, else of the first that an alias names or is part of; -1 if none."""
+    plain = F.transform(header, lambda h: F.trim(F.regexp_replace(F.lower(h), "[^a-z0-9]+", " ")))
+    like = F.transform(plain, _any_alias(aliases))
+    by_alias = F.array_position(like, True) - 1
+    if named is None:
+        return by_alias.cast("int")
+    exact = F.array_position(F.transform(header, lambda h: F.lower(F.trim(h))), named.strip().lower()) - 1
+    return F.when(exact >= 0, exact).otherwise(by_alias).cast("int")
+
+
+def _any_alias(aliases: list[str]):
+    def named(h):
+        out = F.lit(False)
+        for a in aliases:
+            out = out | h.contains(a)
+        return out
+
+    return named
+
+
+def json_scripts(html: Column) -> Column:
+    """The contents of all JSON-LD scripts of a page, in order."""
+    found = F.regexp_extract_all(html, F.lit(r"""(?is)<script[^>]*type=["']application/ld\+json["'][^>]*>(.*?)</script>"""), F.lit(1))
+    return F.filter(F.transform(found, F.trim), lambda x: x != "")
+
+
+def blocked_page(html: Column) -> Column:
+    """Whether a page is a check for robots rather than content: its words say so and it has few links."""
+    said = html.rlike("(?i)captcha|verify you are human|access denied|unusual traffic|checking your browser")
+    return F.coalesce(said & (F.regexp_count(html, F.lit("(?i)<a[^>]+href")) < 5), F.lit(False))
+
+
 def repeated_units(table: DataFrame, least: int = 2) -> DataFrame:
-    """Siblings of one shape under one parent: how many, and how alike their texts are."""
+    """Siblings of one shape under one parent: how many, how alike their texts and links are, and how sure that makes them a listing.
+
+    confidence is 0.3 for distinct texts, 0.25 for distinct links, 0.2 for links at
+    all and 0.25 for many units, each by its share.
+    """
     text = F.nullif(F.trim("text"), F.lit(""))
     out = table.groupBy("page_id", "parent_id", "shape").agg(
-        F.count(F.lit(1)).alias("units"), F.count(text).alias("with_text"), F.countDistinct(text).alias("distinct_texts"), F.count("href").alias("with_href")
+        F.count(F.lit(1)).alias("units"), F.count(text).alias("with_text"), F.countDistinct(text).alias("distinct_texts"), F.count("href").alias("with_href"), F.countDistinct("href").alias("distinct_hrefs")
     )
-    return out.filter(F.col("units") >= least)
+    sure = 0.3 * F.col("distinct_texts") / F.col("units") + 0.25 * F.col("distinct_hrefs") / F.col("units") + 0.2 * F.col("with_href") / F.col("units") + 0.25 * F.least(F.col("units") / 10, F.lit(1.0))
+    return out.filter(F.col("units") >= least).withColumn("confidence", F.round(sure, 4))
+
+
+def sibling_sets(units: DataFrame) -> DataFrame:
+    """Pairs of unit sets of one page and shape under different parents: parts of one listing."""
+    a, b = units.alias("a"), units.alias("b")
+    same = (F.col("a.page_id") == F.col("b.page_id")) & (F.col("a.shape") == F.col("b.shape")) & (F.col("a.parent_id") < F.col("b.parent_id"))
+    return a.join(b, same).select(F.col("a.page_id").alias("page_id"), F.col("a.shape").alias("shape"), F.col("a.parent_id").alias("one"), F.col("b.parent_id").alias("other"), (F.col("a.units") + F.col("b.units")).alias("units"))
+
+
+def children(table: DataFrame) -> DataFrame:
+    """Each node with how many children it has and the shapes of those, in order."""
+    kids = table.filter("parent_id >= 0").groupBy("page_id", F.col("parent_id").alias("node_id")).agg(
+        F.count(F.lit(1)).alias("child_count"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node_id", "shape"))), lambda x: x["shape"]), " ").alias("child_shapes"))
+    return table.join(kids, ["page_id", "node_id"], "left").fillna(0, ["child_count"])
 
 
 def embedded_json(html: Column, marker: str) -> Column:

@@ -7,8 +7,6 @@ rows it wrote, so that a stream's result can be compared with its batch twin.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from siftline.storage import new_path
+
 
 def read_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a stream, with the log's columns; one file a batch."""
@@ -38,35 +38,55 @@ def job_states(log: DataFrame) -> DataFrame:
     return log.groupBy("job_id").agg(F.count(F.lit(1)).alias("entries"), F.count_if(F.col("level") == "error").alias("errors"))
 
 
-def coalesced(log: DataFrame, every: int = 8) -> DataFrame:
-    """One row for each `every` entries of a job: how many came, and the last of them.
+#: Messages that are passed on at once.
+FORCED = r"\b(leads? found|lazy loading complete|blocked|failed|error|cancelled|complete[d]?|exhausted|starting\b)"
+
+
+def coalesced(log: DataFrame, every: int = 8, millis: int = 750) -> DataFrame:
+    """Progress of each job, thinned out: what is passed on, how many came so far, and why.
 
-    State is a counter per job; what is left over stays in the state until more come.
+    A message is passed on if it is the first, if `millis` have gone by or `every`
+    messages have come since the last one passed on, or at once if its words force
+    it; then a different message held back goes out before it.  Input: job_id, ts,
+    event_id, message.  State is one row per job.
     """
+    import re
+
+    forced = re.compile(FORCED, re.IGNORECASE)
 
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen, emitted = state.get if state.exists else (0, 0)
+        seen, since, last, held, held_id = state.get if state.exists else (0, 0, None, None, None)
         out = []
         for pdf in frames:
-            for event in pdf.sort_values(["ts", "event_id"])["event_id"]:
-                seen += 1
-                if seen % every == 0:
-                    emitted += 1
-                    out.append((key[0], emitted, seen, event))
-        state.update((seen, emitted))
+            ordered = pdf.sort_values(["ts", "event_id"])
+            for at, event, message in zip(ordered["ts"], ordered["event_id"], ordered["message"]):
+                at, event, seen, since = int(at.value // 1_000_000), int(event), seen + 1, since + 1
+                message = (message or "").strip()
+                if not message:
+                    continue
+                if forced.search(message):
+                    if held is not None and held != message:
+                        out.append((key[0], held_id, seen, "held"))
+                    out.append((key[0], event, seen, "forced"))
+                    since, last, held, held_id = 0, at, None, None
+                    continue
+                held, held_id = message, event
+                if last is None or at - last >= millis or since >= every:
+                    out.append((key[0], event, seen, "first" if last is None else "time" if at - last >= millis else "count"))
+                    since, last, held, held_id = 0, at, None, None
+        state.update((seen, since, last, held, held_id))
         if out:
-            yield pd.DataFrame(out, columns=["job_id", "batch", "entries", "last_event"])
+            yield pd.DataFrame(out, columns=["job_id", "event_id", "seen", "why"])
 
     return log.groupBy("job_id").applyInPandasWithState(
-        step, "job_id long, batch long, entries long, last_event long", "seen long, emitted long", "append", GroupStateTimeout.NoTimeout
+        step, "job_id long, event_id long, seen long, why string", "seen long, since long, last long, held string, held_id long", "append", GroupStateTimeout.NoTimeout
     )
 
 
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over all that is there and return its rows, from the shared folder."""
     spark = stream.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="siftline-")
-    base = f"{root.rstrip('/')}/siftline-stream-{uuid.uuid4().hex}"
+    base = new_path(spark, "stream")
 
     def keep(batch: DataFrame, number: int) -> None:
         # complete mode repeats the whole result: only the last batch counts
@@ -77,21 +97,30 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).option("recursiveFileLookup", True).parquet(f"{base}/out")
 
 
-def limited(log: DataFrame, seconds: int) -> DataFrame:
-    """Per job the entries that are at least `seconds` after the last one let through.
+def limited(log: DataFrame, seconds: int, limit: int = 1) -> DataFrame:
+    """Per job the entries that a limiter lets through: `limit` in a window that opens with the first hit after the last one closed.
 
-    The rule is sequential, so it folds over each job's times in order, inside
-    the JVM; one job's times must fit in memory.
+    The rule is sequential, so a job's entries stream through one task in order; the
+    state is the window's end and its count, whatever the length of the log.
     """
-    micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    times = log.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct(micros.alias("t"), F.col("event_id").alias("e")))).alias("x"))
-    start = F.struct(F.lit(-(2**60)).alias("last"), F.array().cast("array<long>").alias("kept"))
-
-    def step(state, entry):
-        due = entry["t"] - state["last"] >= seconds * 1_000_000
-        return F.struct(
-            F.when(due, entry["t"]).otherwise(state["last"]).alias("last"),
-            F.when(due, F.concat(state["kept"], F.array(entry["e"]))).otherwise(state["kept"]).alias("kept"),
-        )
-
-    return times.select("job_id", F.explode(F.aggregate("x", start, step)["kept"]).alias("event_id"))
+
+    def walk(batches):
+        import pyarrow as pa
+
+        job, until, count = None, 0, 0
+        for batch in batches:
+            jobs, events = [], []
+            for j, at, event in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if j != job:
+                    job, until, count = j, None, 0
+                if until is None or at >= until:
+                    until, count = at + seconds * 1_000_000, 1
+                elif count < limit:
+                    count += 1
+                else:
+                    continue
+                jobs.append(j), events.append(event)
+            yield pa.RecordBatch.from_arrays([pa.array(jobs, pa.int64()), pa.array(events, pa.int64())], ["job_id", "event_id"])
+
+    times = log.select("job_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "event_id")
+    return times.repartition("job_id").sortWithinPartitions("job_id", "at", "event_id").mapInArrow(walk, "job_id long, event_id long")

@@ -50,9 +50,27 @@ def test_keyset_pages_cover_everything_once(spark):
 
 
 def test_rules(spark):
-    kinds = [("", "none"), ("HTTP 429", "rate_limited"), ("timed out", "timeout"), ("weird", "unknown")]
+    kinds = [("", None), ("HTTP 429", "rate_limit"), ("403 Forbidden", "anti_bot"), ("connect ETIMEDOUT", "network"), ("weird", None)]
     df = spark.createDataFrame(kinds, "m string, k string")
-    assert all(r.got == r.k for r in df.withColumn("got", rules.failure_kind(F.col("m"))).collect())
+    assert all(r.got == r.k for r in df.withColumn("got", rules.failure_category(F.col("m"))).collect())
+
+
+def test_pages_with_unknown_scores_cover_everything_once(spark):
+    rows = [(i, "S", None if i % 4 == 0 else i % 3, i % 2, f"n{i % 7}") for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, status string, score int, found_at int, name string")
+    for sort in views.ORDERS:
+        seen, cursor = [], None
+        while True:
+            got = views.fetch(df, sort, 7, cursor)
+            seen += [r.id for r in got["rows"]]
+            assert got["total"] == 60
+            cursor = got["next"]
+            if cursor is None:
+                break
+        assert len(seen) == 60 and len(set(seen)) == 60
+        if sort == "score":
+            assert all(i % 4 == 0 for i in seen[:15])
+    assert views.decode_cursor(views.encode_cursor((None, "x", 3))) == (None, "x", 3)
 
 
 def test_stream_equals_batch(spark):
