@@ -5,33 +5,44 @@ One pass over the texts makes each document's shingle set, the minima of
 and a packed signature of the lowest four bits of every minimum.  Documents with
 the same set are one class, represented by its smallest identifier.
 
-Members of a band bucket are compared block against block by their packed
-signatures: similarity is estimated from bit counts and corrected for chance
-agreement, and pairs within five standard deviations of the threshold are
-candidates.  First a spanning forest of each block's candidates, best estimates
-first, is confirmed on the full sets; it is linear in the bucket and finds the
-hubs of large groups.  Then, in buckets that still hold several components, the
-documents with a candidate in another component are compared on their full sets,
-block against block, inside the tasks, and only links that join components come
-out.  So no link between components is lost, and no bucket is expanded into pairs.
+Members of a band bucket are compared by their packed signatures: similarity is
+estimated from bit counts and corrected for chance agreement, and pairs within
+five standard deviations of the threshold are candidates.
+
+1. A bucket's members are dealt into blocks.  A spanning forest of each block's
+   candidates, best estimates first, is confirmed on the full sets; that is linear
+   in the bucket and finds the hubs of large groups.
+2. While a bucket of several blocks still holds several components, a few members
+   of each stand for it and are dealt and joined the same way, so the blocks'
+   groups grow together in few rounds.
+3. In buckets that then hold several components, the members outside the largest
+   one are compared with all others of the bucket, first by signatures, then on
+   full sets, inside the tasks; only links that join components come out.
+
+So no link between components is lost, members of a large group are not compared
+with each other, and no bucket is expanded into pairs.
 
 With 32 bands of 4 rows a pair at similarity 0.8 shares no band with probability
 5e-8.  Defined results: null, empty and white-space texts have no shingles and
-link with nothing; a null identifier links with nothing and is its own, null,
-component; rows that repeat an identifier are one node.
+link with nothing; texts of any length give their whole sets; a null identifier
+links with nothing and is its own, null, component; rows that repeat an identifier
+are documents of their own.  An empty table gives no rows; other columns are not
+returned, so their names cannot clash.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import gram_hashes, materialize, mix64, word_hashes, words_of
+from .common import discard, gram_hashes, materialize, mix64, word_hashes, words_of
 from .graph import connected_components
 
 BITS = 4
 BLOCK = 512
+#: Members that stand for a component when the blocks of a bucket are joined.
+STAND_INS = 8
 
 
 def shingle_set(text: str | None, k: int) -> np.ndarray:
@@ -74,7 +85,7 @@ class Signer:
 
 
 def signatures(df: DataFrame, id_col: str, text_col: str, k: int, bands: int, rows: int) -> DataFrame:
-    """id, n (set size), f1 and f2 (the set's fingerprint), keys, sig."""
+    """id, h (a hash of the text), n (set size), f1 and f2 (the set's fingerprint), keys, sig."""
     if bands * rows % 16:
         raise ValueError("bands * rows must be a multiple of 16")
 
@@ -102,7 +113,7 @@ def signatures(df: DataFrame, id_col: str, text_col: str, k: int, bands: int, ro
         )
 
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return df.select(F.col(id_col).cast("long").alias("id"), signed(text).alias("x")).select("id", "x.*")
+    return df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("h"), signed(text).alias("x")).select("id", "h", "x.*")
 
 
 def estimated(sig_a: Column, sig_b: Column, width: int) -> Column:
@@ -170,19 +181,20 @@ class _Blocks:
                 yield k, j
 
     def forest(self, i: int, most: int, percent: int) -> list[tuple[int, int]]:
-        """A spanning forest of row i's candidates, closest first (Prim's order)."""
-        at = np.concatenate([np.arange(*side) for side in self.sides(i)])
-        low, high = int(at.min()), int(at.max()) + 1  # two blocks of a row lie side by side
+        """A spanning forest of row i's candidates, closest first (Prim's order); members of one component count as linked."""
+        low, high = self.sides(i)[0]
         near, via = np.full(high - low, most + 1), np.zeros(high - low, np.int64)
         done, out = np.zeros(high - low, bool), []
         for _ in range(high - low):
             k = int(np.where(done, most + 2, near).argmin())
-            if near[k] <= most:
+            if 0 <= near[k] <= most:
                 a, b = int(self.id[low + via[k]]), int(self.id[low + k])
                 out.append((min(a, b), max(a, b)))
             done[k] = True
-            apart = self.apart(low + k, low, high)
-            closer = (apart < near) & self.sized(low + k, low, high, percent)
+            apart = self.apart(low + k, low, high).astype(np.int64)
+            apart[~self.sized(low + k, low, high, percent)] = most + 1
+            apart[self.c[low:high] == self.c[low + k]] = -1
+            closer = apart < near
             near[closer], via[closer] = apart[closer], k
         return out
 
@@ -228,14 +240,29 @@ def _in_blocks(what: str, most: int, percent: int, width: int):
     return found
 
 
-def _block_lists(rows: DataFrame, fields: list[str], block: int) -> DataFrame:
-    """key, band and lists: every block of a bucket's members, and every two of its blocks."""
+def _dealt(rows: DataFrame, fields: list[str], block: int, salt: int) -> DataFrame:
+    """key, band and lists: each bucket's members in blocks, one block to the list."""
     sizes = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
-    rows = rows.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    lists = rows.groupBy("key", "band", "blocks", "block").agg(F.collect_list(F.struct(*fields)).alias("list"))
-    sides = lists.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    sides = sides.groupBy("key", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).agg(F.collect_list("list").alias("lists"))
-    return sides.filter("i = j OR size(lists) = 2")
+    rows = rows.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("id", F.lit(salt)), F.col("blocks")))
+    return rows.groupBy("key", "band", "blocks", "block").agg(F.array(F.collect_list(F.struct(*fields))).alias("lists"))
+
+
+def _small_sides(rows: DataFrame, fields: list[str], block: int) -> DataFrame:
+    """key, band and lists: each block of members outside a bucket's largest component with each block of all its members."""
+    parts = rows.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n"))
+    main = parts.groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
+    main = main.select("key", "main", F.ceil(F.col("all") / block).alias("i_blocks"), F.ceil((F.col("all") - F.col("most")) / block).alias("j_blocks"))
+    rows = rows.join(main, "key")
+    place = F.xxhash64("id", F.lit(3))
+
+    def side(members, own, other, blocks, number):
+        lists = members.groupBy("key", "band", "i_blocks", "j_blocks", F.pmod(place, F.col(blocks)).alias(own)).agg(F.collect_list(F.struct(*fields)).alias("list"))
+        count = "j_blocks" if other == "j" else "i_blocks"
+        return lists.withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))).select("key", "band", "i", "j", F.lit(number).alias("side"), "list")
+
+    both = side(rows.filter("c <> main"), "j", "i", "j_blocks", 0).unionByName(side(rows, "i", "j", "i_blocks", 1))
+    lists = both.groupBy("key", "band", "i", "j").agg(F.sort_array(F.collect_list(F.struct("side", "list"))).alias("lists"))
+    return lists.filter("size(lists) = 2").select("key", "band", F.transform("lists", lambda x: x["list"]).alias("lists"))
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -247,8 +274,8 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(F.col("common") * 100 >= union * percent).select("a", "b")
 
 
-def _sets(df: DataFrame, ids: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """id and full shingle set of the documents named in ids."""
+def _sets(df: DataFrame, nodes: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
+    """id and full shingle set of nodes (id, rep, h): the text is that of identifier rep with hash h."""
 
     @F.arrow_udf("array<long>")
     def shingled(texts):
@@ -256,21 +283,26 @@ def _sets(df: DataFrame, ids: DataFrame, id_col: str, text_col: str, k: int) ->
 
         return pa.array([shingle_set(t, k).view(np.int64) for t in texts.to_pylist()], pa.list_(pa.int64()))
 
-    named = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(ids.hint("merge"), "id")
+    texts = df.select(F.col(id_col).cast("long").alias("rep"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    named = texts.join(nodes.hint("merge"), ["rep", "h"])
     return named.select("id", shingled(F.coalesce("text", F.lit(""))).alias("set")).dropDuplicates(["id"])
 
 
 def near_duplicates(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, bands: int = 32, rows: int = 4,
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, bands: int = 32, rows: int = 4, with_hash: bool = False,
 ) -> DataFrame:
-    """One row per input row: id, n_shingles, component_id, kept."""
+    """One row per input row: id, n_shingles, component_id, kept and, if asked for, h (a hash of the text)."""
     width = bands * rows // 16
     table = materialize(signatures(df, id_col, text_col, k, bands, rows), "signatures")
     live = table.filter("n > 0 AND id IS NOT NULL")
     classes = live.groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    classes = materialize(classes, "classes")
-    reps = live.join(classes.select("f1", "f2", "n", F.col("rep").alias("id")), ["f1", "f2", "n", "id"], "left_semi").dropDuplicates(["id"])
-    reps = materialize(reps.select("id", "n", "keys", "sig"), "representatives")
+    # identifiers may repeat: only one class can have its smallest as its node, others get one below zero
+    first = F.row_number().over(Window.partitionBy("rep").orderBy("f1", "f2", "n")) == 1
+    node = F.when(first, F.col("rep")).otherwise(F.bitwise_not(F.shiftrightunsigned(F.xxhash64("f1", "f2", "n"), 1)))
+    classes = materialize(classes.withColumn("node", node), "classes")
+    of_class = classes.select("f1", "f2", "n", F.col("rep").alias("id"), "node")
+    reps = live.join(of_class, ["f1", "f2", "n", "id"]).dropDuplicates(["node"])
+    reps = materialize(reps.select(F.col("node").alias("id"), F.col("id").alias("rep"), "h", "n", "keys", "sig"), "representatives")
 
     least = percent / 100 - 5.0 * float(np.sqrt(0.16 / (bands * rows)))
     in_bands = reps.select("id", F.posexplode("keys").alias("band", "key"))
@@ -284,34 +316,68 @@ def near_duplicates(
     members = materialize(in_bands.join(buckets.filter("members > 2").select("key"), "key"), "members")
 
     most = int(np.floor(16 * width * (1 - 1 / 16) * (1 - least)))
-    lists = _block_lists(members.withColumn("c", F.col("id")).join(reps, "id"), ["id", "c", "n", "sig"], BLOCK)
-    tree = lists.select(F.explode(_in_blocks("forest", most, percent, width)("lists", "band")).alias("p")).select("p.*")
+    signed = reps.select("id", "n", "sig")
+
+    def forest(lists):
+        return lists.select(F.explode(_in_blocks("forest", most, percent, width)("lists", "band")).alias("p")).select("p.*")
+
+    tree = forest(_dealt(members.withColumn("c", F.col("id")).join(signed, "id"), ["id", "c", "n", "sig"], BLOCK, 0))
     tree = materialize(tree.unionByName(pairs).distinct(), "forest")
     ids = members.select("id").union(tree.select("a")).union(tree.select("b")).distinct()
-    sets = materialize(_sets(df, ids, id_col, text_col, k), "sets")
+    sets = materialize(_sets(df, reps.select("id", "rep", "h").join(ids, "id"), id_col, text_col, k), "sets")
     edges = materialize(_confirmed(tree, sets, percent), "links")
     labels = connected_components(edges)
-
-    named_ = members.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
-    several = named_.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1").select("key")
-    still = named_.join(several, "key").join(reps, "id")
-    lists = _block_lists(still, ["id", "c", "n", "sig", "keys"], BLOCK)
+    done = [buckets, tree]
+
+    def labelled():
+        named = members.join(labels.withColumnRenamed("node", "id"), "id", "left")
+        return named.withColumn("c", F.coalesce("component", "id")).drop("component")
+
+    for salt in range(1, 9):
+        named = labelled()
+        wide = named.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("c").alias("c0"), F.max("c").alias("c1")).filter(F.col("m") > BLOCK).filter("c0 <> c1")
+        wide = materialize(wide.select("key"), "wide")
+        done.append(wide)
+        if wide.isEmpty():
+            break
+        part = F.xxhash64("id", F.lit(100 + salt))
+        some = named.join(wide, "key").groupBy("key", "band", "c", F.pmod(part, F.lit(STAND_INS)).alias("__s")).agg(F.min_by("id", part).alias("id")).drop("__s")
+        tree = materialize(forest(_dealt(some.join(signed, "id"), ["id", "c", "n", "sig"], BLOCK, salt)).distinct(), "forest")
+        more = materialize(_confirmed(tree, sets, percent), "links")
+        done += [tree, more]
+        if more.isEmpty():
+            break
+        edges = edges.unionByName(more)
+        labels = connected_components(edges)
+
+    named = labelled()
+    several = named.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1").select("key")
+    still = named.join(several, "key").join(reps.select("id", "n", "keys", "sig"), "id")
+    lists = _small_sides(still, ["id", "c", "n", "sig", "keys"], BLOCK)
     open_ = lists.select("key", F.explode(_in_blocks("open", most, percent, width)("lists", "band")).alias("id")).distinct()
     open_ = materialize(still.join(open_, ["key", "id"]), "open")
-    lists = _block_lists(open_.join(sets, "id"), ["id", "c", "n", "sig", "keys", "set"], BLOCK // 4)
+    lists = _small_sides(open_.join(sets, "id"), ["id", "c", "n", "sig", "keys", "set"], BLOCK // 4)
     more = lists.select(F.explode(_in_blocks("links", most, percent, width)("lists", "band")).alias("p")).select("p.*")
     more = materialize(more, "links")
+    done += [open_, more]
     if not more.isEmpty():
         labels = connected_components(edges.unionByName(more))
+    discard(reps, members, sets, *done)
 
-    named = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").filter("copies > 1 OR component IS NOT NULL")
+    named = classes.join(labels, "node", "left").filter("copies > 1 OR component IS NOT NULL")
+    if not classes.filter("node <> rep").isEmpty():  # a component is named by an identifier, not by a node
+        low = named.filter("component IS NOT NULL").groupBy("component").agg(F.min("rep").alias("low"))
+        named = named.join(low, "component", "left").withColumn("component", F.col("low"))
     named = named.select("f1", "f2", "n", F.coalesce("component", "rep").alias("component"))
-    out = table.select("id", "n", "f1", "f2").join(named, ["f1", "f2", "n"], "left")
+    out = table.select("id", "h", "n", "f1", "f2").join(named, ["f1", "f2", "n"], "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    return out.select(
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"), *(["h"] if with_hash else []),
+    )
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The input with one document of each group, columns unchanged."""
-    gone = near_duplicates(df, id_col, text_col, **options).filter("NOT kept").select(F.col(id_col).alias("__gone")).distinct()
-    return df.join(gone.hint("merge"), F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    """The input with one document of each group, columns unchanged; rows that repeat identifier and text stay or go together."""
+    gone = near_duplicates(df, id_col, text_col, with_hash=True, **options).filter("NOT kept").select(F.col(id_col).alias("__gone"), F.col("h").alias("__h")).distinct()
+    same = (F.col(id_col).cast("long") == F.col("__gone")) & (F.xxhash64(text_col) == F.col("__h"))
+    return df.join(gone.hint("merge"), same, "left_anti")

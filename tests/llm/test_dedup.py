@@ -207,12 +207,15 @@ def test_repeated_passages_of_rows_that_share_an_identifier(spark):
 
 
 def test_automata_find_every_occurrence(monkeypatch):
-    for letters in (substring.LETTERS, 5):  # with few letters the patterns need several automata
-        monkeypatch.setattr(substring, "LETTERS", letters)
+    for most in (substring.WORDS, 5):  # with few words the patterns need several automata
+        monkeypatch.setattr(substring, "WORDS", most)
         found = substring.Automata([(b"a", b"b", b"c"), (b"b", b"c", b"\xff"), (b"q", b"r", b"s")], 3)
         text = [b"x", b"a", b"b", b"c", b"\xff", b"a", b"b", b"c", b"q", b"r", b"s"]
         assert np.flatnonzero(found.located(text)).tolist() == [1, 2, 5, 8]
     assert not substring.Automata([], 3).located([b"a", b"b", b"c"]).any()
+    many = [b"w%d" % i for i in range(3000)]  # more words than there are letters
+    found = substring.Automata([tuple(many[i : i + 3]) for i in range(0, 2998, 7)], 3)
+    assert np.flatnonzero(found.located(many)).tolist() == list(range(0, 2998, 7))
 
 
 def test_only_the_automata_locate(monkeypatch):
