@@ -29,6 +29,7 @@ names cannot clash.
 
 from __future__ import annotations
 
+import re
 from hashlib import sha256
 from itertools import repeat
 
@@ -101,24 +102,35 @@ def _packing():
     return packed
 
 
-#: An automaton's letters are code points, which bounds its words.
-LETTERS = 0x110000 - 1
+#: How many words one automaton may know: a word is two letters of at most _BASE kinds each.
+WORDS = 1 << 20
+_BASE = 1 << 10
 
 
 class Automata:
-    """Aho-Corasick automata over words: each word of the patterns is a letter, all others are none."""
+    """Aho-Corasick automata over words.
+
+    Each word of the patterns is two letters, so that no node has many children to
+    search; all other words are two zeros, and only stretches without zeros that are
+    as long as a phrase go through the automaton.
+    """
 
     def __init__(self, patterns, phrase: int):
         import ahocorasick
 
         self.phrase, self._parts = phrase, []
+        self._stretch = re.compile("[^\\0]{%d,}" % (2 * phrase)).finditer
         letters: dict[bytes, str] = {}
         part = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
         for pattern in patterns:
-            if len(letters) + phrase > LETTERS:
+            if len(letters) + phrase > WORDS:
                 self._parts.append((part, letters))
                 part, letters = ahocorasick.Automaton(ahocorasick.STORE_LENGTH), {}
-            part.add_word("".join([letters.setdefault(w, chr(len(letters) + 1)) for w in pattern]))
+            for w in pattern:
+                if w not in letters:
+                    i = len(letters)
+                    letters[w] = chr(1 + i % _BASE) + chr(0x1000 + i // _BASE)
+            part.add_word("".join(map(letters.__getitem__, pattern)))
         self._parts.append((part, letters))
         for part, _ in self._parts:
             part.make_automaton()
@@ -128,8 +140,10 @@ class Automata:
         at = np.zeros(len(words), bool)
         for part, letters in self._parts:
             if len(part):
-                text = "".join(map(letters.get, words, repeat("\0")))
-                at[[end - self.phrase + 1 for end, _ in part.iter(text)]] = True
+                text = "".join(map(letters.get, words, repeat("\0\0")))
+                for m in self._stretch(text):
+                    ends = [end for end, _ in part.iter(text, m.start(), m.end())]
+                    at[(np.array(ends, np.int64) + 1) // 2 - self.phrase] = True
         return at
 
 
