@@ -144,26 +144,35 @@ def _split(level: int, least: float):
 
 
 def cells(shown: DataFrame, least: float, per_cell: int, sample: int) -> DataFrame:
-    """Split cells until each holds about per_cell classes."""
-    key = ["label", "w", "cell"]
+    """Split cells until each holds about per_cell classes, where splitting halves the comparisons.
+
+    Vectors without clusters lie within reach of most borders: a split that leaves
+    more than half of the pairs to compare is undone, and the cell stays whole.
+    """
+    key, columns = ["label", "w", "cell"], [f.split()[0] for f in _SHOWN.split(", ")]
     for level in range(LEVELS):
-        big = materialize(shown.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 2 * per_cell), "large")
+        big = shown.filter("NOT cell LIKE '%!'").groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 2 * per_cell)
+        big = materialize(big, "large")
         if big.isEmpty():
             discard(big)
             break
-        # AQE splits what is hot in these joins: the groups behind them are dealt by more than the cell
+        # what is hot in these joins AQE splits: the groups behind them are dealt by more than the cell
         rows = shown.join(big, key, "left")
-        stay = rows.filter("n IS NULL").select(*[f.split()[0] for f in _SHOWN.split(", ")])
-        rows = rows.filter("n IS NOT NULL")
+        whole = rows.filter("n IS NOT NULL")
         u = F.pmod(F.xxhash64("v", F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
-        seen = rows.filter(u <= F.lit(float(sample)) / F.col("n")).groupBy(*key).applyInArrow(_fitted(per_cell, sample), "label string, w int, cell string, c binary")
+        seen = whole.filter(u <= F.lit(float(sample)) / F.col("n")).groupBy(*key).applyInArrow(_fitted(per_cell, sample), "label string, w int, cell string, c binary")
         parts = F.ceil(F.col("n") / (8.0 * BLOCK))
         fitted = seen.join(big, key).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).select(*key, "part", "c")
-        rows = rows.withColumn("part", F.pmod(F.xxhash64("id", "v", F.lit(level)), parts))
-        moved = rows.groupBy(*key, "part").cogroup(fitted.groupBy(*key, "part")).applyInArrow(_split(level, least), _SHOWN)
-        shown, before = materialize(stay.unionByName(moved), "cells"), shown
-        discard(before)
-        discard(big)
+        dealt = whole.withColumn("part", F.pmod(F.xxhash64("id", "v", F.lit(level)), parts))
+        moved = dealt.groupBy(*key, "part").cogroup(fitted.groupBy(*key, "part")).applyInArrow(_split(level, least), _SHOWN)
+        moved = materialize(moved, "split")
+        parent = F.regexp_replace("cell", "[.][0-9]+$", "")
+        work = moved.groupBy(*key).agg(F.count(F.lit(1)).cast("double").alias("k")).groupBy("label", "w", parent.alias("cell")).agg(F.sum(F.col("k") * F.col("k")).alias("work"))
+        paid = materialize(work.join(big, key).filter("work <= 0.5 * n * n").select(*key), "paid")
+        kept = moved.withColumn("__cell", parent).join(paid.select("label", "w", F.col("cell").alias("__cell")), ["label", "w", "__cell"], "left_semi").select(*columns)
+        undone = whole.join(paid, key, "left_anti").withColumn("cell", F.concat("cell", F.lit("!"))).select(*columns)
+        shown, before = materialize(rows.filter("n IS NULL").select(*columns).unionByName(kept).unionByName(undone), "cells"), shown
+        discard(before, big, moved, paid)
     return shown
 
 
