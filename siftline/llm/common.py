@@ -29,8 +29,9 @@ def exclusive_sums(df: DataFrame, key: str, at: str, value: str, out: str, count
     low = low.withColumn(out, F.coalesce(F.sum(value).over(w), F.lit(0)))
     if count > fan:
         tops = low.groupBy(key, F.col("__b").alias(at)).agg(F.sum(value).alias(value))
-        above = exclusive_sums(tops, key, at, value, "__above", -(-count // fan), fan)
-        low = low.join(above.select(key, F.col(at).alias("__b"), "__above"), [key, "__b"]).withColumn(out, F.col(out) + F.col("__above")).drop("__above")
+        more = f"{out}__above"  # a name of its own on each level
+        above = exclusive_sums(tops, key, at, value, more, -(-count // fan), fan)
+        low = low.join(above.select(key, F.col(at).alias("__b"), more), [key, "__b"]).withColumn(out, F.col(out) + F.col(more)).drop(more)
     return low.drop("__b")
 
 

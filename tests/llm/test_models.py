@@ -56,6 +56,14 @@ def test_language(spark, docs):
     assert language.label(docs.limit(3), nothing).filter("lang_pred = 'und'").count() == 3
 
 
+def test_language_of_long_and_repeated_rows(spark, docs):
+    model = language.fit(docs, F.lit(True))
+    en, de = (" ".join(r.text for r in docs.filter(f"lang = '{x}'").limit(40).collect()) for x in ("en", "de"))
+    rows = [(1, (de + " ") * 20 + en), (1, (de + " ") * 20 + en), (2, en), (2, de)]
+    got = sorted((r.doc_id, r.lang_pred) for r in language.label(spark.createDataFrame(rows, "doc_id long, text string"), model).collect())
+    assert got == [(1, "de"), (1, "de"), (2, "de"), (2, "en")]
+
+
 def test_language_scores_whole_runs(spark):
     find = language._find()
     han, kana = "".join(chr(0x4E00 + i) for i in range(60)), "".join(chr(0x3042 + i) for i in range(30))
@@ -187,6 +195,55 @@ def test_licences_in_wrapped_and_dual_notices(spark, docs):
     assert families(f"{halves[0]}\n\n{prose}\n\n{halves[1]}") == []
 
 
+def test_licences_on_altered_notices_and_plain_text(spark, docs):
+    """Held-out recall on notices with words dropped, changed and wrapped, and precision on the corpus's own lines."""
+    model, rng = licenses.fit(docs), random.Random(99)
+    plain = [x for r in docs.filter("doc_id % 3 = 1").collect() for x in r.text.split("\n") if len(x.split()) > 5]
+    said = {x for x in plain if "icense" in x or "ermission" in x}
+    plain = [x for x in plain if x not in said]
+    found = total = wrong = 0
+    for family, texts in licenses.TEMPLATES.items():
+        for text in texts:
+            if len(text.split()) < 12:
+                continue
+            for _ in range(6):
+                w = [x for x in text.split() if rng.random() > 0.06]
+                w[rng.randrange(len(w))] = "altered"
+                width, mark = rng.randrange(4, 12), rng.choice(["", "# ", " * ", "// "])
+                lines = [mark + " ".join(w[i : i + width]) for i in range(0, len(w), width)]
+                body = "\n".join([rng.choice(plain), *lines, rng.choice(plain)])
+                got = {f["family"] for f in licenses.classify(body, model, 0.6, 0.6)[1]}
+                found, total, wrong = found + (family in got), total + 1, wrong + len(got - {family})
+    alarms = sum(bool(licenses.classify(x, model, 0.6, 0.6)[1]) for x in plain)
+    print(f"recall {found}/{total}, other families {wrong}, alarms {alarms} of {len(plain)} lines")
+    assert found > 0.8 * total and wrong < 0.1 * total and alarms <= 0.001 * len(plain)
+
+
+def test_licence_edges(spark, docs):
+    model = licenses.fit(docs)
+    notice = "Released under the MIT License."
+    rows = [(1, notice, "x"), (1, notice, "x"), (2, "word " * 300_000 + notice, "y"), (3, ("plain line\n" * 20_000) + notice, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, Families string")
+    out = licenses.scan(df, model)
+    assert out.columns == ["doc_id", "text", "n_paragraphs", "findings", "families"]
+    assert sorted((r.doc_id, r.families[0], len(r.families)) for r in out.collect()) == [(1, "MIT", 1), (1, "MIT", 1), (2, "MIT", 1), (3, "MIT", 1)]
+    assert licenses.scan(df.limit(1), licenses.fit(df.filter("false"))).first().families == ["MIT"]
+
+
+def test_toxicity_edges(spark):
+    rng = random.Random(5)
+    rows = [(i, ("grumpf blorgh " if i % 4 == 0 else "") + " ".join(f"w{rng.randrange(400)}" for _ in range(40)), "s") for i in range(400)]
+    docs = spark.createDataFrame([*rows, rows[0]], "doc_id long, text string, SCORE string")
+    known = spark.createDataFrame([*[(i, int(i % 4 == 0)) for i in range(0, 400, 2)], (0, 0), (7, None), (None, 1), (99_999, 1)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, known, F.lit(True))
+    out = toxicity.score(docs.unionByName(spark.createDataFrame([(900, "grumpf blorgh " + "w1 " * 200_000, "s"), (901, None, "s")], docs.schema)), model)
+    got = {r.doc_id: r.score for r in out.collect()}
+    assert out.columns == ["doc_id", "text", "score"] and out.count() == 403
+    assert all((got[i] >= 0.5) == (i % 4 == 0) for i in range(400)) and got[901] < 0.5
+    nothing = toxicity.fit(docs.filter("false"), known.filter("false"), F.lit(True))
+    assert toxicity.score(docs.filter("false"), nothing).count() == 0 and toxicity.score(docs, nothing).filter("score > 0.01").count() == 0
+
+
 def test_licences_learn_from_long_lines(spark, monkeypatch):
     seen = []
     monkeypatch.setattr(licenses, "train", seen.extend)
@@ -226,6 +283,56 @@ def test_mixing(spark, docs):
     assert blocks.filter(F.size(F.split("text", " ")) > mix.block).count() == 0
 
 
+def test_mixing_is_what_a_sequential_replay_takes(spark, docs):
+    """Every slot drawn one after the other in plain Python, from the same draws and permutations."""
+    mix = mixing.Mixture(docs, block=32, slots=64)
+    stream = {}
+    for r in mix.placed().collect():
+        stream.setdefault(r.src, []).append((r.start, r.size, r.row))
+    blocks: dict[tuple[int, int], dict[int, int]] = {}
+    for src, parts in stream.items():
+        at = 0
+        for start, size, row in sorted(parts, key=lambda p: (p[0], p[1] > 0)):
+            assert start == at
+            for word in range(start, start + size):
+                b = blocks.setdefault((src, word // mix.block), {})
+                b[row] = b.get(row, 0) + 1
+            at += size
+        assert at == mix.sources[src]["source_size"]
+    taken, drawn = {}, {}
+    for shard, src, n in sorted((r.shard, r.src, r.n) for r in mix.draws().collect()):
+        m = mix.sources[src]["blocks"]
+        for _ in range(n):
+            k = drawn.get(src, 0)
+            drawn[src] = k + 1
+            key = common.mix64(np.array([mix.seed + 1_000_003 * src], np.uint64) + np.array([k // m], np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            place = int(mixing._permute(np.array([k % m]), np.array([m]), key)[0])
+            for row, words in blocks[src, place].items():
+                taken[row] = taken.get(row, 0) + words
+    assert sum(drawn.values()) == mix.slots_total
+    rows = {r.row: r.id for r in mix.placed().collect()}
+    want = sorted((rows[row], taken.get(row, 0)) for row in rows)
+    assert sorted((r.doc_id, r.taken) for r in mix.taken().collect()) == want
+
+
+def test_exclusive_sums_over_levels(spark):
+    rng = random.Random(6)
+    rows = [(k, at, rng.randrange(9)) for k in range(3) for at in range(200) if rng.random() < 0.7]
+    df = spark.createDataFrame(rows, "k int, at long, v long")
+    for fan in (4, 1000):
+        got = {(r.k, r.at): r.s for r in common.exclusive_sums(df, "k", "at", "v", "s", 200, fan=fan).collect()}
+        assert got == {(k, at): sum(v for j, b, v in rows if j == k and b < at) for k, at, _ in rows}
+
+
+def test_mixing_blocks_hold_rows_that_share_identifier_and_size(spark):
+    rows = [(1, "a b c d", "s"), (1, "e f g h", "s"), (1, "e f g h", "s"), (None, "i j k l", "s"), (2, "x " * 100_000, "t")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mix = mixing.Mixture(df, block=4, weights=(1,), cap=1)
+    said = [r.text for r in mix.blocks().filter("src = 0").collect()]
+    assert sorted(said) == ["a b c d", "e f g h", "e f g h", "i j k l"]
+    assert mix.blocks().filter("src = 1").count() == 25_000
+
+
 def test_mixing_edges(spark):
     rows = [(1, None, "a"), (2, "", None), (3, "x " * 500, "a"), (4, "y " * 300, None), (4, "y " * 300, None), (None, "z z", "b"), (6, "q", "b")]
     df = spark.createDataFrame([(*r, "old") for r in rows], "doc_id long, text string, source string, taken string")
