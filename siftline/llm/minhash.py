@@ -244,6 +244,8 @@ def _dealt(rows: DataFrame, fields: list[str], block: int, salt: int) -> DataFra
     """key, band and lists: each bucket's members in blocks, one block to the list."""
     sizes = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
     rows = rows.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("id", F.lit(salt)), F.col("blocks")))
+    # without this the blocks of a hot bucket would all be grouped, and compared, where its key was joined
+    rows = rows.repartition("key", "block")
     return rows.groupBy("key", "band", "blocks", "block").agg(F.array(F.collect_list(F.struct(*fields))).alias("lists"))
 
 
@@ -256,7 +258,8 @@ def _small_sides(rows: DataFrame, fields: list[str], block: int) -> DataFrame:
     place = F.xxhash64("id", F.lit(3))
 
     def side(members, own, other, blocks, number):
-        lists = members.groupBy("key", "band", "i_blocks", "j_blocks", F.pmod(place, F.col(blocks)).alias(own)).agg(F.collect_list(F.struct(*fields)).alias("list"))
+        members = members.withColumn(own, F.pmod(place, F.col(blocks))).repartition("key", own)
+        lists = members.groupBy("key", "band", "i_blocks", "j_blocks", own).agg(F.collect_list(F.struct(*fields)).alias("list"))
         count = "j_blocks" if other == "j" else "i_blocks"
         return lists.withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))).select("key", "band", "i", "j", F.lit(number).alias("side"), "list")
 
