@@ -20,9 +20,13 @@ positives' features leave room for, and the bias is the risk's.
 
 Training reads at most ``positives`` confirmed, ``negatives`` clean and
 ``unlabelled`` other texts, each text once however many copies it has, chosen by
-the smallest hashes of the texts; scoring reads every whole text.  Defined
-results: null and empty texts score by the bias alone, under one half; without a
-confirmed positive everything scores 0.
+the smallest hashes of the texts; scoring reads every whole text, however long,
+and repeated rows each for itself.  Defined results: null and empty texts score by
+the bias alone, under one half; without a confirmed positive, so also with empty
+tables, everything scores 0; an identifier that is labelled several times is toxic
+if any label says so, labels that are null or of unknown identifiers say nothing;
+of texts with equal hashes one is learnt from; an input column with the output's
+name is replaced.
 """
 
 from __future__ import annotations
@@ -284,9 +288,10 @@ def fit(
     chosen = parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("__h").agg(F.first("__id").alias("__id"), F.collect_set("side").alias("sides"))
     same = (hashed == F.col("__h")) & F.col(id_col).eqNullSafe(F.col("__id"))
     picked = docs.select(id_col, text_col).join(F.broadcast(chosen), same).dropDuplicates(["__h"])
-    rows = features(picked, text_col, ["__h", "sides"]).toPandas().sort_values("__h")
-    pairs = [(np.frombuffer(i, np.int32), np.frombuffer(s, np.uint8)) for i, s in zip(rows["ids"], rows["steps"])]
-    p, n, u = ([x for x, of in zip(pairs, rows["sides"]) if name in of] for name, _, _ in sides)
+    rows = features(picked, text_col, ["__h", "sides"]).toArrow().sort_by("__h")
+    pairs = [(np.frombuffer(i.as_buffer(), np.int32), np.frombuffer(s.as_buffer(), np.uint8)) for i, s in zip(rows["ids"], rows["steps"])]
+    sided = rows["sides"].to_pylist()
+    p, n, u = ([x for x, of in zip(pairs, sided) if name in of] for name, _, _ in sides)
     return train_nnpu(p, u, n)
 
 
