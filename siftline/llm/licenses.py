@@ -16,8 +16,12 @@ family for which there is such a passage is found if the classifier prefers it t
 several licences in one sentence do not take it from each other.
 
 Defined results: null and empty texts have no paragraphs and no families; a text
-may have several families; n_paragraphs counts the lines that are not blank, and
-a finding names the line on which it begins.
+may have several families, sorted by name in ``families`` and by place in
+``findings`` (of equal places, in the order of the templates); n_paragraphs counts
+the lines that are not blank, and a finding names the line on which it begins.
+Texts and lines of any length are scanned whole, repeated rows each for itself; an
+empty table gives no rows and can be learnt from; input columns with an output's
+name are replaced.
 """
 
 from __future__ import annotations
@@ -38,17 +42,23 @@ TEMPLATES = {
     "Apache-2.0": [
         "Licensed under the Apache License, Version 2.0",
         "you may not use this file except in compliance with the License",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied",
         "SPDX-License-Identifier: Apache-2.0",
     ],
     "MIT": [
         "Released under the MIT License",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
         "This project is licensed under the terms of the MIT license",
+        "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software",
         "SPDX-License-Identifier: MIT",
     ],
     "BSD": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
         "Use of this source code is governed by a BSD-style license",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
         "SPDX-License-Identifier: BSD-3-Clause",
     ],
     "GPL": [
@@ -69,12 +79,24 @@ TEMPLATES = {
     ],
     "MPL-2.0": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
+        "If a copy of the MPL was not distributed with this file, You can obtain one at mozilla.org/MPL/2.0",
         "SPDX-License-Identifier: MPL-2.0",
     ],
     "ISC": [
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+        "provided that the above copyright notice and this permission notice appear in all copies",
         "SPDX-License-Identifier: ISC",
     ],
+    "Zlib": [
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software",
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely",
+        "SPDX-License-Identifier: Zlib",
+    ],
+    "BSL-1.0": [
+        "Distributed under the Boost Software License, Version 1.0",
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license",
+        "SPDX-License-Identifier: BSL-1.0",
+    ],
     "CC-BY": [
         "Licensed under CC BY 4.0",
         "This work is licensed under a Creative Commons Attribution 4.0 International License",
@@ -93,6 +115,8 @@ TEMPLATES = {
     ],
     "Unlicense": [
         "This is free and unencumbered software released into the public domain",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means",
+        "SPDX-License-Identifier: Unlicense",
     ],
     "Proprietary": [
         "All rights reserved. Unauthorized copying of this file is strictly prohibited",
@@ -150,7 +174,7 @@ def _examples(unknown: list[str], rng: np.random.Generator, copies: int) -> list
     """Variants of the templates, shuffled templates and corpus paragraphs, as features and class."""
     _, _, classes = _vocabulary()
     out = []
-    filler = [w for p in unknown[:2000] for w in tokens(p)] or ["project"]
+    filler = [w for p in unknown for w in tokens(p)] or ["project"]
     for c, (_, texts) in enumerate(TEMPLATES.items()):
         for text in texts:
             base = tokens(text)
@@ -331,28 +355,27 @@ def classify(text: str | None, model: Model, least: float, confirm: float) -> tu
     return n, found
 
 
-#: Up to 2,000 characters, to a white space or the end if one is near enough.
-_PIECE = r"(?s).{1,1999}(?:\s|$)|.{1,2000}"
-
-
-def fit(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", sample: int = 1500) -> Model:
-    """Train with the paragraphs of at most `sample` documents (smallest hashes) as unknown text.
+def fit(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", sample: int = 1500, lines: int = 9000, piece: int = 2000) -> Model:
+    """Train with paragraphs of the corpus as the unknown class.
 
-    Lines of over 2,000 characters are cut into pieces.  Lines that hold more than
-    half of a template's bigrams are left out of the unknown class: they may be
-    what is looked for.
+    The training text is a documented bound: the paragraphs of the `sample` documents
+    with the smallest hashes, cut into pieces of at most `piece` characters (at a
+    white space if there is one), and of those the `lines` with the smallest hashes.
+    Pieces that hold more than half of a template's bigrams are left out: they may
+    be what is looked for.
     """
+    pattern = rf"(?s).{{1,{piece - 1}}}(?:\s|$)|.{{1,{piece}}}"
     chosen = df.select(id_col).orderBy(F.xxhash64(id_col), id_col).limit(sample).distinct()
-    lines = df.select(id_col, text_col).join(F.broadcast(chosen), id_col).select(F.explode(F.split(text_col, "\n")).alias("line"))
-    lines = lines.select(F.explode(F.regexp_extract_all("line", F.lit(_PIECE), F.lit(0))).alias("line"))
-    lines = [r[0] for r in lines.orderBy(F.xxhash64("line")).limit(6 * sample).collect()]
+    said = df.select(id_col, text_col).join(F.broadcast(chosen), id_col).select(F.explode(F.split(text_col, "\n")).alias("line"))
+    said = said.select(F.explode(F.regexp_extract_all("line", F.lit(pattern), F.lit(0))).alias("line"))
+    found = [r[0] for r in said.orderBy(F.xxhash64("line"), "line").limit(lines).collect()]
     grams = [t for ts in _template_grams().values() for t in ts if t]
 
     def plain(line):
         own = paragraph_features(tokens(line))[1]
         return not own or max(len(own & t) / len(t) for t in grams) <= 0.5
 
-    return train([x for x in lines if plain(x)])
+    return train([x for x in found if plain(x)])
 
 
 def scan(df: DataFrame, model: Model, text_col: str = "text", least: float = 0.6, confirm: float = 0.6) -> DataFrame:
