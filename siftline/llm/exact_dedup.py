@@ -16,7 +16,9 @@ The verdicts travel back the same way: first to the runs (one row per run and
 digest), then from each run to its own rows, so a hot text is dealt over as many
 keys as there are runs.
 
-Defined results: a null text is an empty text, and empty texts are copies of
+Defined results: texts of any length are digested whole; other columns play no
+part, so their names cannot clash; an empty table gives no rows.  A null text is an
+empty text, and empty texts are copies of
 each other.  A null identifier is worse than any other.  Rows that repeat both
 identifier and text share one verdict; ``deduplicate`` keeps one of them.
 """

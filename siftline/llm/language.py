@@ -16,8 +16,12 @@ into pieces of at most 8 letters in scripts without spaces between words and of
 40 in others.  Every piece is scored.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0
-and no spans; ties go to the language first in order.  Fitting reads about
-``per_lang`` documents of each language (a documented bound), chosen by hash.
+and no spans; ties go to the language first in order.  Texts of any length are
+labelled whole, repeated rows each for itself; an empty table gives no rows, and
+without a labelled row everything is ``und``.  Input columns with an output's name
+are replaced.  Fitting reads about ``per_lang`` documents of each language (a
+documented bound), chosen by hash, whole; the languages themselves are few enough
+for a table of one column each.
 """
 
 from __future__ import annotations
@@ -203,10 +207,8 @@ def fit(docs: DataFrame, allowed: Column, text_col: str = "text", lang_col: str
         return Model([], np.zeros((1 << BITS, 0)), {})
     where = {x: i for i, x in enumerate(langs)}
     u = F.pmod(F.xxhash64(id_col, F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
-    chosen = None
-    for x in langs:
-        cond = (F.col(lang_col) == x) & (u <= min(1.0, per_lang / counts[x]))
-        chosen = cond if chosen is None else chosen | cond
+    shares = F.create_map(*[F.lit(v) for x in langs for v in (x, min(1.0, per_lang / counts[x]))])
+    chosen = u <= F.element_at(shares, F.col(lang_col))
 
     def tally(batches):
         from collections import Counter, defaultdict
