@@ -61,7 +61,8 @@ def test_stage_edges(spark, name):
     ids = [r.doc_id for r in got]
     if name != "byte-level bpe":
         assert out.columns == docs.columns
-    assert None in ids and {901, 902, 903, 905} & set(ids)
+    # the row without identifier and text is a copy of the other empty ones
+    assert (None in ids) == (name != "exact dedup") and {901, 902, 903, 905} & set(ids)
     if name == "toxicity":
         assert {901, 902, 903, 904, 905, 906, 907} <= set(ids) and ids.count(904) == 2
     if name == "exact dedup":
