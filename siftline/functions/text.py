@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -57,8 +58,19 @@ def any_of(*conditions: Column) -> Column:
 
 
 def tags(c: Column, patterns: dict[str, str]) -> Column:
-    """Names of the patterns that occur as whole words, in the table's order."""
-    return F.array_compact(F.array(*[F.when(has_word(c, p), F.lit(name)) for name, p in patterns.items()]))
+    """Names of the patterns that occur as whole words, in the table's order.
+
+    Patterns that are plain words are looked up among the text's words, which are cut
+    once; others take a pass over the text each.
+    """
+    words = F.array_distinct(F.split(F.lower(c), "[^a-z0-9_]+"))
+
+    def hit(pattern):
+        if re.fullmatch("[a-z0-9_|]+", pattern):
+            return F.coalesce(F.arrays_overlap(words, F.array(*[F.lit(w) for w in pattern.split("|")])), F.lit(False))
+        return has_word(c, pattern)
+
+    return F.array_compact(F.array(*[F.when(hit(p), F.lit(name)) for name, p in patterns.items()]))
 
 
 def word_cut(c: Column, limit: int) -> Column:
@@ -108,7 +120,9 @@ IN_PERSON = "in[- ]?person|on[- ]?site|in person"
 
 
 def themes_of(c: Column) -> Column:
-    return F.array_compact(F.array(*[F.when(c.rlike(word(p)), F.lit(name)) for name, p in THEMES.items()]))
+    """Themes that a text names; most name none, which one pass tells."""
+    found = F.array_compact(F.array(*[F.when(c.rlike(word(p)), F.lit(name)) for name, p in THEMES.items()]))
+    return F.when(c.rlike(word("|".join(THEMES.values()))), found).otherwise(F.array().cast("array<string>"))
 
 
 def mode_of(c: Column) -> Column:

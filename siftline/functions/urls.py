@@ -89,9 +89,11 @@ def dedupe_key(c: Column) -> Column:
 
 def unique_urls(links: Column) -> Column:
     """http(s) addresses of an array without fragments, the first of each dedupe key, in order."""
-    web = F.transform(F.filter(links, lambda u: F.lower(u).rlike("^https?://")), lambda u: F.struct(dedupe_key(u).alias("k"), F.regexp_replace(u, "#.*$", "").alias("u")))
-    kept = F.filter(web, lambda x, i: F.array_position(F.transform(web, lambda y: y["k"]), x["k"]) == i + 1)
-    return F.transform(kept, lambda x: x["u"])
+    web = F.transform(F.filter(links, lambda u: F.lower(u).rlike("^https?://")), lambda u, i: F.struct(dedupe_key(u).alias("k"), i.alias("i"), F.regexp_replace(u, "#.*$", "").alias("u")))
+    # equal keys lie side by side once sorted; the outer transform binds the sorted array, which is then made once
+    first = F.transform(F.array(F.array_sort(web)), lambda s: F.filter(s, lambda x, j: (j == 0) | (F.get(s, j - 1)["k"] != x["k"])))
+    in_order = F.array_sort(F.transform(F.element_at(first, 1), lambda x: F.struct(x["i"].alias("i"), x["u"].alias("u"))))
+    return F.transform(in_order, lambda x: x["u"])
 
 
 def resolve(c: Column, base: Column) -> Column:
