@@ -12,11 +12,10 @@ from __future__ import annotations
 import re
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftline.functions import keys, urls
-from siftline.functions.text import normalize_text
 
 from .resolve import blocking_edges, components
 
@@ -79,7 +78,6 @@ class _Record:
 
     def __init__(self, row: dict):
         self.row, self.members = row, [row["ordinal"]]
-        self.trust = {u: (row[f"{u}_host"] or 0) + row["authority"] for u in ADDRESSES}
         self.derive()
 
     def derive(self) -> None:
@@ -97,12 +95,14 @@ class _Record:
         where = _canonical(" ".join(x for x in (r["city"], r["country"], r["mode"]) if x))
         self.print = first or (("ids", r["ids_key"]) if r["ids_key"] else ("event", _canonical(r["name"]), where, self.when))
         self.url = ids[0] or ids[1]
+        self.telling = len(self.name) >= 8 and not re.match(GENERAL, self.name)
+        self.keys = [("print", self.print), *([("soft", self.soft)] if self.soft else []), *([("url", self.url)] if self.url else []), *([("name", self.name)] if self.telling else [])]
 
     def like(self, other: "_Record") -> bool:
         """The same print, soft key or address, or the same telling name with year and place that do not differ."""
         if self.print == other.print or (self.soft and self.soft == other.soft) or (self.url and self.url == other.url):
             return True
-        if self.name != other.name or len(self.name) < 8 or re.match(GENERAL, self.name):
+        if self.name != other.name or not self.telling:
             return False
         if self.when and other.when and self.when[:4] != other.when[:4]:
             return False
@@ -131,6 +131,28 @@ _KEPT = ["source", *ADDRESSES, *TEXTS, "mode", "themes"]
 _MERGED = "root long, first long, members array<long>, " + ", ".join(f"{c} {'array<string>' if c == 'themes' else 'string'}" for c in _KEPT)
 
 
+class _Merged:
+    """The merged records of one component, found by any key that a match needs."""
+
+    def __init__(self):
+        self.records: list[_Record] = []
+        self.of_key: dict[tuple, set[int]] = {}
+
+    def add(self, new: _Record) -> None:
+        """Into the first record that it is like, else as one of its own."""
+        near = sorted(set().union(*[self.of_key.get(k, ()) for k in new.keys]))
+        at = next((i for i in near if self.records[i].like(new)), None)
+        if at is None:
+            at = len(self.records)
+            self.records.append(new)
+        else:
+            for k in self.records[at].keys:
+                self.of_key[k].discard(at)
+            self.records[at].take(new)
+        for k in self.records[at].keys:
+            self.of_key.setdefault(k, set()).add(at)
+
+
 def _fold(batches):
     """Rows sorted by (root, ordinal) to merged records."""
     import pyarrow as pa
@@ -142,21 +164,16 @@ def _fold(batches):
         rows = [[root, m.members[0], m.members, *[m.row[c] for c in _KEPT]] for m in merged]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
-    root, merged, of_print = None, [], {}
+    root, merged = None, _Merged()
     for table in batches:
         for row in table.to_pylist():
             if row["root"] != root:
-                if merged:
-                    yield batch(root, merged)
-                root, merged, of_print = row["root"], [], {}
-            new = _Record(row)
-            at = next((i for i, m in enumerate(merged) if m.like(new)), None)
-            if at is None:
-                merged.append(new)
-            else:
-                merged[at].take(new)
-    if merged:
-        yield batch(root, merged)
+                if merged.records:
+                    yield batch(root, merged.records)
+                root, merged = row["root"], _Merged()
+            merged.add(_Record(row))
+    if merged.records:
+        yield batch(root, merged.records)
 
 
 def merge_sources(events: DataFrame) -> DataFrame:
@@ -202,8 +219,6 @@ def united_dates(found: DataFrame, by: str, order: str, key: list[str], value: s
 
 # ---- the write plan
 
-PREFERRED = ["name", "source", "official_url", "apply_url", "deadline", "city"]
-
 
 def incoming_groups(incoming: DataFrame, texts: list[str], lists: list[str]) -> DataFrame:
     """Records of one fingerprint in a batch as one: first non-empty texts, united lists, the last score.
@@ -297,7 +312,3 @@ def transition(records: DataFrame, wanted: Column, at: Column) -> DataFrame:
         *others, F.col("status").alias("previous_status"), F.when(moves, wanted).otherwise(F.col("status")).alias("status"),
         stamp("approved_at", "APPROVED"), stamp("rejected_at", "REJECTED"), stamp("saved_at", "SAVED_FOR_LATER"), action.alias("action"),
     )
-
-
-def in_order(by: str, order: str) -> Window:
-    return Window.partitionBy(by).orderBy(order)

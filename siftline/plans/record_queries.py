@@ -9,7 +9,7 @@ from siftline.functions import keys, text, urls
 from siftline.operators import resolve, rules, upsert, views
 from siftline.sources import tables
 
-from .key_queries import _NORM, _PARTS, _SOURCE, _TITLE
+from .key_queries import _NORM, _PARTS
 
 _CAND = """
     cand AS (

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siftline.functions import dates, text, urls
-from siftline.operators import rules, upsert, views
+from siftline.functions import dates, text
+from siftline.operators import upsert, views
 from siftline.sources import tables
 
 from .key_queries import _NORM, _PARTS, word_sql

@@ -215,12 +215,6 @@ def json_scripts(html: Column) -> Column:
     return F.filter(F.transform(found, F.trim), lambda x: x != "")
 
 
-def blocked_page(html: Column) -> Column:
-    """Whether a page is a check for robots rather than content: its words say so and it has few links."""
-    said = html.rlike("(?i)captcha|verify you are human|access denied|unusual traffic|checking your browser")
-    return F.coalesce(said & (F.regexp_count(html, F.lit("(?i)<a[^>]+href")) < 5), F.lit(False))
-
-
 def repeated_units(table: DataFrame, least: int = 2) -> DataFrame:
     """Siblings of one shape under one parent: how many, how alike their texts and links are, and how sure that makes them a listing.
 
