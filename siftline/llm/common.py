@@ -12,6 +12,7 @@ from siftline.storage import discard, materialize, release, shared_root  # noqa:
 #: Words are maximal runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
+
 def unclash(df: DataFrame, *names: str) -> DataFrame:
     """Drop input columns whose names an operator is about to produce."""
     taken = {n.lower() for n in names}

@@ -36,7 +36,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, gram_hashes, materialize, mix64, word_hashes, words_of
+from .common import discard, gram_hashes, materialize, mix64, word_hashes
 from .graph import connected_components
 
 BITS = 4
