@@ -277,6 +277,39 @@ def enriched(leads: DataFrame, pages: DataFrame, most: int = 15) -> DataFrame:
     return both.select("ordinal", "id", "source", title.alias("title"), "url", body.alias("text"), use.alias("enriched"))
 
 
+def _meta(html: Column, name: str) -> Column:
+    """The content of a page's meta element of this name or property."""
+    first = rf"""(?is)<meta[^>]*(?:property|name)=["']{name}["'][^>]*content=["']([^"']*)["']"""
+    last = rf"""(?is)<meta[^>]*content=["']([^"']*)["'][^>]*(?:property|name)=["']{name}["']"""
+    return F.coalesce(some(F.regexp_extract(html, first, 1)), some(F.regexp_extract(html, last, 1)))
+
+
+def _element(html: Column, tag: str) -> Column:
+    """The text of a page's first element of this tag."""
+    return text.flattened(F.regexp_replace(F.regexp_extract(html, rf"(?is)<{tag}(?:\s[^>]*)?>(.*?)</{tag}>", 1), "<[^>]+>", " "))
+
+
+def page_fields(html: Column, url: Column) -> Column:
+    """(title, description, date_text, mode, apply_url, deadline_text, eligibility) of a fetched page.
+
+    The title is that of its preview, else its own, else its first heading; the way to
+    apply is the first link that says so in its text or address.
+    """
+    body = F.substring(F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(html, "(?is)<(script|style|head)[^>]*>.*?</\\1>", " "), "<[^>]+>", " "), r"\s+", " ")), 1, 4000)
+    mode = F.when(body.rlike(word("online|remote|virtual")), "online").when(body.rlike(word("hybrid")), "hybrid").when(body.rlike(word("in[- ]?person")), "in-person")
+    link = r"""(?is)<a[^>]*href=["']([^"']*)["'][^>]*>(.*?)</a>"""
+    pairs = F.arrays_zip(F.regexp_extract_all(html, F.lit(link), F.lit(1)).alias("href"), F.regexp_extract_all(html, F.lit(link), F.lit(2)).alias("said"))
+    apply = F.try_element_at(F.filter(pairs, lambda x: x["said"].rlike(r"(?i)apply|register|sign\s*up|registration") | x["href"].rlike("(?i)apply|register")), F.lit(1))["href"]
+    due = some(F.regexp_extract(body, rf"(?i)(?<![A-Za-z0-9_])(?:deadline|apply by|registration closes)\s*[:\-]?\s*(20\d{{2}}-\d{{2}}-\d{{2}}|[A-Za-z]+\s+\d{{1,2}},?\s+20\d{{2}})", 1))
+    when = F.coalesce(some(F.regexp_extract(html, r"""(?is)<time[^>]*datetime=["']([^"']*)["']""", 1)), _element(html, "time"))
+    return F.struct(
+        F.coalesce(_meta(html, "og:title"), _element(html, "title"), _element(html, "h1")).alias("title"),
+        F.coalesce(_meta(html, "og:description"), _meta(html, "description"), F.substring(_element(html, "p"), 1, 500)).alias("description"),
+        when.alias("date_text"), mode.alias("mode"), urls.resolve(apply, url).alias("apply_url"), due.alias("deadline_text"),
+        F.when(body.rlike(word("eligibility")), "See page for eligibility").alias("eligibility"),
+    )
+
+
 # ---- support by evidence
 
 def fact_supported(value: Column, said: Column, kind: str = "text") -> Column:

@@ -280,6 +280,23 @@ def s34_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tallied(df, captured=extract.worth_capturing(F.col("method"), F.col("status"), F.col("kind"), F.col("allowed")))
 
 
+#: page, then title, description, date, mode, way to apply, deadline
+FETCHED = [
+    ('<head><title>Own</title><meta property="og:title" content="Preview"></head><h1>H</h1><p>First <b>one</b></p><a href="/x">About</a><a href="join">Sign up</a> online. Apply by: Aug 1, 2026',
+     ("Preview", "First one", None, "online", "https://e.org/a/join", "Aug 1, 2026")),
+    ('<title> Own  title </title><meta content="Said" name="description"><time datetime="2026-09-01">Sep</time><a href="https://f.org/register">go</a> Deadline 2026-08-01 hybrid',
+     ("Own title", "Said", "2026-09-01", "hybrid", "https://f.org/register", "2026-08-01")),
+    ("<h1>Only <i>this</i></h1><time>soon</time>", ("Only this", None, "soon", None, None, None)), (None, (None,) * 6),
+]
+
+
+def p20_page_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of fetched pages."""
+    df = over_orders(spark, sf_dir, [(h,) for h, _ in FETCHED], "html string")
+    found = extract.page_fields(F.col("html"), F.lit("https://e.org/a/b"))
+    return tallied(df, **{n: found[n] for n in ("title", "description", "date_text", "mode", "apply_url", "deadline_text")})
+
+
 def p3_theme_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many documents the table of themes tags with what."""
     d = tables.table(spark, sf_dir, "documents")
@@ -288,7 +305,7 @@ def p3_theme_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     p1_extract, p25_stored_rows, k9_sheet, p18_modes, s19_tag_modes, f20_likely_event, f20_upcoming, f21_content_theme, f18_promising_result, f19_promising_post, s24_posts, s25_post_leads, s21_detail_merge, p22_enriched,
-    f31_fact_support, m17_supported_fill, f31_claim_support, f32_question_kind, f25_blocked_pages, f28_store_errors, f40_navigation, p32_shown_ranges, p32_source_labels, s34_capture, p3_theme_table,
+    f31_fact_support, m17_supported_fill, f31_claim_support, f32_question_kind, f25_blocked_pages, f28_store_errors, f40_navigation, p32_shown_ranges, p32_source_labels, s34_capture, p20_page_fields, p3_theme_table,
 )}
 
 _KEPT = [(i, x[1]) for i, x in enumerate(LEADS) if x[1]]
@@ -337,6 +354,7 @@ ORACLES = {
     "p32_shown_ranges": expected(["shown"], [(s[1],) for s in SHOWN]),
     "p32_source_labels": expected(["label"], [(s[1],) for s in SOURCES]),
     "s34_capture": expected(["captured"], [(a[1],) for a in ANSWERS]),
+    "p20_page_fields": expected(["title", "description", "date_text", "mode", "apply_url", "deadline_text"], [f[1] for f in FETCHED]),
     "p3_theme_table": "SELECT themes, count(*) AS n FROM (SELECT array_to_string(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(text, '(?i)(^|[^A-Za-z0-9_])({p})([^A-Za-z0-9_]|$)') THEN '{n}' END" for n, p in _THEME) + "], lambda x: x IS NOT NULL), ',') AS themes FROM documents) GROUP BY 1",
 }
 ORACLES["p22_enriched"] = f"""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,6 +64,25 @@ def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def scan_sources(factories: dict[str, Callable[[], DataFrame]], wanted: list[str] | None = None) -> tuple[DataFrame | None, dict[str, str]]:
+    """The leads of all wanted sources in one frame, and what went wrong with those that could not be read.
+
+    A factory makes a source's frame; one that raises (no such table, wrong schema)
+    is left out and named, the others go on.  Sources come in the order asked for,
+    each once; one that is not registered is an error of the caller.
+    """
+    names = list(dict.fromkeys(wanted if wanted is not None else factories))
+    if unknown := [n for n in names if n not in factories]:
+        raise ValueError(f"unknown sources {unknown}, registered are {sorted(factories)}")
+    frames, failed = {}, {}
+    for name in names:
+        try:
+            frames[name] = factories[name]()
+        except Exception as e:  # noqa: BLE001 - whatever it is, it is this source's failure alone
+            failed[name] = f"{type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}"
+    return union_sources(frames) if frames else None, failed
+
+
 def union_sources(frames: dict[str, DataFrame]) -> DataFrame:
     """One frame of all sources' leads, each tagged; columns a source lacks are null."""
     out = None

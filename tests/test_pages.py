@@ -39,6 +39,26 @@ def test_snapshot_and_appends(spark, tmp_path):
     assert got == [(7, 1), (7, 2), (7, 3), (7, 4), (8, 1), (8, 2)]
 
 
+def test_sources_that_fail_are_left_out_and_named(spark):
+    good = lambda: spark.createDataFrame([(1, "a")], "id long, title string")
+    other = lambda: spark.createDataFrame([(2,)], "id long")
+    missing = lambda: spark.read.parquet("file:///no/such/table")
+    df, failed = tables.scan_sources({"a": good, "b": missing, "c": other}, ["c", "b", "a", "c"])
+    assert sorted((r.source, r.id, r.title) for r in df.collect()) == [("a", 1, "a"), ("c", 2, None)]
+    assert list(failed) == ["b"] and "PATH_NOT_FOUND" in failed["b"]
+    assert tables.scan_sources({"b": missing})[0] is None
+    with pytest.raises(ValueError):
+        tables.scan_sources({"a": good}, ["z"])
+
+
+def test_skipped_tags_do_not_close_outer_ones(spark):
+    page = "<div><section><div><p>deep</p></div>after</section><b>x</b></div><p>end</p>"
+    rows = html.nodes(spark.createDataFrame([(1, page)], "page_id long, html string"), most_depth=2).orderBy("node_id").collect()
+    assert [(r.tag, r.parent_id, r.text) for r in rows] == [("div", -1, ""), ("section", 0, "deepafter"), ("b", 0, "x"), ("p", -1, "end")]
+    whole = html.nodes(spark.createDataFrame([(1, "<i>" * 5000 + "x")], "page_id long, html string"))
+    assert whole.count() == 5000 and whole.agg(F.max("depth")).first()[0] == 4999
+
+
 def test_sheet_is_idempotent(spark):
     c = tables.candidates(spark, "/root/testdata/sf0.001")
     sheet = sinks.sheet_rows(c.limit(0))
