@@ -40,7 +40,7 @@ class _Pairs(Recent):
     """s << 32 | t, both as entries -> whether s then t stays s then t when their bytes are merged together."""
 
     def __init__(self, ranks: "Ranks"):
-        super().__init__(2_000_000)
+        super().__init__(600_000)
         self.ranks = ranks
 
     def make(self, key: int) -> bool:
@@ -242,7 +242,7 @@ class TextTable:
 class Codec(Recent):
     """piece -> its ids as 32-bit numbers, remembered for short pieces up to a bound."""
 
-    LIMIT, LONG = 1_000_000, 48
+    LIMIT, LONG = 700_000, 48
 
     def __init__(self, path: str, pattern: str):
         super().__init__(self.LIMIT)

@@ -83,7 +83,7 @@ class PieceSplitter:
 class MergeCounter(Recent):
     """piece -> number of tokens, by merging; a bounded memory of short pieces."""
 
-    LIMIT, LONG = 1_000_000, 48
+    LIMIT, LONG = 800_000, 48
 
     def __init__(self, path: str):
         super().__init__(self.LIMIT)
