@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from siftline.llm import byte_bpe, exact_dedup, minhash, mixing, toxicity
 from siftline.llm.common import materialize
+from siftline.storage import settle
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,6 +26,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts score by the bias alone and stay; rows that repeat stay or go
     together; a score of exactly one half goes.
     """
+    settle(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.fit(docs, labels, F.lit(True))
     scored = toxicity.score(docs, model, out="__toxicity")
@@ -37,6 +39,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null is the empty text; a null identifier is the smallest; of rows that repeat
     identifier and text one stays.
     """
+    settle(spark)
     return exact_dedup.deduplicate(docs, keep="largest")
 
 
@@ -46,6 +49,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Null, empty and white-space texts and null identifiers are near nothing and stay;
     of a group the smallest identifier stays, with all rows that repeat it and its text.
     """
+    settle(spark)
     return minhash.keep_one(docs, k=5, percent=80)
 
 
@@ -55,6 +59,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts have no words to take and stay once; a null source is a
     source; rows that repeat are drawn alike.
     """
+    settle(spark)
     return mixing.resample(docs)
 
 
@@ -63,6 +68,7 @@ def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     Null and empty texts have no ids; rows that repeat are encoded each for itself.
     """
+    settle(spark)
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     return byte_bpe.digests(docs, path, pattern, with_ids=True)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -61,6 +62,19 @@ def discard(*tables: DataFrame) -> None:
         _delete(df.sparkSession, df._siftline_path)
 
 
+def settle(spark: SparkSession) -> None:
+    """Let go of what finished jobs leave on the driver.
+
+    Spark frees broadcasts, shuffle files and generated classes only once the driver's
+    JVM has collected their handles, and a JVM with room to spare does not collect.
+    """
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    spark._jvm.java.lang.System.gc()
+
+
 def release(spark: SparkSession) -> None:
     """Delete all that materialize() wrote; call it once results have been stored."""
     while _written:
