@@ -36,6 +36,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftline.storage import settle
+
 from .common import discard, gram_hashes, materialize, mix64, word_hashes
 from .graph import connected_components
 
@@ -366,6 +368,7 @@ def near_duplicates(
     if not more.isEmpty():
         labels = connected_components(edges.unionByName(more))
     discard(reps, members, sets, *done)
+    settle(df.sparkSession)
 
     named = classes.join(labels, "node", "left").filter("copies > 1 OR component IS NOT NULL")
     if not classes.filter("node <> rep").isEmpty():  # a component is named by an identifier, not by a node

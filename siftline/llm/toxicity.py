@@ -38,6 +38,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftline.storage import settle
+
 from .common import unclash
 
 STEPS = 4
@@ -292,7 +294,10 @@ def fit(
     pairs = [(np.frombuffer(i.as_buffer(), np.int32), np.frombuffer(s.as_buffer(), np.uint8)) for i, s in zip(rows["ids"], rows["steps"])]
     sided = rows["sides"].to_pylist()
     p, n, u = ([x for x, of in zip(pairs, sided) if name in of] for name, _, _ in sides)
-    return train_nnpu(p, u, n)
+    model = train_nnpu(p, u, n)
+    del rows, pairs, p, n, u, sided
+    settle(docs.sparkSession)  # the sample is the most that any operator holds on the driver
+    return model
 
 
 _scoring: dict[str, _Features] = {}
