@@ -71,9 +71,9 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir).select("doc_id", "text")
     out = secret_scan.scan(docs, secret_scan.fit(docs))
-    count = {k: F.size(F.filter("findings", lambda f, k=k: f["kind"] == k)).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")}
+    count = [secret_scan.count_of(F.col("findings"), kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex")]
     base = F.sha2(secret_scan.spans_text(F.col("findings"), base_only=True), 256)
-    return out.select("doc_id", *count.values(), base.alias("base_sha256"), secret_scan.spans_text(F.col("findings")).alias("spans"))
+    return out.select("doc_id", *count, base.alias("base_sha256"), secret_scan.spans_text(F.col("findings")).alias("spans"))
 
 
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:

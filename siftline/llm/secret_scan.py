@@ -9,9 +9,10 @@ it gathers at least ``least`` nats beyond one a character.
 
 The models are trained from labelled samples.  Random: the values of all base
 findings of the corpus, and generated keys over the usual alphabets, so that kinds
-of keys that the corpus has not got are known too.  Ordinary: everything else in the
-corpus, words as they are and words joined to identifiers, and generated identifiers
-of common parts.  Tasks count
+of keys that the corpus has not got are known too.  Ordinary: the corpus's text but
+for base findings and the runs that are to be judged (a key that is copied often
+would else teach that it is none), its words as they are and joined to identifiers,
+and generated identifiers of common parts.  Tasks count
 character triples over whole texts; the driver takes one row per triple, at most
 2 * 69**3 whatever the corpus.
 
@@ -119,12 +120,13 @@ def _counted(batches):
         for text in batch.column("text").to_pylist():
             if not text:
                 continue
-            at = 0
-            for start, _, end, _ in base_spans(text):
+            at, base = 0, base_spans(text)
+            for start, _, end, _ in base:
+                value = ASSIGN.match(text, start)
+                random.append(value[2] if value else text[start:end])
+            for start, end in sorted([(s, e) for s, _, e, _ in base] + [m.span() for m in RUN.finditer(text)]):
                 if end > at:
                     ordinary.append(text[at:start])
-                    value = ASSIGN.match(text, start)
-                    random.append(value[2] if value else text[start:end])
                     at = end
             ordinary.append(text[at:])
             size += len(text)
@@ -144,12 +146,14 @@ def generated_keys(per_alphabet: int = 2000, length: int = 40, seed: int = 11) -
 
 
 def generated_identifiers(per_style: int = 3000, seed: int = 12) -> list[str]:
-    """Ordinary identifiers of two to five parts, in the usual ways of writing them."""
+    """Ordinary identifiers of two to five parts, in the usual ways of writing them, and numbers."""
     rng = np.random.default_rng(seed)
     parts = [[PARTS[i] for i in rng.integers(0, len(PARTS), rng.integers(2, 6))] for _ in range(per_style)]
     camel = [p[0] + "".join(w.title() for w in p[1:]) for p in parts]
     number = [f"{c}{n}" for c, n in zip(camel, rng.integers(0, 100, len(camel)).tolist())]
     joined = [sign.join(p) for p in parts for sign in ("_", "-", "/", "")]
+    # digits alone are numbers of something: times, telephones, cards
+    joined += ["".join(map(str, d)) for d in rng.integers(0, 10, (2 * per_style, 18)).tolist()]
     return camel + number + ["".join(w.title() for w in p) for p in parts] + ["_".join(p).upper() for p in parts] + joined
 
 
@@ -256,6 +260,11 @@ def redact(df: DataFrame, text_col: str = "text", mark: str = "[secret]") -> Dat
     return df.withColumn(text_col, redacted(F.col(text_col), "findings"))
 
 
+def count_of(findings, kind: str):
+    """How many findings are of a kind."""
+    return F.size(F.filter(findings, lambda f: f["kind"] == kind)).cast("long")
+
+
 def spans_text(findings, base_only: bool = False):
     """kind:start:end of the findings, joined by commas."""
     kept = F.filter(findings, lambda f: f["kind"] != RANDOM) if base_only else findings
