@@ -26,13 +26,16 @@ APPLY_WORDS = "apply|registration|register|applications?"
 #: An ASCII word's border before and after.
 _B, _E = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
 _DATE = r"20\d{2}-\d{2}-\d{2}|[A-Za-z]+\s+\d{1,2},?\s+20\d{2}"
-_FORMATS = ("MMM d, yyyy", "MMMM d, yyyy", "MMM d yyyy", "MMMM d yyyy", "d MMM yyyy", "d MMMM yyyy")
+_NAME = "((?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec))(?:(?<=jan)uary|(?<=feb)ruary|(?<=mar)ch|(?<=apr)il|(?<=jun)e|(?<=jul)y|(?<=aug)ust|(?<=sep)tember|(?<=oct)ober|(?<=nov)ember|(?<=dec)ember)?"
+_NAMED = rf"^(?:{_NAME} (\d{{1,2}}),? (\d{{4}})|(\d{{1,2}}) {_NAME} (\d{{4}}))$"
 
 
 def day_of(c: Column) -> Column:
     """yyyy-MM-dd of an ISO prefix or a named-month date; null otherwise."""
     text = F.trim(c)
-    parsed = F.coalesce(*[F.try_to_timestamp(F.initcap(F.lower(text)), F.lit(f)) for f in _FORMATS])
+    # "Sep 5, 2026", "September 5 2026" and "5 Sep 2026" are brought to one form and read once
+    one_form = F.initcap(F.regexp_replace(F.lower(text), _NAMED, "$2$4 $1$5 $3$6"))
+    parsed = F.try_to_timestamp(one_form, F.lit("d MMM yyyy"))
     return F.when(text.rlike(ISO), F.substring(text, 1, 10)).otherwise(F.date_format(parsed, "yyyy-MM-dd"))
 
 
@@ -67,7 +70,7 @@ def deadline_state(deadline: Column, today: Column) -> Column:
 def stale_title_year(title: Column, days: list[Column], year: int) -> Column:
     """The oldest year named in the title is past, and no known date is of this year or later."""
     years = F.transform(F.regexp_extract_all(title, F.lit(r"(?<![0-9A-Za-z_])(20\d{2})(?![0-9A-Za-z_])"), F.lit(1)), lambda y: y.cast("int"))
-    known = F.exists(F.array(*[F.substring(day_of(d), 1, 4).cast("int") for d in days]), lambda y: F.coalesce(y >= year, F.lit(False)))
+    known = F.exists(F.array(*days), lambda d: F.coalesce(F.substring(day_of(d), 1, 4).cast("int") >= year, F.lit(False)))
     return F.coalesce(F.array_min(years) < year, F.lit(False)) & ~F.coalesce(known, F.lit(False))
 
 

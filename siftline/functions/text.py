@@ -95,6 +95,11 @@ def word(pattern: str) -> str:
     return rf"(?i)(?<![A-Za-z0-9_])(?:{pattern})(?![A-Za-z0-9_])"
 
 
+def borders(pattern: str) -> str:
+    """A pattern whose word borders are those of ASCII words: the engine's own also know other letters."""
+    return pattern.replace(r"\b", "(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))")
+
+
 def some(c: Column) -> Column:
     """Trimmed text, null if empty."""
     return F.nullif(F.trim(c), F.lit(""))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftline.functions import dates, keys, text, urls
+from siftline.functions.stages import held
 from siftline.functions.text import normalize_text, word
 
 from .rules import clamp
@@ -90,18 +91,39 @@ def event_end() -> Column:
     return F.coalesce("event_end_date", "end_date", "event_start_date", "start_date")
 
 
-def status_at(now: Column) -> Column:
-    """UPCOMING, ONGOING, FINISHED or UNKNOWN on the day it is where the event takes place."""
-    return dates.temporal_status(event_start(), event_end(), dates.today_in(now, dates.zone_of(F.col("location"), F.col("city"), F.col("country"))))
+def prepared(events: DataFrame, now: Column) -> DataFrame:
+    """Events with what the rules ask more than once, each worked out once: canonical texts, days, and the state at `now`.
+
+    Every rule below reads these columns, so its own expression stays small.
+    """
+    evidence = F.array_join(F.transform("evidence", lambda e: F.concat_ws(" ", e["title"], e["snippet"])), " ")
+    out = held(
+        events,
+        __words=normalize_text(F.concat_ws(" ", "location", "city", "region", "country", "mode", "location_text", "location_mode")),
+        __place=normalize_text(F.concat_ws(" ", "location", "city", "country", "mode")), __title=normalize_text(F.col("name")), __said=normalize_text(F.concat_ws(" ", "name", "description")),
+        __intent=normalize_text(F.concat_ws(" ", "name", "description", F.array_join("themes", " "), evidence)),
+        __open_to=normalize_text(F.concat_ws(" ", "eligibility", "description", "location", "country")),
+        __themes=F.transform(F.coalesce("themes", F.array().cast("array<string>")), normalize_text),
+        __due=dates.day_of(application_deadline()), __start=dates.day_of(event_start()), __end=dates.day_of(F.coalesce(event_end(), event_start())),
+        __today=dates.today_in(now, dates.zone_of(F.col("location"), F.col("city"), F.col("country"))),
+    )
+    years = [F.col(c) for c in ("event_start_date", "event_end_date", "start_date", "end_date", "registration_deadline", "application_deadline", "deadline")]
+    said = F.col("__words")
+    return held(
+        out,
+        # the last day belongs to the event
+        __status=F.when(F.col("__start").isNull() | F.col("__end").isNull(), "UNKNOWN").when(F.col("__end") < F.col("__today"), "FINISHED").when(F.col("__start") > F.col("__today"), "UPCOMING").otherwise("ONGOING"),
+        __closed=_yes(F.col("__due") < F.date_format(now, "yyyy-MM-dd")), __stale=dates.stale_title_year(F.col("name"), years, F.year(now)),
+        __remote=_yes(F.col("mode") == "online") | _yes(F.col("location_mode") == "remote") | said.rlike("remote|online|everywhere|worldwide"),
+    )
 
 
 def location_words() -> Column:
-    return normalize_text(F.concat_ws(" ", "location", "city", "region", "country", "mode", "location_text", "location_mode"))
+    return F.col("__words")
 
 
 def is_remote() -> Column:
-    said = location_words()
-    return _yes(F.col("mode") == "online") | _yes(F.col("location_mode") == "remote") | said.rlike("remote|online|everywhere|worldwide")
+    return F.col("__remote")
 
 
 def is_in_person() -> Column:
@@ -117,9 +139,8 @@ def in_place(wants: Preferences) -> Column:
 
 def theme_matches(wants: Preferences) -> Column:
     """How many wanted themes the record has: either contains the other, or name and description contain it."""
-    own = F.transform(F.coalesce("themes", F.array().cast("array<string>")), normalize_text)
-    said = normalize_text(F.concat_ws(" ", "name", "description"))
-    found = [(F.exists(own, _either_holds(_plain(t))) | said.contains(_plain(t))).cast("int") for t in wants.themes]
+    said = F.col("__said")
+    found = [(F.exists("__themes", _either_holds(_plain(t))) | said.contains(_plain(t))).cast("int") for t in wants.themes]
     return sum(found, F.lit(0))
 
 
@@ -139,13 +160,12 @@ CONTEST_TITLE = "hackathon|buildathon|codeathon|datathon|challenge|competition|c
 
 
 def has_intent() -> Column:
-    said = F.array_join(F.transform("evidence", lambda e: F.concat_ws(" ", e["title"], e["snippet"])), " ")
-    words = normalize_text(F.concat_ws(" ", "name", "description", F.array_join("themes", " "), said))
+    words = F.col("__intent")
     return words.rlike(word(INTENT)) | (words.rlike(word(CONTEST)) & words.rlike(word(BUILDING)))
 
 
 def is_something_else() -> Column:
-    title = normalize_text(F.col("name"))
+    title = F.col("__title")
     return title.rlike(BARE_TITLE) | title.rlike(word(TOP_LIST)) | title.rlike(word(LEISURE)) | (title.rlike(word(GATHERING)) & ~title.rlike(word(CONTEST_TITLE)))
 
 
@@ -158,7 +178,7 @@ def participants(wants: Preferences) -> Column:
         return verdict(True, False)
     if "canada" not in wants.wanted and "canad" not in wants.command.lower():
         return verdict(True, True, "Participant eligibility unclear")
-    said = normalize_text(F.concat_ws(" ", "eligibility", "description", "location", "country"))
+    said = F.col("__open_to")
     return _first(
         [
             (said.rlike(word("canada|canadian|global|worldwide|anywhere|open to all")), verdict(True, False)),
@@ -201,7 +221,7 @@ def city_match(wants: Preferences) -> Column:
     city = city_asked(wants.command)
     if city is None:
         return verdict("UNKNOWN", True, False, "No explicit city constraint")
-    said = normalize_text(F.concat_ws(" ", "location", "city", "country", "mode"))
+    said = F.col("__place")
     wide = bool(re.search(word("gta|greater toronto"), wants.command))
     unclear = verdict("UNKNOWN", False, True, "Location unclear for explicit city query")
     included = wants.remote == "include"
@@ -297,10 +317,9 @@ def event_class() -> Column:
 
 # ---- verification
 
-def verified(now: Column) -> Column:
-    """(status, confidence, reasons, red_flags): rejected, needs_review or accepted."""
-    today = F.date_format(now, "yyyy-MM-dd")
-    status = status_at(now)
+def verified() -> Column:
+    """(status, confidence, reasons, red_flags) of a prepared record: rejected, needs_review or accepted."""
+    status = F.col("__status")
     none = F.array().cast("array<string>")
 
     def verdict(state, confidence, reasons, flags):
@@ -310,17 +329,16 @@ def verified(now: Column) -> Column:
 
     due, start = application_deadline(), event_start()
     flags = _list(
-        (status == "UNKNOWN", "Date unclear"), (dates.day_of(due).isNull(), "Applications close: Unknown"), (dates.day_of(start).isNull(), "Event date unclear"),
+        (status == "UNKNOWN", "Date unclear"), (F.col("__due").isNull(), "Applications close: Unknown"), (F.col("__start").isNull(), "Event date unclear"),
     )
     reasons = _list((_has("official_url"), "Official URL present"), (_has("apply_url"), "Apply URL present"), (_has("city") | _has("country") | _has("mode"), "Location/mode present"))
     sure = F.when(_has("official_url") & _has("apply_url") & ((F.coalesce(due, F.lit("")) != "") | (F.coalesce(start, F.lit("")) != "")), "high").otherwise("medium")
-    years = [F.col(c) for c in ("event_start_date", "event_end_date", "start_date", "end_date", "registration_deadline", "application_deadline", "deadline")]
     return _first(
         [
             (F.trim(F.coalesce("name", F.lit(""))) == "", verdict("rejected", "low", "Missing event name", "Missing event name")),
-            (dates.deadline_closed(due, today), verdict("rejected", "high", "Registration deadline has passed", "Registration closed")),
+            (F.col("__closed"), verdict("rejected", "high", "Registration deadline has passed", "Registration closed")),
             (status == "FINISHED", verdict("rejected", "high", "Event already ended", "Event already ended")),
-            (dates.stale_title_year(F.col("name"), years, F.year(now)), verdict("rejected", "high", "Title year is in the past without a verified current edition", "Stale title year")),
+            (F.col("__stale"), verdict("rejected", "high", "Title year is in the past without a verified current edition", "Stale title year")),
             (~(_has("official_url") | _has("apply_url") | _has("social_url")), verdict("rejected", "low", "No official, apply, or social URL", "No useful URL")),
             (_has("social_url") & ~_has("official_url") & ~_has("apply_url"), verdict("needs_review", "low", "Social-only lead without official page", "Needs official link")),
         ],
@@ -330,10 +348,9 @@ def verified(now: Column) -> Column:
 
 # ---- eligibility and score
 
-def eligibility(wants: Preferences, now: Column) -> Column:
-    """(eligible, needs_review, reasons, rejection): the hard gates in order."""
-    today, status, part = F.date_format(now, "yyyy-MM-dd"), status_at(now), participants(wants)
-    years = [F.col(c) for c in ("event_start_date", "event_end_date", "start_date", "end_date", "registration_deadline", "application_deadline", "deadline")]
+def eligibility(wants: Preferences) -> Column:
+    """(eligible, needs_review, reasons, rejection) of a prepared record: the hard gates in order."""
+    status, part = F.col("__status"), participants(wants)
 
     def verdict(eligible, review, reasons, rejection=None):
         review = review if isinstance(review, Column) else F.lit(review)
@@ -345,9 +362,9 @@ def eligibility(wants: Preferences, now: Column) -> Column:
 
     unclear = [F.when(status == "UNKNOWN", "Event date unclear"), F.when(part["eligible"] & part["needs_review"], part["reason"])]
     rules = [
-        (dates.deadline_closed(application_deadline(), today), reject("Registration/application deadline has passed")),
+        (F.col("__closed"), reject("Registration/application deadline has passed")),
         (status == "FINISHED", reject("Event already ended")),
-        (dates.stale_title_year(F.col("name"), years, F.year(now)), reject("Title year is in the past without a verified current edition")),
+        (F.col("__stale"), reject("Title year is in the past without a verified current edition")),
         (~(_has("official_url") | _has("apply_url")), reject("No useful official or apply URL") if wants.strict else verdict(True, True, F.array(F.lit("No official/apply URL")))),
         (is_something_else() | ~has_intent(), reject("Candidate is not a hackathon or hackathon-like competition")),
     ]
@@ -423,9 +440,8 @@ def ranked(wants: Preferences) -> Column:
     return F.struct(clamp(score).cast("int").alias("score"), why.alias("why_match"), flags.alias("red_flags"))
 
 
-def scored(wants: Preferences, now: Column) -> Column:
-    """(score, why_match, red_flags, rejected, rejection): 0 with the reasons where a gate rejects."""
-    gate, rank = eligibility(wants, now), ranked(wants)
+def scored(gate: Column, rank: Column) -> Column:
+    """(score, why_match, red_flags, rejected, rejection) of a record's eligibility and rank: 0 with the reasons where a gate rejects."""
     kept = F.struct(
         rank["score"].alias("score"), rank["why_match"].alias("why_match"),
         F.when(gate["needs_review"], F.concat(rank["red_flags"], gate["reasons"])).otherwise(rank["red_flags"]).alias("red_flags"),
@@ -455,7 +471,8 @@ def judged(events: DataFrame, wants: Preferences, now: Column) -> DataFrame:
     Gates first, then the page class, then verification, then the score; records of
     an uncertain class are queued for review with score 0.
     """
-    df = events.withColumns({"__gate": eligibility(wants, now), "__class": event_class(), "__verified": verified(now), "__score": scored(wants, now)})
+    df = held(prepared(events, now), __gate=eligibility(wants), __class=event_class(), __verified=verified(), __rank=ranked(wants))
+    df = held(df, __score=scored(F.col("__gate"), F.col("__rank")))
     gate, kind, check, score = F.col("__gate"), F.col("__class.class"), F.col("__verified"), F.col("__score")
     invalid = (check["status"] == "rejected") & (F.lit(wants.strict) | hard_invalid(check["reasons"][0]))
     review = F.lit(False) if wants.strict else F.size(review_reasons(score["red_flags"])) > 0
@@ -464,7 +481,7 @@ def judged(events: DataFrame, wants: Preferences, now: Column) -> DataFrame:
     reason = F.when(~gate["eligible"], gate["rejection"]).when(kind.isin("EVENT_DIRECTORY", "ARTICLE", "ORGANIZATION_PAGE", "HISTORICAL_EVENT"), kind).when(invalid, check["reasons"][0])
     flags = F.when(kind == "UNCERTAIN", check["red_flags"]).otherwise(score["red_flags"])
     out = df.withColumns({"status": status, "score": F.when(status.isin("REJECTED") | (kind == "UNCERTAIN"), 0).otherwise(score["score"]), "class": kind, "reason": reason, "red_flags": flags})
-    return out.drop("__gate", "__class", "__verified", "__score")
+    return out.drop(*[c for c in out.columns if c.startswith("__")])
 
 
 # ---- missing facts

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.functions import dates, text
+from siftline.functions.stages import held
 from siftline.operators import judge, rules
 from siftline.operators.judge import Preferences
 
@@ -87,19 +88,22 @@ GATES += [
 
 
 def _by_preference(spark: SparkSession, sf_dir: str, cases: list[tuple], outcomes) -> DataFrame:
-    """Each group of cases with one asker's preferences is judged by its own plan; case numbers stay those of the whole table."""
-    df = over_orders(spark, sf_dir, [c[1] for c in cases], judge.EVENT)
+    """Each group of cases is judged by one asker's preferences, all of them in one scan."""
+    df = judge.prepared(over_orders(spark, sf_dir, [c[1] for c in cases], judge.EVENT), _now())
     groups: dict[Preferences, list[int]] = {}
     for i, c in enumerate(cases):
         groups.setdefault(c[0], []).append(i)
-    parts = [tallied(df.filter(F.col("case_no").isin(numbers)), **outcomes(wants)) for wants, numbers in groups.items()]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    said = None
+    for wants, numbers in groups.items():
+        mine, row = F.col("case_no").isin(numbers), F.struct(*[c.alias(name) for name, c in outcomes(wants).items()])
+        said = F.when(mine, row) if said is None else said.when(mine, row)
+    return held(df, out=said).groupBy("case_no", "out").agg(F.count(F.lit(1)).alias("n")).select("case_no", "out.*", "n")
 
 
 def f1_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hard gates, first rejection wins."""
     def outcomes(wants):
-        gate = judge.eligibility(wants, _now())
+        gate = judge.eligibility(wants)
         return {"eligible": gate["eligible"], "needs_review": gate["needs_review"], "reasons": F.array_join(gate["reasons"], ";")}
 
     return _by_preference(spark, sf_dir, GATES, outcomes)
@@ -147,7 +151,7 @@ SCORES = [
 def r3_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Final scores: ranked where the gates let a record through, else 0 with the reason."""
     def outcomes(wants):
-        s = judge.scored(wants, _now())
+        s = judge.scored(judge.eligibility(wants), judge.ranked(wants))
         return {"score": s["score"], "rejected": s["rejected"], "why": F.array_join(s["why_match"], ";")}
 
     return _by_preference(spark, sf_dir, SCORES, outcomes)
@@ -195,8 +199,8 @@ CHECKS = [
 
 
 def f15_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    check = judge.verified(_now())
-    df = over_orders(spark, sf_dir, [c[0] for c in CHECKS], judge.EVENT)
+    df = judge.prepared(over_orders(spark, sf_dir, [c[0] for c in CHECKS], judge.EVENT), _now())
+    df, check = held(df, check=judge.verified()), F.col("check")
     return tallied(df, status=check["status"], confidence=check["confidence"], reason=check["reasons"][0], red_flags=F.array_join(check["red_flags"], ";"))
 
 

@@ -25,9 +25,14 @@ def a20_list_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return units.groupBy("units").agg(F.count(F.lit(1)).alias("lists"))
 
 
+def _dealt(orders: DataFrame) -> DataFrame:
+    """Few narrow rows that each become a page are dealt over all cores before they do."""
+    return orders.repartition(orders.sparkSession.sparkContext.defaultParallelism, "o_orderkey")
+
+
 def _tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A listing page per order, 28 years on: a heading, two tiles, one of them over, and a table."""
-    o = tables.table(spark, sf_dir, "orders")
+    o = _dealt(tables.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_custkey"))
     tile = '<a class="tile %s" href="/o/%d?ref=x#y"><h2>Order  %d</h2><span class="prize">$%d</span><span class="status">%s</span></a>'
     page = (
         '<html><nav><a href="/">home</a></nav><section><h3 class="day">%s</h3>' + tile + "<p>note <b>bold</b> &amp; more</p>" + tile + "</section>"
@@ -82,7 +87,7 @@ def s33_json_ld(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def x17_deep_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes of pages with elements nested as deep as the order key's last two digits: their number, depth and innermost text."""
-    o = tables.table(spark, sf_dir, "orders")
+    o = _dealt(tables.table(spark, sf_dir, "orders").select("o_orderkey"))
     depth = (F.col("o_orderkey") % 100).cast("int")
     page = F.concat(F.repeat(F.lit("<div>"), depth), F.lit("<b>in</b>"), F.repeat(F.lit("</div>"), depth), F.lit("<p>after</p>"))
     found = html.nodes(o.select(F.col("o_orderkey").alias("page_id"), page.alias("html")))
@@ -99,7 +104,7 @@ def a20_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def j14_children(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sections by the shapes of their children."""
-    found = html.children(html.nodes(_tiles(spark, sf_dir))).filter("tag = 'section'")
+    found = html.children(_tiles(spark, sf_dir)).filter("tag = 'section'")
     return found.groupBy("child_shapes").agg(F.count(F.lit(1)).alias("n"), F.max("child_count").alias("children"))
 
 

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import address_queries, crawl_queries, extract_queries, judge_queries, key_queries, merge_queries, misc_queries, page_queries, record_queries, stream_queries, survey_queries
+from . import address_queries, crawl_queries, discovery_queries, extract_queries, judge_queries, key_queries, layout_queries, merge_queries, misc_queries, page_queries, record_queries, store_queries, stream_queries, survey_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_MODULES = (key_queries, address_queries, judge_queries, extract_queries, crawl_queries, merge_queries, misc_queries, record_queries, survey_queries, page_queries, stream_queries)
+_MODULES = (key_queries, address_queries, judge_queries, extract_queries, crawl_queries, merge_queries, misc_queries, record_queries, survey_queries, page_queries, discovery_queries, layout_queries, store_queries, stream_queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,6 +16,8 @@ def over_orders(spark: SparkSession, sf_dir: str, rows: list[tuple], schema: str
     """Each order with the case of its key; the table of cases is written out in the query, which bounds the broadcast."""
     cases = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "case_no int, " + schema)
     orders = tables.table(spark, sf_dir, "orders").select((F.col("o_orderkey") % len(rows)).cast("int").alias("case_no"))
+    # one small number per row is dealt over all cores before the rule is worked out
+    orders = orders.repartition(spark.sparkContext.defaultParallelism)
     return orders.join(F.broadcast(cases), "case_no")
 
 

@@ -7,6 +7,7 @@ parsed once, in mapInArrow, into rows; everything after that is SQL.
 from __future__ import annotations
 
 import json
+from bisect import bisect_left
 from html.parser import HTMLParser
 
 from pyspark.sql import Column, DataFrame
@@ -65,6 +66,27 @@ class _Tree(HTMLParser):
             self.rows[self.kept[-1]][6] += data
 
 
+def _node_rows(pages: DataFrame, schema: str, rows_of) -> DataFrame:
+    """Rows of every page's parsed tree, each page parsed once."""
+
+    def parse(batches):
+        import pyarrow as pa
+
+        names = [f.split()[0] for f in schema.split(", ")]
+        types = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}
+        kinds = [types[f.split()[1]] for f in schema.split(", ")]
+        for batch in batches:
+            out: list[list] = [[] for _ in names]
+            for page, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                rows = rows_of(html or "")
+                out[0].extend([page] * len(rows))
+                for column, values in zip(out[1:], zip(*rows)):
+                    column.extend(values)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names)
+
+    return pages.select("page_id", "html").mapInArrow(parse, schema)
+
+
 def nodes(pages: DataFrame, most_nodes: int | None = None, most_depth: int | None = None) -> DataFrame:
     """The node table of page_id, html; null pages have no nodes.
 
@@ -72,22 +94,27 @@ def nodes(pages: DataFrame, most_nodes: int | None = None, most_depth: int | Non
     yield; then the text of what is left out is part of its nearest kept ancestor's.
     """
 
-    def parse(batches):
-        import pyarrow as pa
+    def rows_of(html: str) -> list[list]:
+        tree = _Tree(most_nodes, most_depth)
+        tree.feed(html)
+        return tree.rows
 
-        names = [f.split()[0] for f in NODES.split(", ")]
-        types = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string()]
-        for batch in batches:
-            out: list[list] = [[] for _ in names]
-            for page, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                tree = _Tree(most_nodes, most_depth)
-                tree.feed(html or "")
-                for row in tree.rows:
-                    for column, value in zip(out, (page, *row)):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names)
+    return _node_rows(pages, NODES, rows_of)
+
+
+def children(pages: DataFrame) -> DataFrame:
+    """The node table with how many children each node has and the shapes of those, in order."""
 
-    return pages.select("page_id", "html").mapInArrow(parse, NODES)
+    def rows_of(html: str) -> list[list]:
+        tree = _Tree()
+        tree.feed(html)
+        shapes: list[list[str]] = [[] for _ in tree.rows]
+        for row in tree.rows:
+            if row[1] >= 0:
+                shapes[row[1]].append(row[4])
+        return [[*row, len(s), " ".join(s) if s else None] for row, s in zip(tree.rows, shapes)]
+
+    return _node_rows(pages, NODES + ", child_count int, child_shapes string", rows_of)
 
 
 def _parsed_selector(selector: str) -> list[tuple[str, frozenset]]:
@@ -100,7 +127,7 @@ def _parsed_selector(selector: str) -> list[tuple[str, frozenset]]:
 
 
 class _Cards(_Tree):
-    """A page's nodes with what a selector needs: classes, and each node's subtree as a range of rows."""
+    """A page's nodes with what a selector needs: each node's subtree as a range of rows, each selector's matches in order."""
 
     def __init__(self, html: str):
         super().__init__()
@@ -110,16 +137,19 @@ class _Cards(_Tree):
         for i in range(len(self.rows) - 1, -1, -1):
             if (up := self.rows[i][1]) >= 0:
                 self.end[up] = max(self.end[up], self.end[i])
+        self.names = [frozenset(row[4].split(".")[1:]) for row in self.rows]
 
-    def matches(self, i: int, wanted) -> bool:
-        classes = set((self.attrs[i].get("class") or "").split())
-        return any((not tag or tag == self.rows[i][2]) and names <= classes for tag, names in wanted)
+    def matches(self, wanted) -> list[int]:
+        """The rows that match, in document order."""
+        return [i for i, row in enumerate(self.rows) if any((not tag or tag == row[2]) and names <= self.names[i] for tag, names in wanted)]
 
     def text(self, i: int) -> str:
         return " ".join(" ".join(r[6] for r in self.rows[i : self.end[i]]).split())
 
-    def first(self, i: int, wanted) -> int | None:
-        return next((j for j in range(i, self.end[i]) if self.matches(j, wanted)), None)
+    def first(self, i: int, found: list[int]) -> int | None:
+        """The first of the found rows in the subtree of row i."""
+        at = bisect_left(found, i)
+        return found[at] if at < len(found) and found[at] < self.end[i] else None
 
 
 def cards(pages: DataFrame, card: str, fields: dict[str, str]) -> DataFrame:
@@ -139,15 +169,13 @@ def cards(pages: DataFrame, card: str, fields: dict[str, str]) -> DataFrame:
         for batch in batches:
             out: list[list] = [[] for _ in range(3 + len(names))]
             for page, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                tree, position = _Cards(html or ""), 0
-                for i in range(len(tree.rows)):
-                    if not tree.matches(i, outer):
-                        continue
+                tree = _Cards(html or "")
+                fields = [(tree.matches(wanted), attribute) for wanted, attribute in inner]
+                for position, i in enumerate(tree.matches(outer)):
                     row = [page, position, tree.rows[i][4]]
-                    for wanted, attribute in inner:
-                        j = tree.first(i, wanted)
+                    for matched, attribute in fields:
+                        j = tree.first(i, matched)
                         row.append(None if j is None else tree.attrs[j].get(attribute) if attribute else tree.text(j) or None)
-                    position += 1
                     for column, value in zip(out, row):
                         column.append(value)
             types = [pa.int64(), pa.int32(), pa.string(), *[pa.string()] * len(names)]
@@ -229,20 +257,6 @@ def repeated_units(table: DataFrame, least: int = 2) -> DataFrame:
     return out.filter(F.col("units") >= least).withColumn("confidence", F.round(sure, 4))
 
 
-def sibling_sets(units: DataFrame) -> DataFrame:
-    """Pairs of unit sets of one page and shape under different parents: parts of one listing."""
-    a, b = units.alias("a"), units.alias("b")
-    same = (F.col("a.page_id") == F.col("b.page_id")) & (F.col("a.shape") == F.col("b.shape")) & (F.col("a.parent_id") < F.col("b.parent_id"))
-    return a.join(b, same).select(F.col("a.page_id").alias("page_id"), F.col("a.shape").alias("shape"), F.col("a.parent_id").alias("one"), F.col("b.parent_id").alias("other"), (F.col("a.units") + F.col("b.units")).alias("units"))
-
-
-def children(table: DataFrame) -> DataFrame:
-    """Each node with how many children it has and the shapes of those, in order."""
-    kids = table.filter("parent_id >= 0").groupBy("page_id", F.col("parent_id").alias("node_id")).agg(
-        F.count(F.lit(1)).alias("child_count"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node_id", "shape"))), lambda x: x["shape"]), " ").alias("child_shapes"))
-    return table.join(kids, ["page_id", "node_id"], "left").fillna(0, ["child_count"])
-
-
 def embedded_json(html: Column, marker: str) -> Column:
     """The JSON text of the first script whose tag holds the marker."""
     return F.nullif(F.regexp_extract(html, rf"(?s)<script[^>]*{marker}[^>]*>(.*?)</script>", 1), F.lit(""))
