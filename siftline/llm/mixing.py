@@ -153,13 +153,14 @@ class Mixture:
         """Each document with the place of its first word in its source's stream.
 
         A prefix sum within chunks of about CHUNK documents, then over the chunks'
-        sums in levels, so a hot source never meets in one task.
+        sums in levels, so a hot source never meets in one task; documents are dealt
+        to chunks by identifier and text, so neither do those without an identifier.
         """
         s = self._of_sources().withColumnRenamed("source", "__s")
         # rows without words do not move the start, so only a number of their own tells them apart
         docs = self.docs.withColumn("row", F.monotonically_increasing_id()).join(s, F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
-        docs = docs.withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(self.seed)), F.col("chunks")))
-        w = Window.partitionBy("src", "chunk").orderBy("id", "size").rowsBetween(Window.unboundedPreceding, -1)
+        docs = docs.withColumn("chunk", F.pmod(F.xxhash64("id", "h", F.lit(self.seed)), F.col("chunks")))
+        w = Window.partitionBy("src", "chunk").orderBy("id", "size", "h").rowsBetween(Window.unboundedPreceding, -1)
         within = docs.withColumn("before", F.coalesce(F.sum("size").over(w), F.lit(0)))
         sums = docs.groupBy("src", "chunk").agg(F.sum("size").alias("words"))
         most = max((s["chunks"] for s in self.sources), default=0)

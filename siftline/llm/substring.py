@@ -22,7 +22,9 @@ an earlier one (by SHA-256) need no search: every window of theirs starts earlie
 Defined results: null, empty and white-space texts have no words; texts shorter
 than a window keep all words; a null identifier comes after all others; rows
 that repeat an identifier are documents of their own, in an arbitrary but fixed
-order.  Texts of any length are searched whole (a very long one fills a shard of
+order (that of their texts' hashes).  Documents are dealt by identifier and text, so
+that any number of null identifiers spreads over the shards; what has fewer words than a
+window goes to none.  Texts of any length are searched whole (a very long one fills a shard of
 its own); an empty table gives no rows; other columns are not returned, so their
 names cannot clash.
 """
@@ -91,13 +93,18 @@ def _first_pass(window: int, phrase: int):
 
 
 def _packing():
-    @F.arrow_udf("binary")
+    @F.arrow_udf("n_words int, digest binary, packed binary")
     def packed(texts):
         import pyarrow as pa
         import zstandard
 
         zip_ = zstandard.ZstdCompressor(level=1)
-        return pa.array([zip_.compress(b" ".join(words_of(t))) for t in texts.to_pylist()], pa.binary())
+        words = [words_of(t) for t in texts.to_pylist()]
+        joined = [b" ".join(w) for w in words]
+        return pa.StructArray.from_arrays(
+            [pa.array([len(w) for w in words], pa.int32()), pa.array([sha256(j).digest() for j in joined], pa.binary()), pa.array([zip_.compress(j) for j in joined], pa.binary())],
+            ["n_words", "digest", "packed"],
+        )
 
     return packed
 
@@ -161,7 +168,7 @@ def verified(p: np.ndarray, d1: np.ndarray, p1: np.ndarray, words: list[bytes],
     return ok
 
 
-_FOUND = "id long, tie int, n_words int, n_removed int, digest binary, packed binary, marked binary, w array<long>, v array<long>, p array<int>"
+_FOUND = "id long, key long, tie int, n_words int, n_removed int, digest binary, packed binary, marked binary, w array<long>, v array<long>, p array<int>"
 
 
 def _located(window: int, phrase: int):
@@ -172,16 +179,16 @@ def _located(window: int, phrase: int):
         import zstandard
 
         unzip = zstandard.ZstdDecompressor()
-        kinds, ids = marks["kind"].to_numpy(), marks["id"].to_numpy()
+        kinds, ids, keys = marks["kind"].to_numpy(), marks["id"].to_numpy(), marks["key"].to_numpy()
         # identifiers repeat and are null: only the text tells which of their rows is the copy
         copies = set(zip(ids[kinds == 1].tolist(), marks["digest"].filter(pa.array(kinds == 1)).to_pylist()))
         copied = {id_ for id_, _ in copies}
-        places: dict[int, list[int]] = {}
-        for id_, at in zip(ids[kinds == 0].tolist(), marks["place"].filter(pa.array(kinds == 0)).to_pylist()):
-            places.setdefault(id_, []).append(at)
-        rows = sorted(zip(docs["id"].to_pylist(), docs["packed"].to_pylist()), key=lambda r: r[0])
+        places: dict[tuple[int, int], list[int]] = {}
+        for id_, key, at in zip(ids[kinds == 0].tolist(), keys[kinds == 0].tolist(), marks["place"].filter(pa.array(kinds == 0)).to_pylist()):
+            places.setdefault((id_, key), []).append(at)
+        rows = sorted(zip(docs["id"].to_pylist(), docs["key"].to_pylist(), docs["packed"].to_pylist()), key=lambda r: r[:2])
         types = {
-            "id": pa.int64(), "tie": pa.int32(), "n_words": pa.int32(), "n_removed": pa.int32(), "digest": pa.binary(), "packed": pa.binary(),
+            "id": pa.int64(), "key": pa.int64(), "tie": pa.int32(), "n_words": pa.int32(), "n_removed": pa.int32(), "digest": pa.binary(), "packed": pa.binary(),
             "marked": pa.binary(), "w": pa.list_(pa.int64()), "v": pa.list_(pa.int64()), "p": pa.list_(pa.int32()),
         }
         out: dict[str, list] = {name: [] for name in types}
@@ -190,52 +197,52 @@ def _located(window: int, phrase: int):
             for column, v in zip(out.values(), values):
                 column.append(v)
 
-        def whole(id_, tie, words):
-            emit(id_, tie, len(words), 0, sha256(b" ".join(words)).digest(), None, None, (), (), ())
+        def whole(id_, key, tie, words):
+            emit(id_, key, tie, len(words), 0, sha256(b" ".join(words)).digest(), None, None, (), (), ())
 
         streamed, patterns, tie = [], {}, 0
-        for i, (id_, packed) in enumerate(rows):
-            tie = tie + 1 if i and rows[i - 1][0] == id_ else 0
+        for i, (id_, key, packed) in enumerate(rows):
+            tie = tie + 1 if i and rows[i - 1][:2] == (id_, key) else 0
             joined = unzip.decompress(packed)
             words = joined.split()
-            for at in places.get(id_, ()):
+            for at in places.get((id_, key), ()):
                 if at + phrase <= len(words):
                     patterns.setdefault(tuple(words[at : at + phrase]))
             if id_ in copied and len(words) >= window and (id_, sha256(joined).digest()) in copies:
-                emit(id_, tie, len(words), len(words), sha256(b"").digest(), None, None, (), (), ())
+                emit(id_, key, tie, len(words), len(words), sha256(b"").digest(), None, None, (), (), ())
             elif len(words) < window:
-                whole(id_, tie, words)
+                whole(id_, key, tie, words)
             else:
-                streamed.append((id_, tie, packed, words))
+                streamed.append((id_, key, tie, packed, words))
 
         automata, held = Automata(patterns, phrase), []
         all_w, all_v, all_d, all_p = [], [], [], []
-        for id_, tie, packed, words in streamed:
+        for id_, key, tie, packed, words in streamed:
             at = automata.located(words)
             p = ()
             if at.any():
                 h = word_hashes(words)
                 p = np.flatnonzero(at[governors(gram_hashes(h, phrase), window - phrase + 1)])
             if not len(p):
-                whole(id_, tie, words)
+                whole(id_, key, tie, words)
                 continue
             all_w.append(gram_hashes(h, window, seed=1)[p].view(np.int64))
             all_v.append(gram_hashes(h, window, seed=2)[p].view(np.int64))
             all_d.append(np.full(len(p), len(held)))
             all_p.append(p)
-            held.append((id_, tie, packed, words))
+            held.append((id_, key, tie, packed, words))
         if held:
             w, v, d, p = map(np.concatenate, (all_w, all_v, all_d, all_p))
             _, first, of = np.unique(w, return_index=True, return_inverse=True)  # the first of equals in document order
             earlier = first[of]
             texts = [words for *_, words in held]
             cuts = np.searchsorted(d, np.arange(len(held) + 1))
-            for k, (id_, tie, packed, words) in enumerate(held):
+            for k, (id_, key, tie, packed, words) in enumerate(held):
                 at = np.arange(cuts[k], cuts[k + 1])
                 again = at[earlier[at] != at]
                 again = again[verified(p[again], d[earlier[again]], p[earlier[again]], words, texts, window)]
                 new = np.setdiff1d(at, again, assume_unique=True)
-                emit(id_, tie, len(words), None, None, packed, _runs(p[again]), w[new], v[new], p[new])
+                emit(id_, key, tie, len(words), None, None, packed, _runs(p[again]), w[new], v[new], p[new])
         return pa.table({name: pa.array(out[name], t) for name, t in types.items()})
 
     return locate
@@ -284,32 +291,33 @@ def repeated_passages(
     """One row per input row: id, n_words, n_removed, kept_sha256, gone (word ranges removed)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("id"), _first_pass(window, phrase)(text).alias("x"))
-    rows = materialize(rows.select("id", "x.*"), "phrases")
+    rows = materialize(rows.select("id", "x.*").withColumn("key", F.xxhash64("digest")), "phrases")
     words = rows.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
     shards = max(1, -(-words // shard_words))
-    shard = F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard")
+    shard = F.pmod(F.xxhash64("id", "key"), F.lit(shards)).alias("shard")
 
-    held = rows.select(shard, "id", F.explode(F.arrays_zip("phrases", "places")).alias("x")).select("shard", "id", F.col("x.phrases").alias("value"), F.col("x.places").alias("place"))
+    held = rows.select(shard, "id", "key", F.explode(F.arrays_zip("phrases", "places")).alias("x")).select("shard", "id", "key", F.col("x.phrases").alias("value"), F.col("x.places").alias("place"))
     # a document lists each phrase once, and once more if it holds it repeatedly
     twice = rows.select(F.explode(F.concat("phrases", "again")).alias("value"))
     counts = twice.groupBy("value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("value")
-    one = F.min(F.struct("id", "place")).alias("x")
-    recurring = held.join(counts, "value").groupBy("shard", "value").agg(one).select("shard", F.lit(0).alias("kind"), "x.id", "x.place", F.lit(None).cast("binary").alias("digest"))
+    one = F.min(F.struct("id", "key", "place")).alias("x")
+    recurring = held.join(counts, "value").groupBy("shard", "value").agg(one).select("shard", F.lit(0).alias("kind"), "x.id", "x.key", "x.place", F.lit(None).cast("binary").alias("digest"))
     firsts = rows.filter(F.col("n_words") >= window).groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    copies = rows.select("id", "digest").join(firsts, "digest").filter("id <> first").select(shard, F.lit(1).alias("kind"), "id", F.lit(None).cast("int").alias("place"), "digest")
+    copies = rows.select("id", "key", "digest").join(firsts, "digest").filter("id <> first").select(shard, F.lit(1).alias("kind"), "id", "key", F.lit(None).cast("int").alias("place"), "digest")
     marks = recurring.unionByName(copies)
-    docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("id"), _packing()(text).alias("packed")).select(shard, "id", "packed")
+    docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("id"), _packing()(text).alias("x")).select("id", "x.*")
+    docs = docs.filter(F.col("n_words") >= window).withColumn("key", F.xxhash64("digest")).select(shard, "id", "key", "packed")
+    short = rows.filter(F.col("n_words") < window).select("id", "n_words", F.lit(0).alias("n_removed"), "digest")
     found = docs.groupBy("shard").cogroup(marks.groupBy("shard")).applyInArrow(_located(window, phrase), _FOUND)
     found = materialize(found, "located")
-    discard(rows)
 
-    windows = found.filter("packed IS NOT NULL").select("id", "tie", F.explode(F.arrays_zip("w", "v", "p")).alias("x")).select("id", "tie", "x.w", "x.v", "x.p")
-    # within a shard only the first document with a window is listed, so the smallest identifier is the first start
-    seen = windows.groupBy("w", "v").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("w", "v", "first")
-    later = windows.join(seen, ["w", "v"]).filter("id <> first").groupBy("id", "tie").agg(F.collect_list("p").alias("more"))
-    open_ = found.filter("packed IS NOT NULL").select("id", "tie", "n_words", "packed", "marked").join(later, ["id", "tie"], "left")
+    windows = found.filter("packed IS NOT NULL").select("id", "key", "tie", F.explode(F.arrays_zip("w", "v", "p")).alias("x")).select("id", "key", "tie", "x.w", "x.v", "x.p")
+    # within a shard only the first document with a window is listed, so the smallest identifier and key is the first start
+    seen = windows.groupBy("w", "v").agg(F.min(F.struct("id", "key")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("w", "v", "first")
+    later = windows.join(seen, ["w", "v"]).filter("id <> first.id OR key <> first.key").groupBy("id", "key", "tie").agg(F.collect_list("p").alias("more"))
+    open_ = found.filter("packed IS NOT NULL").select("id", "key", "tie", "n_words", "packed", "marked").join(later, ["id", "key", "tie"], "left")
     open_ = open_.select("id", "n_words", _cut(window)("packed", "marked", "more").alias("x")).select("id", "n_words", "x.*")
-    closed = found.filter("packed IS NULL").select("id", "n_words", "n_removed", "digest")
+    closed = found.filter("packed IS NULL").select("id", "n_words", "n_removed", "digest").unionByName(short)
     whole = F.when(F.col("n_removed") > 0, F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").alias("end"))))
     closed = closed.withColumn("gone", F.coalesce(whole, F.array().cast("array<struct<start:int,end:int>>")))
     out = open_.unionByName(closed)
