@@ -6,7 +6,8 @@ import random
 
 import numpy as np
 import pytest
-from siftline.llm import embedding, exact_dedup, minhash, substring
+from pyspark.sql import functions as F
+from siftline.llm import embedding, exact_dedup, minhash, mixing, substring
 from siftline.llm.graph import connected_components
 
 SCHEMA = "doc_id long, text string, kept string, Keep_Id string"
@@ -206,6 +207,34 @@ def test_repeated_passages_of_rows_that_share_an_identifier(spark):
     assert sorted(out, key=str) == sorted(want, key=str)
 
 
+def test_null_identifiers_spread_over_shards(spark):
+    """A third of all rows has no identifier; of two that share a passage one loses it, whichever shard they are in."""
+    rng = random.Random(12)
+    rows = [(i, words(rng, 60, size=50_000)) for i in range(120)]
+    shared = [words(rng, 30, size=50_000) for _ in range(30)]
+    for p in shared:
+        rows += [(None, f"{words(rng, 25, size=50_000)} {p} {words(rng, 25, size=50_000)}") for _ in range(2)]
+    df = frame(spark, rows)
+    out = substring.repeated_passages(df, shard_words=500).collect()  # about thirty shards
+    assert sorted(r.n_removed for r in out if r.doc_id is None) == [0] * 30 + [30] * 30
+    assert all(r.n_removed == 0 for r in out if r.doc_id is not None) and len(out) == 180
+    key = F.xxhash64(F.unhex(F.sha2("text", 256)))
+    dealt = df.select(F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(2**63 - 1)), key), F.lit(8)).alias("s")).groupBy("s").count().collect()
+    sizes = sorted(r["count"] for r in dealt)
+    assert sizes[-1] < 3 * sizes[len(sizes) // 2]
+
+
+def test_mixing_places_null_identifiers_in_many_chunks(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CHUNK", 10)
+    rows = [(None if i % 3 else i, f"w{i} " * (i % 7 + 1), "a") for i in range(300)]
+    mix = mixing.Mixture(spark.createDataFrame(rows, "doc_id long, text string, source string"), block=4)
+    placed = mix.placed().collect()
+    spans = sorted((r.start, r.start + r["size"]) for r in placed if r["size"])
+    assert len(placed) == 300 and spans[0][0] == 0 and all(a[1] == b[0] for a, b in zip(spans, spans[1:]))
+    held = mix.docs.filter("id IS NULL").select(F.pmod(F.xxhash64("id", "h", F.lit(mix.seed)), F.lit(mix.sources[0]["chunks"])).alias("c")).groupBy("c").count().collect()
+    assert len(held) > 20 and max(r["count"] for r in held) < 30
+
+
 def test_automata_find_every_occurrence(monkeypatch):
     for most in (substring.WORDS, 5):  # with few words the patterns need several automata
         monkeypatch.setattr(substring, "WORDS", most)
@@ -227,11 +256,11 @@ def test_only_the_automata_locate(monkeypatch):
     passage = words(rng, 60).split()
     texts = [passage, ["new"] + passage]
     zip_ = zstandard.ZstdCompressor()
-    docs = pa.table({"id": [1, 2], "packed": [zip_.compress(" ".join(w).encode()) for w in texts]})
+    docs = pa.table({"id": [1, 2], "key": [0, 0], "packed": [zip_.compress(" ".join(w).encode()) for w in texts]})
 
     def removed(places):
         marks = pa.table({
-            "kind": pa.array([0] * len(places), pa.int32()), "id": pa.array([1] * len(places), pa.int64()),
+            "kind": pa.array([0] * len(places), pa.int32()), "id": pa.array([1] * len(places), pa.int64()), "key": pa.array([0] * len(places), pa.int64()),
             "place": pa.array(places, pa.int32()), "digest": pa.array([None] * len(places), pa.binary()),
         })
         out = substring._located(20, 9)(docs, marks).to_pylist()
