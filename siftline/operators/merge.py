@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftline.functions import keys, urls
+from siftline.functions.dates import date_part
+from siftline.functions.text import normalize_text
 
 from .resolve import blocking_edges, components
 
@@ -181,11 +183,27 @@ def merge_sources(events: DataFrame) -> DataFrame:
 
     Input columns: ordinal, source, the addresses, the texts, mode, themes, and
     source_ids (map of id lists).
+
+    Records meet in one task only if a chain of keys links them.  Records of a general
+    name ("Hackathon") are linked by place and date, not by the name, which never
+    matches alone; a record whose place or date came from another one through an
+    address is then still matched within its own component only.
     """
     keyed = events.withColumn("ids_key", keys.source_id_identity(F.col("source_ids"))).withColumn("authority", keys.authority(F.col("source")))
     for u in ADDRESSES:
         keyed = keyed.withColumn(f"{u}_id", urls.identity_url(F.col(u))).withColumn(f"{u}_host", urls.host_authority(F.col(u)))
-    kinds = [*[(u, F.col(f"{u}_id")) for u in ADDRESSES], ("ids", F.col("ids_key")), ("name", keys.event_name(F.col("name")))]
+    # a telling name links whatever has it; a general one only with a place and a day, or a place and a year
+    name = keys.event_name(F.col("name"))
+    telling = (F.length(name) >= 8) & ~name.rlike(GENERAL)
+    when = F.coalesce(date_part(F.col("start_date")), date_part(F.col("deadline")))
+    where, city = normalize_text(F.concat_ws(" ", "city", "country", "mode")), F.nullif(normalize_text(F.coalesce("city", F.lit(""))), F.lit(""))
+    exact = F.concat_ws("|", normalize_text(F.col("name")), where, F.coalesce(when, F.lit("")))
+    place = F.coalesce(city, F.when(normalize_text(F.coalesce("mode", F.lit(""))).isin("online", "remote"), "online"))
+    soft = F.concat(name, F.lit("|"), place, F.lit("|"), F.substring(when, 1, 4))
+    kinds = [
+        *[(u, F.col(f"{u}_id")) for u in ADDRESSES], ("ids", F.col("ids_key")), ("name", F.when(telling, name)),
+        ("exact", F.when(~telling, exact)), ("soft", F.when(~telling, soft)),
+    ]
     # any address may be another record's official one
     listed = F.explode(F.array(*[F.struct(F.lit("url" if k in ADDRESSES else k).alias("kind"), c.alias("key")) for k, c in kinds]))
     roots = components(blocking_edges(keyed.select("ordinal", listed.alias("x")).select("ordinal", "x.kind", "x.key")))

@@ -22,7 +22,12 @@ def t5_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.drain(log.coalesced(log.read_log(spark, sf_dir).withColumn("message", F.col("kind"))))
 
 
-QUERIES = {f.__name__: f for f in (t_windowed_counts, t_job_states, t5_coalesce)}
+def t5_flushed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with an end mark at every sign-up: what is held then goes out."""
+    return log.drain(log.coalesced(log.read_log(spark, sf_dir).withColumns({"message": F.col("kind"), "ends": F.col("kind") == "signup"})))
+
+
+QUERIES = {f.__name__: f for f in (t_windowed_counts, t_job_states, t5_coalesce, t5_flushed)}
 
 ORACLES = {
     "t_windowed_counts": "SELECT CAST(date_trunc('hour', ts) AS TIMESTAMPTZ) AS start, event_type AS kind, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2",
@@ -44,3 +49,4 @@ ORACLES = {
         UNION ALL SELECT job_id, late, n, 'held' FROM r WHERE late IS NOT NULL
     """,
 }
+ORACLES["t5_flushed"] = ORACLES["t5_coalesce"].replace("WHEN since + 1 >= 8 THEN 'count' END", "WHEN since + 1 >= 8 THEN 'count' WHEN msg = 'signup' THEN 'end' END")

@@ -42,44 +42,62 @@ def job_states(log: DataFrame) -> DataFrame:
 FORCED = r"\b(leads? found|lazy loading complete|blocked|failed|error|cancelled|complete[d]?|exhausted|starting\b)"
 
 
-def coalesced(log: DataFrame, every: int = 8, millis: int = 750) -> DataFrame:
+def coalesced(log: DataFrame, every: int = 8, millis: int = 750, idle: str | None = None) -> DataFrame:
     """Progress of each job, thinned out: what is passed on, how many came so far, and why.
 
     A message is passed on if it is the first, if `millis` have gone by or `every`
     messages have come since the last one passed on, or at once if its words force
-    it; then a different message held back goes out before it.  Input: job_id, ts,
-    event_id, message.  State is one row per job.
+    it; then a different message held back goes out before it.  What is held when a
+    job ends goes out too: at a row whose `ends` is true, if the log has that column,
+    and, with `idle`, once the watermark is that far behind the job's last row.
+
+    Input: job_id, ts, event_id, message, and ends if there is one.  A job's rows of
+    a micro-batch are put in order all together, however they were cut into frames, so
+    a trigger's size bounds what is held; triggers must follow the order of the log.
+    State is one row per job.
     """
     import re
 
+    wait = pd.Timedelta(idle).value // 1_000_000 if idle else None
+    ending = "ends" in log.columns
+
     forced = re.compile(FORCED, re.IGNORECASE)
 
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         seen, since, last, held, held_id = state.get if state.exists else (0, 0, None, None, None)
-        out = []
-        for pdf in frames:
-            ordered = pdf.sort_values(["ts", "event_id"])
-            for at, event, message in zip(ordered["ts"], ordered["event_id"], ordered["message"]):
-                at, event, seen, since = int(at.value // 1_000_000), int(event), seen + 1, since + 1
-                message = (message or "").strip()
-                if not message:
-                    continue
-                if forced.search(message):
-                    if held is not None and held != message:
-                        out.append((key[0], held_id, seen, "held"))
-                    out.append((key[0], event, seen, "forced"))
-                    since, last, held, held_id = 0, at, None, None
-                    continue
+        out, latest = [], None
+        if state.hasTimedOut:
+            if held is not None:
+                out.append((key[0], held_id, seen, "idle"))
+            since, held, held_id, rows = 0, None, None, ()
+        else:
+            ordered = pd.concat(list(frames)).sort_values(["ts", "event_id"], kind="stable")
+            rows = zip(ordered["ts"], ordered["event_id"], ordered["message"], ordered["ends"] if ending else [False] * len(ordered))
+        for stamp, event, message, ends in rows:
+            at, event, seen, since = int(stamp.value // 1_000_000), int(event), seen + 1, since + 1
+            latest, message = at, (message or "").strip()
+            if message and forced.search(message):
+                if held is not None and held != message:
+                    out.append((key[0], held_id, seen, "held"))
+                out.append((key[0], event, seen, "forced"))
+                since, last, held, held_id = 0, at, None, None
+            elif message:
                 held, held_id = message, event
                 if last is None or at - last >= millis or since >= every:
                     out.append((key[0], event, seen, "first" if last is None else "time" if at - last >= millis else "count"))
                     since, last, held, held_id = 0, at, None, None
+            if ends and held is not None:
+                out.append((key[0], held_id, seen, "end"))
+                since, last, held, held_id = 0, at, None, None
         state.update((seen, since, last, held, held_id))
+        if wait is not None and held is not None and latest is not None:
+            state.setTimeoutTimestamp(max(latest + wait, state.getCurrentWatermarkMs() + 1))
         if out:
             yield pd.DataFrame(out, columns=["job_id", "event_id", "seen", "why"])
 
     return log.groupBy("job_id").applyInPandasWithState(
-        step, "job_id long, event_id long, seen long, why string", "seen long, since long, last long, held string, held_id long", "append", GroupStateTimeout.NoTimeout
+        step, "job_id long, event_id long, seen long, why string", "seen long, since long, last long, held string, held_id long", "append",
+        GroupStateTimeout.EventTimeTimeout if idle else GroupStateTimeout.NoTimeout,
     )
 
 

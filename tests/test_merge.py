@@ -39,3 +39,42 @@ def test_the_index_finds_what_a_scan_finds():
             plain.append(new) if at is None else plain[at].take(new)
         assert [m.members for m in indexed.records] == [m.members for m in plain]
         assert [m.row for m in indexed.records] == [m.row for m in plain]
+
+
+def test_general_names_do_not_meet_in_one_task(spark):
+    """Records that share only a general name are components of their own; place and date, or an address, link them."""
+    fields = "ordinal long, source string, official_url string, apply_url string, social_url string, " + ", ".join(f"{t} string" for t in merge.TEXTS) + ", mode string, themes array<string>, source_ids map<string,array<string>>"
+
+    def record(i, name, city=None, start=None, url=None):
+        texts = {t: None for t in merge.TEXTS} | {"name": name, "city": city, "start_date": start}
+        return (i, "web", url, None, None, *[texts[t] for t in merge.TEXTS], None, [], {})
+
+    rows = [record(i, "Hackathon", f"City {i}", "2026-05-01") for i in range(400)]
+    rows += [record(1000, "Hackathon", "City 7", "2026-05-01"), record(1001, "HACKATHON 2026", "City 8", "2026-09-09"), record(1002, "Hackathon", None, "soon"), record(1003, "Hackathon", None, "soon")]
+    rows += [record(1004, "Great Fest", "Oslo"), record(1005, "Great Fest"), record(1006, "Hackathon", "Rome", None, "https://a.example/x"), record(1007, "Other", None, None, "https://a.example/x")]
+    out = merge.merge_sources(spark.createDataFrame(rows, fields)).collect()
+    assert sorted(r.members for r in out if len(r.members) > 1) == [[7, 1000], [8, 1001], [1002, 1003], [1004, 1005], [1006, 1007]]
+    assert len({r.root for r in out}) == 403
+
+
+def test_progress_does_not_depend_on_frames_and_files(spark, tmp_path):
+    from pyspark.sql import functions as F
+    from siftline.streaming import log
+
+    rng = random.Random(2)
+    kinds = ["scan", "scan", "page", "fetch error", "", None]
+    rows = [(i % 3, i, i * rng.choice([100, 400]), rng.choice(kinds), rng.random() < 0.05) for i in range(600)]
+    df = spark.createDataFrame(rows, "job_id long, event_id long, ms long, message string, ends boolean").withColumn("ts", F.timestamp_millis(F.col("event_id") * 200))
+    df.repartition(1).sortWithinPartitions(F.desc("event_id")).write.parquet(f"{tmp_path}/one/f")  # one file, out of order
+    for n in range(5):
+        df.filter(F.floor(F.col("event_id") / 120) == n).coalesce(1).write.mode("append").parquet(f"{tmp_path}/five/f")
+    got = []
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for files, size in (("one", 10_000), ("one", 10), ("five", 10)):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/{files}/f")
+            got.append(sorted(map(tuple, log.drain(log.coalesced(stream)).collect())))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got[0] == got[1] == got[2] and {"first", "forced", "held", "count", "time", "end"} >= {r[3] for r in got[0]} >= {"first", "forced", "end"}
