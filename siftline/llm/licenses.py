@@ -10,7 +10,7 @@ fitted on held-out examples calibrates the probabilities.
 Lines that no blank line parts are read as one run of words, so that it does not
 matter where a notice is wrapped.  A passage is a stretch of such a run, about as
 long as a template or within one line, that holds enough of the template's
-bigrams, and more than half of those that no other family's templates have.  Each
+bigrams, and at least half of those that no other family's templates have.  Each
 family for which there is such a passage is found if the classifier prefers it to
 ``unknown`` there; its probability is that of the family against ``unknown``, so
 several licences in one sentence do not take it from each other.
@@ -293,7 +293,7 @@ def _passages(hits: list[tuple[int, tuple[int, int]]], where: list[int], grams:
         while not near(hits[low][0], hits[r][0]):
             low += 1
         held = {g for _, g in hits[low : r + 1]}
-        if len(held) >= need and 2 * len(held & own) > len(own):
+        if len(held) >= need and 2 * len(held & own) >= len(own) > 0:
             # what else of the template follows belongs to the same passage
             while r + 1 < len(hits) and near(hits[low][0], hits[r + 1][0]) and hits[r + 1][1] not in held:
                 r += 1
