@@ -216,7 +216,7 @@ def test_licences_on_altered_notices_and_plain_text(spark, docs):
                 found, total, wrong = found + (family in got), total + 1, wrong + len(got - {family})
     alarms = sum(bool(licenses.classify(x, model, 0.6, 0.6)[1]) for x in plain)
     print(f"recall {found}/{total}, other families {wrong}, alarms {alarms} of {len(plain)} lines")
-    assert found > 0.8 * total and wrong < 0.1 * total and alarms <= 0.001 * len(plain)
+    assert found >= 0.9 * total and wrong < 0.03 * total and alarms <= 0.001 * len(plain)
 
 
 def test_licence_edges(spark, docs):
