@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftline import storage
 from siftline.operators import layout
 from siftline.sources import html, structure, tables
 
@@ -34,29 +35,34 @@ def _listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.groupBy(F.col("o_custkey").alias("page_id")).agg(cards.alias("cards")).select("page_id", page.alias("html"))
 
 
+def _units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The listings' units; several steps read them, and pages are parsed once."""
+    return storage.materialize(structure.units(_listing(spark, sf_dir)), "units")
+
+
 def x18_unit_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cards as rows whose columns come from the paths that they share."""
-    found = layout.unit_table(structure.units(_listing(spark, sf_dir)), 0.5).filter("shape LIKE 'li.%'")
+    found = layout.unit_table(_units(spark, sf_dir), 0.5).filter("shape LIKE 'li.%'")
     field = lambda path: F.try_element_at("fields", F.lit(path))
     return found.select("page_id", "shape", "unit", field("h3").alias("title"), field("span.when").alias("day"), field("p.where").alias("place"))
 
 
 def x18_unit_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cards as leads, without a word about which part is which."""
-    leads = layout.unit_leads(structure.units(_listing(spark, sf_dir)), F.lit(BASE))
+    leads = layout.unit_leads(_units(spark, sf_dir), F.lit(BASE))
     return leads.select("page_id", "tag", "title", "url", "start_day", "place", "status")
 
 
 def x18_set_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unit sets by how complete their leads are and why they are no listing."""
-    units = structure.units(_listing(spark, sf_dir))
+    units = _units(spark, sf_dir)
     judged = layout.judged_sets(units, layout.unit_leads(units, F.lit(BASE)))
     return judged.select("page_id", "shape", "units", "titled", "identified", F.array_join("reasons", "; ").alias("reasons"), "confidence")
 
 
 def j13_kindred_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lists of one page whose cards are alike in classes and parts, taken together."""
-    units = structure.units(_listing(spark, sf_dir))
+    units = _units(spark, sf_dir)
     grouped = layout.kindred_sets(layout.unit_sets(units), units)
     return grouped.filter("shape LIKE 'li.%'").groupBy("page_id", "group_parent", "group_shape").agg(F.count(F.lit(1)).alias("sets"), F.sum("units").alias("units")).drop("group_parent")
 
