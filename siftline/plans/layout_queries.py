@@ -28,7 +28,7 @@ def _listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = F.lit('<p class="where">Oslo, Norway</p>')
     body = F.when(F.col("o_orderkey") % 3 == 0, F.concat(place, when, link, title)).otherwise(F.concat(title, link, when, place))
     hot = F.when(F.col("o_orderkey") % 2 == 1, " hot").otherwise("")
-    card = F.concat(F.lit('<li class="card'), hot, F.lit(" c"), key, F.lit('">'), body, F.lit("</li>"))
+    card = F.concat(F.lit('<li class="card'), hot, F.lit(" k"), (F.col("o_orderkey") % 1000).cast("string"), F.lit('">'), body, F.lit("</li>"))
     cards = F.array_sort(F.collect_list(F.struct("o_orderkey", card.alias("card"))))
     even, odd = F.filter("cards", lambda x: x["o_orderkey"] % 2 == 0), F.filter("cards", lambda x: x["o_orderkey"] % 2 == 1)
     page = F.concat(F.lit('<html><body><h1>All</h1><ul class="list">'), _join(even), F.lit('</ul><ul class="more">'), _join(odd), F.lit('</ul><nav><a href="/x">home</a><a href="/y">about</a></nav></body></html>'))
@@ -109,7 +109,7 @@ def j18_labelled_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (x18_unit_table, x18_unit_leads, x18_set_metrics, j13_kindred_sets, c23_page_fingerprint, c23_tree_fingerprints, s10_schedule_days, j18_labelled_dates)}
 
 _CARDS = """
-    WITH c AS (SELECT o_custkey AS page_id, o_orderkey, o_orderkey % 2 AS odd, CASE WHEN o_orderkey % 2 = 1 THEN 'li.cn.card.hot' ELSE 'li.cn.card' END AS shape,
+    WITH c AS (SELECT o_custkey AS page_id, o_orderkey, o_orderkey % 2 AS odd, CASE WHEN o_orderkey % 2 = 1 THEN 'li.card.hot.kn' ELSE 'li.card.kn' END AS shape,
                       CASE WHEN o_orderkey % 5 <> 0 THEN strftime(o_orderdate + INTERVAL 28 YEAR, '%Y-%m-%d') END AS day,
                       count(*) OVER w AS units, avg(CASE WHEN o_orderkey % 5 <> 0 THEN 1.0 ELSE 0 END) OVER w AS dated, row_number() OVER (PARTITION BY o_custkey, o_orderkey % 2 ORDER BY o_orderkey) - 1 AS unit
                FROM orders WINDOW w AS (PARTITION BY o_custkey, o_orderkey % 2))
