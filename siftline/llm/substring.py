@@ -92,19 +92,25 @@ def _first_pass(window: int, phrase: int):
     return scanned
 
 
-def _packing():
+def _key():
+    """What tells rows of one identifier apart: ten bits of the text's digest, since every window carries it."""
+    return F.pmod(F.xxhash64("digest"), F.lit(1024))
+
+
+def _packing(window: int):
     @F.arrow_udf("n_words int, digest binary, packed binary")
     def packed(texts):
         import pyarrow as pa
         import zstandard
 
-        zip_ = zstandard.ZstdCompressor(level=1)
-        words = [words_of(t) for t in texts.to_pylist()]
-        joined = [b" ".join(w) for w in words]
-        return pa.StructArray.from_arrays(
-            [pa.array([len(w) for w in words], pa.int32()), pa.array([sha256(j).digest() for j in joined], pa.binary()), pa.array([zip_.compress(j) for j in joined], pa.binary())],
-            ["n_words", "digest", "packed"],
-        )
+        zip_, n, digest, out = zstandard.ZstdCompressor(level=1), [], [], []
+        for text in texts:  # one text's words at a time
+            words = words_of(text.as_py())
+            joined = b" ".join(words)
+            n.append(len(words))
+            digest.append(sha256(joined).digest())
+            out.append(zip_.compress(joined) if len(words) >= window else None)
+        return pa.StructArray.from_arrays([pa.array(n, pa.int32()), pa.array(digest, pa.binary()), pa.array(out, pa.binary())], ["n_words", "digest", "packed"])
 
     return packed
 
@@ -291,7 +297,7 @@ def repeated_passages(
     """One row per input row: id, n_words, n_removed, kept_sha256, gone (word ranges removed)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("id"), _first_pass(window, phrase)(text).alias("x"))
-    rows = materialize(rows.select("id", "x.*").withColumn("key", F.xxhash64("digest")), "phrases")
+    rows = materialize(rows.select("id", "x.*").withColumn("key", _key()), "phrases")
     words = rows.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
     shards = max(1, -(-words // shard_words))
     shard = F.pmod(F.xxhash64("id", "key"), F.lit(shards)).alias("shard")
@@ -305,8 +311,8 @@ def repeated_passages(
     firsts = rows.filter(F.col("n_words") >= window).groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     copies = rows.select("id", "key", "digest").join(firsts, "digest").filter("id <> first").select(shard, F.lit(1).alias("kind"), "id", "key", F.lit(None).cast("int").alias("place"), "digest")
     marks = recurring.unionByName(copies)
-    docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("id"), _packing()(text).alias("x")).select("id", "x.*")
-    docs = docs.filter(F.col("n_words") >= window).withColumn("key", F.xxhash64("digest")).select(shard, "id", "key", "packed")
+    docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("id"), _packing(window)(text).alias("x")).select("id", "x.*")
+    docs = docs.filter(F.col("n_words") >= window).withColumn("key", _key()).select(shard, "id", "key", "packed")
     short = rows.filter(F.col("n_words") < window).select("id", "n_words", F.lit(0).alias("n_removed"), "digest")
     found = docs.groupBy("shard").cogroup(marks.groupBy("shard")).applyInArrow(_located(window, phrase), _FOUND)
     found = materialize(found, "located")
