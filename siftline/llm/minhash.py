@@ -12,7 +12,7 @@ five standard deviations of the threshold are candidates.
 1. A bucket's members are dealt into blocks.  A spanning forest of each block's
    candidates, best estimates first, is confirmed on the full sets; that is linear
    in the bucket and finds the hubs of large groups.
-2. While a bucket of several blocks still holds several components, a few members
+2. Buckets that hold one component are settled and left.  While one of several blocks holds several components, a few members
    of each stand for it and are dealt and joined the same way, so the blocks'
    groups grow together in few rounds.
 3. In buckets that then hold several components, the members outside the largest
@@ -242,13 +242,13 @@ def _in_blocks(what: str, most: int, percent: int, width: int):
     return found
 
 
-def _dealt(rows: DataFrame, fields: list[str], block: int, salt: int) -> DataFrame:
-    """key, band and lists: each bucket's members in blocks, one block to the list."""
-    sizes = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
-    rows = rows.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("id", F.lit(salt)), F.col("blocks")))
-    # without this the blocks of a hot bucket would all be grouped, and compared, where its key was joined
+def _dealt(rows: DataFrame, fields: list[str], salt: int) -> DataFrame:
+    """key, band and lists: each bucket's members in blocks, one block to the list; `members` says how many a bucket has."""
+    # bands deal the same members differently, so that blocks of one bucket meet in another's
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id", "band", F.lit(salt)), F.ceil(F.col("members") / BLOCK)))
+    # without this the blocks of a hot bucket would all be grouped, and compared, in one task
     rows = rows.repartition("key", "block")
-    return rows.groupBy("key", "band", "blocks", "block").agg(F.array(F.collect_list(F.struct(*fields))).alias("lists"))
+    return rows.groupBy("key", "band", "block").agg(F.array(F.collect_list(F.struct(*fields))).alias("lists"))
 
 
 def _small_sides(rows: DataFrame, fields: list[str], block: int) -> DataFrame:
@@ -318,7 +318,10 @@ def near_duplicates(
     right = reps.select(F.col("id").alias("b"), F.col("sig").alias("gb"), F.col("n").alias("nb"))
     likely = (estimated(F.col("ga"), F.col("gb"), width) >= least) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
     pairs = pairs.join(left, "a").join(right, "b").filter(likely).select("a", "b")
-    members = materialize(in_bands.join(buckets.filter("members > 2").select("key"), "key"), "members")
+    # one row per member with all its larger buckets: what is joined to members is joined once, not once per band
+    placed = in_bands.join(buckets.filter("members > 2").select("key", "members"), "key")
+    places = placed.groupBy("id").agg(F.collect_list(F.struct("key", "band", "members")).alias("places"))
+    members = materialize(places.join(reps.select("id", "n", "sig"), "id"), "members")
 
     most = int(np.floor(16 * width * (1 - 1 / 16) * (1 - least)))
     signed = reps.select("id", "n", "sig")
@@ -326,7 +329,8 @@ def near_duplicates(
     def forest(lists):
         return lists.select(F.explode(_in_blocks("forest", most, percent, width)("lists", "band")).alias("p")).select("p.*")
 
-    tree = forest(_dealt(members.withColumn("c", F.col("id")).join(signed, "id"), ["id", "c", "n", "sig"], BLOCK, 0))
+    spread = members.select("id", F.col("id").alias("c"), "n", "sig", F.explode("places").alias("p")).select("id", "c", "n", "sig", "p.*")
+    tree = forest(_dealt(spread, ["id", "c", "n", "sig"], 0))
     tree = materialize(tree.unionByName(pairs).distinct(), "forest")
     ids = members.select("id").union(tree.select("a")).union(tree.select("b")).distinct()
     sets = materialize(_sets(df, reps.select("id", "rep", "h").join(ids, "id"), id_col, text_col, k), "sets")
@@ -334,30 +338,33 @@ def near_duplicates(
     labels = connected_components(edges)
     done = [buckets, tree]
 
-    def labelled():
-        named = members.join(labels.withColumnRenamed("node", "id"), "id", "left")
-        return named.withColumn("c", F.coalesce("component", "id")).drop("component")
+    def unsettled(rows):
+        """Of rows (id, places) those places whose bucket holds several components, with the member's component c."""
+        named = rows.select("id", "places").join(labels.withColumnRenamed("node", "id"), "id", "left")
+        named = named.select("id", F.coalesce("component", "id").alias("c"), F.explode("places").alias("p")).select("id", "c", "p.*")
+        several = named.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1").select("key")
+        return materialize(named.join(several, "key"), "unsettled")
 
+    still = unsettled(members)
+    done.append(still)
     for salt in range(1, 9):
-        named = labelled()
-        wide = named.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("c").alias("c0"), F.max("c").alias("c1")).filter(F.col("m") > BLOCK).filter("c0 <> c1")
-        wide = materialize(wide.select("key"), "wide")
-        done.append(wide)
+        wide = still.filter(F.col("members") > BLOCK)
         if wide.isEmpty():
             break
         part = F.xxhash64("id", F.lit(100 + salt))
-        some = named.join(wide, "key").groupBy("key", "band", "c", F.pmod(part, F.lit(STAND_INS)).alias("__s")).agg(F.min_by("id", part).alias("id")).drop("__s")
-        tree = materialize(forest(_dealt(some.join(signed, "id"), ["id", "c", "n", "sig"], BLOCK, salt)).distinct(), "forest")
+        some = wide.groupBy("key", "band", "c", F.pmod(part, F.lit(STAND_INS)).alias("__s")).agg(F.min_by("id", part).alias("id")).drop("__s")
+        some = some.join(some.groupBy("key").agg(F.count(F.lit(1)).alias("members")), "key")
+        tree = materialize(forest(_dealt(some.join(signed, "id"), ["id", "c", "n", "sig"], salt)).distinct(), "forest")
         more = materialize(_confirmed(tree, sets, percent), "links")
         done += [tree, more]
         if more.isEmpty():
             break
         edges = edges.unionByName(more)
         labels = connected_components(edges)
+        still = unsettled(still.groupBy("id").agg(F.collect_list(F.struct("key", "band", "members")).alias("places")))
+        done.append(still)
 
-    named = labelled()
-    several = named.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1").select("key")
-    still = named.join(several, "key").join(reps.select("id", "n", "keys", "sig"), "id")
+    still = still.join(reps.select("id", "n", "keys", "sig"), "id")
     lists = _small_sides(still, ["id", "c", "n", "sig", "keys"], BLOCK)
     open_ = lists.select("key", F.explode(_in_blocks("open", most, percent, width)("lists", "band")).alias("id")).distinct()
     open_ = materialize(still.join(open_, ["key", "id"]), "open")

@@ -362,3 +362,26 @@ def test_components(spark):
     edges = [(5, 4), (4, 3), (3, 9), (10, 11), (11, 12), (12, 10), (7, 7)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {3: 3, 4: 3, 5: 3, 9: 3, 10: 10, 11: 10, 12: 10}
+
+
+def test_a_group_of_near_copies_is_held_once_and_settled_at_once(spark, monkeypatch):
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    rows = []
+    for i in range(300):
+        words = list(base)
+        words[rng.randrange(400)] = f"x{i}"
+        rows.append((i, " ".join(words)))
+    seen = {}
+    real = minhash.materialize
+
+    def spied(df, tag):
+        out = real(df, tag)
+        seen.setdefault(tag, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(minhash, "materialize", spied)
+    monkeypatch.setattr(minhash, "BLOCK", 64)
+    assert {r.component_id for r in minhash.near_duplicates(frame(spark, rows), k=4).collect()} == {0}
+    # what is joined to members is joined once for each, not once per band, and no bucket is gone through again
+    assert seen["members"][0] <= 300 and seen["unsettled"] == [0]
