@@ -101,3 +101,11 @@ def test_names_equal_brute_force(spark):
     assert {(r.t, r.n) for r in got.collect()} == want and want
     order = mentions.longest(spark.createDataFrame([(1, "bb"), (1, "aaa"), (1, "aa")], "t long, name string"), "t").first()
     assert order.names == ["aaa", "aa", "bb"]
+
+
+def test_names_in_either_case_of_accented_letters(spark):
+    texts = [(1, "la. éai Éonleeau"), (2, "LA. ÉAI ÉONLEEAU"), (3, "la. eai eonleeau"), (4, "ma\u017ft"), (5, "\u017fmast"), (6, "m\u0131st"), (7, "\u212aelvin")]
+    names = [(1, "La. Éai éonleeau"), (2, "mast"), (3, "MIST"), (4, "kelvin")]
+    got = mentions.mentioned(spark.createDataFrame(texts, "t long, body string"), spark.createDataFrame(names, "n long, name string"), "t", "body", "n", "name")
+    # long s and Kelvin are s and k but no word characters; a dotless i is no i
+    assert {(r.t, r.n) for r in got.collect()} == {(1, 1), (2, 1), (4, 2), (5, 2)}
