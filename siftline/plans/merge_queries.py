@@ -32,7 +32,10 @@ def m5_prefer_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _listings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each customer as listings of up to three sources: the first names the address, the second name and day, the third a vague day."""
+    """Each customer as listings of up to three sources: the first names the address, the second name and day, the third a vague day.
+
+    The letter before the number keeps 2000 to 2099 from being years, which names are told without.
+    """
     c = tables.table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", F.explode(F.sequence(F.lit(0), (F.col("c_custkey") % 3).cast("int"))).alias("k"))
     k = F.col("k")
     url = F.concat(F.lit("https://e"), "c_custkey", F.lit(".example/"))
@@ -40,7 +43,7 @@ def _listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(
         (F.col("c_custkey") * 3 + k).alias("ordinal"), F.element_at(F.array(F.lit("web"), F.lit("mlh"), F.lit("x")), k + 1).alias("source"),
         F.when(k != 1, url).alias("official_url"), F.when(k == 1, url).alias("apply_url"), F.lit(None).cast("string").alias("social_url"),
-        F.concat(F.lit("Gathering number "), "c_custkey").alias("name"), F.when(k == 1, "2026-09-05").when(k == 2, "in autumn").alias("start_date"), text(F.lit(None)).alias("end_date"), text(F.lit(None)).alias("deadline"),
+        F.concat(F.lit("Gathering number n"), "c_custkey").alias("name"), F.when(k == 1, "2026-09-05").when(k == 2, "in autumn").alias("start_date"), text(F.lit(None)).alias("end_date"), text(F.lit(None)).alias("deadline"),
         text(F.lit(None)).alias("location"), F.when(k < 2, F.concat(F.lit("City "), "c_nationkey")).alias("city"), text(F.lit(None)).alias("region"), text(F.lit(None)).alias("country"), text(F.lit(None)).alias("prize"),
         text(F.lit(None)).alias("eligibility"), F.when(k == 2, F.lit("a text much longer than the other one")).otherwise("short text").alias("description"), F.when(k == 0, "unknown").when(k == 1, "in-person").otherwise("online").alias("mode"),
         F.array(F.when(k == 2, "b").otherwise("a")).alias("themes"), F.lit(None).cast("map<string,array<string>>").alias("source_ids"),

@@ -78,3 +78,11 @@ def test_progress_does_not_depend_on_frames_and_files(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert got[0] == got[1] == got[2] and {"first", "forced", "held", "count", "time", "end"} >= {r[3] for r in got[0]} >= {"first", "forced", "end"}
+
+
+def test_customers_numbered_like_years_stay_apart(spark, tmp_path):
+    from siftline.plans import merge_queries
+
+    spark.range(1995, 2105).selectExpr("id AS c_custkey", "cast(id % 25 AS int) AS c_nationkey").write.parquet(f"{tmp_path}/customer.parquet")
+    got = sorted((r["first"], r.members) for r in merge_queries.m6_merge_sources(spark, f"file://{tmp_path}").collect())
+    assert got == [(k * 3, k % 3 + 1) for k in range(1995, 2105)]
