@@ -19,12 +19,12 @@ def t_job_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def t5_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Progress lines of each job, thinned out; the kind of an entry is its message."""
-    return log.drain(log.coalesced(log.read_log(spark, sf_dir).withColumn("message", F.col("kind"))))
+    return log.drain(log.coalesced(log.read_log(spark, sf_dir, in_order=True).withColumn("message", F.col("kind"))))
 
 
 def t5_flushed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with an end mark at every sign-up: what is held then goes out."""
-    return log.drain(log.coalesced(log.read_log(spark, sf_dir).withColumns({"message": F.col("kind"), "ends": F.col("kind") == "signup"})))
+    return log.drain(log.coalesced(log.read_log(spark, sf_dir, in_order=True).withColumns({"message": F.col("kind"), "ends": F.col("kind") == "signup"})))
 
 
 QUERIES = {f.__name__: f for f in (t_windowed_counts, t_job_states, t5_coalesce, t5_flushed)}

@@ -86,3 +86,13 @@ def test_customers_numbered_like_years_stay_apart(spark, tmp_path):
     spark.range(1995, 2105).selectExpr("id AS c_custkey", "cast(id % 25 AS int) AS c_nationkey").write.parquet(f"{tmp_path}/customer.parquet")
     got = sorted((r["first"], r.members) for r in merge_queries.m6_merge_sources(spark, f"file://{tmp_path}").collect())
     assert got == [(k * 3, k % 3 + 1) for k in range(1995, 2105)]
+
+
+def test_progress_of_a_log_cut_anywhere(spark, tmp_path):
+    from siftline.plans import stream_queries
+
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    for n in (2, 0, 1):
+        events.filter(f"event_id % 3 = {n}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    for query in (stream_queries.t5_coalesce, stream_queries.t5_flushed):
+        assert sorted(map(tuple, query(spark, f"file://{tmp_path}").collect())) == sorted(map(tuple, query(spark, "/root/testdata/sf0.001").collect()))
