@@ -93,3 +93,24 @@ def test_dates(one):
     assert (got.start, got.end) == ("2025-12-30", "2026-01-02")
     got = one(dates.season_range(lit("Mar 3 - 5"), F.lit(2026)))
     assert (got.start, got.end) == ("2026-03-03", "2026-03-05")
+
+
+def test_borders_are_those_of_ascii_words_at_little_cost():
+    import random
+    import re
+
+    from siftline.functions.text import _ANY_BORDER, borders
+    from siftline.operators import discovery
+
+    patterns = [v for name in dir(discovery) if isinstance(v := getattr(discovery, name), str) and r"\b" in v]
+    patterns += [w for w, *_ in discovery.COVERED.values()] + [w for w, _ in discovery.VOCABULARY] + [*discovery.ROLE_WORDS.values()]
+    patterns += [r"\b(a|-b)\b", r"\b(a?b|c)\b", r"x\b", r"(?:a|b+)\b", r"\b[ab]\b", r"\b(a|b)?c", r"a\b-\bb", r"\b\d{2}\b", r"\ba|b\b", r"\b(a(b|c)|d)\b"]
+    rng, words = random.Random(4), sorted({w for p in patterns for w in re.findall("[A-Za-z]+|[0-9-]+", p)})
+    for pattern in patterns:
+        plain = pattern.replace(r"\b", _ANY_BORDER)
+        for _ in range(60):
+            text = "".join(rng.choice(words + [" ", "-", "é", "_", "2025-01-02", "a", "b", "c"]) for _ in range(12))
+            for flags in (re.A, re.A | re.I):
+                assert [m.span() for m in re.finditer(borders(pattern), text, flags)] == [m.span() for m in re.finditer(plain, text, flags)], (pattern, text)
+    # the costly form, tried at every character, is only for what may begin or end with no word character
+    assert not [p for p in discovery.ROLE_WORDS.values() if _ANY_BORDER in borders(p)]
