@@ -9,6 +9,8 @@ Members of a band bucket are compared by their packed signatures: similarity is
 estimated from bit counts and corrected for chance agreement, and pairs within
 five standard deviations of the threshold are candidates.
 
+0. A few bands come first, steps 1 and its confirmation for them alone: near copies share most bands, and a bucket
+   of the other bands whose members those few have joined is left before it is gone through.
 1. A bucket's members are dealt into blocks.  A spanning forest of each block's
    candidates, best estimates first, is confirmed on the full sets; that is linear
    in the bucket and finds the hubs of large groups.
@@ -45,6 +47,8 @@ BITS = 4
 BLOCK = 512
 #: Members that stand for a component when the blocks of a bucket are joined.
 STAND_INS = 8
+#: Bands that are gone through before all others.
+EARLY = 6
 
 
 def shingle_set(text: str | None, k: int) -> np.ndarray:
@@ -311,39 +315,53 @@ def near_duplicates(
 
     least = percent / 100 - 5.0 * float(np.sqrt(0.16 / (bands * rows)))
     in_bands = reps.select("id", F.posexplode("keys").alias("band", "key"))
-    buckets = in_bands.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("id").alias("low"), F.max("id").alias("high")).filter("members > 1")
-    buckets = materialize(buckets, "buckets")
-    pairs = buckets.filter("members = 2").select(F.col("low").alias("a"), F.col("high").alias("b")).distinct()
     left = reps.select(F.col("id").alias("a"), F.col("sig").alias("ga"), F.col("n").alias("na"))
     right = reps.select(F.col("id").alias("b"), F.col("sig").alias("gb"), F.col("n").alias("nb"))
     likely = (estimated(F.col("ga"), F.col("gb"), width) >= least) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-    pairs = pairs.join(left, "a").join(right, "b").filter(likely).select("a", "b")
-    # one row per member with all its larger buckets: what is joined to members is joined once, not once per band
-    placed = in_bands.join(buckets.filter("members > 2").select("key", "members"), "key")
-    places = placed.groupBy("id").agg(F.collect_list(F.struct("key", "band", "members")).alias("places"))
-    members = materialize(places.join(reps.select("id", "n", "sig"), "id"), "members")
-
     most = int(np.floor(16 * width * (1 - 1 / 16) * (1 - least)))
     signed = reps.select("id", "n", "sig")
 
     def forest(lists):
         return lists.select(F.explode(_in_blocks("forest", most, percent, width)("lists", "band")).alias("p")).select("p.*")
 
-    spread = members.select("id", F.col("id").alias("c"), "n", "sig", F.explode("places").alias("p")).select("id", "c", "n", "sig", "p.*")
-    tree = forest(_dealt(spread, ["id", "c", "n", "sig"], 0))
-    tree = materialize(tree.unionByName(pairs).distinct(), "forest")
-    ids = members.select("id").union(tree.select("a")).union(tree.select("b")).distinct()
-    sets = materialize(_sets(df, reps.select("id", "rep", "h").join(ids, "id"), id_col, text_col, k), "sets")
-    edges = materialize(_confirmed(tree, sets, percent), "links")
-    labels = connected_components(edges)
-    done = [buckets, tree]
+    def labelled(rows):
+        """Rows that hold id with the member's component c, as far as it is known."""
+        if labels is None:
+            return rows.withColumn("c", F.col("id"))
+        out = rows.join(labels.withColumnRenamed("node", "id"), "id", "left")
+        return out.withColumn("c", F.coalesce("component", "id")).drop("component")
+
+    # a few bands first: what they join has its other buckets settled before a row of those is joined to anything
+    edges = labels = sets = members = None
+    done = []
+    for low, high in ((0, EARLY), (EARLY, bands)):
+        some = labelled(reps.select("id", "keys")).select("id", "c", F.posexplode("keys").alias("band", "key")).filter(F.col("band").between(low, high - 1))
+        buckets = some.groupBy("key").agg(*[F.expr(x) for x in ("count(1) AS members", "min(id) AS low", "max(id) AS high", "min(c) AS c0", "max(c) AS c1")])
+        buckets = materialize(buckets.filter("members > 1 AND c0 <> c1").drop("c0", "c1"), "buckets")
+        pairs = buckets.filter("members = 2").select(F.col("low").alias("a"), F.col("high").alias("b")).distinct()
+        pairs = pairs.join(left, "a").join(right, "b").filter(likely).select("a", "b")
+        # one row per member with all its larger buckets: what is joined to members is joined once, not once per band
+        placed = in_bands.filter(F.col("band").between(low, high - 1)).join(buckets.filter("members > 2").select("key", "members"), "key")
+        places = placed.groupBy("id").agg(F.collect_list(F.struct("key", "band", "members")).alias("places"))
+        found = materialize(places.join(signed, "id"), "members")
+        spread = labelled(found).select("id", "c", "n", "sig", F.explode("places").alias("p")).select("id", "c", "n", "sig", "p.*")
+        tree = materialize(forest(_dealt(spread, ["id", "c", "n", "sig"], 0)).unionByName(pairs).distinct(), "forest")
+        ids = found.select("id").union(tree.select("a")).union(tree.select("b")).distinct()
+        ids = ids if sets is None else ids.join(sets.select("id"), "id", "left_anti")
+        more = materialize(_sets(df, reps.select("id", "rep", "h").join(ids, "id"), id_col, text_col, k), "sets")
+        done += [buckets, found, tree, more]
+        sets = more if sets is None else sets.unionByName(more)
+        more = materialize(_confirmed(tree, sets, percent), "links")
+        edges = more if edges is None else edges.unionByName(more)
+        members = found if members is None else members.unionByName(found)
+        labels = connected_components(edges)
+    members = members.select("id", F.explode("places").alias("p")).groupBy("id").agg(F.collect_list("p").alias("places"))
 
     def unsettled(rows):
         """Of rows (id, places) those places whose bucket holds several components, with the member's component c."""
-        named = rows.select("id", "places").join(labels.withColumnRenamed("node", "id"), "id", "left")
-        named = named.select("id", F.coalesce("component", "id").alias("c"), F.explode("places").alias("p")).select("id", "c", "p.*")
-        several = named.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1").select("key")
-        return materialize(named.join(several, "key"), "unsettled")
+        each = labelled(rows.select("id", "places")).select("id", "c", F.explode("places").alias("p")).select("id", "c", "p.*")
+        several = each.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1").select("key")
+        return materialize(each.join(several, "key"), "unsettled")
 
     still = unsettled(members)
     done.append(still)
@@ -374,7 +392,7 @@ def near_duplicates(
     done += [open_, more]
     if not more.isEmpty():
         labels = connected_components(edges.unionByName(more))
-    discard(reps, members, sets, *done)
+    discard(reps, *done)
     settle(df.sparkSession)
 
     named = classes.join(labels, "node", "left").filter("copies > 1 OR component IS NOT NULL")

@@ -385,3 +385,26 @@ def test_a_group_of_near_copies_is_held_once_and_settled_at_once(spark, monkeypa
     assert {r.component_id for r in minhash.near_duplicates(frame(spark, rows), k=4).collect()} == {0}
     # what is joined to members is joined once for each, not once per band, and no bucket is gone through again
     assert seen["members"][0] <= 300 and seen["unsettled"] == [0]
+
+
+def test_the_first_bands_settle_a_group_of_near_copies_for_the_others(spark, monkeypatch):
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    rows = []
+    for i in range(300):
+        words = list(base)
+        words[rng.randrange(400)] = f"x{i}"
+        rows.append((i, " ".join(words)))
+    placed = []
+    real = minhash.materialize
+
+    def spied(df, tag):
+        out = real(df, tag)
+        if tag == "members":
+            placed.append(out.selectExpr("coalesce(sum(size(places)), 0) AS n").first().n)
+        return out
+
+    monkeypatch.setattr(minhash, "materialize", spied)
+    assert {r.component_id for r in minhash.near_duplicates(frame(spark, rows), k=4).collect()} == {0}
+    # not up to 32 rows joined for each member: those of the first bands, and none of settled buckets
+    assert 0 < sum(placed) <= 300 * minhash.EARLY
