@@ -21,7 +21,7 @@ def s26_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def a20_list_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lists of repeated items by page, with the share of distinct texts among their anchors."""
-    units = html.repeated_units(html.nodes(tables.table(spark, sf_dir, "pages"))).filter("shape = 'li'")
+    units = html.page_units(tables.table(spark, sf_dir, "pages")).filter("shape = 'li'")
     return units.groupBy("units").agg(F.count(F.lit(1)).alias("lists"))
 
 
@@ -98,7 +98,7 @@ def x17_deep_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def a20_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The surest repeated units of each page."""
-    units = html.repeated_units(html.nodes(_tiles(spark, sf_dir)))
+    units = html.page_units(_tiles(spark, sf_dir))
     return units.groupBy("page_id").agg(F.max_by("shape", F.struct("confidence", "shape")).alias("shape"), F.max("confidence").alias("confidence"))
 
 

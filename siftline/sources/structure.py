@@ -7,11 +7,12 @@ from __future__ import annotations
 
 import hashlib
 import re
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .html import _Cards
+from .html import _Cards, scanned
 
 UNITS = (
     "page_id long, parent_id int, parent_shape string, tag string, shape string, unit int, node_id int, depth int, text string, "
@@ -20,6 +21,7 @@ UNITS = (
 PRINTS = "page_id long, nodes int, depth int, fingerprint string, sketch array<long>"
 
 
+@lru_cache(65_536)
 def folded(shape: str) -> str:
     """A shape with hexadecimal runs and digits folded, so that generated class names agree."""
     tag, dot, classes = shape.partition(".")
@@ -41,37 +43,26 @@ def units(pages: DataFrame, least: int = 2, most_parts: int = 80) -> DataFrame:
     `most_parts` nodes count.  A path that occurs again in a unit gets a number.
     """
 
-    def scan(batches):
-        import pyarrow as pa
-
-        part = pa.struct([("path", pa.string()), ("tag", pa.string()), ("text", pa.string()), ("href", pa.string())])
-        types = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.list_(part)]
-        names = [f.split()[0] for f in UNITS.split(", ")]
-        for batch in batches:
-            out: list[list] = [[] for _ in names]
-            for page, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                tree = _Cards(html or "")
-                groups: dict[tuple, list[int]] = {}
-                for i, row in enumerate(tree.rows):
-                    groups.setdefault((row[1], folded(row[4])), []).append(i)
-                for (up, shape), found in groups.items():
-                    if len(found) < least:
-                        continue
-                    for number, i in enumerate(found):
-                        parts, seen = [], {}
-                        for j in range(i, min(tree.end[i], i + most_parts)):
-                            text, href = " ".join(tree.rows[j][6].split()) or None, tree.rows[j][5]
-                            if text or href:
-                                path = _own_path(tree, j, i) or "."
-                                seen[path] = seen.get(path, 0) + 1
-                                parts.append({"path": path if seen[path] == 1 else f"{path}:{seen[path]}", "tag": tree.rows[j][2], "text": text, "href": href})
-                        parent = tree.rows[up][4] if up >= 0 else ""
-                        row = (page, up, folded(parent), tree.rows[i][2], shape, number, i, tree.rows[i][3], tree.text(i), parts)
-                        for column, value in zip(out, row):
-                            column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names)
-
-    return pages.select("page_id", "html").mapInArrow(scan, UNITS)
+    def rows_of(page, html):
+        tree = _Cards(html)
+        groups: dict[tuple, list[int]] = {}
+        for i, row in enumerate(tree.rows):
+            groups.setdefault((row[1], folded(row[4])), []).append(i)
+        for (up, shape), found in groups.items():
+            if len(found) < least:
+                continue
+            for number, i in enumerate(found):
+                parts, seen = [], {}
+                for j in range(i, min(tree.end[i], i + most_parts)):
+                    text, href = " ".join(tree.rows[j][6].split()) or None, tree.rows[j][5]
+                    if text or href:
+                        path = _own_path(tree, j, i) or "."
+                        seen[path] = seen.get(path, 0) + 1
+                        parts.append({"path": path if seen[path] == 1 else f"{path}:{seen[path]}", "tag": tree.rows[j][2], "text": text, "href": href})
+                parent = tree.rows[up][4] if up >= 0 else ""
+                yield page, up, folded(parent), tree.rows[i][2], shape, number, i, tree.rows[i][3], tree.text(i), parts
+
+    return scanned(pages, UNITS, rows_of)
 
 
 def _digest(text: str) -> int:
@@ -85,30 +76,22 @@ def fingerprints(pages: DataFrame, slots: int = 16) -> DataFrame:
     are equal counted once: lists of other lengths agree, moved sections do not.
     """
 
-    def scan(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            for page, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                rows = _Cards(html or "").rows
-                below: list[list[int]] = [[] for _ in rows]
-                roots, seen = [], set()
-                for i in range(len(rows) - 1, -1, -1):
-                    kids = below[i][::-1]
-                    kept = [k for n, k in enumerate(kids) if n == 0 or k != kids[n - 1]]
-                    digest = _digest(f"{folded(rows[i][4])}({','.join(map(str, kept))})")
-                    seen.add(digest)
-                    (below[rows[i][1]] if rows[i][1] >= 0 else roots).append(digest)
-                tops = [k for n, k in enumerate(roots[::-1]) if n == 0 or k != roots[::-1][n - 1]]
-                sketch = [min(_digest(f"{slot}:{d}") for d in seen) for slot in range(slots)] if seen else []
-                whole = hashlib.sha256(",".join(map(str, tops)).encode()).hexdigest()[:24]
-                for column, value in zip(out, (page, len(rows), max((r[3] for r in rows), default=-1) + 1, whole, sketch)):
-                    column.append(value)
-            types = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], [f.split()[0] for f in PRINTS.split(", ")])
-
-    return pages.select("page_id", "html").mapInArrow(scan, PRINTS)
+    def rows_of(page, html):
+        rows = _Cards(html).rows
+        below: list[list[int]] = [[] for _ in rows]
+        roots, seen = [], set()
+        for i in range(len(rows) - 1, -1, -1):
+            kids = below[i][::-1]
+            kept = [k for n, k in enumerate(kids) if n == 0 or k != kids[n - 1]]
+            digest = _digest(f"{folded(rows[i][4])}({','.join(map(str, kept))})")
+            seen.add(digest)
+            (below[rows[i][1]] if rows[i][1] >= 0 else roots).append(digest)
+        tops = [k for n, k in enumerate(roots[::-1]) if n == 0 or k != roots[::-1][n - 1]]
+        sketch = [min(_digest(f"{slot}:{d}") for d in seen) for slot in range(slots)] if seen else []
+        whole = hashlib.sha256(",".join(map(str, tops)).encode()).hexdigest()[:24]
+        yield page, len(rows), max((r[3] for r in rows), default=-1) + 1, whole, sketch
+
+    return scanned(pages, PRINTS, rows_of)
 
 
 def likeness(a: Column, b: Column) -> Column:

@@ -67,3 +67,52 @@ def test_sheet_is_idempotent(spark):
     sinks.check_header(first.columns)
     with pytest.raises(ValueError):
         sinks.check_header(["id"])
+
+
+def test_plain_markup_and_the_standard_parser_give_the_same_nodes():
+    from html.parser import HTMLParser
+
+    odd = [
+        "<p class='b a'>x<br>y<br/>z &amp; &lt;b&gt;</p>tail", "a < b <p>c</p> d & e", "<div><p>one<p>two</div>three</p>", "<a href=x>q</a>", '<a href="?a=1&amp;b=2">q</a>', "<a disabled href='x' href='y'>q</a>",
+        '<script>var t="</p>";</script><p>in</p>', "<script>a</SCRIPT ><b>c</b>", "<style>p{}</style>t<style/><p>u</p>", "<script>never closed <p>x", "<!-- a - b --><p>c</p><!-- <p> -->d", "<!DOCTYPE html><HTML><Body CLASS=\"K\">t</BODY>",
+        "<title>a &amp; b</title><title>x<b>y</b></title>", "<textarea><p>q</p></textarea>", "<svg><path d='1'/></svg>", "<p", "<p>x</", "text only", "text & more", "<div/>after<br />x<p/>y", "<a\tb='1'\n c=\"2\" >x</a>", "</p><b></i>x</b>", "<![CDATA[x]]><b>y</b>", "<?pi ?><b>y</b>", "",
+        "<ul><li>1<li>2</ul>&nbsp;&#65;&bogus; <i>&copy</i>", "<a-b>c</a-b>", "<p>é<b x=\"é\">中</b></p>",
+    ]
+    for html_ in [*odd, *[a + b for a in odd for b in odd]]:
+        for most in ((None, None), (2, None), (None, 1)):
+            plain, slow = html._Tree(*most), html._Tree(*most)
+            plain.feed(html_)
+            HTMLParser.feed(slow, html_)
+            assert (plain.rows, plain.attrs, plain.open, plain.kept, plain.rawdata) == (slow.rows, slow.attrs, slow.open, slow.kept, slow.rawdata), html_
+
+
+def test_plain_markup_never_reaches_the_standard_parser(monkeypatch):
+    from html.parser import HTMLParser
+
+    monkeypatch.setattr(HTMLParser, "feed", None)
+    tree = html._Tree()
+    tree.feed('<!DOCTYPE html><html><title>t</title><div class="b a"><a href="/x">q &amp; r</a><br><!-- c --></div><script>if ("</p>") {}</script></html>')
+    assert [r[4] for r in tree.rows] == ["html", "title", "div.a.b", "a", "br", "script"] and tree.rows[3][5:] == ["/x", "q & r"]
+
+
+def test_tasks_hold_few_rows_of_a_batch():
+    import pyarrow as pa
+
+    class Pages:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, scan, schema):  # noqa: N802
+            return scan
+
+    batch = pa.RecordBatch.from_pydict({"page_id": list(range(100)), "html": ["<ul>" + "<li>x</li>" * 500 + "</ul>"] * 100})
+    sizes = [b.num_rows for b in html.nodes(Pages())(iter([batch]))]
+    assert sum(sizes) == 50_100 and max(sizes) <= html.ROWS_AT_ONCE + 501
+
+
+def test_units_counted_in_the_parse_equal_those_of_the_node_table(spark):
+    pages = spark.createDataFrame([(1, "<ul><li> a </li><li>a</li><li><a href='/x'>q</a></li></ul><p>\tb</p><p></p><a href='/y'></a><a href='/y'>z</a><a>w</a>"), (2, None), (3, "<b>x</b>" * 12)], "page_id long, html string")
+    counted, grouped = html.page_units(pages), html.repeated_units(html.nodes(pages))
+    assert counted.dtypes == grouped.dtypes
+    assert sorted(counted.collect()) == sorted(grouped.collect()) and counted.count() > 3
+    assert "Exchange" not in counted._jdf.queryExecution().executedPlan().toString()
