@@ -114,3 +114,10 @@ def test_borders_are_those_of_ascii_words_at_little_cost():
                 assert [m.span() for m in re.finditer(borders(pattern), text, flags)] == [m.span() for m in re.finditer(plain, text, flags)], (pattern, text)
     # the costly form, tried at every character, is only for what may begin or end with no word character
     assert not [p for p in discovery.ROLE_WORDS.values() if _ANY_BORDER in borders(p)]
+
+
+def test_tags_cut_a_text_once(spark):
+    df = spark.createDataFrame([(1, "The sea, in_on AT"), (2, None), (3, ""), (4, "los ELs dér la"), (5, "big data in the")], "id long, t string")
+    out = df.select("id", text.tags(F.col("t"), {"time": "the|and", "place": "in|on|at", "spanish": "el|los|las", "data": r"big\s+data"}).alias("x"))
+    assert [r.x for r in out.orderBy("id").collect()] == [["time", "place"], [], [], ["spanish"], ["time", "place", "data"]]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
