@@ -255,12 +255,33 @@ def _dealt(rows: DataFrame, fields: list[str], salt: int) -> DataFrame:
     return rows.groupBy("key", "band", "block").agg(F.array(F.collect_list(F.struct(*fields))).alias("lists"))
 
 
-def _small_sides(rows: DataFrame, fields: list[str], block: int) -> DataFrame:
-    """key, band and lists: each block of members outside a bucket's largest component with each block of all its members."""
+def _counted(rows: DataFrame) -> DataFrame:
+    """Append, for each row's key, its largest component (main), its rows (all) and those of that component (most)."""
     parts = rows.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n"))
-    main = parts.groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
-    main = main.select("key", "main", F.ceil(F.col("all") / block).alias("i_blocks"), F.ceil((F.col("all") - F.col("most")) / block).alias("j_blocks"))
-    rows = rows.join(main, "key")
+    return rows.join(parts.groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most")), "key")
+
+
+def _unsettled(each: DataFrame) -> DataFrame:
+    """Of rows (id, c, key, band, members) those whose bucket holds several components c, larger buckets counted.
+
+    A bucket of one block is one row for a moment and says so itself; only what is larger is joined to its bucket.
+    """
+    small = each.filter(F.col("members") <= BLOCK).groupBy("key", "band", "members").agg(F.collect_list(F.struct("id", "c")).alias("m"), F.min("c").alias("c0"), F.max("c").alias("c1"))
+    small = small.filter("c0 <> c1").select("key", "band", "members", F.explode("m").alias("m")).select("m.*", "key", "band", "members")
+    return small.unionByName(_counted(each.filter(F.col("members") > BLOCK)).filter("all > most"), allowMissingColumns=True)
+
+
+def _small_sides(rows: DataFrame, fields: list[str], block: int) -> DataFrame:
+    """key, band and lists: each block of members outside a bucket's largest component with each block of all its members.
+
+    Rows hold `members`, at least the number of a key's rows: where that is one block, the lists are cut in place;
+    where it is more, rows without counts are counted here.
+    """
+    one = rows.filter(F.col("members") <= block).groupBy("key", "band").agg(F.collect_list(F.struct(*fields)).alias("all"), F.mode("c").alias("main"))
+    one = one.select("key", "band", F.array(F.filter("all", lambda x: x["c"] != F.col("main")), F.col("all")).alias("lists"))
+    rows = rows.filter(F.col("members") > block)
+    rows = rows if "main" in rows.columns else _counted(rows)
+    rows = rows.withColumns({"i_blocks": F.ceil(F.col("all") / block), "j_blocks": F.ceil((F.col("all") - F.col("most")) / block)})
     place = F.xxhash64("id", F.lit(3))
 
     def side(members, own, other, blocks, number):
@@ -271,7 +292,8 @@ def _small_sides(rows: DataFrame, fields: list[str], block: int) -> DataFrame:
 
     both = side(rows.filter("c <> main"), "j", "i", "j_blocks", 0).unionByName(side(rows, "i", "j", "i_blocks", 1))
     lists = both.groupBy("key", "band", "i", "j").agg(F.sort_array(F.collect_list(F.struct("side", "list"))).alias("lists"))
-    return lists.filter("size(lists) = 2").select("key", "band", F.transform("lists", lambda x: x["list"]).alias("lists"))
+    lists = lists.filter("size(lists) = 2").select("key", "band", F.transform("lists", lambda x: x["list"]).alias("lists"))
+    return one.filter("size(lists[0]) > 0").unionByName(lists)
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -355,18 +377,12 @@ def near_duplicates(
         edges = more if edges is None else edges.unionByName(more)
         members = found if members is None else members.unionByName(found)
         labels = connected_components(edges)
-    members = members.select("id", F.explode("places").alias("p")).groupBy("id").agg(F.collect_list("p").alias("places"))
-
-    def unsettled(rows):
-        """Of rows (id, places) those places whose bucket holds several components, with the member's component c."""
-        each = labelled(rows.select("id", "places")).select("id", "c", F.explode("places").alias("p")).select("id", "c", "p.*")
-        several = each.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1").select("key")
-        return materialize(each.join(several, "key"), "unsettled")
-
-    still = unsettled(members)
+    each = labelled(members).select("id", "c", F.explode("places").alias("p")).select("id", "c", "p.*")
+    still = materialize(_unsettled(each), "unsettled")
     done.append(still)
+    # of what follows only the buckets of several blocks change
+    wide, still = still.filter(F.col("members") > BLOCK), still.filter(F.col("members") <= BLOCK)
     for salt in range(1, 9):
-        wide = still.filter(F.col("members") > BLOCK)
         if wide.isEmpty():
             break
         part = F.xxhash64("id", F.lit(100 + salt))
@@ -379,13 +395,14 @@ def near_duplicates(
             break
         edges = edges.unionByName(more)
         labels = connected_components(edges)
-        still = unsettled(still.groupBy("id").agg(F.collect_list(F.struct("key", "band", "members")).alias("places")))
-        done.append(still)
+        wide = materialize(_unsettled(labelled(wide.select("id", "key", "band", "members"))), "unsettled")
+        done.append(wide)
+    still = still.unionByName(wide)
 
     still = still.join(reps.select("id", "n", "keys", "sig"), "id")
     lists = _small_sides(still, ["id", "c", "n", "sig", "keys"], BLOCK)
     open_ = lists.select("key", F.explode(_in_blocks("open", most, percent, width)("lists", "band")).alias("id")).distinct()
-    open_ = materialize(still.join(open_, ["key", "id"]), "open")
+    open_ = materialize(still.drop("main", "all", "most").join(open_, ["key", "id"]), "open")
     lists = _small_sides(open_.join(sets, "id"), ["id", "c", "n", "sig", "keys", "set"], BLOCK // 4)
     more = lists.select(F.explode(_in_blocks("links", most, percent, width)("lists", "band")).alias("p")).select("p.*")
     more = materialize(more, "links")

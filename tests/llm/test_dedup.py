@@ -408,3 +408,45 @@ def test_the_first_bands_settle_a_group_of_near_copies_for_the_others(spark, mon
     assert {r.component_id for r in minhash.near_duplicates(frame(spark, rows), k=4).collect()} == {0}
     # not up to 32 rows joined for each member: those of the first bands, and none of settled buckets
     assert 0 < sum(placed) <= 300 * minhash.EARLY
+
+
+def _rows_joined_by_key(spark, after):
+    """Rows that joins by the bucket's key made in executions after one."""
+    store, made = spark._jsparkSession.sharedState().statusStore(), 0
+    runs = store.executionsList()
+    for run in (runs.apply(i).executionId() for i in range(runs.size())):
+        if run <= after:
+            continue
+        nodes, values = store.planGraph(run).allNodes(), store.executionMetrics(run)
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            if "Join" in node.name() and node.desc().split("[", 1)[1].startswith("key#"):
+                metrics = node.metrics()
+                for m in (metrics.apply(i) for i in range(metrics.size())):
+                    if m.name() == "number of output rows" and (v := values.get(m.accumulatorId())).isDefined():
+                        made += int(v.get().replace(",", ""))
+    return made
+
+
+def test_small_buckets_are_joined_to_nothing_when_their_groups_are_compared(spark, monkeypatch):
+    rng = random.Random(17)
+    base = words(rng, 120, 10**6).split()
+    rows = []
+    for i in range(60):  # alike enough to share buckets, too little to be linked
+        w = list(base)
+        for at in rng.sample(range(120), 5):
+            w[at] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    placed, real = [], minhash.materialize
+
+    def spied(df, tag):
+        out = real(df, tag)
+        if tag == "members":
+            placed.append(out.selectExpr("coalesce(sum(size(places)), 0) AS n").first().n)
+        return out
+
+    monkeypatch.setattr(minhash, "materialize", spied)
+    runs = spark._jsparkSession.sharedState().statusStore().executionsList()
+    last = max((runs.apply(i).executionId() for i in range(runs.size())), default=-1)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(frame(spark, rows), k=4).collect()}
+    assert len(set(got.values())) > 30 and sum(placed) > 500
+    assert _rows_joined_by_key(spark, last) <= 1.5 * sum(placed)
