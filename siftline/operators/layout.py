@@ -74,11 +74,14 @@ def is_label(text: Column) -> Column:
     return _has(text, META_TITLE) | _has(text, BADGE) | _has(text, REGISTRATION_TITLE) | (_has(text, DATED_LABEL) & ~_has(text, TITLE_WORDS))
 
 
+def _worth(text: Column, dated: Column) -> Column:
+    point = lambda c, n: F.when(c, n).otherwise(0)
+    return F.when(_has(text, TITLE_WORDS), 3).otherwise(-point(dated, 2)) + point(text.rlike("^[A-Z0-9]"), 1) + point(F.length(text).between(8, 100), 1)
+
+
 def title_worth(text: Column, dated: Column) -> Column:
     """How much a text reads like a title."""
-    point = lambda c, n: F.when(c, n).otherwise(0)
-    named = _has(text, TITLE_WORDS)
-    return point(named, 3) + point(text.rlike("^[A-Z0-9]"), 1) + point(F.length(text).between(8, 100), 1) - point(dated & ~named, 2) - point(is_label(text), 5)
+    return _worth(text, dated) - F.when(is_label(text), 5).otherwise(0)
 
 
 def _dated(text: Column) -> Column:
@@ -90,7 +93,7 @@ def best_title(texts: Column) -> Column:
     flat = F.transform(texts, lambda t: F.trim(F.regexp_replace(t, r"\s+", " ")))
     lines = F.flatten(F.transform(flat, lambda t: F.array_distinct(F.array(F.trim(F.element_at(F.split(t, r"\s*[·|]\s*"), 1)), t))))
     fit = F.filter(lines, lambda t: F.length(t).between(4, 160) & ~_has(t, PLAIN_WORDS) & ~_has(t, "^https?://") & ~is_label(t))
-    best = F.array_max(F.transform(fit, lambda t, i: F.struct(title_worth(t, _dated(t)).alias("worth"), (-i).alias("at"), t.alias("text"))))
+    best = F.array_max(F.transform(fit, lambda t, i: F.struct(_worth(t, _dated(t)).alias("worth"), (-i).alias("at"), t.alias("text"))))
     return best["text"]
 
 
@@ -107,21 +110,25 @@ def unit_leads(units: DataFrame, base: Column) -> DataFrame:
     links = F.filter(F.array_compact(F.col("parts.href")), lambda h: ~_has(h, "^(#|javascript:|mailto:|tel:)") & (h != ""))
     here = lambda u: (urls.origin(u) == urls.origin(base)) & (F.regexp_replace(urls.pathname(u), "/$", "") == F.regexp_replace(urls.pathname(base), "/$", ""))
     # addresses are resolved in a stage of their own, one row each
-    link = rows.select(*SET, "unit", F.posexplode(links).alias("at", "h")).withColumn("u", urls.resolve(F.col("h"), base)).filter(F.col("u").rlike("^https?:") & ~here(F.col("u")))
+    link = held(rows.select(*SET, "unit", F.posexplode(links).alias("at", "h")), u=urls.resolve(F.col("h"), base)).filter(F.col("u").rlike("^https?:") & ~here(F.col("u")))
     link = link.groupBy(*SET, "unit").agg(F.min_by("u", "at").alias("url"))
-    registered = _has(F.col("blob"), REGISTRATION_LABEL)
     kind = lambda t: (
-        F.when(_has(t, REGISTRATION_START), "opens").when(_has(t, REGISTRATION_END), "closes").when(_has(t, DEADLINE_WORDS), "deadline").when(registered | _has(t, "registration"), "none").otherwise("start")
+        F.when(_has(t, REGISTRATION_START), "opens").when(_has(t, REGISTRATION_END), "closes").when(_has(t, DEADLINE_WORDS), "deadline").when(F.col("registered") | _has(t, "registration"), "none").otherwise("start")
     )
-    said = rows.select(*SET, "unit", "blob", F.posexplode("texts").alias("at", "t")).withColumn("kind", kind(F.col("t"))).withColumn("day", F.date_format(dates.dateish(F.col("t")), "yyyy-MM-dd")).filter("day IS NOT NULL")
-    days = said.groupBy(*SET, "unit").agg(*[F.min_by("day", F.when(F.col("kind") == k, F.col("at"))).alias(k) for k in ("opens", "closes", "deadline", "start")])
-    rows = rows.join(link, [*SET, "unit"], "left").join(days, [*SET, "unit"], "left")
+    rows = rows.join(link, [*SET, "unit"], "left")
+    # what is read more than once is computed once: first what all texts say together, then each text's day, then what that makes
+    rows = held(rows, registered=_has(F.col("blob"), REGISTRATION_LABEL), title=F.coalesce(best_title(F.col("texts")), slug_title(F.col("url"))))
+    day = lambda t: F.date_format(dates.dateish(t), "yyyy-MM-dd")
+    dated = F.transform(F.filter("texts", dates.maybe_dateish), lambda t: F.struct(day(t).alias("day"), kind(t).alias("kind")))
+    rows = held(rows.filter("title IS NOT NULL"), said=F.filter(dated, lambda x: x["day"].isNotNull()))
+    first = lambda k: F.get(F.filter("said", lambda x: x["kind"] == k), 0)["day"]
+    rows = rows.withColumns({k: first(k) for k in ("opens", "closes", "deadline", "start")})
     place = F.get(F.filter(F.transform("texts", lambda t: F.regexp_extract(t, borders(PLACE), 0)), lambda x: x != ""), 0)
     rows = rows.withColumns({
-        "title": F.coalesce(best_title(F.col("texts")), slug_title(F.col("url"))), "start_day": F.col("start"), "deadline_day": F.coalesce("deadline", "closes"), "place": place,
+        "start_day": F.col("start"), "deadline_day": F.coalesce("deadline", "closes"), "place": place,
         "mode": F.nullif(F.regexp_extract(F.array_join("texts", " "), borders(MODE), 1), F.lit("")),
         "status": F.when(_has(F.col("blob"), r"\bregistration\s+closed\b"), "closed").when(_has(F.col("blob"), r"\bregistration\s+open\b"), "open").otherwise("unknown"),
-    }).filter("title IS NOT NULL")
+    })
     same = F.trim(F.lower(F.concat_ws("|", "url", "title", F.coalesce("start_day", "deadline_day", "opens"))))
     lead = F.struct("unit", "title", "url", "start_day", "deadline_day", "place", "mode", "status")
     return rows.groupBy(*SET, "tag", same.alias("same")).agg(F.min_by(lead, "unit").alias("lead")).select(*SET, "tag", "lead.*")

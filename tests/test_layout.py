@@ -3,6 +3,7 @@
 import itertools
 
 from pyspark.sql import functions as F
+from siftline.functions import dates, urls
 from siftline.operators import layout
 from siftline.sources import html, structure
 
@@ -99,3 +100,21 @@ def test_dates_go_under_the_nearest_label(spark):
     assert layout.labelled_dates(df, "page", "at", "label", "day").count() == 4
     plan = layout.labelled_dates(df, "page", "at", "label", "day")._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Join" not in plan
+
+
+def _resolutions(df):
+    """How often the plan takes dot segments out of an address."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count("aggregate(split(")
+
+
+def test_addresses_are_resolved_once_for_all_that_reads_them(spark):
+    units = structure.units(spark.createDataFrame([], "page_id long, html string"))
+    href = F.explode(F.array_compact(F.col("parts.href"))).alias("h")
+    once = _resolutions(units.select(href).select(urls.resolve(F.col("h"), F.lit(BASE)).alias("u")))
+    assert 0 < once == _resolutions(layout.unit_leads(units, F.lit(BASE)))
+
+
+def test_texts_that_may_be_dates_are_all_that_are(spark):
+    texts = ["2026-07-01", " 1780000000\n", "1780000000123.5", "Sep 5,  2026", "on 2026-07-01T10:00Z", "Oslo", "Order 12 Hackathon", "5 Sep", "go", ""]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(dates.maybe_dateish(F.col("t")).alias("may"), dates.dateish(F.col("t")).isNotNull().alias("does")).collect()
+    assert all(r.may or not r.does for r in rows) and sum(r.may for r in rows) == 5
