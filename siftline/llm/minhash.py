@@ -274,13 +274,14 @@ def _unsettled(each: DataFrame) -> DataFrame:
 def _small_sides(rows: DataFrame, fields: list[str], block: int) -> DataFrame:
     """key, band and lists: each block of members outside a bucket's largest component with each block of all its members.
 
-    Rows hold `members`, at least the number of a key's rows: where that is one block, the lists are cut in place;
-    where it is more, rows without counts are counted here.
+    Rows hold `members`, at least the number of a key's rows: where that is one block, the lists are cut in place.
+    Where it is more, rows hold the counts of _counted(); without these columns no bucket has more.
     """
     one = rows.filter(F.col("members") <= block).groupBy("key", "band").agg(F.collect_list(F.struct(*fields)).alias("all"), F.mode("c").alias("main"))
     one = one.select("key", "band", F.array(F.filter("all", lambda x: x["c"] != F.col("main")), F.col("all")).alias("lists"))
+    if "main" not in rows.columns:
+        return one.filter("size(lists[0]) > 0")
     rows = rows.filter(F.col("members") > block)
-    rows = rows if "main" in rows.columns else _counted(rows)
     rows = rows.withColumns({"i_blocks": F.ceil(F.col("all") / block), "j_blocks": F.ceil((F.col("all") - F.col("most")) / block)})
     place = F.xxhash64("id", F.lit(3))
 
@@ -319,6 +320,23 @@ def _sets(df: DataFrame, nodes: DataFrame, id_col: str, text_col: str, k: int) -
     return named.select("id", shingled(F.coalesce("text", F.lit(""))).alias("set")).dropDuplicates(["id"])
 
 
+def _grown(labels: DataFrame | None, more: DataFrame) -> DataFrame:
+    """Labels (node, component) after further edges (a, b): only the components that these join are gone through and renamed."""
+    if labels is None or labels.isEmpty():
+        return connected_components(more)
+    for end in ("a", "b"):
+        named = labels.select(F.col("node").alias(end), F.col("component").alias("__c"))
+        more = more.join(named, end, "left").withColumn(end, F.coalesce("__c", end)).drop("__c")
+    up = connected_components(more)
+    if up.isEmpty():
+        return labels
+    top = up.select(F.col("node").alias("component"), F.col("component").alias("__top"))
+    old = labels.join(top, "component", "left").select("node", F.coalesce("__top", "component").alias("component"))
+    out = materialize(old.unionByName(up.join(labels.select("node"), "node", "left_anti")), "labels")
+    discard(labels, up)
+    return out
+
+
 def near_duplicates(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, bands: int = 32, rows: int = 4, with_hash: bool = False,
 ) -> DataFrame:
@@ -354,7 +372,7 @@ def near_duplicates(
         return out.withColumn("c", F.coalesce("component", "id")).drop("component")
 
     # a few bands first: what they join has its other buckets settled before a row of those is joined to anything
-    edges = labels = sets = members = None
+    labels = sets = members = None
     done = []
     for low, high in ((0, EARLY), (EARLY, bands)):
         some = labelled(reps.select("id", "keys")).select("id", "c", F.posexplode("keys").alias("band", "key")).filter(F.col("band").between(low, high - 1))
@@ -374,9 +392,10 @@ def near_duplicates(
         done += [buckets, found, tree, more]
         sets = more if sets is None else sets.unionByName(more)
         more = materialize(_confirmed(tree, sets, percent), "links")
-        edges = more if edges is None else edges.unionByName(more)
         members = found if members is None else members.unionByName(found)
-        labels = connected_components(edges)
+        labels = _grown(labels, more)
+        discard(more)
+        settle(df.sparkSession)  # each of these steps runs many small tasks, and the driver keeps count of them
     each = labelled(members).select("id", "c", F.explode("places").alias("p")).select("id", "c", "p.*")
     still = materialize(_unsettled(each), "unsettled")
     done.append(still)
@@ -393,8 +412,8 @@ def near_duplicates(
         done += [tree, more]
         if more.isEmpty():
             break
-        edges = edges.unionByName(more)
-        labels = connected_components(edges)
+        labels = _grown(labels, more)
+        settle(df.sparkSession)
         wide = materialize(_unsettled(labelled(wide.select("id", "key", "band", "members"))), "unsettled")
         done.append(wide)
     still = still.unionByName(wide)
@@ -403,12 +422,21 @@ def near_duplicates(
     lists = _small_sides(still, ["id", "c", "n", "sig", "keys"], BLOCK)
     open_ = lists.select("key", F.explode(_in_blocks("open", most, percent, width)("lists", "band")).alias("id")).distinct()
     open_ = materialize(still.drop("main", "all", "most").join(open_, ["key", "id"]), "open")
-    lists = _small_sides(open_.join(sets, "id"), ["id", "c", "n", "sig", "keys", "set"], BLOCK // 4)
-    more = lists.select(F.explode(_in_blocks("links", most, percent, width)("lists", "band")).alias("p")).select("p.*")
-    more = materialize(more, "links")
-    done += [open_, more]
-    if not more.isEmpty():
-        labels = connected_components(edges.unionByName(more))
+    done.append(open_)
+    settle(df.sparkSession)
+    # small buckets and large ones one after the other: all their stages at once are the most that the driver has to hold
+    block, more = BLOCK // 4, None
+    wide = materialize(_counted(open_.filter(F.col("members") > block)), "counted")
+    done.append(wide)
+    for part in (open_.filter(F.col("members") <= block), wide):
+        if part.isEmpty():
+            continue
+        lists = _small_sides(part.join(sets, "id"), ["id", "c", "n", "sig", "keys", "set"], block)
+        links = lists.select(F.explode(_in_blocks("links", most, percent, width)("lists", "band")).alias("p")).select("p.*")
+        links = materialize(links, "links")
+        done.append(links)
+        more = links if more is None else more.unionByName(links)
+    labels = labels if more is None else _grown(labels, more)
     discard(reps, *done)
     settle(df.sparkSession)
 

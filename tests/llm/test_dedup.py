@@ -450,3 +450,17 @@ def test_small_buckets_are_joined_to_nothing_when_their_groups_are_compared(spar
     got = {r.doc_id: r.component_id for r in minhash.near_duplicates(frame(spark, rows), k=4).collect()}
     assert len(set(got.values())) > 30 and sum(placed) > 500
     assert _rows_joined_by_key(spark, last) <= 1.5 * sum(placed)
+
+
+def test_further_links_go_through_what_they_join_only(spark, monkeypatch):
+    edges = lambda *pairs: spark.createDataFrame(list(pairs), "a long, b long")
+    first, more = [(1, 2), (2, 3), (5, 6), (8, 9)], [(3, 1), (6, 3), (9, 20), (30, 31), (20, 40)]
+    labels = minhash._grown(None, edges(*first))
+    want = {tuple(r) for r in connected_components(edges(*first, *more)).collect()}
+    seen = []
+    monkeypatch.setattr(minhash, "connected_components", lambda e: (seen.append({tuple(r) for r in e.filter("a <> b").select("a", "b").collect()}), connected_components(e))[1])
+    grown = minhash._grown(labels, edges(*more))
+    assert {tuple(r) for r in grown.collect()} == want
+    assert seen == [{(5, 1), (8, 20), (30, 31), (20, 40)}]
+    assert {tuple(r) for r in minhash._grown(grown, edges((40, 8), (6, 2))).collect()} == want
+    assert minhash._grown(minhash._grown(None, edges()), edges((7, 4))).count() == 2
