@@ -62,9 +62,22 @@ def columns(units: DataFrame) -> DataFrame:
     return out.join(total, SET).withColumn("coverage", F.col("present") / F.col("units"))
 
 
+def shared_paths(units: DataFrame, least: float) -> DataFrame:
+    """One row per set: its units, and the paths that at least `least` of them have.
+
+    What units have in common is counted first: a set's units mostly have the same paths, in few different lists.
+    """
+    alike = units.groupBy(*SET, F.col("parts.path").alias("listed")).agg(F.count(F.lit(1)).alias("n"))
+    # the null stands for the unit itself
+    path = F.explode(F.array_append(F.coalesce(F.array_distinct("listed"), F.array().cast("array<string>")), F.lit(None).cast("string")))
+    found = alike.select(*SET, "n", path.alias("path")).groupBy(*SET, "path").agg(F.sum("n").alias("present"))
+    found = found.groupBy(*SET).agg(F.max(F.when(F.col("path").isNull(), F.col("present"))).alias("units"), F.collect_list(F.when(F.col("path").isNotNull(), F.struct("path", "present"))).alias("p"))
+    return found.select(*SET, "units", F.transform(F.filter("p", lambda x: x["present"] / F.col("units") >= least), lambda x: x["path"]).alias("paths"))
+
+
 def unit_table(units: DataFrame, least: float = 0.5) -> DataFrame:
     """Each unit with a map of the paths that at least `least` of its set's units have to its texts, or addresses where there is no text."""
-    kept = columns(units).filter(F.col("coverage") >= least).groupBy(*SET).agg(F.collect_set("path").alias("paths"))
+    kept = shared_paths(units, least).filter("size(paths) > 0").drop("units")
     value = F.transform(F.filter("parts", lambda p: F.array_contains("paths", p["path"])), lambda p: F.struct(p["path"], F.coalesce(p["text"], p["href"])))
     return units.join(kept, SET).withColumn("fields", F.map_from_entries(value)).select(*SET, "unit", "fields")
 
@@ -149,7 +162,7 @@ def kindred_sets(sets: DataFrame, units: DataFrame, least: float = 0.6) -> DataF
     Sets are joined on the rarest of their tokens only, as many as an overlap of
     `least` cannot do without; the overlap itself is then told from the whole sets.
     """
-    paths = columns(units).groupBy(*SET).agg(F.collect_set(F.concat(F.lit("/"), F.col("path"))).alias("paths"))
+    paths = shared_paths(units, 0).filter("size(paths) > 0").select(*SET, F.transform("paths", lambda p: F.concat(F.lit("/"), p)).alias("paths"))
     named = sets.join(paths, SET).withColumn("tokens", F.array_union(F.split("shape", "[.]"), "paths")).withColumn("set_no", F.abs(F.xxhash64(*SET)))
     token = named.select("page_id", "set_no", F.explode("tokens").alias("token"))
     often = token.groupBy("page_id", "token").agg(F.count(F.lit(1)).alias("n"))

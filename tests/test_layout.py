@@ -118,3 +118,14 @@ def test_texts_that_may_be_dates_are_all_that_are(spark):
     texts = ["2026-07-01", " 1780000000\n", "1780000000123.5", "Sep 5,  2026", "on 2026-07-01T10:00Z", "Oslo", "Order 12 Hackathon", "5 Sep", "go", ""]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select(dates.maybe_dateish(F.col("t")).alias("may"), dates.dateish(F.col("t")).isNotNull().alias("does")).collect()
     assert all(r.may or not r.does for r in rows) and sum(r.may for r in rows) == 5
+
+
+def test_shared_paths_are_counted_without_texts(spark):
+    part = lambda path, text="x": {"path": path, "tag": "b", "text": text, "href": None}
+    rows = [(1, 0, "li", u, [part(p, f"{p}{u}") for p in paths]) for u, paths in enumerate([["h3", "a"], ["a", "h3"], ["h3"], []])] + [(1, 5, "p", 0, []), (1, 5, "p", 1, None)]
+    units = spark.createDataFrame(rows, "page_id long, parent_id int, shape string, unit int, parts array<struct<path:string,tag:string,text:string,href:string>>")
+    got = lambda least: {r.parent_id: (r.units, sorted(r.paths)) for r in layout.shared_paths(units, least).collect()}
+    assert got(0.5) == {0: (4, ["a", "h3"]), 5: (2, [])}
+    assert got(0.75) == {0: (4, ["h3"]), 5: (2, [])}
+    found = {(r.parent_id, r.unit): r.fields for r in layout.unit_table(units, 0.75).collect()}
+    assert found == {(0, 0): {"h3": "h30"}, (0, 1): {"h3": "h31"}, (0, 2): {"h3": "h32"}, (0, 3): {}}
