@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftline import storage
 from siftline.functions import dates, urls
 from siftline.functions.stages import held
 from siftline.functions.text import borders
@@ -164,6 +165,8 @@ def kindred_sets(sets: DataFrame, units: DataFrame, least: float = 0.6) -> DataF
     """
     paths = shared_paths(units, 0).filter("size(paths) > 0").select(*SET, F.transform("paths", lambda p: F.concat(F.lit("/"), p)).alias("paths"))
     named = sets.join(paths, SET).withColumn("tokens", F.array_union(F.split("shape", "[.]"), "paths")).withColumn("set_no", F.abs(F.xxhash64(*SET)))
+    # one row per set is all that the steps below read, again and again
+    named = storage.materialize(named.select(*SET, "units", "tokens", "set_no"), "unit-sets")
     token = named.select("page_id", "set_no", F.explode("tokens").alias("token"))
     often = token.groupBy("page_id", "token").agg(F.count(F.lit(1)).alias("n"))
     ranked = token.join(often, ["page_id", "token"]).groupBy("page_id", "set_no").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("t"))

@@ -129,3 +129,11 @@ def test_shared_paths_are_counted_without_texts(spark):
     assert got(0.75) == {0: (4, ["h3"]), 5: (2, [])}
     found = {(r.parent_id, r.unit): r.fields for r in layout.unit_table(units, 0.75).collect()}
     assert found == {(0, 0): {"h3": "h30"}, (0, 1): {"h3": "h31"}, (0, 2): {"h3": "h32"}, (0, 3): {}}
+
+
+def test_kindred_sets_read_units_once(spark):
+    body = "".join(f"<section class='s{n}'>{'<p class=a><b>T</b></p>' * 2}</section>" for n in range(3))
+    units = structure.units(pages(spark, body))
+    out = layout.kindred_sets(layout.unit_sets(units), units)
+    assert "MapInArrow" in units._jdf.queryExecution().toString()
+    assert "MapInArrow" not in out._jdf.queryExecution().toString()
