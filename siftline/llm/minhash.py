@@ -426,11 +426,13 @@ def near_duplicates(
     settle(df.sparkSession)
     # small buckets and large ones one after the other: all their stages at once are the most that the driver has to hold
     block, more = BLOCK // 4, None
-    wide = materialize(_counted(open_.filter(F.col("members") > block)), "counted")
-    done.append(wide)
-    for part in (open_.filter(F.col("members") <= block), wide):
+    for large in (False, True):
+        part = open_.filter((F.col("members") > block) == large)
         if part.isEmpty():
             continue
+        if large:
+            part = materialize(_counted(part), "counted")
+            done.append(part)
         lists = _small_sides(part.join(sets, "id"), ["id", "c", "n", "sig", "keys", "set"], block)
         links = lists.select(F.explode(_in_blocks("links", most, percent, width)("lists", "band")).alias("p")).select("p.*")
         links = materialize(links, "links")
