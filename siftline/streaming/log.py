@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,8 +27,10 @@ def read_log(spark: SparkSession, sf_dir: str, in_order: bool = False) -> DataFr
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet")
     raw = (source if in_order else source.option("maxFilesPerTrigger", 1)).parquet(f"{sf_dir}/events*")
+    # a time without a zone stays one where order counts: some are none, or two, in the session's zone
+    ts = F.col("ts") if in_order else F.col("ts").cast("timestamp")
     level = F.when(F.col("event_type") == "error", "error").when(F.col("event_type") == "signup", "warn").otherwise("info")
-    return raw.select("event_id", F.col("user_id").alias("job_id"), F.col("ts").cast("timestamp").alias("ts"), level.alias("level"), F.col("event_type").alias("kind"), "value")
+    return raw.select("event_id", F.col("user_id").alias("job_id"), ts.alias("ts"), level.alias("level"), F.col("event_type").alias("kind"), "value")
 
 
 def windowed(log: DataFrame, width: str = "1 hour", late: str = "1 hour") -> DataFrame:
@@ -59,7 +62,8 @@ def coalesced(log: DataFrame, every: int = 8, millis: int = 750, idle: str | Non
     Input: job_id, ts, event_id, message, and ends if there is one.  A job's rows of
     a micro-batch are put in order all together, however they were cut into frames, so
     a trigger's size bounds what is held; triggers must follow the order of the log.
-    State is one row per job.
+    Rows without a time come last, and no time goes by at them.  The session's time zone
+    plays no part.  State is one row per job.
     """
     import re
 
@@ -76,30 +80,39 @@ def coalesced(log: DataFrame, every: int = 8, millis: int = 750, idle: str | Non
                 out.append((key[0], held_id, seen, "idle"))
             since, held, held_id, rows = 0, None, None, ()
         else:
-            ordered = pd.concat(list(frames)).sort_values(["ts", "event_id"], kind="stable")
-            rows = zip(ordered["ts"], ordered["event_id"], ordered["message"], ordered["ends"] if ending else [False] * len(ordered))
-        for stamp, event, message, ends in rows:
-            at, event, seen, since = int(stamp.value // 1_000_000), int(event), seen + 1, since + 1
-            latest, message = at, (message or "").strip()
+            frames = list(frames)
+            stamps, events, messages, marks = (np.concatenate([f[c].to_numpy() for f in frames]) for c in ("__at", "event_id", "message", "ends" if ending else "event_id"))
+            missing = pd.isna(stamps)
+            micros = np.where(missing, np.zeros_like(stamps), stamps).astype("datetime64[us]").astype("int64")
+            order = np.lexsort((events, micros, missing))
+            times = [None if gone else at // 1000 for at, gone in zip(micros[order].tolist(), missing[order].tolist())]
+            rows = zip(times, events[order].tolist(), messages[order], marks[order] if ending else [False] * len(order))
+        for at, event, message, ends in rows:
+            event, seen, since = int(event), seen + 1, since + 1
+            latest, message = latest if at is None else at, (message or "").strip()
+            first, late = last is None, at is not None and last is not None and at - last >= millis
+            passed_at = at if at is not None else last or 0
             if message and forced.search(message):
                 if held is not None and held != message:
                     out.append((key[0], held_id, seen, "held"))
                 out.append((key[0], event, seen, "forced"))
-                since, last, held, held_id = 0, at, None, None
+                since, last, held, held_id = 0, passed_at, None, None
             elif message:
                 held, held_id = message, event
-                if last is None or at - last >= millis or since >= every:
-                    out.append((key[0], event, seen, "first" if last is None else "time" if at - last >= millis else "count"))
-                    since, last, held, held_id = 0, at, None, None
+                if first or late or since >= every:
+                    out.append((key[0], event, seen, "first" if first else "time" if late else "count"))
+                    since, last, held, held_id = 0, passed_at, None, None
             if ends and held is not None:
                 out.append((key[0], held_id, seen, "end"))
-                since, last, held, held_id = 0, at, None, None
+                since, last, held, held_id = 0, passed_at, None, None
         state.update((seen, since, last, held, held_id))
         if wait is not None and held is not None and latest is not None:
             state.setTimeoutTimestamp(max(latest + wait, state.getCurrentWatermarkMs() + 1))
         if out:
             yield pd.DataFrame(out, columns=["job_id", "event_id", "seen", "why"])
 
+    # an instant is grouped as a number: pandas would get it in local time, which repeats an hour
+    log = log.withColumn("__at", F.unix_micros("ts") if dict(log.dtypes)["ts"] == "timestamp" else F.col("ts"))
     return log.groupBy("job_id").applyInPandasWithState(
         step, "job_id long, event_id long, seen long, why string", "seen long, since long, last long, held string, held_id long", "append",
         GroupStateTimeout.EventTimeTimeout if idle else GroupStateTimeout.NoTimeout,

@@ -96,3 +96,23 @@ def test_progress_of_a_log_cut_anywhere(spark, tmp_path):
         events.filter(f"event_id % 3 = {n}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
     for query in (stream_queries.t5_coalesce, stream_queries.t5_flushed):
         assert sorted(map(tuple, query(spark, f"file://{tmp_path}").collect())) == sorted(map(tuple, query(spark, "/root/testdata/sf0.001").collect()))
+
+
+def test_progress_does_not_depend_on_the_session_time_zone(spark, tmp_path):
+    """Hours that a zone's clocks skip or repeat are hours like others; a time that is missing comes last."""
+    import duckdb
+    from siftline.plans import stream_queries
+
+    duckdb.sql(f"""
+        COPY (SELECT i AS event_id, CASE WHEN i % 97 < 95 THEN start + INTERVAL (i * 17 % 900 * 12000 + i % 7 * 90) MILLISECOND END AS ts, i % 3 AS user_id, ['view', 'click', 'signup', 'error', 'click'][1 + i % 5] AS event_type, 1.0 AS value, '' AS props
+              FROM range(900) r(i), (VALUES (TIMESTAMP '2024-03-10 01:30:00'), (TIMESTAMP '2024-11-03 00:30:00')) v(start)) TO '{tmp_path}/events.parquet'""")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        for name in ("t5_coalesce", "t5_flushed"):
+            got = sorted((r.job_id, r.event_id, r.seen, r.why) for r in stream_queries.QUERIES[name](spark, f"file://{tmp_path}").collect())
+            assert got == sorted(con.sql(f"SELECT job_id, event_id, seen, why FROM ({stream_queries.ORACLES[name]})").fetchall())
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
